@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mediasift.llm.shared import table
 
@@ -15,6 +16,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm import language_id as li
+
+    docs = table(spark, sf_dir, "documents")
+    fold = li.hash_mod(F.col("doc_id"), 3)
+    model = li.fit(docs.where(fold != 1))
+    return li.identify(docs.withColumn("held_out", fold == 1), model, keep=["doc_id", "held_out"])
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediasift.llm.mixing import mix_sources
 
@@ -22,7 +38,7 @@ def op10_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op10_poisson_mixture": op10_poisson_mixture}
+    return {"op1_quality_rules": op1_quality_rules, "op4_language_id": op4_language_id, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
