@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.identify(docs.withColumn("held_out", fold == 1), model, keep=["doc_id", "held_out"])
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm import token_store as ts
+    from mediasift.llm.shared import shared_dir
+
+    root = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    ts.write_tokens(table(spark, sf_dir, "documents"), root, tokenizer_file())
+    return ts.read_tokens(spark, root)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediasift.llm.decontaminate import contaminated
 
@@ -38,7 +54,7 @@ def op10_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op4_language_id": op4_language_id, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
+    return {"op1_quality_rules": op1_quality_rules, "op4_language_id": op4_language_id, "op6_token_store": op6_token_store, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
