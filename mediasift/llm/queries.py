@@ -41,6 +41,12 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.read_tokens(spark, root)
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm.warc_query import resolved_revisits
+
+    return resolved_revisits(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediasift.llm.decontaminate import contaminated
 
@@ -54,11 +60,13 @@ def op10_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op4_language_id": op4_language_id, "op6_token_store": op6_token_store, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
+    return {"op1_quality_rules": op1_quality_rules, "op4_language_id": op4_language_id, "op6_token_store": op6_token_store, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_poisson_mixture": OP10_SQL}
+    from mediasift.llm import warc_query
+
+    return {"op8_warc_revisits": warc_query.SQL, "op10_poisson_mixture": OP10_SQL}
 
 
 OP10_SQL = """
