@@ -18,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.llm.shared import Tables
+
 #: The largest mean for which exp(-mean) is well inside the doubles; beyond, the rate is split.
 MOST_MEAN = 64.0
+#: Up to so many sources, the rates (some 50 bytes each) are sent to all executors.
+BROADCAST_SOURCES = 200_000
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -74,6 +78,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         raise ValueError(f"columns {sorted(added & set(docs.columns))} are in the input")
     names = docs.columns
     rates = source_rates(docs, weights, source=source, text=text, temperature=temperature, budget=budget).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    # a row per source, written once; broadcast when counted to be small, else a join that splits hot sources
+    rates = Tables(docs.sparkSession, "rates").save(rates.coalesce(1), "rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     joined = docs.join(rates, docs[source].eqNullSafe(rates["__source"]), "left")
     # a mean above MOST_MEAN is the sum of equal Poisson parts with hashes of their own
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / F.lit(MOST_MEAN)).cast("int"))
