@@ -23,6 +23,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm.html_crf import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediasift.llm import language_id as li
 
@@ -66,7 +72,7 @@ def op10_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_jaccard_join": op2_jaccard_join, "op4_language_id": op4_language_id, "op6_token_store": op6_token_store, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
+    return {"op1_quality_rules": op1_quality_rules, "op2_jaccard_join": op2_jaccard_join, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op6_token_store": op6_token_store, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
