@@ -59,6 +59,15 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.read_tokens(spark, root)
 
 
+def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm import language_model as lm
+    from mediasift.llm.language_id import hash_mod
+
+    docs = table(spark, sf_dir, "documents")
+    fold = hash_mod(F.col("doc_id"), 5)
+    return lm.score_texts(docs, lm.train(docs.where(fold != 1)), fold == 1)
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediasift.llm.warc_query import resolved_revisits
 
@@ -78,7 +87,7 @@ def op10_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_jaccard_join": op2_jaccard_join, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_token_store": op6_token_store, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
+    return {"op1_quality_rules": op1_quality_rules, "op2_jaccard_join": op2_jaccard_join, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_token_store": op6_token_store, "op7_ngram_scores": op7_ngram_scores, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
