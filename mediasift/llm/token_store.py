@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,37 +45,64 @@ CACHE_WORDS, CACHE_WORD_BYTES = 400_000, 64
 
 class WordEncoder:
     """Encodes texts with a tokenizer that treats white-space-separated words alike wherever they
-    stand, as tokenizers do that split on and drop white space; ids of words are kept for reuse."""
+    stand, as tokenizers do that split on and drop white space. Ids of words are kept for reuse, in
+    two generations of a bounded size. Where the tokenizer also ignores case and parts letters from
+    the marks after them, words share the ids of their letters and of their marks."""
+
+    LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([!#-&*-/:;=?@^_`|~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = self._alike(" it's  x1\n\ty, Z.") and self._alike("a b\r\nc")
+        self.by_word = self._same(" it's  x1\n\ty, Z.", " it's  x1\n\ty, Z.".split()) and self._same("a b\r\nc", ["a", "b", "c"])
+        self.by_part = self.by_word and all(self._same(f"{w}{m}", [w.lower(), m]) for w in ("Word", "tHE", "I", "wont") for m in ("!", "###", "$%&", "*+,-./", ":;", "=?@", "^_`", "|~", ".,!?"))
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _alike(self, text: str) -> bool:
-        one = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return one == [i for w in text.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+    def _same(self, text: str, parts: list[str]) -> bool:
+        encode = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        return encode(text) == [i for p in parts for i in encode(p)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the cache lacks; those of usual length go there."""
+        got = {w: i for w in words if (i := self.older.get(w)) is not None}
+        parts: dict[bytes, tuple[bytes, ...]] = {}
+        for w in words:
+            if w not in got:
+                m = self.LETTERS_MARKS.fullmatch(w) if self.by_part else None
+                parts[w] = ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) if m else (w,)
+        known = lambda p: self.cache.get(p) or self.older.get(p)
+        new = list({p for ps in parts.values() for p in ps if known(p) is None})
+        ids = dict(zip(new, self._ids([p.decode("utf-8", "replace") for p in new]), strict=True))
+        for w, ps in parts.items():
+            got[w] = b"".join([ids[p] if p in ids else known(p) for p in ps])
+        self.cache.update((w, i) for w, i in (ids | got).items() if len(w) <= CACHE_WORD_BYTES and i)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
+        return got
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(x, "<u4") for x in self._ids([t.decode("utf-8", "replace") for t in texts])]
         split = [t.split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         cache = self.cache
-        new = list({w for words in split for w in words if w not in cache})
-        got = dict(zip(new, self._ids([w.decode("utf-8", "replace") for w in new]), strict=True))
-        cache.update((w, i) for w, i in got.items() if len(w) <= CACHE_WORD_BYTES)
+        new = {w for words in split for w in words if w not in cache}
+        got = self._learn(new) if new else {}
         find = cache.get
         return [np.frombuffer(b"".join([find(w) or got.get(w, b"") for w in words]), "<u4") for words in split]
 
 
+@lru_cache(2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each tokenizer and worker process."""
+    return WordEncoder(path)
+
+
 def pack(ids: np.ndarray, chunk_bits: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Levels of (chunks, continuation bits, rank directory)."""
     levels, rest = [], ids.astype(np.uint32)
@@ -180,7 +209,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
         files, folder = _files(root)
-        encoder, seq = WordEncoder(tokenizer), 0
+        encode, seq = encoder(tokenizer).encode, 0
         keys, nulls, counts, ids, size = [], [], [], [], 0
         end = np.array([end_id], "<u4")
 
@@ -197,7 +226,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
             key_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(1)):
                 raw = block.data.tobytes()
-                got = encoder.encode([raw[a:b] for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)])
+                got = encode([raw[a:b] for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)])
                 keys.append(key_ids[block.lo : block.hi])
                 nulls.append(key_nulls[block.lo : block.hi])
                 for x in got:
@@ -236,5 +265,6 @@ def read_tokens(spark: SparkSession, root: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin.tolist(), shard.ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.nulls), pa.array(base + begin), pa.array(shard.ends - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    listed = read_manifest(spark, root).select("file", "start").repartition("file")
+    listed = read_manifest(spark, root).select("file", "start")
+    listed = listed.repartition(max(1, listed.count()), "file")
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
