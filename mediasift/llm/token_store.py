@@ -25,6 +25,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,14 +41,15 @@ from mediasift.llm.arrow_text import blocks
 
 MAGIC = b"MSDAC\x00\x01\n"
 RANK_BITS = 512
-CACHE_WORDS, CACHE_WORD_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Encodes texts with a tokenizer that treats white-space-separated words alike wherever they
-    stand, as tokenizers do that split on and drop white space. Ids of words are kept for reuse, in
-    two generations of a bounded size. Where the tokenizer also ignores case and parts letters from
-    the marks after them, words share the ids of their letters and of their marks."""
+    stand, as tokenizers do that split on and drop white space. It is a mapping of words to their
+    ids that learns a word when asked, in two generations of a bounded size. Where the tokenizer
+    also ignores case and parts letters from the marks after them, words share the ids of their
+    letters and of their marks, and plain letters go straight to the tokenizer's merges."""
 
     LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([!#-&*-/:;=?@^_`|~]*)")
 
@@ -55,46 +57,57 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.by_word = self._same(" it's  x1\n\ty, Z.", " it's  x1\n\ty, Z.".split()) and self._same("a b\r\nc", ["a", "b", "c"])
         self.by_part = self.by_word and all(self._same(f"{w}{m}", [w.lower(), m]) for w in ("Word", "tHE", "I", "wont") for m in ("!", "###", "$%&", "*+,-./", ":;", "=?@", "^_`", "|~", ".,!?"))
-        self.cache: dict[bytes, bytes] = {}
+        self.by_merges = self.by_part and all(self._plain(w) == self._encode(w) for w in ("a", "the", "zyx", "abracadabra", "supercalifragilistic", "thblean"))
         self.older: dict[bytes, bytes] = {}
 
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _plain(self, letters: str) -> list[int]:
+        return [t.id for t in self.merges(letters)]
+
     def _same(self, text: str, parts: list[str]) -> bool:
-        encode = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        return encode(text) == [i for p in parts for i in encode(p)]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the cache lacks; those of usual length go there."""
-        got = {w: i for w in words if (i := self.older.get(w)) is not None}
-        parts: dict[bytes, tuple[bytes, ...]] = {}
-        for w in words:
-            if w not in got:
-                m = self.LETTERS_MARKS.fullmatch(w) if self.by_part else None
-                parts[w] = ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) if m else (w,)
-        known = lambda p: self.cache.get(p) or self.older.get(p)
-        new = list({p for ps in parts.values() for p in ps if known(p) is None})
-        ids = dict(zip(new, self._ids([p.decode("utf-8", "replace") for p in new]), strict=True))
-        for w, ps in parts.items():
-            got[w] = b"".join([ids[p] if p in ids else known(p) for p in ps])
-        self.cache.update((w, i) for w, i in (ids | got).items() if len(w) <= CACHE_WORD_BYTES and i)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
-        return got
+        return self._encode(text) == [i for p in parts for i in self._encode(p)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            m = self.LETTERS_MARKS.fullmatch(word) if self.by_part else None
+            if m is None:
+                ids = array("I", self._encode(word.decode("utf-8", "replace"))).tobytes()
+            else:
+                letters = m[1].lower()
+                if m[2]:
+                    ids = self[letters] + self._marks(m[2])
+                elif letters != word:
+                    ids = self[letters]
+                elif self.by_merges:
+                    ids = array("I", self._plain(word.decode())).tobytes()
+                else:
+                    ids = array("I", self._encode(word.decode())).tobytes()
+        if len(word) <= CACHE_WORD_BYTES:
+            self[word] = ids
+        return ids
+
+    def _marks(self, marks: bytes) -> bytes:
+        ids = self.get(marks)
+        if ids is None:
+            ids = self[marks] = array("I", self._encode(marks.decode())).tobytes()
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.frombuffer(x, "<u4") for x in self._ids([t.decode("utf-8", "replace") for t in texts])]
-        split = [t.split() for t in texts]
-        cache = self.cache
-        new = {w for words in split for w in words if w not in cache}
-        got = self._learn(new) if new else {}
-        find = cache.get
-        return [np.frombuffer(b"".join([find(w) or got.get(w, b"") for w in words]), "<u4") for words in split]
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        find = self.__getitem__
+        return [np.frombuffer(b"".join(map(find, t.split())), "<u4") for t in texts]
 
 
 @lru_cache(2)
