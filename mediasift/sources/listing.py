@@ -30,7 +30,7 @@ class LibraryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["root"]
         self.hidden = str(options.get("hidden", "false")).lower() == "true"
-        self.exclude = options.get("excludeDirs") or exclude_regex(EXCLUDED_DIRS)
+        self.exclude = options.get("excludedirs") or exclude_regex(EXCLUDED_DIRS)
         self.files = options.get("files") or extension_regex(IMAGE_EXTENSIONS)
 
     def _wanted_dir(self, entry: os.DirEntry) -> bool:
@@ -70,7 +70,7 @@ class Library(DataSource):
         return "filepath string, name string, modified_at double, size long, reason string"
 
     def reader(self, schema) -> LibraryReader:
-        return LibraryReader(dict(self.options))
+        return LibraryReader({k.lower(): v for k, v in self.options.items()})
 
 
 def list_library(spark: SparkSession, root: str, *, hidden: bool = False, exclude_dirs: list[str] | None = None, raw_support: bool = False) -> DataFrame:
