@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 First pass: every document is scanned for word n-grams of the test items, and the documents that
-hold each seed are counted over the whole table. An item keeps its rarer seeds: those not above
-the median document count of its own seeds (at least ``min_seeds``). Rarity is relative to the
-item, so an item that leaked into a third of all documents keeps seeds too. Second pass: a document
+hold each seed are counted over the whole table. An item keeps its rare seeds: those in at most
+``FACTOR`` times as many documents as its median seed, plus ``SLACK`` (and at least ``min_seeds``).
+Rarity is relative to the item, so an item that leaked into a third of all documents keeps seeds too,
+and the margin keeps the seeds that edited copies share with exact ones. Second pass: a document
 that holds a kept seed is aligned with the item around the places where seeds lie, by local
 alignment of words; the score is a share of the score of a whole exact copy. Edited and
 paraphrased copies keep some seeds and most of the alignment.
@@ -31,6 +32,8 @@ from mediasift.llm.arrow_text import Block, Words, blocks, mix, windows
 SEPARATORS = np.ones(256, dtype=bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: A seed is rare up to so many times the documents of the item's median seed, and so many more.
+FACTOR, SLACK = 4, 8
 
 
 class Items:
@@ -211,7 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
 
 def rare(items: Items, df: np.ndarray, min_seeds: int) -> np.ndarray:
-    """Mask of (seed, item) entries to keep: not above the item's median count, or among its rarest."""
+    """Mask of (seed, item) entries to keep: near or below the item's median count, or among its rarest."""
     count = df[np.searchsorted(items.keys, items.seed)]
     order = np.lexsort((items.seed, count, items.item))
     sizes = np.bincount(items.item, minlength=len(items.ids))
@@ -219,5 +222,5 @@ def rare(items: Items, df: np.ndarray, min_seeds: int) -> np.ndarray:
     rank = np.arange(len(order)) - first[items.item[order]]
     middle = count[order][np.minimum(first + (sizes - 1) // 2, max(len(order) - 1, 0))] if len(order) else count
     keep = np.zeros(len(order), bool)
-    keep[order] = (rank < min_seeds) | (count[order] <= middle[items.item[order]])
+    keep[order] = (rank < min_seeds) | (count[order] <= FACTOR * middle[items.item[order]] + SLACK)
     return keep

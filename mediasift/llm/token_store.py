@@ -237,7 +237,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
         for batch in batches:
             key_nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             key_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), min(1 << 20, 4 * shard_tokens)):
                 raw = block.data.tobytes()
                 got = encode([raw[a:b] for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)])
                 keys.append(key_ids[block.lo : block.hi])
