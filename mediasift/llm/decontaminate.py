@@ -6,7 +6,8 @@ hold each seed are counted over the whole table. An item keeps its rare seeds: t
 Rarity is relative to the item, so an item that leaked into a third of all documents keeps seeds too,
 and the margin keeps the seeds that edited copies share with exact ones. Second pass: a document
 that holds a kept seed is aligned with the item around the places where seeds lie, by local
-alignment of words; the score is a share of the score of a whole exact copy. Edited and
+alignment of words; the score is a share of the score of a whole exact copy, and must reach
+``min_score`` and the worth of ``LEAST_WORDS`` words (of the whole item, if shorter). Edited and
 paraphrased copies keep some seeds and most of the alignment.
 
 The items are taken in blocks of at most ``block_words`` words, each broadcast in turn: that is the
@@ -34,6 +35,8 @@ SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A seed is rare up to so many times the documents of the item's median seed, and so many more.
 FACTOR, SLACK = 4, 8
+#: Words of an item (or the whole item) that the alignment must be worth.
+LEAST_WORDS = 8
 
 
 class Items:
@@ -141,7 +144,8 @@ def align(items: Items, words: Words, min_score: float) -> tuple[np.ndarray, np.
         if len(part):
             a, b = pad(items.codes, items.first[item[part]], size[part], 0), pad(words.hashes, lo[part], (hi - lo)[part], 1)
             score[part] = smith_waterman(a, b) / (MATCH * np.maximum(size[part], 1))
-    good = np.flatnonzero(score >= min_score)
+    # short items need more of themselves: eight words, or all of them
+    good = np.flatnonzero(score >= np.maximum(min_score, np.minimum(1.0, LEAST_WORDS / np.maximum(size, 1))))
     if not len(good):
         return none, none, none
     pairs, back = np.unique(np.stack([row[good], item[good]]), axis=1, return_inverse=True)
