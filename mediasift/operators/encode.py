@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediasift.functions.text import WIDTH, clean, hash_tokens, split_tokens
+from mediasift.functions.text import WIDTH, clean, hash_bucket, hash_sign, letter_tokens, split_tokens
 from mediasift.functions.vectors import l2_normalise
 
 LENGTH = 77
@@ -115,8 +115,9 @@ def tokenise(texts: DataFrame, merges: list[tuple[str, str]], *, key: str, text:
 def hash_encode(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     """key and the unit ``vector`` of signed bucket counts of the text's tokens; texts whose counts
     are all zero have none and are left out."""
-    tokens = texts.select(key, F.explode(hash_tokens(F.col(text))).alias("t"))
-    counts = tokens.groupBy(key, F.col("t.bucket").alias("bucket")).agg(F.sum("t.sign").alias("x")).where("x <> 0")
+    # hashed after the explode, where expressions are compiled; tasks add up before the shuffle
+    tokens = texts.select(key, F.explode(letter_tokens(F.col(text))).alias("t")).select(key, hash_bucket(F.col("t")).alias("bucket"), hash_sign(F.col("t")).alias("sign"))
+    counts = tokens.groupBy(key, "bucket").agg(F.sum("sign").alias("x")).where("x <> 0")
     per = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     return per.select(key, l2_normalise(dense).alias("vector"))
