@@ -19,14 +19,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
-
-
 def l2_normalise(v: Column) -> Column:
-    """The vector over its norm; null for a zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: F.try_divide(x.cast("double"), n)))
+    """The vector over its norm; null for a zero vector. The norm is found once, by the fold."""
+    return F.aggregate(
+        v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+        lambda square: F.when(square > 0, F.transform(v, lambda x: x.cast("double") / F.sqrt(square))),
+    )
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

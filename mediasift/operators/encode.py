@@ -120,4 +120,4 @@ def hash_encode(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     counts = tokens.groupBy(key, "bucket").agg(F.sum("sign").alias("x")).where("x <> 0")
     per = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return per.select(key, l2_normalise(dense).alias("vector"))
+    return per.select(key, dense.alias("vector")).withColumn("vector", l2_normalise(F.col("vector")))
