@@ -91,9 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from mediasift.llm import warc_query
+    from mediasift.llm import quality_sql, warc_query
 
-    return {"op8_warc_revisits": warc_query.SQL, "op10_poisson_mixture": OP10_SQL}
+    return {"op1_quality_rules": quality_sql.sql(), "op8_warc_revisits": warc_query.SQL, "op10_poisson_mixture": OP10_SQL}
 
 
 OP10_SQL = """

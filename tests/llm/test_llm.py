@@ -93,6 +93,13 @@ def test_quality(spark, docs, empty):
     assert repetition_rules(empty).count() == 0
 
 
+def test_quality_matches_sql(spark):
+    from conftest import assert_same
+    from mediasift.llm.queries import op1_quality_rules, oracle_sql
+
+    assert_same(spark, op1_quality_rules, oracle_sql()["op1_quality_rules"], SF)
+
+
 # --- op2 ----------------------------------------------------------------------------------------
 
 
