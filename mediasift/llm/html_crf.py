@@ -329,6 +329,8 @@ def _page(rng: random.Random) -> str:
                 out.append(f"<pre>1{prose(2)}</pre>")
             else:
                 out.append(f"<div>1{prose()}</div>")
+        if rng.random() < 0.2:  # a last paragraph cut short
+            out.append(f"<p>1{word().capitalize()}</p>")
         for _ in range(rng.choice((0, 0, 0, 1, 2))):
             out.insert(rng.randint(0, len(out)), "</p>" + part(rng.choice(("ad", "share", "aside", "form", "notice"))))
         if rng.random() < 0.15:
