@@ -48,7 +48,7 @@ class EliasFano:
         width = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
         top = (values >> np.uint64(width)).astype(np.int64)
         ones = top + np.arange(n)
-        size = n + (universe >> width) + 2
+        size = n + (universe >> width) + 3
         high = np.zeros(size // 64 + 1, np.uint64)
         np.bitwise_or.at(high, ones >> 6, _ONE << (ones & 63).astype(np.uint64))
         zeros = np.arange(len(high)) * 64 - (np.cumsum(np.bitwise_count(high), dtype=np.int64) - np.bitwise_count(high))
@@ -58,9 +58,6 @@ class EliasFano:
     def arrays(self) -> dict[str, np.ndarray]:
         return {"low": self.low, "high": self.high, "zeros": self.zeros}
 
-    def _bit(self, at: np.ndarray) -> np.ndarray:
-        return (self.high[at >> 6] >> (at & 63).astype(np.uint64)) & _ONE == _ONE
-
     def _select(self, rank: np.ndarray, before: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the bit with the given rank among ones or zeros; ``before`` counts them before each word."""
         word = np.searchsorted(before, rank.astype(before.dtype), "right") - 1
@@ -84,20 +81,23 @@ class EliasFano:
         top = (values >> np.uint64(self.width)).astype(np.int64)
         low = values & np.uint64((1 << self.width) - 1)
         live = np.flatnonzero(top <= int(self.zeros[-1]) + 64)
-        place = np.zeros(len(live), np.int64)
-        some = top[live] > 0
-        place[some] = self._select(top[live][some] - 1, self.zeros, False) + 1
-        index = place - top[live]
-        while len(live):  # along the values with the same high part, until one is not less
-            inside = index < self.n
-            live, index = live[inside], index[inside]
-            inside = self._bit(index + top[live])
-            live, index = live[inside], index[inside]
-            got = get_bits(self.low, index, self.width)
-            hit = got == low[live]
-            out[live[hit]] = index[hit]
-            less = got < low[live]
-            live, index = live[less], index[less] + 1
+        top, low = top[live], low[live]
+        # the values with the same high part lie between two zeros; among them by halving
+        begin = np.zeros(len(live), np.int64)
+        some = top > 0
+        begin[some] = self._select(top[some] - 1, self.zeros, False) + 1 - top[some]
+        end = np.minimum(self._select(top, self.zeros, False) - top, self.n)
+        last = end.copy()
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):
+            middle = (begin[open_] + end[open_]) >> 1
+            less = get_bits(self.low, middle, self.width) < low[open_]
+            begin[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
+            open_ = open_[begin[open_] < end[open_]]
+        found = np.flatnonzero(begin < last)
+        found = found[get_bits(self.low, begin[found], self.width) == low[found]]
+        out[live[found]] = begin[found]
         return out
 
     def get(self, index: np.ndarray) -> np.ndarray:

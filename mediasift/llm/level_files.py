@@ -47,7 +47,7 @@ def read(root: str, name: str) -> tuple[dict[str, np.ndarray], dict]:
         path = _local[path]
     if os.path.getsize(path) < 16:
         raise ValueError(f"{path} is not a level file")
-    data = np.memmap(path, np.uint8, "r")
+    data = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain array over the mapped pages
     if bytes(data[:8]) != MAGIC:
         raise ValueError(f"{path} is not a level file")
     n = int(data[8:16].view("<u8")[0])
