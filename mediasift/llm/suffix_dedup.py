@@ -287,9 +287,10 @@ def repeated_spans(tables: Tables, docs: DataFrame, length: int, most_segments:
         inline = k > 0
         runs = tables.save(cut_segments(level, length, gram) if inline else cut_documents(docs, length, gram), f"runs{k}")
         # buckets met once hold no repeat
-        sizes = runs.groupBy("bucket").agg(F.sum("cs").alias("c")).where("c > 1").select("bucket")
+        # written first, so that the join's sides are plain shuffles and a hot bucket can be split
+        sizes = tables.save(runs.groupBy("bucket").agg(F.sum("cs").alias("c")).where("c > 1").select("bucket"), f"sizes{k}")
         found = tables.save(runs.join(sizes, "bucket"), f"found{k}")
-        tables.drop(f"runs{k}")
+        tables.drop(f"runs{k}", f"sizes{k}")
         columns = ["doc_id", "th", "start", "n", *(["bytes"] if inline else [])]
         segs = tables.save(found.groupBy("bucket", "seg").agg(F.sum("cs").alias("total"), F.min(F.struct(*columns)).alias("rep")), f"segs{k}")
         whole = found.where("cs = 1").join(segs.where("total > 1").select("bucket", "seg"), ["bucket", "seg"])
