@@ -18,6 +18,7 @@ from mediasift.operators import index as ix
 from mediasift.operators import listing_filters as lf
 from mediasift.operators import search as sr
 from mediasift.plans.views import rounded, view, with_views
+from mediasift.sources.shared import shared_dir
 from mediasift.sources.store import IndexStore, migrate
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -180,7 +181,7 @@ def stream_upsert(spark, d):
     """The listing as a stream, upserted into an empty stored index; rows only."""
     from mediasift.streaming.upsert import stream_upsert as start
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/mediasift'}/stream-{uuid.uuid4().hex}".rstrip("/")
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     view(spark, d, "listing").write.parquet(f"{root}/input")
     stream = spark.readStream.schema("filepath string, modified_at double, size long, hash string").parquet(f"{root}/input")
     store = IndexStore(spark, f"{root}/index")
