@@ -1,26 +1,15 @@
 """Intermediate tables in the folder that driver and executors share.
 
-A table written here cuts lineage and survives the loss of any executor. The folder is the
-session's ``spark.checkpoint.dir``; where a session names none (tests, notebooks) a temporary
-one is set for this session only.
+A table written here cuts lineage and survives the loss of any executor.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = "file://" + tempfile.mkdtemp(prefix="mediasift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from mediasift.sources.shared import shared_dir
 
 
 class Tables:
