@@ -7,13 +7,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where a local session names none (tests, notebooks) a
-    temporary one is set for this session. A cluster must name one that all executors reach."""
+    temporary one is used for this application. A cluster must name one that all executors reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = "file://" + tempfile.mkdtemp(prefix="mediasift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="mediasift-")
+        folder = _own[app]
     return folder.rstrip("/")
