@@ -14,8 +14,9 @@ import pyarrow as pa
 #: Space and the control characters 0x09-0x0D end a word.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_RANDOM = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: A random 64-bit value for each byte, and the base of polynomial hashes.
+RANDOM = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -75,7 +76,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
-        out = np.full(max(n, 2 * len(_powers)), _BASE, dtype=np.uint64)
+        out = np.full(max(n, 2 * len(_powers)), BASE, dtype=np.uint64)
         out[0] = 1
         _powers = np.multiply.accumulate(out)
     return _powers
@@ -104,7 +105,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
     pos = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    value = _RANDOM[data[pos + np.repeat(starts, sizes)]]
+    value = RANDOM[data[pos + np.repeat(starts, sizes)]]
     value *= powers(int(sizes.max()))[pos]
     return mix(np.add.reduceat(value, first) ^ sizes.astype(np.uint64))
 
@@ -137,7 +138,7 @@ def windows(codes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
     """Rolling hash of every run of n codes and a mask of those that lie inside one row."""
     h = codes.copy()
     for j in range(1, n):
-        h = h[: len(h) - 1] * _BASE + codes[j : j + len(h) - 1] if len(h) > 1 else h[:0]
+        h = h[: len(h) - 1] * BASE + codes[j : j + len(h) - 1] if len(h) > 1 else h[:0]
     count = np.diff(first)
     left = np.repeat(first[1:], count) - np.arange(len(codes))
     return mix(h), left[: len(h)] >= n

@@ -136,7 +136,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, node binary, sig binary")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_bytes: int = 0) -> Iterator[pa.Table]:
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys in batches sorted by them; a run that spans batches is put together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.arrow_text import _BASE, _RANDOM, blocks, mix, text_bytes
+from mediasift.llm.arrow_text import BASE, RANDOM, blocks, mix, text_bytes
 from mediasift.llm.shared import Tables
 
 LENGTH = 200
@@ -42,7 +42,7 @@ SEPARATOR = 0xFF  # in no UTF-8 text
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n bytes from each place that has so many."""
-    power, size, block = np.uint64(_BASE), 1, _RANDOM[data]
+    power, size, block = np.uint64(BASE), 1, RANDOM[data]
     out, done = None, 0
     while True:
         if n & size:
