@@ -207,10 +207,15 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of wanted segments; each document meets its list of segments once."""
     names = ["bucket", "seg", "cs", "start", "n"]
     lists = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct(*names)).alias("want"))
-    joined = docs.join(lists, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "want")
+    joined = docs.join(lists, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("doc_id", "th", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # repeated rows have met in this task: one of them is enough
         for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            first = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if len(first) < batch.num_rows:
+                batch = batch.take(pa.array(first, pa.int64()))
             data, off = text_bytes(batch.column(2))
             lists = batch.column(3)
             raw = memoryview(data)
