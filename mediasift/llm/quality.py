@@ -55,10 +55,8 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     """The columns of SCHEMA but the key, for the documents of a block."""
     words, rows, data = Words(block), len(block), block.data
     lead = (data & 0xC0) != 0x80
-    chars = sums(lead, np.concatenate([words.starts, words.ends[-1:]])) if len(words.starts) else np.zeros(0, np.int64)
-    if len(words.starts):
-        total = np.concatenate([[0], np.cumsum(lead)])
-        chars = total[words.ends] - total[words.starts]
+    total = np.concatenate([[0], np.cumsum(lead)])
+    chars = total[words.ends] - total[words.starts]
     n_words, word_chars = np.diff(words.first), sums(chars, words.first)
     share_of = np.maximum(word_chars, 1)
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": sums(SYMBOLS[data], block.offsets)}
@@ -69,25 +67,26 @@ def measure(block: Block) -> dict[str, np.ndarray]:
         h, ok = windows(words.hashes, words.first, n)
         at = np.flatnonzero(ok)
         shares[f"top_{n}gram_share"] = top_share(h[at] ^ salt[at], at, n, words, chars) / share_of
-    live, before = None, 0
+    live = None
     repeat_words = np.zeros(rows, np.int64)
     for n in DUPLICATE_LIMITS:
         h, ok = windows(words.hashes, words.first, n)
         # a repeated n-gram begins with a repeated shorter one: only those are sorted
-        at = np.flatnonzero(ok) if live is None else live[ok[np.minimum(live, len(ok) - 1)] & (live < len(ok))] if len(ok) else np.zeros(0, np.int64)
+        if live is None:
+            at = np.flatnonzero(ok)
+        else:
+            at = live[live < len(ok)]
+            at = at[ok[at]]
         live = at[repeated(h[at] ^ salt[at])]
         inside = covered(live, n, len(chars))
         shares[f"dup_{n}gram_share"] = sums(np.where(inside, chars, 0), words.first) / share_of
         if n == 8:
             repeat_words = sums(inside, words.first)
-    del before
 
     not_break = data != 0x0A
     ls, le = runs_of(not_break, block.offsets)
     row, first = owner(block.offsets, ls)
-    at_word = np.searchsorted(words.starts, ls)
-    has_word = (at_word < len(words.starts)) & (words.starts[np.minimum(at_word, max(len(words.starts) - 1, 0))] < le) if len(words.starts) else np.zeros(len(ls), bool)
-    total = np.concatenate([[0], np.cumsum(lead)])
+    has_word = np.searchsorted(words.starts, ls) < np.searchsorted(words.starts, le)
     line_chars = total[le] - total[ls]
     at = np.flatnonzero(has_word)
     key = span_hashes(data, ls[at], le[at]) ^ mix(row[at].astype(np.uint64) + np.uint64(1))
