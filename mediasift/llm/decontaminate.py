@@ -177,13 +177,11 @@ def item_blocks(benchmark: DataFrame, item_key: str, text: str, n: int, block_wo
         yield Items(ids, texts, n)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, min_seeds: int = 8, min_score: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
-    """A row for each document and item it contains: key, item_id, score (0 to 1)."""
-    key_type, item_type = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
-    source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    spark, out = docs.sparkSession, None
+def passes(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, n: int, min_seeds: int, block_words: int) -> Iterator:
+    """For each block of items: a broadcast of the block with its rare seeds."""
+    source = docs.select(F.col(f"`{text}`").alias("text"))
     for items in item_blocks(benchmark, item_key, item_text, n, block_words):
-        scan = spark.sparkContext.broadcast(items)
+        scan = docs.sparkSession.sparkContext.broadcast(items)
 
         def count(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(scan.value.keys), np.int64)
@@ -198,25 +196,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
         # a row for each seed of this block of items at most
         df = np.zeros(len(items.keys), np.int64)
-        counted = source.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
+        counted = source.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
         df[counted["seed"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        kept = spark.sparkContext.broadcast(items.keep(rare(items, df, min_seeds)))
-        ids = pa.array(items.ids)
+        yield docs.sparkSession.sparkContext.broadcast(items.keep(rare(items, df, min_seeds)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, min_seeds: int = 8, min_score: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
+    """A row for each document and item it contains: key, item_id, score (0 to 1)."""
+    schema = f"key {docs.schema[key].dataType.simpleString()}, item {benchmark.schema[item_key].dataType.simpleString()}, score double"
+    source, out = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), None
+    for kept in passes(docs, benchmark, text, item_key, item_text, n, min_seeds, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], kept=kept, ids=ids) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
+            ids = pa.array(kept.value.ids)
             for batch in batches:
                 for block in blocks(lower(batch.column(1))):
                     row, item, score = align(kept.value, lowered_words(block), min_score)
                     if len(row):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + block.lo)), ids.take(pa.array(item)), pa.array(score)], names=["key", "item", "score"])
 
-        part = source.mapInArrow(run, f"key {key_type}, item {item_type}, score double")
+        part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], f"key {key_type}, item {item_type}, score double")
+        out = docs.sparkSession.createDataFrame([], schema)
     return out.toDF(key, item_key, "score")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, min_seeds: int = 8, min_score: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that contain no item, judged where they are read: nothing is shuffled."""
+    out, place = docs, docs.columns.index(text)
+    for kept in passes(docs, benchmark, text, item_key, item_text, n, min_seeds, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for block in blocks(lower(batch.column(place))):
+                    clean[align(kept.value, lowered_words(block), min_score)[0] + block.lo] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def rare(items: Items, df: np.ndarray, min_seeds: int) -> np.ndarray:
     """Mask of (seed, item) entries to keep: near or below the item's median count, or among its rarest."""
     count = df[np.searchsorted(items.keys, items.seed)]
