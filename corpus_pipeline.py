@@ -46,11 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, whole, edited or paraphrased."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    bad = Tables(spark, "leaks").save(hits.select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    if bad.count() <= jaccard.BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
