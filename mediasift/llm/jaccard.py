@@ -131,9 +131,11 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 h, first = shingles(block)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, len(block)), pa.array(set_keys(h, first), pa.binary()), pa.array(signatures(h, first), pa.binary())], names=["doc_id", "node", "sig"])
+                own = [batch.column(k).slice(block.lo, len(block)) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(set_keys(h, first), pa.binary()), pa.array(signatures(h, first), pa.binary())], names=["doc_id", "th", "node", "sig"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, node binary, sig binary")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
+    return rows.mapInArrow(run, "doc_id long, th long, node binary, sig binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -285,17 +287,20 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     (documents with the same shingle set, itself included; 0 without words)."""
     tables = Tables(docs.sparkSession, "jaccard")
     sketches = tables.save(sketch(docs, key, text), "sketches")
-    nodes = tables.save(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
+    # a class's text is that of its smallest id, or of any document if all ids are null
+    lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
+    nodes = sketches.where("node is not null").groupBy("node").agg(lead.alias("l"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    nodes = tables.save(nodes.select("node", F.col("l.doc_id").alias("lead"), F.col("l.th").alias("th"), "copies", "sig"), "nodes")
     edges = tables.save(candidate_edges(tables, nodes), "edges")
     comps = components(tables, edges, "candidates")
-    comps = tables.save(comps.join(comps.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").join(nodes.select("node", "lead", "copies"), "node").select(F.col("root").alias("comp"), "size", "node", "lead", "copies"), "components")
+    comps = tables.save(comps.join(comps.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").join(nodes.select("node", "lead", "th", "copies"), "node").select(F.col("root").alias("comp"), "size", "node", "lead", "th", "copies"), "components")
     tables.drop("edges", "members")
 
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("lead"), F.col(f"`{text}`").alias("text"))
-    wanted = comps.withColumnRenamed("lead", "want")
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("lead"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
+    wanted = comps.withColumnsRenamed({"lead": "want", "th": "want_th"})
     if comps.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = source.join(wanted, F.col("lead").eqNullSafe(F.col("want"))).select("comp", "size", "node", "copies", "text")
+    texts = source.join(wanted, (F.col("th") == F.col("want_th")) & F.col("lead").eqNullSafe(F.col("want"))).select("comp", "size", "node", "copies", "text")
     rows = dealt(texts, "comp", "size", "node", TEXT_BLOCK).select("comp", "i", "j", "n", "side", "node", "copies", "text")
     checked = tables.save(verify(rows), "checked")
 

@@ -136,7 +136,7 @@ def test_near_duplicates(spark, empty, monkeypatch, small_blocks):
         monkeypatch.setattr(jaccard, "SKETCH_BLOCK", 8)
         monkeypatch.setattr(jaccard, "TEXT_BLOCK", 6)
         monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
-    rows = fixture_rows() + near_copies(40)
+    rows = fixture_rows() + near_copies(40) + [(None, t) for _, t in near_copies(43)[40:]] + [(None, text_of(5, 40)), (None, text_of(12, 40)), (None, text_of(12, 40))]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
     got = jaccard.near_duplicates(crowded(df))
     assert sorted(((r[0], r[1], r[2]) for r in got.collect()), key=repr) == classes_by_hand(rows)
@@ -448,7 +448,7 @@ def test_alignment_by_hand():
 
 @pytest.mark.parametrize("block_words", [2_000_000, 60])
 def test_decontamination(spark, docs, empty, block_words):
-    from mediasift.llm.decontaminate import contaminated
+    from mediasift.llm.decontaminate import contaminated, drop_contaminated
 
     item = "which of the following planets has the shortest year and why does it move so fast around the sun compared with others".split()
     edited = " ".join("swapped" if k % 6 == 2 else w for k, w in enumerate(item))
@@ -458,6 +458,9 @@ def test_decontamination(spark, docs, empty, block_words):
     df = docs.unionByName(spark.createDataFrame([(i, t, None, None, None) for i, t in extra], SCHEMA))
     got = contaminated(crowded(df), bench, block_words=block_words).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(50, 1), (51, 1), (52, 1), (54, 4)}
+    left = sorted(map(repr, drop_contaminated(crowded(df), bench, block_words=block_words).select(df.columns).collect()))
+    assert left == sorted(map(repr, df.where("doc_id is null or doc_id not in (50, 51, 52, 54)").collect()))
+    assert drop_contaminated(empty, bench).count() == 0
     assert len([r for r in got if r["doc_id"] == 50]) == 2 and all(r["score"] == 1 for r in got if r["doc_id"] in (50, 54))
     assert all(0.4 <= r["score"] < 1 for r in got if r["doc_id"] in (51, 52))
     assert contaminated(empty, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
