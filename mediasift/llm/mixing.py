@@ -56,19 +56,18 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, *, so
     the mixture as a multiple of the input. All counts cover all documents.
     """
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars"), F.count(F.lit(1)).alias("docs"))
-    total = sizes.agg(F.sum("chars").alias("all_chars"))
+    sizes = Tables(docs.sparkSession, "sources").save(sizes, "sizes")  # a row per source, for the two totals below
+    all_chars = F.lit(sizes.agg(F.sum("chars")).first()[0] or 0)
     if weights is None:
-        raw = F.when(F.col("chars") > 0, F.pow(F.col("chars") / F.col("all_chars"), F.lit(temperature))).otherwise(0.0)
+        raw = F.when(F.col("chars") > 0, F.pow(F.col("chars") / all_chars, F.lit(temperature))).otherwise(0.0)
     else:
         raw = F.lit(0.0)
         for name, weight in weights.items():
             raw = F.when(F.col("source").eqNullSafe(F.lit(name)) & (F.col("chars") > 0), F.lit(float(weight))).otherwise(raw)
-    # one row each: the totals are single-row aggregates, so neither join can multiply rows
-    weighted = sizes.join(F.broadcast(total)).withColumn("raw", raw)
-    norm = weighted.agg(F.sum("raw").alias("all_raw"))
-    rates = weighted.join(F.broadcast(norm)).withColumn("weight", F.col("raw") / F.when(F.col("all_raw") > 0, F.col("all_raw")))
-    rate = F.when(F.col("chars") > 0, F.lit(float(budget)) * F.coalesce(F.col("weight"), F.lit(0.0)) * F.col("all_chars") / F.col("chars")).otherwise(0.0)
-    return rates.select("source", "docs", "chars", "weight", rate.alias("rate"))
+    all_raw = F.lit(sizes.agg(F.sum(raw)).first()[0] or 0.0)
+    weighted = sizes.withColumn("weight", F.when(all_raw > 0, raw / all_raw).otherwise(0.0))
+    rate = F.when(F.col("chars") > 0, F.lit(float(budget)) * F.col("weight") * all_chars / F.col("chars")).otherwise(0.0)
+    return weighted.select("source", "docs", "chars", "weight", rate.alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, temperature: float = 0.5, budget: float = 1.0, columns: str = "all") -> DataFrame:
