@@ -66,24 +66,34 @@ def duplicates(files: DataFrame) -> DataFrame:
     return files.where("hash is not null").groupBy("hash", "size").agg(F.count(F.lit(1)).alias("files"), F.min("filepath").alias("first"), F.max("filepath").alias("last")).where("files > 1")
 
 
-def refresh(listing: DataFrame, index: DataFrame, scope: str, load: Callable[[DataFrame], DataFrame], encode: Callable[[DataFrame], DataFrame], *, restore_deleted: bool = True, case_sensitive: bool = False) -> DataFrame:
+def refresh(
+    listing: DataFrame, index: DataFrame, scope: str, load: Callable[[DataFrame], DataFrame], encode: Callable[[DataFrame], DataFrame], *,
+    restore_deleted: bool = True, case_sensitive: bool = False, hold: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """The next index: diff, load, reuse or encode, upsert, sweep.
 
     ``load`` maps rows (filepath, modified_at, size) to rows with a hash, leaving out what fails;
     ``encode`` maps rows to rows with a vector, each content once. Rows that fail are swept.
     ``restore_deleted=False`` leaves a deleted row deleted when its unchanged file is back.
+    ``hold`` may write loaded rows and read them back, so that files are read once.
+
+    One full outer join by path serves the diff and the result; loaded rows join it once.
     """
-    states = diff(listing, index, scope, case_sensitive)
-    todo = listing.join(states.where("state in ('new', 'changed')"), "filepath", "left_semi")
-    known = reuse(load(todo), index)
-    again = known.where("donor is not null").select(*[c for c in INDEX.fieldNames() if c != "deleted"])
+    names = INDEX.fieldNames()
+    disk = listing.select("filepath", F.struct(*[c for c in listing.columns if c != "filepath"]).alias("disk"))
+    kept = index.select("filepath", F.struct(*names[1:]).alias("kept"))
+    same = (F.col("disk.modified_at") == F.col("kept.modified_at")) & (F.col("disk.size") == F.col("kept.size"))
+    base = disk.join(kept, "filepath", "full_outer").withColumn("same", F.coalesce(same, F.lit(False)))
+    todo = base.where("disk is not null and not same").select("filepath", "disk.*")
+    known = hold(reuse(load(todo), index))
     fresh = known.where("donor is null").drop("vector", "donor")
     once = fresh.withColumn("__n", F.row_number().over(W.partitionBy("hash", "size").orderBy("filepath"))).where("__n = 1").drop("__n")
-    vectors = encode(once).select("hash", "size", "vector").where("vector is not null")
-    encoded = fresh.join(vectors, ["hash", "size"]).select(*[c for c in INDEX.fieldNames() if c != "deleted"])
-    rows = again.unionByName(encoded)
-    same = states.where("state = 'unchanged'").select("filepath")
-    out = sweep(upsert(index, rows), rows.select("filepath").unionByName(same), scope, case_sensitive)
-    if restore_deleted:
-        out = out.join(same.withColumn("__same", F.lit(True)), "filepath", "left").withColumn("deleted", F.when(F.col("__same"), F.lit(None)).otherwise(F.col("deleted"))).select(*INDEX.fieldNames())
-    return out
+    vectors = encode(once).select("hash", "size", F.col("vector").alias("encoded")).where("encoded is not null")
+    rows = known.join(vectors, ["hash", "size"], "left").withColumn("vector", F.coalesce("vector", "encoded")).where("vector is not null")
+    rows = rows.select("filepath", F.struct(*names[1:-1], F.lit(None).cast("boolean").alias("deleted")).alias("row"))
+    inside = in_scope(F.col("filepath"), scope, case_sensitive)
+    back = F.lit(None).cast("boolean") if restore_deleted else F.col("kept.deleted")
+    deleted = F.when(F.col("same"), back).when(inside, F.lit(True)).otherwise(F.col("kept.deleted"))
+    old = F.when(F.col("kept").isNotNull(), F.struct(*[F.col(f"kept.{c}").alias(c) for c in names[1:-1]], deleted.alias("deleted")))
+    out = base.join(rows, "filepath", "left").select("filepath", F.coalesce("row", old).alias("x")).where("x is not null")
+    return out.select("filepath", "x.*")

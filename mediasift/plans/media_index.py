@@ -37,7 +37,7 @@ class MediaIndex:
         def encode(rows: DataFrame) -> DataFrame:
             return self.encode_rows(rows.join(content, "filepath"))
 
-        self.store.write(ix.refresh(listing, self.store.read(), directory, load, encode, restore_deleted=restore_deleted))
+        self.store.write(ix.refresh(listing, self.store.read(), directory, load, encode, restore_deleted=restore_deleted, hold=self.store.hold))
 
     def search(self, directory: str, query: str, add: list[str] | None = None, subtract: list[str] | None = None, *, top: int = 10, refresh: bool = True) -> DataFrame:
         """filepath and score of the best files below a directory; queries may be phrases or paths in the index."""

@@ -54,6 +54,12 @@ class IndexStore:
             raise ValueError(f"the index has schema version {m['schema_version']}; this code knows {SCHEMA_VERSION}")
         return self.spark.read.parquet(f"{self.root}/{m['snapshot']}")
 
+    def hold(self, rows: DataFrame) -> DataFrame:
+        """Rows written beside the snapshots and read back, so that later steps do not repeat their work."""
+        path = f"{self.root}/held-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def write(self, index: DataFrame, schema_version: int = SCHEMA_VERSION) -> None:
         old = self.manifest() or {"version": 0}
         version = old["version"] + 1
@@ -68,6 +74,8 @@ class IndexStore:
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else files.getUri(), self._conf).rename(files.makeQualified(fresh), files.makeQualified(target), options)
+        for held in files.globStatus(self._path("held-*")) or []:
+            files.delete(held.getPath(), True)
 
 
 def migrate(index: DataFrame, version: int, allow_reset: bool = True) -> DataFrame:
