@@ -9,7 +9,8 @@ buckets, whose rows of the matrix are added up per document in numpy.
 Letters are lower-cased; anything else is one space between letters. A null text, or one without
 letters, is ``und`` with score 0, as is every text when no labelled document was given. Equal
 scores go to the first language in alphabetical order. Repeated rows score alike; an empty table
-gives an empty table; only the key and the text are read when predicting.
+gives an empty table; only the key and the text are read when predicting. Columns of the input with
+the names of the two added ones are replaced.
 """
 
 from __future__ import annotations
@@ -134,9 +135,7 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
 
 def identify(docs: DataFrame, model: NaiveBayes, *, text: str = "text", keep: list[str] | None = None, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """The columns ``keep`` (default: all) with the predicted language and its probability."""
-    names = docs.columns if keep is None else keep
-    if {lang_col, score_col} & set(names):
-        raise ValueError(f"{lang_col} or {score_col} is in the input")
+    names = [n for n in (docs.columns if keep is None else keep) if n not in (lang_col, score_col)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [f"c{i}" for i in range(len(names))]
     src = docs.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{n}`").alias(o) for n, o in zip(names, own, strict=True)])

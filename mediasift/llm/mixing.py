@@ -9,8 +9,8 @@ are then dealt to partitions and ordered by another hash, which is a global shuf
 Nulls: a null source is a source of its own, a null text has no characters, a null key is hashed
 as the empty string. Repeated rows are replicated alike. Sources without characters get a rate of
 zero if they have a weight, since no repetition reaches it. An empty table gives an empty table.
-Columns other than the three named ones pass through; clashes with the three columns the operator
-adds raise ``ValueError`` unless ``columns="input"`` keeps the input's columns only.
+Columns other than the three named ones pass through; those with the names of the three columns that
+``columns="all"`` adds (rate, replica, shuffle_key) are replaced by them.
 """
 
 from __future__ import annotations
@@ -72,10 +72,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, *, so
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, temperature: float = 0.5, budget: float = 1.0, columns: str = "all") -> DataFrame:
     """Replicate and shuffle ``docs``; ``columns="all"`` adds rate, replica and shuffle_key."""
-    added = {"rate", "replica", "shuffle_key"}
-    if columns == "all" and added & set(docs.columns):
-        raise ValueError(f"columns {sorted(added & set(docs.columns))} are in the input")
-    names = docs.columns
+    names = [c for c in docs.columns if columns == "input" or c not in ("rate", "replica", "shuffle_key")]
     rates = source_rates(docs, weights, source=source, text=text, temperature=temperature, budget=budget).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     # a row per source, written once; broadcast when counted to be small, else a join that splits hot sources
     rates = Tables(docs.sparkSession, "rates").save(rates.coalesce(1), "rates")
