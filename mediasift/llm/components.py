@@ -21,16 +21,16 @@ def components(tables: Tables, edges: DataFrame, name: str, most_rounds: int = 6
     for i in range(1, most_rounds):
         if not before[0]:
             break
-        # minima are written before they are joined: the joins' sides are then plain shuffles, and
-        # the rows of a hub can be split
+        # the minima are written before they are joined: the join's sides are then plain shuffles, and
+        # the rows of a hub can be split; after this step a node has few smaller neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = tables.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least-{i}")
         large = tables.save(both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large-{i}")
-        low = tables.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low-{i}")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = tables.save(small, f"{name}-{i}")
         after = _state(now)
-        tables.drop(*[f"{name}-{k}" for k in (i - 1, f"least-{i}", f"large-{i}", f"low-{i}")])
+        tables.drop(*[f"{name}-{k}" for k in (i - 1, f"least-{i}", f"large-{i}")])
         if after == before:
             break
         before = after
