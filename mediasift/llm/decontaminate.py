@@ -1,14 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-First pass: every document is scanned for word n-grams of the test items, and the documents that
-hold each seed are counted over the whole table. An item keeps its rare seeds: those in at most
-``FACTOR`` times as many documents as its median seed, plus ``SLACK`` (and at least ``min_seeds``).
-Rarity is relative to the item, so an item that leaked into a third of all documents keeps seeds too,
-and the margin keeps the seeds that edited copies share with exact ones. Second pass: a document
-that holds a kept seed is aligned with the item around the places where seeds lie, by local
-alignment of words; the score is a share of the score of a whole exact copy, and must reach
-``min_score`` and the worth of ``LEAST_WORDS`` words (of the whole item, if shorter). Edited and
-paraphrased copies keep some seeds and most of the alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Every document is scanned for word n-grams of the test items, its seeds. All seeds count, however
+many documents hold them: a place where a seed lies gives a window of the document, which is dropped
+only if it has too few of the item's words for any alignment to be worth enough (an upper bound, so
+no pair is lost by it). What is left is aligned with the item, by local alignment of words; the score is
+a share of the score of a whole exact copy, and must reach ``min_score``, or the worth of
+``ENOUGH_WORDS`` words in a long item, and the worth of ``LEAST_WORDS`` words (of the whole item, if
+shorter). Edited and paraphrased copies keep some seeds and most of the alignment.
 
 The items are taken in blocks of at most ``block_words`` words, each broadcast in turn: that is the
 bound on what is broadcast. Documents are never shuffled and each one is handled whole, so a hot
@@ -28,15 +26,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.arrow_text import Block, Words, blocks, mix, windows
+from mediasift.llm.arrow_text import Block, Words, blocks, mix, sums, windows
 
 SEPARATORS = np.ones(256, dtype=bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A seed is rare up to so many times the documents of the item's median seed, and so many more.
-FACTOR, SLACK = 4, 8
 #: Words of an item (or the whole item) that the alignment must be worth.
 LEAST_WORDS = 8
+#: Words that are enough, whatever their share of the item.
+ENOUGH_WORDS = 30
+#: Windows of documents, and words of windows, that are handled at once.
+MOST_WINDOWS, MOST_WORDS = 1 << 20, 1 << 21
 
 
 class Items:
@@ -61,19 +61,18 @@ class Items:
         self.sizes = sorted({min(n, int(c)) for c in np.diff(self.first) if c})
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.place = seed[order], item[order], place[order]
-        self.index()
-
-    def index(self) -> None:
         self.keys, self.key_first = np.unique(self.seed, return_index=True)
         self.key_first = np.append(self.key_first, len(self.seed))
         self.bits = max(10, int(len(self.keys) * 64).bit_length())
         self.map = np.zeros(1 << self.bits, dtype=bool)
         self.map[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.word_bits = max(10, int(len(self.codes) * 16).bit_length())
+        self.words = np.zeros(1 << self.word_bits, dtype=bool)
+        self.words[self.word_places(self.codes, np.repeat(np.arange(len(ids)), np.diff(self.first)))] = True
 
-    def keep(self, mask: np.ndarray) -> Items:
-        self.seed, self.item, self.place = self.seed[mask], self.item[mask], self.place[mask]
-        self.index()
-        return self
+    def word_places(self, codes: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Places in the bitmap ``words`` of words of items; true there for each word that the item has."""
+        return (mix(codes ^ mix(item.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - self.word_bits)).astype(np.int64)
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Places of seeds among the words, and the index of each in ``keys``."""
@@ -118,40 +117,63 @@ def smith_waterman(items: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return best
 
 
+def portions(cost: np.ndarray, most: int) -> list[np.ndarray]:
+    """Runs of indices whose costs add up to about ``most``."""
+    turn = np.cumsum(cost) // most
+    return np.split(np.arange(len(cost)), np.flatnonzero(np.diff(turn)) + 1) if len(cost) else []
+
+
 def align(items: Items, words: Words, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, items and scores of the pairs that reach ``min_score``."""
-    none = np.zeros(0, np.int64)
     at, key = items.hits(words)
-    if not len(at):
-        return none, none, none
+    found = [align_windows(items, words, min_score, at[part], key[part]) for part in portions(np.diff(items.key_first)[key], MOST_WINDOWS)]
+    row, item, score = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if not len(row):
+        return row, item, score
+    pairs, back = np.unique(np.stack([row, item]), axis=1, return_inverse=True)
+    top = np.zeros(pairs.shape[1])
+    np.maximum.at(top, back.ravel(), score)
+    return pairs[0], pairs[1], top
+
+
+def align_windows(items: Items, words: Words, min_score: float, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, items and scores of the windows around the seeds at ``at`` that are worth enough."""
     span = np.diff(items.key_first)[key]
     pair = np.repeat(np.arange(len(at)), span)
     member = np.arange(len(pair)) - np.repeat(np.cumsum(span) - span, span) + items.key_first[key][pair]
     item = items.item[member]
-    size = np.diff(items.first)[item]
     row = words.row[at[pair]]
     begin = at[pair] - items.place[member] - words.first[row]  # where the item's first word would lie
     # one window for each place (in steps of half an item) where an item may begin
-    cell = begin // np.maximum(size // 2, 4)
-    _, index = np.unique(np.stack([row, item, cell]), axis=1, return_index=True)
-    row, item, size, cell = row[index], item[index], size[index], cell[index]
+    cell = begin // np.maximum(np.diff(items.first)[item] // 2, 4)
+    order = np.lexsort((cell, item, row))
+    row, item, cell = row[order], item[order], cell[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])
+    row, item, cell = row[new], item[new], cell[new]
+    size = np.diff(items.first)[item]
     step = np.maximum(size // 2, 4)
     lo = words.first[row] + np.maximum(cell * step - step, 0)
     hi = np.minimum(words.first[row + 1], words.first[row] + np.maximum((cell + 2) * step + size, 0))
+    # short items need more of themselves: eight words, or all of them; of long items thirty words are enough
+    least = np.maximum(np.minimum(min_score, ENOUGH_WORDS / np.maximum(size, 1)), np.minimum(1.0, LEAST_WORDS / np.maximum(size, 1)))
+    # an alignment is worth no more words than the window has of the item's
+    most = np.zeros(len(row))
+    for part in portions(hi - lo, MOST_WORDS):
+        wide = (hi - lo)[part]
+        first = np.append(0, np.cumsum(wide))
+        place = np.arange(first[-1]) + np.repeat(lo[part] - first[:-1], wide)
+        most[part] = sums(items.words[items.word_places(words.hashes[place], np.repeat(item[part], wide))], first)
+    some = np.flatnonzero(most >= least * size - 1e-6)
+    row, item, size, lo, hi, least = row[some], item[some], size[some], lo[some], hi[some], least[some]
     score = np.zeros(len(row))
     order = np.argsort(size, kind="stable")
     for part in np.array_split(order, max(1, int((size * (hi - lo)).sum() // 2_000_000))):
         if len(part):
             a, b = pad(items.codes, items.first[item[part]], size[part], 0), pad(words.hashes, lo[part], (hi - lo)[part], 1)
             score[part] = smith_waterman(a, b) / (MATCH * np.maximum(size[part], 1))
-    # short items need more of themselves: eight words, or all of them
-    good = np.flatnonzero(score >= np.maximum(min_score, np.minimum(1.0, LEAST_WORDS / np.maximum(size, 1))))
-    if not len(good):
-        return none, none, none
-    pairs, back = np.unique(np.stack([row[good], item[good]]), axis=1, return_inverse=True)
-    top = np.zeros(pairs.shape[1])
-    np.maximum.at(top, back.ravel(), score[good])
-    return pairs[0], pairs[1], top
+    good = score >= least
+    return row[good], item[good], score[good]
 
 
 def pad(codes: np.ndarray, start: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
@@ -177,35 +199,17 @@ def item_blocks(benchmark: DataFrame, item_key: str, text: str, n: int, block_wo
         yield Items(ids, texts, n)
 
 
-def passes(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, n: int, min_seeds: int, block_words: int) -> Iterator:
-    """For each block of items: a broadcast of the block with its rare seeds."""
-    source = docs.select(F.col(f"`{text}`").alias("text"))
+def passes(docs: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, n: int, block_words: int) -> Iterator:
+    """A broadcast of each block of items."""
     for items in item_blocks(benchmark, item_key, item_text, n, block_words):
-        scan = docs.sparkSession.sparkContext.broadcast(items)
+        yield docs.sparkSession.sparkContext.broadcast(items)
 
-        def count(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(scan.value.keys), np.int64)
-            for batch in batches:
-                for block in blocks(lower(batch.column(0))):
-                    words = lowered_words(block)
-                    at, found = scan.value.hits(words)
-                    _, k = np.unique(np.stack([words.row[at], found]), axis=1) if len(at) else (0, np.zeros(0, np.int64))
-                    total += np.bincount(k, minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
-
-        # a row for each seed of this block of items at most
-        df = np.zeros(len(items.keys), np.int64)
-        counted = source.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-        df[counted["seed"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        yield docs.sparkSession.sparkContext.broadcast(items.keep(rare(items, df, min_seeds)))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, min_seeds: int = 8, min_score: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, min_score: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
     """A row for each document and item it contains: key, item_id, score (0 to 1)."""
     schema = f"key {docs.schema[key].dataType.simpleString()}, item {benchmark.schema[item_key].dataType.simpleString()}, score double"
     source, out = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), None
-    for kept in passes(docs, benchmark, text, item_key, item_text, n, min_seeds, block_words):
+    for kept in passes(docs, benchmark, item_key, item_text, n, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
             ids = pa.array(kept.value.ids)
@@ -222,10 +226,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     return out.toDF(key, item_key, "score")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, min_seeds: int = 8, min_score: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, min_score: float = 0.4, block_words: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` that contain no item, judged where they are read: nothing is shuffled."""
     out, place = docs, docs.columns.index(text)
-    for kept in passes(docs, benchmark, text, item_key, item_text, n, min_seeds, block_words):
+    for kept in passes(docs, benchmark, item_key, item_text, n, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -236,16 +240,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
 
         out = out.mapInArrow(run, docs.schema)
     return out
-
-
-def rare(items: Items, df: np.ndarray, min_seeds: int) -> np.ndarray:
-    """Mask of (seed, item) entries to keep: near or below the item's median count, or among its rarest."""
-    count = df[np.searchsorted(items.keys, items.seed)]
-    order = np.lexsort((items.seed, count, items.item))
-    sizes = np.bincount(items.item, minlength=len(items.ids))
-    first = np.cumsum(sizes) - sizes
-    rank = np.arange(len(order)) - first[items.item[order]]
-    middle = count[order][np.minimum(first + (sizes - 1) // 2, max(len(order) - 1, 0))] if len(order) else count
-    keep = np.zeros(len(order), bool)
-    keep[order] = (rank < min_seeds) | (count[order] <= FACTOR * middle[items.item[order]] + SLACK)
-    return keep

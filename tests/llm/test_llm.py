@@ -474,6 +474,39 @@ def test_a_passage_in_a_third_of_all_rows_is_found(spark):
     assert sorted(r[0] for r in contaminated(df, bench).collect()) == list(range(0, 90, 3))
 
 
+@pytest.mark.parametrize("form", ["edited", "quoted"])
+@pytest.mark.parametrize("copies", [9, 1000])
+def test_one_edited_copy_in_many_documents_is_found(spark, copies, form):
+    from mediasift.llm.decontaminate import contaminated, drop_contaminated
+
+    item = [f"q{k}" for k in range(40)]
+    copy = " ".join(item[:18] if form == "quoted" else [f"changed{k}" if k % 4 == 3 else w for k, w in enumerate(item)])
+    df = spark.createDataFrame([(i, (copy if i < copies else "") + " " + text_of(i, 20)) for i in range(copies + 10)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r[0] for r in contaminated(df, bench).collect()) == list(range(copies))
+    assert drop_contaminated(df, bench).count() == 10
+
+
+def test_thirty_words_of_a_long_item_are_enough(spark):
+    from mediasift.llm.decontaminate import contaminated
+
+    item = [f"q{k}" for k in range(400)]
+    df = spark.createDataFrame([(n, text_of(n, 20) + " " + " ".join(item[150 : 150 + n])) for n in (20, 29, 30, 160)], "doc_id long, text string")
+    got = contaminated(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r[0], r[2]) for r in got) == [(30, 30 / 400), (160, 160 / 400)]
+
+
+def test_windows_in_small_portions_give_the_same(spark, monkeypatch):
+    from mediasift.llm import decontaminate as d
+
+    items = d.Items([1, 2, 3], [text_of(1, 12).lower(), text_of(2, 30).lower(), "alpha beta alpha"], 3)
+    words = d.lowered_words(next(iter(d.blocks(pa.array([text_of(k % 5, 25).lower() for k in range(30)])))))
+    want = [x.tolist() for x in d.align(items, words, 0.4)]
+    monkeypatch.setattr(d, "MOST_WINDOWS", 3)
+    monkeypatch.setattr(d, "MOST_WORDS", 50)
+    assert len(want[0]) and [x.tolist() for x in d.align(items, words, 0.4)] == want
+
+
 # --- op10 ---------------------------------------------------------------------------------------
 
 
