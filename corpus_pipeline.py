@@ -13,7 +13,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from mediasift.llm import decontaminate, jaccard, language_id, mixing, token_store
 from mediasift.llm.queries import tokenizer_file
@@ -32,16 +31,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class; rows without an id stay.
-
-    Repeated rows (an id and text seen before) are copies: one stays."""
-    classes = jaccard.near_duplicates(docs)
-    lead = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__lead")).distinct()
-    known = docs.where("doc_id is not null").join(lead, F.col("doc_id") == F.col("__lead"), "left_semi")
-    # the join has dealt the rows by doc_id, so this window shuffles nothing more
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    first = known.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps the document with the smallest id of each class (of those, the smallest hash of the text).
+
+    Ids need not be unique or given: documents are told apart by id and text. Repeated rows (an id and
+    text seen before) are copies: one stays. Texts without words are in no class; those without an
+    id stay."""
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = docs.where(~words & F.col("doc_id").isNull())
+    # never null, so that the aggregation and the join are dealt alike and texts are shuffled once
+    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("th").cast("string")).alias("__row")
+    one = docs.where(words | F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("__all"), F.col("doc_id"), F.xxhash64("text").alias("th"))
+    one = one.select(row, "__all").groupBy("__row").agg(F.first("__all").alias("__all"))
+    alone = docs.where(~words & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th")).distinct()
+    lead = jaccard.leaders(docs).unionByName(alone).select(row)
+    return one.join(lead, "__row", "left_semi").select("__all.*").unionByName(rest)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

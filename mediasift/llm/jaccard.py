@@ -282,9 +282,9 @@ def verify(rows: DataFrame) -> DataFrame:
     return by_group(rows, ["comp", "i", "j"], run, schema)
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: doc_id, class_id, n_links (other documents at 0.8 or more), n_copies
-    (documents with the same shingle set, itself included; 0 without words)."""
+def verified_classes(docs: DataFrame, key: str, text: str) -> tuple[Tables, DataFrame, DataFrame]:
+    """The job's tables, the sketches, and a row per set of shingles: node, lead and th (the smallest id
+    with the set, and the hash of its text), copies, links, root (the same for all sets of a class)."""
     tables = Tables(docs.sparkSession, "jaccard")
     sketches = tables.save(sketch(docs, key, text), "sketches")
     # a class's text is that of its smallest id, or of any document if all ids are null
@@ -307,7 +307,22 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     split = components(tables, checked.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b")), "verified")
     roots = checked.where("whole").select("node", "root").unionByName(split)
-    info = nodes.select("node", "lead", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    info = nodes.select("node", "lead", "th", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return tables, sketches, info
+
+
+def leaders(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per class of documents with words: doc_id and th (xxhash64 of the text) of its first one,
+    by id and then by th; a null id comes last."""
+    _, _, info = verified_classes(docs, key, text)
+    first = F.min(F.struct(F.col("lead").isNull(), "lead", "th"))
+    return info.groupBy("root").agg(first.alias("l")).select(F.col("l.lead").alias("doc_id"), F.col("l.th").alias("th"))
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: doc_id, class_id, n_links (other documents at 0.8 or more), n_copies
+    (documents with the same shingle set, itself included; 0 without words)."""
+    tables, sketches, info = verified_classes(docs, key, text)
     classes = info.groupBy("root").agg(F.min("lead").alias("class_id"))
     per_node = tables.save(info.join(classes, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
     out = sketches.select("doc_id", "node").join(per_node, "node", "left")

@@ -164,6 +164,21 @@ def test_components(spark):
     assert components(Tables(spark, "t"), spark.createDataFrame([], "a long, b long"), "c").count() == 0
 
 
+def test_the_pipeline_keeps_one_document_of_each_class_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = text_of(1, 60), text_of(2, 60), text_of(3, 60)
+    near = a.replace("w1x5 ", "changed ")
+    rows = [(1, a), (1, b), (1, b), (2, near), (None, near), (3, c), (None, text_of(4, 50)), (None, text_of(4, 50)), (None, text_of(5, 50))]
+    rows += [(4, text_of(k, 30)) for k in range(10, 40)] + [(5, None), (5, None), (5, " "), (6, None), (None, None), (None, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    want = [(1, a), (1, b), (3, c), (None, text_of(4, 50)), (None, text_of(5, 50))]
+    want += [(4, text_of(k, 30)) for k in range(10, 40)] + [(5, None), (5, " "), (6, None), (None, None), (None, ""), (None, "")]
+    assert kept.columns == df.columns and sorted(map(repr, (tuple(r)[:2] for r in kept.collect()))) == sorted(map(repr, want))
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), SF).count() == 0
+
+
 # --- op3 ----------------------------------------------------------------------------------------
 
 
