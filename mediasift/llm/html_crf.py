@@ -9,7 +9,8 @@ the model (about 100 kB) is broadcast, nothing is shuffled, and batches of pages
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by
 one newline in page order; nothing else is dropped. A null or empty page, or one without a content
-block, has an empty text. Unclosed and stray tags are accepted. Repeated pages give equal rows; an
+block, has an empty text. Unclosed and stray tags are accepted: a head ends with the first tag or text that
+is not allowed in it, a button or title without an end tag with the next block-level tag. Repeated pages give equal rows; an
 empty table gives an empty table; only the named columns are read.
 """
 
@@ -26,18 +27,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(svg)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\2\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head title select option button datalist".split())
+#: Hidden elements with a required end tag: their next start or end.
+ENDED = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in ("title", "select", "button", "datalist")}
 #: Tags whose start ends an open element of the same kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Tags that may start inside a head; any other start ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+#: Mark of an open hidden element without an end tag of its own: it ends with the next block-level start.
+UNENDED = ("",)
 BITS = 13
 LABELS = 2
 
 
+def ended(page: str, tag: str, at: int) -> bool:
+    """Whether an end tag follows before the next start of the same kind, which cannot be inside."""
+    m = ENDED[tag].search(page, at)
+    return m is not None and m.group(1) == "/"
+
+
 def leaf_blocks(page: str) -> list[tuple[str, list[int]]]:
     """Text and feature ids of each leaf block, in page order."""
     cut = cut_blocks(page)
@@ -58,6 +71,12 @@ def cut_blocks(page: str) -> list[tuple[str, float, list]]:
     linked = 0
     at: list[tuple[str, tuple[str, ...]]] = []
 
+    def cut_at(tag: str) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == tag:
+                del stack[k:]
+                break
+
     def flush() -> None:
         nonlocal text, linked
         if text:
@@ -67,8 +86,10 @@ def cut_blocks(page: str) -> list[tuple[str, float, list]]:
         text, linked = [], 0
 
     for m in TOKEN.finditer(page):
-        close, tag, attributes, run = m.group(2), m.group(3), m.group(4), m.group(5)
+        close, tag, attributes, run = m.group(3), m.group(4), m.group(5), m.group(6)
         if run is not None:
+            if stack and stack[-1][0] == "head" and not run.isspace():
+                stack.pop()
             if any(t in HIDDEN for t, _ in stack):
                 continue
             if not text:
@@ -77,10 +98,14 @@ def cut_blocks(page: str) -> list[tuple[str, float, list]]:
             if any(t == "a" for t, _ in stack):
                 linked += len(run)
         elif tag is None:
-            if m.group(1) is not None and text:
+            if (m.group(1) or m.group(2)) is not None and text:
                 text.append(" ")
         else:
             tag = tag.lower()
+            if not close and tag == "body":
+                cut_at("head")
+            elif not close and stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+                stack.pop()
             if tag == "br":
                 text and text.append("\n")
             elif tag in INLINE:
@@ -98,11 +123,13 @@ def cut_blocks(page: str) -> list[tuple[str, float, list]]:
                 if tag in VOID:
                     continue
                 if close:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
+                    cut_at(tag)
+                    continue
+                if tag not in ("option", "optgroup"):
+                    for k, (_, words) in enumerate(stack):
+                        if words is UNENDED:
                             del stack[k:]
                             break
-                    continue
                 ends = CLOSES.get(tag, set()) | {"p"}
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ends:
@@ -111,7 +138,7 @@ def cut_blocks(page: str) -> list[tuple[str, float, list]]:
                     if stack[k][0] not in INLINE and stack[k][0] != "p":
                         break
                 words = tuple(w for a in ATTRIBUTE.finditer(attributes) for w in WORD.findall((a.group(1) or a.group(2) or a.group(3) or "").lower())) if attributes else ()
-                stack.append((tag, words))
+                stack.append((tag, UNENDED if tag in ENDED and not ended(page, tag, m.end()) else words))
     flush()
     return [(t, link / max(size, 1), path) for t, link, size, path in out]
 

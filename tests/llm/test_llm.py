@@ -196,6 +196,27 @@ def test_html(spark):
     assert h.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>No</title><meta charset=x><body><p>Main text.</p>", ["Main text."]),
+    ("<head><title>No</title><p>Main text.</p>", ["Main text."]),
+    ("<head><title>No</title>\n Main text.", ["Main text."]),
+    ("<head><title>No <b>bold</b></title></head><p>Main text.", ["Main text."]),
+    ("<head><title>No<body><p>Main text.", ["Main text."]),
+    ("<head><title>No</title><b>Main</b> text.", ["Main text."]),
+    ('<nav><svg class="i"/></nav><article><p>Main text.</p></article>', ["Main text."]),
+    ("<p>Main<SVG data-x='a>b' />text.<p>More <svg><path d=''/></svg>text.", ["Main text.", "More text."]),
+    ('<svg viewBox="0 0 1 1"><g/><text>No</text></svg><p>Main text.', ["Main text."]),
+    ("<button>No<article><p>Main text.</p></article>", ["Main text."]),
+    ("<div><button class=x>No<p>Main text.</p><button>No<div>no</div></button></div>", ["Main text."]),
+    ("<select><option>No<option>No<p>Main text.", ["Main text."]),
+    ("<select><option>No<option>No</select>Main <button>no</button>text.", ["Main", "text."]),
+])
+def test_html_with_unclosed_tags(page, want):
+    from mediasift.llm.html_crf import leaf_blocks
+
+    assert [t for t, _ in leaf_blocks(page)] == want
+
+
 def test_html_field_on_unseen_layouts():
     from mediasift.llm import html_crf as h
 
