@@ -1,7 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Fitting counts n-grams of one to ``max_n`` characters per language in ``2**bits`` buckets, as a
-Spark aggregation over a sample of at most about ``sample_docs`` labelled documents. The matrix of
+Spark aggregation over a sample of about ``sample_docs`` labelled documents, which has about
+``LEAST_DOCS`` of each language at least, or all if it has fewer; the languages' shares are those of all
+labelled documents. The matrix of
 log-probabilities has ``2**bits`` rows and a column per language, so its size does not depend on
 the data's; it is broadcast. Scoring is a map: each block of documents becomes a sparse list of
 buckets, whose rows of the matrix are added up per document in numpy.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from mediasift.llm.arrow_text import Block, blocks, owner
 
 UNKNOWN = "und"
+#: About so many documents of each language are learned from, however rare it is.
+LEAST_DOCS = 1_000
 
 
 @lru_cache(1)
@@ -95,15 +99,20 @@ class NaiveBayes:
 
 
 def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 20_000, bits: int = 16, max_n: int = 3, alpha: float = 0.1) -> NaiveBayes:
-    """Fit on about ``sample_docs`` labelled documents, chosen by a hash of the key; all if fewer."""
+    """Fit on about ``sample_docs`` labelled documents and at least ``LEAST_DOCS`` of each language, chosen
+    by a hash of key and text; on all if there are fewer."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.select(key).count()
+    place = F.pmod(F.xxhash64(F.lit("langid"), F.col(key), F.col(text)), F.lit(1 << 30))
+    # a row per language; the document at the least place is taken in any case, with its repeats
+    known = {r[0]: (r[1], r[2]) for r in rows.groupBy(F.col(lang)).agg(F.count(F.lit(1)), F.min(place)).collect()}
+    n = sum(c for c, _ in known.values())
     if n > sample_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * (sample_docs / n)))
+        limits = {name: max(int((1 << 30) * max(sample_docs / n, min(1.0, LEAST_DOCS / c))), first + 1) for name, (c, first) in known.items()}
+        limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col(lang)]
+        rows = rows.where(place < limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             for block in blocks(batch.column(1)):
@@ -112,23 +121,19 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
                     for name in set(own):
                         got = np.bincount(bucket[own[row] == name], minlength=1 << bits)
                         totals[name] = totals.get(name, 0) + got
-                for name in own:
-                    docs[name] = docs.get(name, 0) + 1
-        for name, d in sorted(docs.items()):
-            t = totals.get(name, np.zeros(1 << bits, np.int64))
+        for name, t in sorted(totals.items()):
             at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(t[at], d))], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(t[at])], names=["lang", "bucket", "n"])
 
-    # at most 2**bits + 1 rows a language, whatever the size of the input
+    # at most 2**bits rows a language, whatever the size of the input
     counts = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(set(counts["lang"]))
+    languages = sorted(known)
     table = np.zeros((len(languages), 1 << bits))
     docs = np.zeros(len(languages))
     for i, name in enumerate(languages):
         own = counts[counts["lang"] == name]
-        at, c = own["bucket"].to_numpy(), own["n"].to_numpy()
-        table[i, at[at >= 0]] = c[at >= 0]
-        docs[i] = c[at < 0].sum()
+        table[i, own["bucket"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+        docs[i] = known[name][0]
     log_prob = np.log((table + alpha) / (table.sum(axis=1, keepdims=True) + alpha * (1 << bits)))
     return NaiveBayes(languages, np.ascontiguousarray(log_prob.T.astype(np.float32)), np.log(np.maximum(docs, 1) / max(docs.sum(), 1)), bits, max_n)
 

@@ -265,6 +265,21 @@ def test_language(spark, docs, empty):
     assert set(one.languages) <= {"en", "fr"}
 
 
+def test_a_rare_language_and_a_hot_key_are_learned(spark):
+    from mediasift.llm import language_id as li
+
+    # 30,000 rows in two languages under one null key, two rows of a third language
+    rows = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "if(id % 3 = 0, 'the house is near the water ', 'la maison est dans la rue ') || id as text", "if(id % 3 = 0, 'en', 'fr') as lang")
+    rare = spark.createDataFrame([(1, "þetta er íslenska og ekkert annað", "is"), (2, "hvað er að frétta þaðan", "is")], "doc_id long, text string, lang string")
+    model = li.fit(rows.unionByName(rare), sample_docs=300)
+    assert model.languages == ["en", "fr", "is"]
+    assert np.allclose(np.exp(model.log_prior), np.array([10_000, 20_000, 2]) / 30_002)
+    got = li.identify(rare, model).collect()
+    assert [r["lang_pred"] for r in got] == ["is", "is"]
+    hot = spark.range(5_000).selectExpr("1L as doc_id", "'same text' as text", "'en' as lang")
+    assert li.fit(hot, sample_docs=10).languages == ["en"]
+
+
 # --- op5 ----------------------------------------------------------------------------------------
 
 
