@@ -53,8 +53,11 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources approach the square roots of their shares."""
-    return mixing.mix_sources(docs, columns="input")
+    """Repeats documents so that sources approach the square roots of their shares.
+
+    Draws are of id and text, so that different texts under one key or without one are drawn apart."""
+    draw = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
+    return mixing.mix_sources(docs.withColumn("__draw", draw), key="__draw", columns="input").select(*docs.columns)
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,6 +179,18 @@ def test_the_pipeline_keeps_one_document_of_each_class_whatever_the_ids(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), SF).count() == 0
 
 
+def test_the_pipeline_draws_texts_without_an_id_apart(spark):
+    import corpus_pipeline
+
+    # source a has a ninth of the characters of b, so its rate is 2.5 and that of b is 0.83
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, null, 7L) as doc_id", "lpad(cast(id as string), 10, 'x') as text", "'en' as lang", "if(id < 400, 'a', 'b') as source", "10L as n_chars")
+    mixed = corpus_pipeline.mix_to_weights(spark, rows, SF)
+    assert mixed.columns == rows.columns
+    for source, n, want in (("a", 400, 1000), ("b", 3600, 3000)):
+        r = mixed.where(F.col("source") == source).agg(F.count(F.lit(1)), F.countDistinct("text")).first()
+        assert abs(r[0] - want) < 200 and 0.5 * n < r[1] < 0.97 * n
+
+
 # --- op3 ----------------------------------------------------------------------------------------
 
 
