@@ -476,18 +476,108 @@ def test_revisit_rules(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def revisits_by_hand(rows):
+    from mediasift.llm.warc import NOT_MERGED
+
+    key = lambda u: None if u is None else u.split("#")[0].replace("http:", "https:").replace("www.", "").rstrip("/")
+    out = []
+    for i, kind, url, ts, status, headers, _ in rows:
+        if kind != "revisit" or status != 304:
+            continue
+        known = [r for r in rows if r[1] == "response" and r[4] == 200 and None not in (url, ts, r[2], r[3]) and key(r[2]) == key(url) and r[3] < ts]
+        best = max(known, key=lambda r: (r[3], r[0] is not None, r[0] or ""), default=None)
+        if best is None:
+            out.append((i, url, ts, None, "no_earlier", repr(sorted((k.lower(), v) for k, v in headers.items())), None))
+            continue
+        old, new = {k.lower(): v for k, v in best[5].items()}, {k.lower(): v for k, v in headers.items()}
+        a, b = old.get("etag"), new.get("etag")
+        ok = None if a is None or b is None else a.removeprefix("W/") == b.removeprefix("W/")
+        merged = old | {k: v for k, v in new.items() if k not in NOT_MERGED}
+        out.append((i, url, ts, best[0], "no_validator" if ok is None else "resolved" if ok else "mismatch", repr(sorted((merged if ok else new).items())), best[6] if ok else None))
+    return sorted(out, key=repr)
+
+
+def test_revisits_are_told_apart_by_url_and_time(spark, monkeypatch):
+    """Repeated, null and clashing record ids, against brute force."""
+    from mediasift.llm import warc
+
+    rng = np.random.default_rng(8)
+    tags = [None, '"1"', '"2"', 'W/"1"']
+    rows = []
+    for k in range(500):
+        full = rng.random() < 0.5
+        url, tag = rng.choice(["http://www.a.com/x", "https://a.com/x#f", "https://b.com/y", None]), tags[rng.integers(4)]
+        headers = ({} if tag is None else {str(rng.choice(["etag", "ETag"])): tag}) | {"age": str(k)}
+        i, ts = [None, "same", "one", f"r{k}"][rng.integers(4)], None if rng.random() < 0.05 else int(rng.integers(0, 60))
+        # full responses that agree in URL, time and id agree in all
+        body = f"{i} {ts}".encode()
+        rows.append((i, "response", url, ts, 200, {"ETag": '"1"', "n": str(ts)}, body) if full else (i, "revisit", url, ts, 304, headers, None))
+    rows += rows[:100] + [("hot", "revisit", "https://b.com/y", 59, 304, {"etag": '"1"'}, None)] * 300
+    df = spark.createDataFrame(rows, warc.RECORD).repartition(4)
+    for period, most in ((warc.PERIOD, 100_000), (7, 0)):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        got = sorted(((r["record_id"], r["url"], r["ts"], r["refers_to"], r["outcome"], repr(sorted(r["headers"].items())), None if r["body"] is None else bytes(r["body"])) for r in warc.resolve_revisits(df, period).collect()), key=repr)
+        assert got == revisits_by_hand(rows)
+
+
+def test_full_responses_with_one_id_count_once(spark):
+    from mediasift.llm import warc
+
+    rows = [("f", "response", "https://a.com/x", 1, 200, {"etag": '"1"'}, bytearray(b)) for b in (b"one", b"two", b"two")] + [("r", "revisit", "https://a.com/x", 2, 304, {"etag": '"1"'}, None)] * 3
+    got = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).collect()
+    assert len(got) == 3 and len({bytes(r["body"]) for r in got}) == 1
+
+
+def test_doubled_pages_double_the_revisits(spark):
+    from mediasift.llm.warc_query import resolved_revisits
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    once = sorted(map(repr, resolved_revisits(pages).collect()))
+    assert sorted(map(repr, resolved_revisits(pages.unionByName(pages)).collect())) == sorted(once * 2)
+
+
 def test_record_files(spark, tmp_path):
     import gzip
 
     from mediasift.llm import warc
 
-    rows = [{"record_id": "<urn:1>", "warc_type": "response", "url": "http://a/", "ts": 1_700_000_000_000_000, "status": 200, "headers": {"etag": '"x"'}, "body": b"hello\r\n\r\nthere"}, {"record_id": "<urn:2>", "warc_type": "revisit", "url": "http://a/", "ts": 1_700_000_001_500_000, "status": 304, "headers": {}, "body": b""}]
+    rows = [{"record_id": "<urn:1>", "warc_type": "response", "url": "http://a/", "ts": 1_700_000_000_000_000, "status": 200, "headers": {"etag": '"x"'}, "body": b"hello\r\n\r\nthere", "error": None}, {"record_id": "<urn:2>", "warc_type": "revisit", "url": "http://a/", "ts": 1_700_000_001_500_000, "status": 304, "headers": {}, "body": b"", "error": None}]
     raw = [warc.record_bytes(r) for r in rows]
     assert list(warc.parse_records(b"".join(raw))) == rows
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in raw))
     (tmp_path / "b.warc").write_bytes(raw[0] + raw[1][:40])
     got = warc.read_warc(spark.read.format("binaryFile").load(str(tmp_path))).collect()
-    assert sorted(r["record_id"] for r in got) == ["<urn:1>", "<urn:1>", "<urn:2>"]
+    assert sorted(r["record_id"] for r in got if r["error"] is None) == ["<urn:1>", "<urn:1>", "<urn:2>"]
+    assert [r["record_id"] for r in got if r["error"] is not None] == [None]
+    assert list(warc.parse_records(b"")) == []
+
+
+def damaged_files():
+    import gzip
+
+    from mediasift.llm import warc
+
+    raw = [warc.record_bytes({"record_id": f"r{k}", "warc_type": "response", "url": "http://a/", "ts": 1_700_000_000_000_000, "status": 200, "headers": {}, "body": bytes([65 + k]) * (50_000 if k else 6_000_000)}) for k in range(4)]
+    zipped = [gzip.compress(x) for x in raw]
+    return [
+        (b"".join(raw), "0123", 0), (b"".join(zipped), "0123", 0), (gzip.compress(b"".join(raw)), "0123", 0),
+        (raw[0] + raw[1].replace(b"Content-Length: 50", b"Content-Length: 49") + raw[2] + raw[3], "023", 1),
+        (raw[0] + raw[1].replace(b"Content-Length: 50", b"Content-Length: 95") + raw[2] + raw[3], "023", 1),
+        (raw[0] + raw[1].replace(b"Content-Length: 5", b"Content-Length: x") + raw[2] + raw[3], "023", 1),
+        (raw[0] + raw[1][:30] + b"\r\n" + raw[2] + raw[3], "023", 1), (b"junk\r\n" + raw[0] + b"junk\r\n" + raw[1], "01", 2),
+        (zipped[0] + zipped[1][:20] + b"\xff" * 9 + zipped[1][29:] + zipped[2] + zipped[3], "023", 1), (zipped[0] + zipped[1][:-30], "0", 1), (zipped[0] + b"junk" + zipped[1], "01", 1),
+    ]
+
+
+@pytest.mark.parametrize("case", range(11))
+def test_damaged_records_are_reported_and_skipped(case):
+    from mediasift.llm import warc
+
+    raw, want, errors = damaged_files()[case]
+    got = list(warc.parse_records(raw))
+    assert "".join(r["record_id"][1] for r in got if r["error"] is None) == want
+    assert errors <= sum(r["error"] is not None for r in got) <= errors + 1
+    assert all(len(r["body"]) == (6_000_000 if r["record_id"] == "r0" else 50_000) for r in got if r["error"] is None)
 
 
 # --- op9 ----------------------------------------------------------------------------------------
