@@ -8,9 +8,14 @@ few and bounded (``labelled_pages``), and decoded by Viterbi. Extraction is a ma
 the model (about 100 kB) is broadcast, nothing is shuffled, and batches of pages are decoded together.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by
-one newline in page order; nothing else is dropped. A null or empty page, or one without a content
+one newline in page order; nothing else is dropped. Not shown, and so no block: comments, script,
+style, textarea and iframe up to their end or the page's, as browsers read them; noscript, template
+and svg with an end tag; title, select, option, button and datalist. A null or empty page, or one without a content
 block, has an empty text. Unclosed and stray tags are accepted: a head ends with the first tag or text that
-is not allowed in it, a button or title without an end tag with the next block-level tag. Repeated pages give equal rows; an
+is not allowed in it, a button or title without an end tag with the next block-level tag; a tag ends at the next
+``>`` if its quotes are never closed. Pages of any length are read whole, in time in proportion to their
+length: of ancestors the outermost ``MOST_DEPTH`` and the block's own element give features, each by at most
+``MOST_WORDS`` words. Repeated pages give equal rows; an
 empty table gives an empty table; only the named columns are read.
 """
 
@@ -27,20 +32,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(svg)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\2\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+#: A tag, up to the ``>`` outside quoted values; and one whose quotes are never closed.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Read as text by browsers, up to the end tag or the end of the page.
+RAW = frozenset("script style textarea iframe".split())
+#: Left out if there is an end tag.
+SKIPPED = frozenset("noscript template svg".split())
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW | SKIPPED}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head title select option button datalist".split())
 #: Hidden elements with a required end tag: their next start or end.
 ENDED = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in ("title", "select", "button", "datalist")}
 #: Tags whose start ends an open element of the same kind.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+NO_CLOSES = {"p"}
+TAG_START = re.compile(r"</?[a-zA-Z]")
 #: Tags that may start inside a head; any other start ends it.
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
-#: Mark of an open hidden element without an end tag of its own: it ends with the next block-level start.
-UNENDED = ("",)
+MOST_DEPTH, MOST_WORDS = 64, 32
+#: Blocks that are decoded at once, padding included.
+MOST_BLOCKS = 100_000
 BITS = 13
 LABELS = 2
 
@@ -51,96 +66,154 @@ def ended(page: str, tag: str, at: int) -> bool:
     return m is not None and m.group(1) == "/"
 
 
+class Element:
+    """An open element: its tag, its attribute words, and the features of it and its ancestors."""
+
+    __slots__ = ("ended", "own", "path", "tag")
+
+    def __init__(self, tag: str, words: list[str], above: Element | None, depth: int, ended: bool):
+        self.tag, self.ended = tag, ended
+        self.own = frozenset([feature(f"own:{tag}"), *[feature(f"own-attr:{w}") for w in words]])
+        self.path = above.path if above else frozenset()
+        if depth < MOST_DEPTH:
+            self.path |= {feature(f"in:{tag}"), *[feature(f"attr:{w}") for w in words]}
+        else:
+            self.own |= {feature(f"in:{tag}"), *[feature(f"attr:{w}") for w in words]}
+
+
 def leaf_blocks(page: str) -> list[tuple[str, list[int]]]:
     """Text and feature ids of each leaf block, in page order."""
     cut = cut_blocks(page)
-    return [(t, features(t, share, path, k, len(cut))) for k, (t, share, path) in enumerate(cut)]
+    return [(t, features(t, share, at, k, len(cut))) for k, (t, share, at) in enumerate(cut)]
 
 
 def labelled_blocks(page: str) -> list[tuple[str, list[int], int]]:
     """Text, features and label of each block of a labelled page; the label is taken off the text."""
-    cut = [(t[1:], share, path, int(t[0])) for t, share, path in cut_blocks(page) if len(t) > 1]
-    return [(t, features(t, share, path, k, len(cut)), y) for k, (t, share, path, y) in enumerate(cut)]
-
-
-def cut_blocks(page: str) -> list[tuple[str, float, list]]:
-    """Text, share of it inside links, and path of ancestors of each leaf block."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[str, int, int, list]] = []
+    cut = [(t[1:], share, at, int(t[0])) for t, share, at in cut_blocks(page) if len(t) > 1]
+    return [(t, features(t, share, at, k, len(cut)), y) for k, (t, share, at, y) in enumerate(cut)]
+
+
+def cut_blocks(page: str) -> list[tuple[str, float, tuple]]:
+    """Text, share of it inside links, and place of each leaf block: its element, and whether it begins in a link."""
+    stack: list[Element] = []
+    opened: dict[str, int] = {}  # open elements by tag
+    hidden = 0  # open elements that are not shown
+    unended: int | None = None  # depth of the outermost hidden element without an end tag
+    link: int | None = None  # depth at which a link was opened
+    out: list[tuple[str, float, tuple]] = []
     text: list[str] = []
-    linked = 0
-    at: list[tuple[str, tuple[str, ...]]] = []
-
-    def cut_at(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                break
+    linked, at = 0, (None, False)
+    missing: set[str] = set()  # tags without an end tag in the rest of the page
+    last, tags = page.rfind(">"), TAG
+
+    def cut(depth: int) -> None:
+        nonlocal hidden, unended, link
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+            hidden -= e.tag in HIDDEN
+        del stack[depth:]
+        if unended is not None and unended >= depth:
+            unended = None
+        if link is not None and link > depth:
+            link = None
+
+    def add(run: str) -> None:
+        nonlocal linked, at
+        if stack and stack[-1].tag == "head" and not run.isspace():
+            cut(len(stack) - 1)
+        if hidden:
+            return
+        if not text:
+            at = (stack[-1] if stack else None, link is not None)
+        text.append(run)
+        if link is not None:
+            linked += len(run)
 
     def flush() -> None:
         nonlocal text, linked
         if text:
-            joined = " ".join(html_module.unescape("".join(text)).split())
+            raw = "".join(text)
+            joined = " ".join(html_module.unescape(raw).split())
             if joined:
-                out.append((joined, linked, len("".join(text)), at))
+                out.append((joined, linked / len(raw), at))
         text, linked = [], 0
 
-    for m in TOKEN.finditer(page):
-        close, tag, attributes, run = m.group(3), m.group(4), m.group(5), m.group(6)
-        if run is not None:
-            if stack and stack[-1][0] == "head" and not run.isspace():
-                stack.pop()
-            if any(t in HIDDEN for t, _ in stack):
-                continue
-            if not text:
-                at = [x for x in stack if x[0] not in INLINE] + ([("a", ())] if stack and stack[-1][0] == "a" else [])
-            text.append(run)
-            if any(t == "a" for t, _ in stack):
-                linked += len(run)
-        elif tag is None:
-            if (m.group(1) or m.group(2)) is not None and text:
-                text.append(" ")
-        else:
-            tag = tag.lower()
-            if not close and tag == "body":
-                cut_at("head")
-            elif not close and stack and stack[-1][0] == "head" and tag not in IN_HEAD:
-                stack.pop()
-            if tag == "br":
-                text and text.append("\n")
-            elif tag in INLINE:
-                if close:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k]
-                            break
-                        if stack[k][0] not in INLINE:
-                            break
-                elif tag not in VOID:
-                    stack.append((tag, ()))
+    pos, size = 0, len(page)
+    while pos < size:
+        start = page.find("<", pos)
+        if start < 0 or start > last:
+            add(page[pos:] if start < 0 or not page.startswith("<!--", start) else page[pos:start])
+            break
+        if start > pos:
+            add(page[pos:start])
+        follow = page[start + 1 : start + 2]
+        if follow == "!" or follow == "?":
+            comment = page.startswith("<!--", start)
+            end = page.find("-->", start + 2) if comment else page.find(">", start)
+            pos = size if end < 0 else end + (3 if comment else 1)
+            continue
+        m = tags.match(page, start)
+        if m is None and tags is TAG and TAG_START.match(page, start):
+            tags = LOOSE_TAG
+            m = tags.match(page, start)
+        if m is None:
+            add("<")
+            pos = start + 1
+            continue
+        pos = m.end()
+        close, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
+        if tag in ENDS and not close:
+            if tag == "svg" and attributes.endswith("/"):
+                end = m
             else:
-                flush()
-                if tag in VOID:
-                    continue
-                if close:
-                    cut_at(tag)
-                    continue
-                if tag not in ("option", "optgroup"):
-                    for k, (_, words) in enumerate(stack):
-                        if words is UNENDED:
-                            del stack[k:]
-                            break
-                ends = CLOSES.get(tag, set()) | {"p"}
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE and stack[k][0] != "p":
-                        break
-                words = tuple(w for a in ATTRIBUTE.finditer(attributes) for w in WORD.findall((a.group(1) or a.group(2) or a.group(3) or "").lower())) if attributes else ()
-                stack.append((tag, UNENDED if tag in ENDED and not ended(page, tag, m.end()) else words))
+                end = None if tag in missing else ENDS[tag].search(page, pos)
+            if end is None:
+                missing.add(tag)
+            if end is not None or tag in RAW:
+                if text:
+                    text.append(" ")
+                pos = end.end() if end is not None else size
+            continue
+        if not close:
+            if tag == "body" and opened.get("head"):
+                cut(next(k for k, e in enumerate(stack) if e.tag == "head"))
+            elif stack and stack[-1].tag == "head" and tag not in IN_HEAD:
+                cut(len(stack) - 1)
+        if tag == "br":
+            if text:
+                text.append("\n")
+        elif tag == "a":
+            link = None if close else len(stack)
+        elif tag in INLINE:
+            continue
+        else:
+            flush()
+            if tag in VOID:
+                continue
+            if close:
+                if opened.get(tag):
+                    depth = len(stack) - 1
+                    while stack[depth].tag != tag:
+                        depth -= 1
+                    cut(depth)
+                continue
+            if unended is not None and tag not in ("option", "optgroup"):
+                cut(unended)
+            ends = CLOSES.get(tag, NO_CLOSES)
+            while stack and stack[-1].tag in ends:
+                cut(len(stack) - 1)
+            words: list[str] = []
+            if attributes:
+                for x in ATTRIBUTE.finditer(attributes):
+                    words += WORD.findall((x.group(1) or x.group(2) or x.group(3) or "").lower())[:MOST_WORDS]
+            has_end = tag not in ENDED or ended(page, tag, pos)
+            if not has_end and unended is None:
+                unended = len(stack)
+            stack.append(Element(tag, words[:MOST_WORDS], stack[-1] if stack else None, len(stack), has_end))
+            opened[tag] = opened.get(tag, 0) + 1
+            hidden += tag in HIDDEN
     flush()
-    return [(t, link / max(size, 1), path) for t, link, size, path in out]
+    return out
 
 
 @lru_cache(1 << 16)
@@ -151,7 +224,7 @@ def feature(name: str) -> int:
     return (h ^ h >> 15) & ((1 << BITS) - 1)
 
 
-def features(text: str, link_share: float, path: list, k: int, n: int) -> list[int]:
+def features(text: str, link_share: float, at: tuple, k: int, n: int) -> list[int]:
     words = text.count(" ") + 1
     names = {"bias", f"words:{min(words.bit_length(), 8)}", f"links:{0 if link_share == 0 else 1 if link_share < 0.4 else 2 if link_share < 0.8 else 3}"}
     names.add(f"end:{text[-1] if text[-1] in '.!?:;' else 'letter' if text[-1].isalnum() else 'other'}")
@@ -160,15 +233,16 @@ def features(text: str, link_share: float, path: list, k: int, n: int) -> list[i
     if "©" in text or "opyright" in text:
         names.add("copyright")
     names.add(f"place:{0 if k * 10 < n else 2 if (k + 1) * 10 > 9 * n else 1}")
-    own = path[-1][0] if path else "none"
-    names.add(f"own:{own}")
-    for depth, (tag, attrs) in enumerate(reversed(path)):
-        names.add(f"in:{tag}")
-        for w in attrs:
-            names.add(f"attr:{w}")
-            if depth == 0:
-                names.add(f"own-attr:{w}")
-    return [feature(x) for x in names]
+    element, in_link = at
+    if in_link:
+        names |= {"own:a", "in:a"}
+    elif element is None:
+        names.add("own:none")
+    own = [feature(x) for x in names]
+    if element is None:
+        return own
+    ids = element.path.union(own)
+    return [*(ids if in_link else ids | element.own)]
 
 
 class Field:
@@ -213,7 +287,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(pages: list[list[tuple[list[int], int]]], *, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+def fit(pages: list[list[tuple[list[int], int]]], *, rounds: int = 90, rate: float = 0.1, penalty: float = 1e-3) -> Field:
     """Maximum likelihood with an L2 penalty: forward-backward gradients, Adam steps."""
     feats = [[f for f, _ in p] for p in pages if p]
     gold = [np.array([y for _, y in p]) for p in pages if p]
@@ -275,7 +349,7 @@ PARTS = {
 }
 
 
-def labelled_pages(n: int = 500, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
     """``n`` labelled pages in many layouts: a block's label is its first character, 1 for main text.
 
     This is the bounded training set; its size and seed are parameters."""
@@ -306,10 +380,12 @@ def _page(rng: random.Random) -> str:
         return f' {rng.choice(("class", "class", "id"))}="{joined}"'
 
     def wrap(tag: str, kind: str, inner: str) -> str:
-        tag = tag if semantic else "div"
+        tag = (tag if rng.random() < 0.85 else "section") if semantic else "div"
         marked = attrs(kind)
-        if tag == "div" and not marked and kind in ("ad", "notice", "comments", "share"):
+        if tag in ("div", "section") and not marked and kind in ("ad", "notice", "comments", "share"):
             marked = f' class="{rng.choice(PARTS[kind])}"'  # else nothing tells such a block apart
+        elif tag == "section" and not marked and kind != "content":
+            marked = f' class="{rng.choice(PARTS[kind])}"'
         return f"<{tag}{marked}>{inner}</{tag}>"
 
     def links(k: int) -> str:
@@ -365,7 +441,7 @@ def _page(rng: random.Random) -> str:
         if rng.random() < 0.1:
             out.append("</p>" + part("nav"))
         inner = "".join(out)
-        return wrap(rng.choice(("article", "article", "main")), "content", inner) if rng.random() < 0.9 else f"<div><div{attrs('content')}>{inner}</div></div>"
+        return wrap(rng.choice(("article", "article", "main", "section")), "content", inner) if rng.random() < 0.9 else f"<div><div{attrs('content')}>{inner}</div></div>"
 
     before = [part(k) for k in ("notice", "header", "nav", "ad", "form", "share") if rng.random() < 0.4]
     after = [part(k) for k in ("aside", "ad", "comments", "form", "nav", "footer") if rng.random() < 0.4]
@@ -377,11 +453,23 @@ def _page(rng: random.Random) -> str:
 
 
 @lru_cache(2)
-def default_field(n: int = 500, seed: int = 7) -> Field:
+def default_field(n: int = 900, seed: int = 7) -> Field:
     """A field fitted on ``labelled_pages(n, seed)``."""
     return fit([[(f, y) for _, f, y in labelled_blocks(html)] for html in labelled_pages(n, seed)])
 
 
+def alike(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
+    """Runs of pages, shortest first, that take at most ``MOST_BLOCKS`` blocks when padded to the longest, or one page."""
+    group: list[int] = []
+    for k in order:
+        if group and (len(group) + 1) * sizes[k] > MOST_BLOCKS:
+            yield group
+            group = []
+        group.append(k)
+    if group:
+        yield group
+
+
 def extract(pages: DataFrame, field: Field | None = None, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """A row per page: page_id, url, text, n_chars."""
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
@@ -397,7 +485,7 @@ def extract(pages: DataFrame, field: Field | None = None, *, key: str = "page_id
                 texts = [""] * len(cut)
                 order = sorted(range(len(cut)), key=lambda k: len(cut[k]))
                 # pages of like length are decoded together, so padding stays small
-                for group in (order[i : i + 50] for i in range(0, len(order), 50)):
+                for group in alike(order, [len(x) for x in cut]):
                     for k, labels in zip(group, model.decode([[f for _, f in cut[k]] for k in group]), strict=True):
                         texts[k] = "\n".join(t for (t, _), y in zip(cut[k], labels, strict=True) if y)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
