@@ -446,6 +446,8 @@ def _page(rng: random.Random) -> str:
     before = [part(k) for k in ("notice", "header", "nav", "ad", "form", "share") if rng.random() < 0.4]
     after = [part(k) for k in ("aside", "ad", "comments", "form", "nav", "footer") if rng.random() < 0.4]
     rng.shuffle(before)
+    if rng.random() < 0.12:  # an article and nothing else
+        before, after = [], []
     body = "".join([*before, content(), *after])
     if rng.random() < 0.2:
         body = f"<div{attrs('content')}>{body}</div>"
