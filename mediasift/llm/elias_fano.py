@@ -1,8 +1,11 @@
 """Elias-Fano sequences over numpy arrays: compact, searched in bulk, readable from a memory map.
 
 A sorted sequence of n values below u keeps ``l = log2(u / n)`` low bits of each value packed, and
-the high parts in unary: a one per value after as many zeros as its high part. A directory counts
-the zeros before each 64-bit word, which makes select a binary search and one word's bits.
+the high parts in unary: a one per value after as many zeros as its high part. Directories count
+the zeros and ones before each 64-bit word, which makes select a binary search and one word's bits.
+
+``ranges`` makes the values of many sorted ranges one increasing sequence: each range goes on where the
+one before ended, so a value is found by a successor search relative to its range, between two pointers.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ def get_bits(words: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
 
 
 class EliasFano:
-    """``low``, ``high`` and ``zeros`` are arrays, in memory or mapped."""
+    """``low``, ``high``, ``zeros`` and ``ones`` are arrays, in memory or mapped."""
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.n, self.width, self.low, self.high, self.zeros = n, width, low, high, zeros
+    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.n, self.width, self.low, self.high, self.zeros, self.ones = n, width, low, high, zeros, ones
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -51,12 +54,21 @@ class EliasFano:
         size = n + (universe >> width) + 3
         high = np.zeros(size // 64 + 1, np.uint64)
         np.bitwise_or.at(high, ones >> 6, _ONE << (ones & 63).astype(np.uint64))
-        zeros = np.arange(len(high)) * 64 - (np.cumsum(np.bitwise_count(high), dtype=np.int64) - np.bitwise_count(high))
+        before = np.cumsum(np.bitwise_count(high), dtype=np.int64) - np.bitwise_count(high)
         kind = np.uint32 if size < 1 << 32 else np.uint64
-        return cls(n, width, pack_bits(values & np.uint64((1 << width) - 1), width), high, zeros.astype(kind))
+        return cls(n, width, pack_bits(values & np.uint64((1 << width) - 1), width), high, (np.arange(len(high)) * 64 - before).astype(kind), before.astype(kind))
+
+    @classmethod
+    def ranges(cls, values: np.ndarray, first: np.ndarray) -> EliasFano:
+        """Of the sorted values of each range ``first[i]:first[i + 1]``; search with ``find_in``."""
+        sizes = np.diff(first)
+        last = np.zeros(len(sizes), np.int64)
+        last[sizes > 0] = values[first[1:][sizes > 0] - 1] + 1
+        base = np.cumsum(last) - last
+        return cls.build(values + 1 + np.repeat(base, sizes), int(last.sum()) + 1)
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"low": self.low, "high": self.high, "zeros": self.zeros}
+        return {"low": self.low, "high": self.high, "zeros": self.zeros, "ones": self.ones}
 
     def _select(self, rank: np.ndarray, before: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the bit with the given rank among ones or zeros; ``before`` counts them before each word."""
@@ -72,8 +84,15 @@ class EliasFano:
             at += np.where(go, np.uint64(half), np.uint64(0))
         return word * 64 + at.astype(np.int64)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value by successor search, -1 where the sequence has no such value."""
+    def find_in(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Index of each value inside its range of a sequence of ``ranges``, -1 where the range lacks it."""
+        base = np.zeros(len(begin), np.uint64)
+        later = begin > 0
+        base[later] = self.get(begin[later] - 1)
+        return self.find(values.astype(np.uint64) + np.uint64(1) + base, begin, end)
+
+    def find(self, values: np.ndarray, least: np.ndarray | None = None, most: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value by successor search, -1 where the sequence (from ``least`` up to ``most``) has no such value."""
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
@@ -87,6 +106,8 @@ class EliasFano:
         some = top > 0
         begin[some] = self._select(top[some] - 1, self.zeros, False) + 1 - top[some]
         end = np.minimum(self._select(top, self.zeros, False) - top, self.n)
+        if least is not None:
+            begin, end = np.maximum(begin, least[live]), np.minimum(end, most[live])
         last = end.copy()
         open_ = np.flatnonzero(begin < end)
         while len(open_):
@@ -102,6 +123,5 @@ class EliasFano:
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """Values at the given indexes."""
-        before = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
-        top = self._select(index, before, True) - index
+        top = self._select(index, self.ones, True) - index
         return (top.astype(np.uint64) << np.uint64(self.width)) | get_bits(self.low, index, self.width)

@@ -3,9 +3,9 @@
 Training counts words, then three-word sequences, of all training documents with Spark: tasks count
 what they read, write sorted and compressed runs, and shuffle those by the first word. Words that
 hold much of the corpus are dealt by first and second word, so that no shard is hot. Each shard is
-a trie of three levels. Nodes of a level are one Elias-Fano sequence of word ids made monotone by
-the parent's place; pointers to children are another. A node is found by successor search relative
-to its context. Nodes carry their discounted probability, and inner nodes the weight left to shorter
+a trie of three levels. The word ids of a level are one Elias-Fano sequence, in which each context's range goes
+on where the one before ended; the pointers to the ranges are another. A node is found by a successor search
+relative to its context, between the context's two pointers. Nodes carry their discounted probability, and inner nodes the weight left to shorter
 contexts, quantised to 16 bits on a logarithmic scale. Shards are files that tasks map into memory,
 so the model may be larger than any heap, and workers of one machine share its pages.
 
@@ -41,6 +41,8 @@ LOWER[0x41:0x5B] += 0x20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 SCALE, NONE = 2000.0, 65535
 COUNT_TOKENS = 1_500_000
+#: Word ids from here on are renumbered before two of them are put into 64 bits.
+WIDE = 1 << 32
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -139,18 +141,25 @@ def shard_of(a: np.ndarray, b: np.ndarray, hot: np.ndarray, shards: int) -> np.n
 
 
 def pack_run(*columns: np.ndarray) -> bytes:
-    """Equally long columns of 32-bit numbers, as planes of bytes, compressed."""
-    planes = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    """Equally long columns of numbers, as planes of bytes (four a number, or eight if one needs them), compressed."""
+    width = 8 if any(len(c) and int(c.max()) >> 32 for c in columns) else 4
+    planes = [np.ascontiguousarray(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([bytes([width]), *planes]))
 
 
 def unpack_run(raw: bytes, columns: int) -> list[np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(columns, 4, -1)
-    return [np.ascontiguousarray(p.T).view("<u4").ravel() for p in data]
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    width = raw[0]
+    data = np.frombuffer(raw, np.uint8, offset=1).reshape(columns, width, -1)
+    return [np.ascontiguousarray(p.T).view(f"<u{width}").ravel() for p in data]
 
 
 def unique_triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray | None = None):
     """Distinct (a, b, c) in order, with summed counts."""
+    if len(a) and max(int(x.max()) for x in (a, b, c)) >= WIDE:
+        names, code = np.unique(np.concatenate([a, b, c]), return_inverse=True)  # far fewer than 2**32 in one shard
+        a, b, c, n = unique_triples(*np.split(code, 3), n)
+        return names[a].astype(np.int64), names[b].astype(np.int64), names[c].astype(np.int64), n
     pair, code = np.unique((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), return_inverse=True)
     key = (code.astype(np.uint64) << np.uint64(32)) | c.astype(np.uint64)
     if n is None:
@@ -167,7 +176,7 @@ def unique_triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray |
 
 def make_trie(words: int, hot: np.ndarray, hot_counts: np.ndarray, discount: float):
     """A builder of one shard's trie; ``words`` is V, so V is the id of the start and V + 1 of the padding."""
-    universe = words + 2
+    universe = words + 2  # of first words
 
     def trie(g: pa.Table):
         cols = [np.concatenate(x) for x in zip(*[unpack_run(raw, 4) for raw in g.column("run").to_pylist()], strict=True)]
@@ -191,9 +200,9 @@ def make_trie(words: int, hot: np.ndarray, hot_counts: np.ndarray, discount: flo
         whole[is_hot] = hot_counts[np.searchsorted(hot, a1[is_hot])]
         parts = {
             "roots": EliasFano.build(a1, universe), "children1": EliasFano.build(np.append(at1, len(at2)), len(at2) + 1),
-            "nodes2": EliasFano.build(root * universe + b2, len(at1) * universe),
+            "nodes2": EliasFano.ranges(b2, np.append(at1, len(at2))),
             "children2": EliasFano.build(np.concatenate([[0], np.cumsum(kinds)]), len(c) + 1),
-            "nodes3": EliasFano.build(parent * universe + c, len(at2) * universe),
+            "nodes3": EliasFano.ranges(c, np.concatenate([[0], np.cumsum(kinds)])),
         }
         arrays = {f"{k}.{x}": v for k, ef in parts.items() for x, v in ef.arrays().items()}
         arrays["rest1"] = quantise(np.where(whole > 0, discount * kinds1 / np.maximum(whole, 1), 1.0))
@@ -212,9 +221,19 @@ class Trie:
     def __init__(self, root: str, name: str):
         arrays, meta = level_files.read(root, name)
         for k, (n, width) in meta["parts"].items():
-            setattr(self, k, EliasFano(n, width, arrays[f"{k}.low"], arrays[f"{k}.high"], arrays[f"{k}.zeros"]))
+            setattr(self, k, EliasFano(n, width, *(arrays[f"{k}.{x}"] for x in ("low", "high", "zeros", "ones"))))
         self.rest1, self.p2, self.rest2, self.p3 = (arrays[k] for k in ("rest1", "p2", "rest2", "p3"))
 
+    @staticmethod
+    def children(pointers: EliasFano, nodes: EliasFano, parent: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Places of words among the children of sorted parents, -1 where they are none."""
+        new = np.ones(len(parent), bool)
+        new[1:] = parent[1:] != parent[:-1]
+        own = parent[new]
+        ends = pointers.get(np.concatenate([own, own + 1])).astype(np.int64)
+        at = np.cumsum(new) - 1
+        return nodes.find_in(words, ends[: len(own)][at], ends[len(own) :][at])
+
 
 class Model:
     """What scoring needs: names of files, a few numbers and the hot words; the rest is mapped in tasks."""
@@ -232,51 +251,49 @@ class Scorer:
         self.m, self.vocabulary = m, Vocabulary(m.root, m.vocabulary, m.bits)
         self.tries = [Trie(m.root, f) if f else None for f in m.tries]
 
-    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids, n = self.vocabulary.look(distinct)
-        return ids[back], n[back]
-
     def score(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each document: known tokens, base score and model score."""
         m = self.m
-        ids, n = self.ids(hashes)
+        distinct, code = np.unique(hashes, return_inverse=True)
+        known_ids, n = self.vocabulary.look(distinct)
+        n, begin = n[code], len(distinct)  # the code of the start
+        ids = np.append(known_ids, m.words)
         p1 = (n + 0.5) / (m.tokens + 0.5 * (m.words + 1))
         base = np.add.reduceat(np.log10(p1), first[:-1])
         known = np.add.reduceat((n > 0).astype(np.int64), first[:-1])
-        start = np.zeros(len(ids), bool)
+        start = np.zeros(len(code), bool)
         start[first[:-1]] = True
-        before = np.where(start, m.words, np.concatenate([[m.words], ids[:-1]]))
+        before = np.where(start, begin, np.concatenate([[begin], code[:-1]]))
         # distinct pairs of neighbours: their places in the tries serve as pairs and as contexts
-        pair = (np.maximum(before, -1) + 1).astype(np.uint64) << np.uint64(32) | (ids + 1).astype(np.uint64)
-        starts = np.uint64((m.words + 1) << 32 | (m.words + 1))  # two starts, the context of first words
+        pair = before.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64)
+        starts = np.uint64(begin << 32 | begin)  # two starts, the context of first words
         pairs, at = np.unique(np.append(pair, starts), return_inverse=True)
-        a, b = (pairs >> np.uint64(32)).astype(np.int64) - 1, (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+        a, b = ids[(pairs >> np.uint64(32)).astype(np.int64)], ids[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         shard = shard_of(a, b, m.hot, len(self.tries))
         place, p2, rest1, rest2 = np.full(len(a), -1, np.int64), np.zeros(len(a)), np.ones(len(a)), np.ones(len(a))
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.tries) + 1))
-        universe = m.words + 2
         for k, t in enumerate(self.tries):
             own = order[cuts[k] : cuts[k + 1]]
             own = own[(a[own] >= 0)]
             if t is None or not len(own):
                 continue
-            root = t.roots.find(a[own])
+            new = np.append(True, a[own[1:]] != a[own[:-1]])
+            root = t.roots.find(a[own[new]])[np.cumsum(new) - 1]
             own, root = own[root >= 0], root[root >= 0]
             rest1[own] = _VALUE[t.rest1[root]]
             some = b[own] >= 0
             own, root = own[some], root[some]
-            node = t.nodes2.find(root * universe + b[own])
+            node = t.children(t.children1, t.nodes2, root, b[own])
             own, node = own[node >= 0], node[node >= 0]
             place[own], p2[own], rest2[own] = node, _VALUE[t.p2[node]], _VALUE[t.rest2[node]]
         if len(m.hot):
             h = np.minimum(np.searchsorted(m.hot, a), len(m.hot) - 1)
             rest1 = np.where(m.hot[h] == a, m.hot_rest[h], rest1)
         lower = p2[at[:-1]] + rest1[at[:-1]] * p1
-        context = np.where(start, at[-1], np.concatenate([[0], at[:-2]])) if len(ids) else at[:0]
-        key, back = np.unique(context.astype(np.uint64) << np.uint64(32) | (ids + 1).astype(np.uint64), return_inverse=True)
-        ctx, c = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+        context = np.where(start, at[-1], np.concatenate([[0], at[:-2]])) if len(code) else at[:0]
+        key, back = np.unique(context.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64), return_inverse=True)
+        ctx, c = (key >> np.uint64(32)).astype(np.int64), ids[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         p3 = np.zeros(len(key))
         use = np.flatnonzero((place[ctx] >= 0) & (c >= 0))
         use = use[np.argsort(shard[ctx[use]], kind="stable")]
@@ -285,7 +302,7 @@ class Scorer:
             own = use[cuts[k] : cuts[k + 1]]
             if t is None or not len(own):
                 continue
-            node = t.nodes3.find(place[ctx[own]] * universe + c[own])
+            node = t.children(t.children2, t.nodes3, place[ctx[own]], c[own])
             hit = node >= 0
             p3[own[hit]] = _VALUE[t.p3[node[hit]]]
         p = p3[back] + np.where(place[context] >= 0, rest2[context], 1.0) * lower
@@ -302,8 +319,6 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
     words, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not words:
         return Model(root, [], vocabulary_bits, [], 0, 0, np.zeros(0, np.int64), np.zeros(0))
-    if words >= 2**32 - 4:
-        raise ValueError("word ids take 32 bits")
     dealt = counts.withColumn("shard", F.shiftrightunsigned("w", 64 - vocabulary_bits))
     listed = tables.save(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_writer(root, vocabulary), "shard long, file string, extra binary"), "vocabulary")
     files: list[str | None] = [None] * (1 << vocabulary_bits)

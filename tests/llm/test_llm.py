@@ -492,6 +492,31 @@ def test_elias_fano():
         assert e.get(np.arange(len(v))).tolist() == v.tolist()
 
 
+def test_ranges_are_searched_between_their_pointers():
+    from mediasift.llm.elias_fano import EliasFano
+    from mediasift.llm.language_model import Trie
+
+    rng = np.random.default_rng(1)
+    sets = [sorted(rng.choice(50, rng.integers(0, 12), replace=False).tolist()) for _ in range(40)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    nodes, pointers = EliasFano.ranges(np.array([x for r in sets for x in r]), first), EliasFano.build(first, int(first[-1]) + 1)
+    parent, word = np.repeat(np.arange(40), 60), np.tile(np.arange(60), 40)
+    want = [int(first[p]) + sets[p].index(w) if w in sets[p] else -1 for p, w in zip(parent, word, strict=True)]
+    assert Trie.children(pointers, nodes, parent, word).tolist() == want
+
+
+def test_runs_of_wide_ids():
+    from mediasift.llm.language_model import pack_run, unique_triples, unpack_run
+
+    rng = np.random.default_rng(2)
+    small = [rng.integers(0, 5, 200) for _ in range(3)]
+    wide = [x + (1 << 40) for x in small]
+    for got, want in zip(unique_triples(*wide), unique_triples(*small), strict=True):
+        assert (got == want).all() or (got == want + (1 << 40)).all()
+    for cols in (small, wide):
+        assert all((x == y).all() for x, y in zip(unpack_run(pack_run(*cols), 3), cols, strict=True))
+
+
 # --- op8 ----------------------------------------------------------------------------------------
 
 
