@@ -10,8 +10,13 @@ of about ``shard_tokens`` ids. A file's name holds the task attempt; the manifes
 written with the files, names those of the attempts that succeeded, so lost executors, retries and
 speculation leave at most unlisted files. Only the manifest (a row a file) is used to number tokens.
 
-A null or empty text has the end id alone. Null keys come first. Rows with equal keys stay together,
-ordered by a hash of the text; repeated rows are all written. An empty table has an empty manifest.
+Readers open the sections of a file that they need: ``tokens_at`` reads single tokens of the whole store by
+position, ``read_documents`` the ids of single documents, by pages of ``PAGE`` bytes; ``read_tokens`` goes through
+all documents, and gets each one's ids by their places as well.
+
+A null or empty text has the end id alone. Null keys come first. Rows with equal keys come in the order of a
+hash of the text, and a key that many rows share is split by that hash; rows that are equal in both cannot be
+told apart. Repeated rows are all written. An empty table has an empty manifest.
 Only the key and the text are read. Texts of any length are encoded whole.
 
 File: 8 bytes of magic, the header's length (unsigned 64-bit, little-endian), a JSON header, then
@@ -41,17 +46,41 @@ from mediasift.llm.arrow_text import blocks
 
 MAGIC = b"MSDAC\x00\x01\n"
 RANK_BITS = 512
+#: Bytes that are read at once by position, and places whose ids are got at once.
+PAGE, PLACES = 1 << 16, 1 << 18
 CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 
 
+#: What a tokenizer file must say for its words to be encoded one by one: texts are normalised character by
+#: character (but for composed characters), white space parts words and is dropped, and letters, digits and marks
+#: are parted. Fixed values of the file format.
+WORD_NORMALISERS = {"NFC", "Lowercase", "Replace"}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(spec: dict) -> bool:
+    """Whether a tokenizer's own description says that its words can be encoded one by one."""
+    normalisers = (spec.get("normalizer") or {}).get("normalizers") or []
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    split, byte_level = (*steps, {}, {})[:2]
+    return (
+        {n["type"] for n in normalisers} == WORD_NORMALISERS
+        and all(n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in normalisers if n["type"] == "Replace")
+        and len(steps) == 2 and split.get("type") == "Split" and split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and byte_level.get("type") == "ByteLevel" and not byte_level.get("add_prefix_space") and not byte_level.get("use_regex")
+        and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec.get("truncation") is None and spec.get("padding") is None
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) or re.fullmatch(WordEncoder.PLAIN, t["content"]) for t in spec["added_tokens"])
+    )
+
+
 class WordEncoder(dict):
-    """Encodes texts with a tokenizer that treats white-space-separated words alike wherever they
-    stand, as tokenizers do that split on and drop white space. It is a mapping of words to their
-    ids that learns a word when asked, in two generations of a bounded size. Where the tokenizer
-    also ignores case and parts letters from the marks after them, words share the ids of their
-    letters and of their marks, and plain letters go straight to the tokenizer's merges."""
+    """Encodes texts with a tokenizer. If the tokenizer's file says that it treats words alike wherever they
+    stand (``splits_words``), it is a mapping of words to their ids that learns a word when asked, in two
+    generations of a bounded size; words share the ids of their letters and of their marks, and plain
+    letters go straight to the tokenizer's merges. Any other tokenizer encodes whole texts."""
 
     LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([!#-&*-/:;=?@^_`|~]*)")
+    PLAIN = r"[A-Za-z!#-&*-/:;=?@^_`|~]*"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,9 +89,8 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
-        self.by_word = self._same(" it's  x1\n\ty, Z.", " it's  x1\n\ty, Z.".split()) and self._same("a b\r\nc", ["a", "b", "c"])
-        self.by_part = self.by_word and all(self._same(f"{w}{m}", [w.lower(), m]) for w in ("Word", "tHE", "I", "wont") for m in ("!", "###", "$%&", "*+,-./", ":;", "=?@", "^_`", "|~", ".,!?"))
-        self.by_merges = self.by_part and all(self._plain(w) == self._encode(w) for w in ("a", "the", "zyx", "abracadabra", "supercalifragilistic", "thblean"))
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_words(json.load(f))
         self.older: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> list[int]:
@@ -71,13 +99,10 @@ class WordEncoder(dict):
     def _plain(self, letters: str) -> list[int]:
         return [t.id for t in self.merges(letters)]
 
-    def _same(self, text: str, parts: list[str]) -> bool:
-        return self._encode(text) == [i for p in parts for i in self._encode(p)]
-
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            m = self.LETTERS_MARKS.fullmatch(word) if self.by_part else None
+            m = self.LETTERS_MARKS.fullmatch(word)
             if m is None:
                 ids = array("I", self._encode(word.decode("utf-8", "replace"))).tobytes()
             else:
@@ -86,10 +111,8 @@ class WordEncoder(dict):
                     ids = self[letters] + self._marks(m[2])
                 elif letters != word:
                     ids = self[letters]
-                elif self.by_merges:
-                    ids = array("I", self._plain(word.decode())).tobytes()
                 else:
-                    ids = array("I", self._encode(word.decode())).tobytes()
+                    ids = array("I", self._plain(word.decode())).tobytes()
         if len(word) <= CACHE_WORD_BYTES:
             self[word] = ids
         return ids
@@ -116,6 +139,11 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def widths(largest: int) -> tuple[int, ...]:
+    """Chunks of eight bits, as many as ids up to ``largest`` need."""
+    return (8,) * max(1, -(-largest.bit_length() // 8))
+
+
 def pack(ids: np.ndarray, chunk_bits: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Levels of (chunks, continuation bits, rank directory)."""
     levels, rest = [], ids.astype(np.uint32)
@@ -134,11 +162,40 @@ def pack(ids: np.ndarray, chunk_bits: tuple[int, ...]) -> list[tuple[np.ndarray,
     return levels
 
 
+class Section:
+    """An array in a file, of which only the pages that are asked for are read."""
+
+    def __init__(self, file: pa.NativeFile, at: int, size: int, kind: str):
+        self.file, self.at, self.size, self.kind = file, at, size, np.dtype(kind)
+        self.pages: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return self.size // self.kind.itemsize
+
+    def view(self, kind: str) -> Section:
+        return Section(self.file, self.at, self.size, kind)
+
+    def all(self) -> np.ndarray:
+        self.file.seek(self.at)
+        return np.frombuffer(self.file.read(self.size), self.kind)
+
+    def __getitem__(self, index: np.ndarray) -> np.ndarray:
+        out, per = np.empty(len(index), self.kind), PAGE // self.kind.itemsize
+        page = index // per
+        for p in np.unique(page).tolist():
+            if p not in self.pages:
+                self.file.seek(self.at + p * PAGE)
+                self.pages[p] = np.frombuffer(self.file.read(min(PAGE, self.size - p * PAGE)), self.kind)
+            own = page == p
+            out[own] = self.pages[p][index[own] - p * per]
+        return out
+
+
 class Codes:
-    """Random access to the ids of packed levels."""
+    """Random access to the ids of packed levels (arrays or sections)."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], chunk_bits: tuple[int, ...]):
-        self.levels, self.chunk_bits = levels, chunk_bits
+    def __init__(self, levels: list[tuple], chunk_bits: tuple[int, ...]):
+        self.levels, self.chunk_bits = [(chunk, bits.view("<u8"), rank) for chunk, bits, rank in levels], chunk_bits
 
     def __len__(self) -> int:
         return len(self.levels[0][0])
@@ -147,11 +204,10 @@ class Codes:
         """The ids at the given places, in any order."""
         at = np.asarray(at, np.int64)
         out, live, shift = np.zeros(len(at), np.uint32), np.arange(len(at)), 0
-        for (chunk, bits, rank), width in zip(self.levels, self.chunk_bits, strict=True):
+        for (chunk, word, rank), width in zip(self.levels, self.chunk_bits, strict=True):
             if not len(live):
                 break
             out[live] |= chunk[at].astype(np.uint32) << np.uint32(shift)
-            word = bits.view("<u8")
             go = (word[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
             at, live, shift = at[go], live[go], shift + width
             # rank: the directory's count, whole words since, and the bits below in the last word
@@ -168,7 +224,7 @@ class Codes:
         out, live, shift = np.zeros(len(self), np.uint32), np.arange(len(self)), 0
         for (chunk, bits, _), width in zip(self.levels, self.chunk_bits, strict=True):
             out[live] |= chunk.astype(np.uint32) << np.uint32(shift)
-            live = live[np.unpackbits(bits, count=len(live), bitorder="little").astype(bool)]
+            live = live[np.unpackbits(bits.view(np.uint8), count=len(live), bitorder="little").astype(bool)]
             shift += width
         return out
 
@@ -192,31 +248,69 @@ def to_bytes(doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np
 class Shard:
     """One file: ``doc_ids``, ``nulls``, ``ends`` and random access to ``codes``."""
 
-    def __init__(self, raw, check: bool = True):
+    def __init__(self, part: dict, header: dict):
+        bits = tuple(header["chunk_bits"])
+        self.part, self.docs = part, header["docs"]
+        self.codes = Codes([(part[f"chunks{k}"], part[f"bits{k}"], part[f"ranks{k}"]) for k in range(len(bits))], bits)
+
+    @classmethod
+    def whole(cls, raw) -> Shard:
+        """A file that is in memory; its checksum is checked."""
         raw = memoryview(raw)
         if bytes(raw[:8]) != MAGIC:
             raise ValueError("not a token file")
         n = int(np.frombuffer(raw[8:16], "<u8")[0])
         header, data = json.loads(bytes(raw[16 : 16 + n])), raw[16 + n :]
-        if check and zlib.crc32(data) != header["crc32"]:
+        if zlib.crc32(data) != header["crc32"]:
             raise ValueError("the file's checksum does not match")
-        part = {k: np.frombuffer(data[at : at + size], kind) for k, (at, size, kind) in header["sections"].items()}
-        self.doc_ids, self.nulls, self.ends = part["doc_ids"], part["nulls"].astype(bool), part["ends"].astype(np.int64)
-        bits = tuple(header["chunk_bits"])
-        self.codes = Codes([(part[f"chunks{k}"], part[f"bits{k}"], part[f"ranks{k}"]) for k in range(len(bits))], bits)
+        return cls({k: np.frombuffer(data[at : at + size], kind) for k, (at, size, kind) in header["sections"].items()}, header)
+
+    @classmethod
+    def opened(cls, file: pa.NativeFile) -> Shard:
+        """A file of which only what is asked for is read; the checksum, which is of the whole, is not checked."""
+        raw = file.read(16)
+        if raw[:8] != MAGIC:
+            raise ValueError("not a token file")
+        n = int(np.frombuffer(raw[8:16], "<u8")[0])
+        header = json.loads(file.read(n))
+        return cls({k: Section(file, 16 + n + at, size, kind) for k, (at, size, kind) in header["sections"].items()}, header)
+
+    def _all(self, name: str) -> np.ndarray:
+        a = self.part[name]
+        return a.all() if isinstance(a, Section) else a
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._all("doc_ids")
+
+    @property
+    def nulls(self) -> np.ndarray:
+        return self._all("nulls").astype(bool)
+
+    @property
+    def ends(self) -> np.ndarray:
+        return self._all("ends").astype(np.int64)
+
+
+MANIFEST = "file string, part long, seq long, docs long, tokens long, first long, last long"
 
 
 def _files(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
 
-def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, chunk_bits: tuple[int, ...] = (8, 8), shard_tokens: int = 1 << 21) -> DataFrame:
+def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, chunk_bits: tuple[int, ...] | None = None, shard_tokens: int = 1 << 21) -> DataFrame:
     """Encode and write all documents under ``root`` (a URI all executors reach); returns the manifest.
 
-    The manifest has a row a file, in order of ``start``: file, part, seq, docs, tokens, start.
+    ``chunk_bits`` are the widths of the levels; by default eight bits each, as many as the vocabulary needs.
+    The manifest has a row a file, in order of ``start``: file, part, seq, docs, tokens, first and last (the
+    range of its keys; null if all are null), start.
     """
+    if chunk_bits is None:
+        chunk_bits = widths(max(end_id, *encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values()))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
+    # by key and text: rows without a key, or with one that very many share, are dealt to many tasks
+    rows = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -228,10 +322,13 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
 
         def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{seq:05d}-{attempt}.dac"
-            raw = to_bytes(np.concatenate(keys), np.concatenate(nulls), np.array(counts), np.concatenate(ids), chunk_bits)
+            own, null = np.concatenate(keys), np.concatenate(nulls)
+            raw = to_bytes(own, null, np.array(counts), np.concatenate(ids), chunk_bits)
             with files.open_output_stream(f"{folder}/data/{name}") as f:
                 f.write(raw)
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, part, seq, len(counts), size)], names=["file", "part", "seq", "docs", "tokens"])
+            given = own[~null]
+            span = [pa.array([int(x) for x in given[[0, -1]][[k]]] if len(given) else [None], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*[pa.array([x]) for x in (name, part, seq, len(counts), size)], *span], names=["file", "part", "seq", "docs", "tokens", "first", "last"])
 
         files.create_dir(f"{folder}/data", recursive=True)
         for batch in batches:
@@ -252,13 +349,13 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
         if counts:
             yield flush()
 
-    listed = rows.mapInArrow(run, "file string, part long, seq long, docs long, tokens long")
+    listed = rows.mapInArrow(run, MANIFEST)
     listed.write.parquet(f"{root}/manifest")
     return read_manifest(docs.sparkSession, root)
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.read.schema("file string, part long, seq long, docs long, tokens long").parquet(f"{root}/manifest")
+    rows = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     # a row a file: the running total is the only step on one partition
     order = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("start", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
@@ -272,12 +369,60 @@ def read_tokens(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.open_input_file(f"{folder}/data/{name}") as f:
-                    shard = Shard(f.readall())
-                ids = shard.codes.all()
-                begin = np.concatenate([[0], shard.ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin.tolist(), shard.ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.nulls), pa.array(base + begin), pa.array(shard.ends - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    shard = Shard.whole(f.readall())
+                ends, crc = shard.ends, []
+                begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                lo = 0
+                while lo < len(ends):
+                    hi = max(lo + 1, int(np.searchsorted(ends, begin[lo] + PLACES, "right")))
+                    ids = memoryview(shard.codes.get(np.arange(begin[lo], ends[hi - 1])))
+                    crc += [zlib.crc32(ids[a:b]) for a, b in zip((begin[lo:hi] - begin[lo]).tolist(), (ends[lo:hi] - begin[lo]).tolist(), strict=True)]
+                    lo = hi
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.nulls), pa.array(base + begin), pa.array(ends - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = read_manifest(spark, root).select("file", "start")
     listed = listed.repartition(max(1, listed.count()), "file")
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def tokens_at(spark: SparkSession, root: str, places: DataFrame, *, place: str = "place", cell: int = 1 << 21) -> DataFrame:
+    """place and token of each given place of the whole store (0 is the first document's first id), read by
+    pages without the rest of a file. Places that do not exist have no row; repeated ones have a row each."""
+    listed = read_manifest(spark, root).select("file", "start", (F.col("start") + F.col("tokens")).alias("stop"))
+    # a file lies in one or two cells of its size, so places meet their file by an equi-join
+    listed = listed.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("stop") - 1) / cell))))
+    asked = places.select(F.col(f"`{place}`").cast("long").alias("place")).withColumn("cell", F.floor(F.col("place") / cell))
+    met = asked.join(listed, "cell").where("place >= start and place < stop").select("file", (F.col("place") - F.col("start")).alias("at"), "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = _files(root)
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            at, given = batch.column(1).to_numpy(), batch.column(2)
+            for name in dict.fromkeys(names):
+                own = np.flatnonzero(names == name)
+                with files.open_input_file(f"{folder}/data/{name}") as f:
+                    ids = Shard.opened(f).codes.get(at[own])
+                yield pa.RecordBatch.from_arrays([given.take(pa.array(own)), pa.array(ids.astype(np.int64))], names=["place", "token"])
+
+    return met.repartition("file", F.floor(F.col("at") / PAGE)).sortWithinPartitions("file", "at").mapInArrow(run, "place long, token long")
+
+
+def read_documents(spark: SparkSession, root: str, keys: list[int]) -> DataFrame:
+    """doc_id and ids of the documents with the given keys (a short list); other files, and the ids of other
+    documents, are not read."""
+    wanted = sorted(set(keys))
+    listed = read_manifest(spark, root).where(F.exists(F.array(*[F.lit(k).cast("long") for k in wanted]), lambda k: (k >= F.col("first")) & (k <= F.col("last")))).select("file") if wanted else read_manifest(spark, root).select("file").limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = _files(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with files.open_input_file(f"{folder}/data/{name}") as f:
+                    shard = Shard.opened(f)
+                    ends, keys = shard.ends, shard.doc_ids
+                    for k in np.flatnonzero(np.isin(keys, wanted) & ~shard.nulls).tolist():
+                        ids = shard.codes.get(np.arange(ends[k - 1] if k else 0, ends[k]))
+                        yield pa.RecordBatch.from_arrays([pa.array([int(keys[k])]), pa.array([ids.astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return listed.repartition("file").mapInArrow(run, "doc_id long, ids array<long>")

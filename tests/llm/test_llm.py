@@ -400,6 +400,36 @@ def test_token_store(spark, docs, empty, tmp_path):
     assert sorted((tuple(r) for r in ts.read_tokens(spark, root).collect()), key=lambda r: r[1]) == want
     ts.write_tokens(empty, f"{root}-empty", tokenizer_file())
     assert ts.read_tokens(spark, f"{root}-empty").count() == 0
+    # single tokens and documents, by pages that are far smaller than a file
+    flat = [t for i in sorted((i for i, _ in fixture_rows()), key=lambda i: -1 if i is None else i) for t in ids[i]]
+    places = [0, 5, 5, len(flat) - 1, len(flat), -1, *range(0, len(flat), 97)]
+    found = ts.tokens_at(spark, root, spark.createDataFrame([(x,) for x in places], "place long"), cell=1000).collect()
+    assert sorted(tuple(r) for r in found) == sorted((x, flat[x]) for x in places if 0 <= x < len(flat))
+    got = ts.read_documents(spark, root, [11, 13, 6, 999]).collect()
+    assert sorted((r[0], r[1]) for r in got) == sorted((i, ids[i]) for i, _ in fixture_rows() if i in (11, 13, 6))
+    assert ts.read_documents(spark, root, []).count() == 0
+
+
+def test_a_key_with_a_third_of_all_rows_is_dealt_to_many_files(spark, tmp_path):
+    from mediasift.llm import token_store as ts
+    from mediasift.llm.queries import tokenizer_file
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7L, if(id % 3 = 1, null, id)) as doc_id", "concat('text number ', id) as text").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    ts.write_tokens(rows, f"file://{tmp_path}/hot", tokenizer_file())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = ts.read_tokens(spark, f"file://{tmp_path}/hot").orderBy("start").collect()
+    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert len(got) == 3000 and keys == sorted(keys) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+    assert ts.read_manifest(spark, f"file://{tmp_path}/hot").agg(F.max("docs")).first()[0] < 1200
+
+
+def test_widths_follow_the_vocabulary():
+    from mediasift.llm.token_store import splits_words, widths
+
+    assert [widths(x) for x in (0, 255, 256, 49_407, 65_536, 1 << 24)] == [(8,), (8,), (8, 8), (8, 8), (8, 8, 8), (8, 8, 8, 8)]
+    spec = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel"}, "model": {"type": "BPE"}, "added_tokens": []}
+    assert not splits_words(spec)
 
 
 def test_random_access():
@@ -413,18 +443,21 @@ def test_random_access():
             at = rng.integers(0, max(n, 1), 300 if n else 0)
             assert (codes.all() == ids).all() and (codes.get(at) == ids[at]).all()
     raw = to_bytes(np.array([4]), np.array([False]), np.array([3]), np.array([1, 2, 70000]), (8, 8, 8))
-    assert Shard(raw).codes.get(np.array([2])).tolist() == [70000]
+    assert Shard.whole(raw).codes.get(np.array([2])).tolist() == [70000]
     with pytest.raises(ValueError):
-        Shard(raw[:-3] + b"zzz")
+        Shard.whole(raw[:-3] + b"zzz")
     with pytest.raises(ValueError):
         pack(np.array([1 << 17]), (8, 8))
 
 
 def test_word_encoder_equals_the_tokenizer():
+    import public_tokenizers
+
     from mediasift.llm.queries import tokenizer_file
     from mediasift.llm.token_store import WordEncoder
 
     e = WordEncoder(tokenizer_file())
+    assert e.by_word and not WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
     for x in ("", " ", "It's THE'RE o'clock's", "á é ΣΑΣ ß İ", "x1y22 #$%,. <|endoftext|> a<|startoftext|>b", "tab\there\x0b\x0c\x1c\x85\xa0nb", "ﬁ ½ ²", "日本語 text", "A" * 5000):
         assert e.encode([x.encode()])[0].tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids, x
 
