@@ -3,14 +3,16 @@
 1. Sketch: each text becomes the hash of its shingle set, the set's size and ``HASHES`` MinHash
    values. Documents with equal sets are one class, however many copies there are.
 2. Candidates: classes that agree on all values of a band share a bucket. Buckets with the same
-   members are taken once. A large bucket is dealt as pairs of blocks, so no task gets more than
-   two blocks and no pair is ever written out.
+   members are taken once. A bucket goes to one task up to ``SKETCH_BLOCK`` members (16 MB of sketches);
+   a larger one is dealt as pairs of blocks of that size. No pair is ever written out.
 3. Bayesian pruning: in each block the MinHash values of a pair are compared ``STEP`` at a time; a
    pair is dropped as soon as the posterior probability that its similarity reaches the threshold,
    given the agreements so far and a uniform prior, is below ``TOLERANCE``. The block emits
-   a spanning forest of what is left; components of these forests are the sets to verify.
-4. Verification: the texts of each component, again in pairs of blocks, give exact intersections
-   of shingle sets for all their pairs. Links are counted exactly, copies included, and
+   a spanning forest of what is left, and compares only what is not yet in one tree: near copies of one text
+   are compared with the first of them alone. Components of these forests are the sets to verify.
+4. Verification: one text of each class becomes its set of shingle hashes, once. The sets of a component meet in
+   one task up to ``SET_BYTES``; larger components are dealt as pairs of blocks of that size. Exact
+   intersections of all their pairs give the links, which are counted with copies, and
    components of the true links are the result's classes.
 
 The shingles are runs of five words (``[^\\x20\\x09-\\x0D]+``, as written); a text of one to four
@@ -27,20 +29,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.llm.arrow_text import Block, Words, blocks, mix, windows
-from mediasift.llm.components import Forest, components
+from mediasift.llm.arrow_text import Block, Words, blocks, mix, text_bytes, windows
+from mediasift.llm.components import components
 from mediasift.llm.shared import Tables
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: At similarity 0.8 two sets miss all 32 bands of 4 with a probability of 5e-8.
 HASHES, BAND = 128, 4
 STEP, TOLERANCE = 32, 1e-6
-#: Members of a block: of sketches when pruning, of texts when verifying.
-SKETCH_BLOCK, TEXT_BLOCK = 256, 128
-#: Up to so many rows of (doc_id, class) are broadcast to fetch texts; beyond, the texts are shuffled.
+#: A block: members when pruning, bytes of shingle hashes when verifying; sets whose pairs are intersected at once.
+SKETCH_BLOCK, SET_BYTES, TILE = 32_768, 8 << 20, 1024
+#: Up to so many rows of (doc_id, class), and of (component, bytes), are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
 _random = np.random.Generator(np.random.PCG64(5))
@@ -132,10 +134,10 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
             for block in blocks(batch.column(1)):
                 h, first = shingles(block)
                 own = [batch.column(k).slice(block.lo, len(block)) for k in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(set_keys(h, first), pa.binary()), pa.array(signatures(h, first), pa.binary())], names=["doc_id", "th", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(set_keys(h, first), pa.binary()), pa.array(signatures(h, first), pa.binary())], names=["doc_id", "th", "node", "sig"]).append_column("size", pa.array(np.diff(first)))
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
-    return rows.mapInArrow(run, "doc_id long, th long, node binary, sig binary")
+    return rows.mapInArrow(run, "doc_id long, th long, node binary, sig binary, size long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -164,11 +166,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def dealt(rows: DataFrame, group: str, size: str, node: str, block: int) -> DataFrame:
-    """Rows of each group copied to the pairs of blocks (i <= j) that need them; ``side`` is the row's block."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(node, group), n).cast("int")
-    out = rows.withColumn("n", n).withColumn("side", own)
+def dealt(rows: DataFrame, group: str, node: str, blocks: Column) -> DataFrame:
+    """Rows of each group copied to the pairs of blocks (i <= j) that need them; ``side`` is the row's block.
+    A group of one block is not copied."""
+    own = F.pmod(F.xxhash64(node, group), F.col("n")).cast("int")
+    out = rows.withColumn("n", F.greatest(blocks.cast("int"), F.lit(1))).withColumn("side", own)
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return out.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
 
@@ -184,104 +186,164 @@ def candidate_edges(tables: Tables, nodes: DataFrame) -> DataFrame:
     kept = sizes.groupBy("members", "x", "s").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.bucket", "members")
     kept = tables.save(kept, "buckets")
     members = tables.save(bands.select("bucket", "node").join(kept, "bucket"), "members")
-    rows = dealt(members.join(nodes.select("node", "sig"), "node"), "bucket", "members", "node", SKETCH_BLOCK)
+    rows = dealt(members.join(nodes.select("node", "sig"), "node"), "bucket", "node", F.ceil(F.col("members") / F.lit(SKETCH_BLOCK)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prune_table()
-        out: list[tuple[bytes, bytes]] = []
+        left, right, size = [], [], 0
         for g in groups(batches, ["bucket", "i", "j"]):
-            names = g.column("node").to_pylist()
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<u4").reshape(len(names), HASHES)
-            side = g.column("side").to_numpy()
-            split = side[0] != side[-1] or (side != side[0]).any()
-            forest = Forest(len(names))
-            for k in range(len(names) - 1):
-                mates = np.arange(k + 1, len(names))
-                if split:
-                    mates = mates[side[mates] != side[k]]
-                for m in mates[surviving(np.broadcast_to(sig[k], (len(mates), HASHES)), sig[mates], table)].tolist():
-                    forest.join(k, m)
-            out += [(names[forest.root(k)], names[k]) for k in range(len(names)) if forest.root(k) != k]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+            names = g.column("node").combine_chunks()
+            sig = text_bytes(g.column("sig"))[0].view("<u4").reshape(len(names), HASHES)
+            tree = spanning(sig, g.column("side").to_numpy(), table)
+            some = np.flatnonzero(tree != np.arange(len(names)))
+            left.append(names.take(pa.array(tree[some])))
+            right.append(names.take(pa.array(some)))
+            size += len(some)
+            if size > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(left), pa.concat_arrays(right)], names=["a", "b"])
+                left, right, size = [], [], 0
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(left), pa.concat_arrays(right)], names=["a", "b"])
 
     return by_group(rows.select("bucket", "i", "j", "side", "node", "sig"), ["bucket", "i", "j"], run, "a binary, b binary")
 
 
-def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets at ``left`` with those at ``right``."""
+def spanning(sig: np.ndarray, side: np.ndarray, table: dict[int, int]) -> np.ndarray:
+    """The first row of each row's tree, of the pairs that survive; if there are two sides, of pairs across them."""
+    n = len(sig)
+    tree, split = np.arange(n), (side != side[0]).any()
+    todo, at = np.arange(n), 0
+    while at < len(todo):
+        k = todo[at]
+        at += 1
+        mates = todo[at:] if not split else todo[at:][side[todo[at:]] != side[k]]
+        mates = mates[tree[mates] != tree[k]]
+        if not len(mates):
+            # all that follow are in this tree: none of their pairs can join another
+            if not split and not len(np.flatnonzero(tree[todo[at:]] != tree[k])):
+                break
+            continue
+        found = mates[surviving(np.broadcast_to(sig[k], (len(mates), HASHES)), sig[mates], table)]
+        if len(found):
+            joined = np.unique(np.append(tree[found], tree[k]))
+            tree[np.isin(tree, joined)] = joined[0]
+    return tree
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``, in tiles."""
     if len(left) * len(right) <= 16:
-        return np.array([[len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for b in right] for a in left]).reshape(len(left), len(right))
+        yield left, right, np.array([[len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for b in right] for a in left]).reshape(len(left), len(right))
+        return
     used = np.union1d(left, right)
     row = np.repeat(used, [len(sets[i]) for i in used])
     _, code, count = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
     keep = count[code] > 1
     row, code = row[keep], code[keep]
-    order = np.argsort(code, kind="stable")
+    order = np.lexsort((code, row))
     row, code = row[order], code[order]
-    out, width = np.zeros((len(left), len(right))), 4096
-    cols, code = np.unique(code, return_inverse=True)
-    for c in range(0, len(cols), width):
-        a, b = np.searchsorted(code, [c, c + width])
-        x = np.zeros((len(sets), min(width, len(cols) - c)), np.float32)
-        x[row[a:b], code[a:b] - c] = 1
-        out += x[left] @ x[right].T
+    for a in range(0, len(left), TILE):
+        for b in range(0, len(right), TILE):
+            x, y = left[a : a + TILE], right[b : b + TILE]
+            yield x, y, shared(row, code, x, y)
+
+
+def shared(row: np.ndarray, code: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Counts of equal codes of two lists of rows; row and code are sorted, rows and codes being distinct pairs."""
+
+    def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = np.searchsorted(row, rows), np.searchsorted(row, rows, "right")
+        size = hi - lo
+        at = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
+        return np.repeat(np.arange(len(rows)), size), code[at]
+
+    (r1, c1), (r2, c2) = part(left), part(right)
+    both = np.intersect1d(c1, c2)
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for r, c in ((r1, c1), (r2, c2)):
+        col = np.minimum(np.searchsorted(both, c), max(len(both) - 1, 0))
+        ok = both[col] == c if len(both) else np.zeros(len(c), bool)
+        order = np.argsort(col[ok], kind="stable")
+        sides.append((r[ok][order], col[ok][order]))
+    for c in range(0, len(both), width):
+        tiles = []
+        for (r, col), n in zip(sides, (len(left), len(right)), strict=True):
+            lo, hi = np.searchsorted(col, [c, c + width])
+            x = np.zeros((n, min(width, len(both) - c)), np.float32)
+            x[r[lo:hi], col[lo:hi] - c] = 1
+            tiles.append(x)
+        out += tiles[0] @ tiles[1].T
     return np.rint(out).astype(np.int64)
 
 
+def as_sets(rows: DataFrame) -> DataFrame:
+    """comp, bytes, node, copies, text to comp, bytes, node, copies, set (sorted shingle hashes). A text that has another
+    set than its class's (hashes of texts may clash) goes, and a task gives a class's set once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for block in blocks(batch.column(4)):
+                h, first = shingles(block)
+                keys = set_keys(h, first)
+                want = batch.column(2).slice(block.lo, len(block)).to_pylist()
+                pick = [k for k, (a, b) in enumerate(zip(keys, want, strict=True)) if a == b and a not in seen and not seen.add(a)]
+                if pick:
+                    sets = pa.array([h[first[k] : first[k + 1]].tobytes() for k in pick], pa.binary())
+                    at = pa.array(np.array(pick) + block.lo)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(4)], sets], names=["comp", "bytes", "node", "copies", "set"])
+
+    return rows.mapInArrow(run, "comp binary, bytes long, node binary, copies long, set binary")
+
+
 def verify(rows: DataFrame) -> DataFrame:
-    """Exact links inside components; rows: comp, i, j, n, side, node, copies, text.
+    """Exact links inside components; rows: comp, i, j, n, side, node, copies, set.
 
     Gives (node, links) and, as rows with a root, a forest of the true links."""
     schema = "node binary, links long, root binary, whole boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["comp", "i", "j"]):
-            h, first = zip(*[shingles(b) for b in blocks(g.column("text"))], strict=True)
-            sets = [x[a:b] for x, f in zip(h, first, strict=True) for a, b in zip(f[:-1], f[1:], strict=True)]
-            keys = [k for x, f in zip(h, first, strict=True) for k in set_keys(x, f)]
-            want = g.column("node").to_pylist()
-            # a key that stands for several texts: the text that has the class's set, once
-            pick, seen = [], set()
-            for k, (a, b) in enumerate(zip(keys, want, strict=True)):
-                if a == b and a not in seen:
-                    seen.add(a)
-                    pick.append(k)
-            pick = np.array(pick, np.int64)
+            names = g.column("node").to_pylist()
+            pick = np.array(list({x: k for k, x in enumerate(names)}.values()), np.int64)  # a set comes from several tasks if its document is repeated
+            data, off = text_bytes(g.column("set"))
+            sets = [data[off[k] : off[k + 1]].view("<u8") for k in pick]
+            names = [names[k] for k in pick]
             side = g.column("side").to_numpy()[pick]
             copies = g.column("copies").to_numpy()[pick]
-            names, sets = [want[k] for k in pick], [sets[k] for k in pick]
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
             if not len(left) or not len(right):
                 continue
             size = np.array([len(s) for s in sets])
-            both = intersections(sets, left, right)
-            union = size[left][:, None] + size[right][None, :] - both
-            linked = both * 5 >= union * 4
-            if i == j:
-                np.fill_diagonal(linked, False)
             links = np.zeros(len(names), np.int64)
-            np.add.at(links, left, linked @ copies[right])
-            if i != j:
-                np.add.at(links, right, linked.T @ copies[left])
-            forest = Forest(len(names))
-            for a, b in zip(*np.nonzero(linked), strict=True):
-                forest.join(int(left[a]), int(right[b]))
-            best: dict[int, bytes] = {}
-            for k in range(len(names)):
-                r = forest.root(k)
-                best[r] = min(best.get(r, names[k]), names[k])
-            root = [best[forest.root(k)] for k in range(len(names))]
+            tree = np.arange(len(names))
+            for x, y, both in intersections(sets, left, right):
+                linked = both * 5 >= (size[x][:, None] + size[y][None, :] - both) * 4
+                linked &= x[:, None] != y[None, :]
+                links[x] += linked @ copies[y]
+                if i != j:
+                    links[y] += linked.T @ copies[x]
+                for k in np.flatnonzero(linked.any(axis=1)).tolist():
+                    joined = np.unique(np.append(tree[y[linked[k]]], tree[x[k]]))
+                    if len(joined) > 1:
+                        tree[np.isin(tree, joined)] = joined[0]
+            order = np.array(sorted(range(len(names)), key=names.__getitem__))
+            best = np.full(len(names), -1)
+            best[tree[order[::-1]]] = order[::-1]  # the smallest node of each tree
+            root = [names[k] for k in best[tree]]
             whole = g.column("n")[0].as_py() == 1
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(links), pa.array(root, pa.binary()), pa.array([whole] * len(names))], names=["node", "links", "root", "whole"])
 
     return by_group(rows, ["comp", "i", "j"], run, schema)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def verified_classes(docs: DataFrame, key: str, text: str) -> tuple[Tables, DataFrame, DataFrame]:
     """The job's tables, the sketches, and a row per set of shingles: node, lead and th (the smallest id
     with the set, and the hash of its text), copies, links, root (the same for all sets of a class)."""
@@ -289,19 +351,20 @@ def verified_classes(docs: DataFrame, key: str, text: str) -> tuple[Tables, Data
     sketches = tables.save(sketch(docs, key, text), "sketches")
     # a class's text is that of its smallest id, or of any document if all ids are null
     lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
-    nodes = sketches.where("node is not null").groupBy("node").agg(lead.alias("l"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    nodes = tables.save(nodes.select("node", F.col("l.doc_id").alias("lead"), F.col("l.th").alias("th"), "copies", "sig"), "nodes")
+    nodes = sketches.where("node is not null").groupBy("node").agg(lead.alias("l"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size"))
+    nodes = tables.save(nodes.select("node", F.col("l.doc_id").alias("lead"), F.col("l.th").alias("th"), "copies", "sig", "size"), "nodes")
     edges = tables.save(candidate_edges(tables, nodes), "edges")
     comps = components(tables, edges, "candidates")
-    comps = tables.save(comps.join(comps.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").join(nodes.select("node", "lead", "th", "copies"), "node").select(F.col("root").alias("comp"), "size", "node", "lead", "th", "copies"), "components")
-    tables.drop("edges", "members")
+    members = tables.save(comps.join(nodes.select("node", "lead", "th", "copies", "size"), "node").select(F.col("root").alias("comp"), "node", "lead", "th", "copies", "size"), "in-components")
+    # written first: a large component's rows meet its size without being dealt by it, or can be split
+    bytes_of = tables.save(members.groupBy("comp").agg(F.sum(F.col("size") * 8).alias("bytes")), "component-sizes")
+    comps = tables.save(members.join(small(bytes_of), "comp").select("comp", "bytes", "node", "lead", "th", "copies"), "components")
+    tables.drop("edges", "members", "in-components")
 
     source = docs.select(F.col(f"`{key}`").cast("long").alias("lead"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
-    wanted = comps.withColumnsRenamed({"lead": "want", "th": "want_th"})
-    if comps.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = source.join(wanted, (F.col("th") == F.col("want_th")) & F.col("lead").eqNullSafe(F.col("want"))).select("comp", "size", "node", "copies", "text")
-    rows = dealt(texts, "comp", "size", "node", TEXT_BLOCK).select("comp", "i", "j", "n", "side", "node", "copies", "text")
+    wanted = small(comps.withColumnsRenamed({"lead": "want", "th": "want_th"}))
+    texts = source.join(wanted, (F.col("th") == F.col("want_th")) & F.col("lead").eqNullSafe(F.col("want"))).select("comp", "bytes", "node", "copies", "text")
+    rows = dealt(as_sets(texts), "comp", "node", F.ceil(F.col("bytes") / F.lit(SET_BYTES))).select("comp", "i", "j", "n", "side", "node", "copies", "set")
     checked = tables.save(verify(rows), "checked")
 
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
@@ -323,7 +386,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     """A row per document: doc_id, class_id, n_links (other documents at 0.8 or more), n_copies
     (documents with the same shingle set, itself included; 0 without words)."""
     tables, sketches, info = verified_classes(docs, key, text)
-    classes = info.groupBy("root").agg(F.min("lead").alias("class_id"))
-    per_node = tables.save(info.join(classes, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
+    info = tables.save(info, "links")
+    # classes of one set need no join; a large class's rows meet its id without being dealt by it, or can be split
+    classes = tables.save(info.groupBy("root").agg(F.min("lead").alias("class_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("root", "class_id"), "class-ids")
+    found = info.join(small(classes), "root", "left").withColumn("class_id", F.when(F.col("class_id").isNull(), F.col("lead")).otherwise(F.col("class_id")))
+    per_node = tables.save(found.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
     out = sketches.select("doc_id", "node").join(per_node, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))

@@ -134,7 +134,7 @@ def test_near_duplicates(spark, empty, monkeypatch, small_blocks):
 
     if small_blocks:
         monkeypatch.setattr(jaccard, "SKETCH_BLOCK", 8)
-        monkeypatch.setattr(jaccard, "TEXT_BLOCK", 6)
+        monkeypatch.setattr(jaccard, "SET_BYTES", 5000)
         monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     rows = fixture_rows() + near_copies(40) + [(None, t) for _, t in near_copies(43)[40:]] + [(None, text_of(5, 40)), (None, text_of(12, 40)), (None, text_of(12, 40))]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
@@ -143,6 +143,46 @@ def test_near_duplicates(spark, empty, monkeypatch, small_blocks):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_links_of_the_smallest_table_are_all_found(spark):
+    from mediasift.llm.queries import op2_jaccard_join
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted((tuple(r)[:3] for r in op2_jaccard_join(spark, SF).collect()), key=repr) == classes_by_hand(rows)
+
+
+def test_a_large_group_is_shuffled_once(spark):
+    """3,000 near copies make one bucket a band and one component: no row is copied, all links are counted."""
+    from mediasift.llm import jaccard
+
+    words = text_of(9, 120).split()
+    rows = spark.range(3000).selectExpr("id as doc_id", f"concat_ws(' ', transform(sequence(0, {len(words) - 1}), k -> if(k = (7 * id) % {len(words)}, concat('edit', id), element_at(array({', '.join(repr(w) for w in words)}), k + 1)))) as text")
+    got = jaccard.near_duplicates(rows.repartition(3)).agg(F.countDistinct("class_id"), F.min("n_links"), F.max("n_links"), F.count(F.lit(1))).first()
+    assert tuple(got) == (1, 2999, 2999, 3000)
+
+
+def test_spanning_trees_join_what_survives():
+    from mediasift.llm import jaccard
+
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**32, (5, jaccard.HASHES), dtype=np.uint32)
+    group = rng.integers(0, 5, 300)
+    sig = np.where(rng.random((300, jaccard.HASHES)) < 0.03, rng.integers(0, 2**32, (300, jaccard.HASHES), dtype=np.uint32), base[group])
+    for side in (np.zeros(300, int), rng.integers(0, 2, 300)):
+        tree = jaccard.spanning(sig, side, jaccard.prune_table())
+        assert all(len(set(group[tree == t])) == 1 for t in set(tree)) and len(set(tree)) == 5
+
+
+def test_tiles_give_the_intersections(monkeypatch):
+    from mediasift.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "TILE", 7)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(40)]
+    left, right = np.arange(0, 25), np.arange(20, 40)
+    got = {(int(a), int(b)): int(v[i, j]) for x, y, v in jaccard.intersections(sets, left, right) for i, a in enumerate(x) for j, b in enumerate(y)}
+    assert got == {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in left.tolist() for b in right.tolist()}
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     from mediasift.llm.jaccard import HASHES, TOLERANCE, prune_table
 
