@@ -5,6 +5,12 @@ each group of near duplicates, decontamination drops documents that hold a bench
 repeats sources to their target weights, and the token store encodes what is left. All stages but
 the last return the columns of ``documents``. No SQL is given: the first stages are learned or
 approximate searches that SQL cannot express; tests hold them against brute force.
+
+Every stage takes any rows with the columns of ``documents``, whatever else they have. A null or empty
+text, or one without letters, goes in the first stage. Ids may be null or repeated: documents are told apart by
+id and text, and rows that agree in both are copies. Texts of any length are read whole. Of documents
+with equal claims the smallest id stays, then the smallest hash of the text. An empty table passes
+through as one.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mediasift.llm import decontaminate, jaccard, language_id, mixing, token_store
 from mediasift.llm.queries import tokenizer_file
-from mediasift.llm.shared import Tables, shared_dir, table
+from mediasift.llm.shared import Tables, finished, shared_dir, table
 
 #: A document is rejected when its text has no letters, or no language reaches this probability.
 MIN_LANGUAGE_SCORE = 0.5
@@ -25,7 +31,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; the model learns from two of three folds."""
-    model = language_id.fit(docs.where(language_id.hash_mod(F.col("doc_id"), 3) != 1))
+    model = language_id.fit(docs.where(F.coalesce(language_id.hash_mod(F.col("doc_id"), 3) != 1, F.lit(True))))
     found = language_id.identify(docs, model, lang_col="__lang", score_col="__score")
     return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
@@ -81,7 +87,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = tables.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with finished():  # a stage's own tables go once its result is written; token files stay
+            docs = tables.save(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             tables.drop(f"stage{k - 1}")
     return docs

@@ -10,7 +10,8 @@ buckets, whose rows of the matrix are added up per document in numpy.
 
 Letters are lower-cased; anything else is one space between letters. A null text, or one without
 letters, is ``und`` with score 0, as is every text when no labelled document was given. Equal
-scores go to the first language in alphabetical order. Repeated rows score alike; an empty table
+scores go to the first language in alphabetical order. Texts of any length are scored whole. A null key has no
+fold: ``fit`` may learn from its rows, and tells rows that share a key apart by their text. Repeated rows score alike; an empty table
 gives an empty table; only the key and the text are read when predicting. Columns of the input with
 the names of the two added ones are replaced.
 """
@@ -114,16 +115,20 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            names, code = np.unique(np.array(batch.column(0).to_pylist(), dtype=str), return_inverse=True)
             for block in blocks(batch.column(1)):
-                own = names[block.lo : block.hi]
+                own = code[block.lo : block.hi]
                 for bucket, row, _ in features(block, bits, max_n):
-                    for name in set(own):
-                        got = np.bincount(bucket[own[row] == name], minlength=1 << bits)
-                        totals[name] = totals.get(name, 0) + got
+                    seen, n = np.unique(own[row] << bits | bucket, return_counts=True)
+                    cuts = np.searchsorted(seen >> bits, np.arange(len(names) + 1))
+                    for k in np.unique(own).tolist():
+                        if names[k] not in totals:
+                            totals[names[k]] = np.zeros(1 << bits, np.int64)
+                        part = slice(cuts[k], cuts[k + 1])
+                        totals[names[k]][seen[part] & ((1 << bits) - 1)] += n[part]
         for name, t in sorted(totals.items()):
             at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(t[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(at), pa.string()), pa.array(at), pa.array(t[at])], names=["lang", "bucket", "n"])
 
     # at most 2**bits rows a language, whatever the size of the input
     counts = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

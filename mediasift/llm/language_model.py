@@ -14,7 +14,8 @@ The model interpolates with absolute discounting:
 ``p(c) = (n(c) + 0.5) / (N + 0.5 * (V + 1))``; it sums to one over the V known words and one unknown.
 
 A-Z are lower-cased; tokens are runs of bytes other than space and 0x09-0x0D, then an end token. A
-null or empty text is the end token alone. Repeated rows train and score as often as they occur. An
+null or empty text is the end token alone; texts of any length are scored whole. Keys are passed on, so null and
+repeated ones are like others. Repeated rows train and score as often as they occur. An
 empty training set gives every token the unknown word's share. Only key and text are read.
 """
 

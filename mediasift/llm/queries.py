@@ -34,8 +34,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     fold = li.hash_mod(F.col("doc_id"), 3)
-    model = li.fit(docs.where(fold != 1))
-    return li.identify(docs.withColumn("held_out", fold == 1), model, keep=["doc_id", "held_out"])
+    model = li.fit(docs.where(F.coalesce(fold != 1, F.lit(True))))
+    return li.identify(docs.withColumn("held_out", F.coalesce(fold == 1, F.lit(False))), model, keep=["doc_id", "held_out"])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     fold = hash_mod(F.col("doc_id"), 5)
-    return lm.score_texts(docs, lm.train(docs.where(fold != 1)), fold == 1)
+    return lm.score_texts(docs, lm.train(docs.where(F.coalesce(fold != 1, F.lit(True)))), F.coalesce(fold == 1, F.lit(False)))
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

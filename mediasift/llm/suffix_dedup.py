@@ -16,7 +16,7 @@ texts are shuffled only to cut wanted segments and to remove spans.
 
 Strings never cross documents; the text is taken as UTF-8 bytes, a null text as empty. Repeated rows
 repeat each other. Documents are told apart by key and a hash of the text, so null and repeated keys
-are safe. Columns other than key and text are not read. An empty table gives an empty table.
+are safe. A long text is cut like any other, into segments that are far shorter than it. Columns other than key and text are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations

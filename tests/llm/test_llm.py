@@ -815,15 +815,17 @@ def test_mixture_matches_sql(spark):
 
 
 def test_mixture_rates(spark, docs, empty):
-    from mediasift.llm.mixing import mix_sources, poisson_inverse
+    from mediasift.llm.mixing import mix_sources, poisson_cdf, poisson_inverse
 
     u = spark.range(20000).select(((F.col("id") + 0.5) / 20000).alias("u"))
     for mean in (0.0, 0.3, 2.5, 40.0):
-        r = u.select(poisson_inverse(F.lit(mean), F.col("u")).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
+        r = u.select(poisson_inverse(poisson_cdf(F.lit(mean)), F.col("u")).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
         assert abs(r[0] - mean) < 0.01 + mean * 0.002 and abs(r[1] - mean) < 0.02 + mean * 0.02
     big = spark.range(4000).selectExpr("id as doc_id", "'abcd' as text", "'en' as lang", "case when id < 3000 then 'a' else null end as source", "4L as n_chars")
     got = {r[0]: r[1] for r in mix_sources(big, {"a": 1.0, None: 1.0}, budget=50.0).groupBy("source").count().collect()}
     assert abs(got["a"] - 100_000) < 2500 and abs(got[None] - 100_000) < 2500
+    table = spark.createDataFrame([("a", 3.0), ("absent", 1.0)], "source string, weight double")
+    assert {r[0] for r in mix_sources(big, table).select("source").distinct().collect()} == {"a"}
     assert mix_sources(docs, columns="input").columns == docs.columns
     first = sorted(map(repr, mix_sources(docs).collect()))
     assert first == sorted(map(repr, mix_sources(docs.repartition(7)).collect()))
