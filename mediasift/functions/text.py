@@ -27,16 +27,3 @@ def clean(text: Column, unescape: bool = True) -> Column:
 
 def split_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
-
-
-def letter_tokens(text: Column) -> Column:
-    """Runs of the letters a-z in lower case: the tokens of the hashing encoder."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
-
-
-def hash_bucket(token: Column) -> Column:
-    return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % WIDTH
-
-
-def hash_sign(token: Column) -> Column:
-    return F.lit(1.0) - F.lit(2.0) * (F.conv(F.substring(F.md5(token), 5, 1), 16, 10).cast("int") % 2)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediasift.functions.text import WIDTH, clean, hash_bucket, hash_sign, letter_tokens, split_tokens
-from mediasift.functions.vectors import l2_normalise
+from mediasift.functions.text import WIDTH, clean, split_tokens
 
 LENGTH = 77
+LETTERS = re.compile("[a-z]+")
 
 
 def padded(encode: Callable[[np.ndarray], np.ndarray], size: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -113,11 +117,30 @@ def tokenise(texts: DataFrame, merges: list[tuple[str, str]], *, key: str, text:
 
 
 def hash_encode(texts: DataFrame, *, key: str, text: str) -> DataFrame:
-    """key and the unit ``vector`` of signed bucket counts of the text's tokens; texts whose counts
-    are all zero have none and are left out."""
-    # hashed after the explode, where expressions are compiled; tasks add up before the shuffle
-    tokens = texts.select(key, F.explode(letter_tokens(F.col(text))).alias("t")).select(key, hash_bucket(F.col("t")).alias("bucket"), hash_sign(F.col("t")).alias("sign"))
-    counts = tokens.groupBy(key, "bucket").agg(F.sum("sign").alias("x")).where("x <> 0")
-    per = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return per.select(key, dense.alias("vector")).withColumn("vector", l2_normalise(F.col("vector")))
+    """key and the unit ``vector`` of signed bucket counts of the text's tokens, the runs of a-z in lower case.
+
+    A map over rows: equal and null keys stay rows of their own. Texts whose counts are all zero have no
+    vector and are left out. A task hashes each distinct token once, and forgets them at a million."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            out, kept = [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                v = [0.0] * WIDTH
+                for token, n in Counter(LETTERS.findall(t or "")).items():
+                    if token not in known:
+                        if len(known) >= 1_000_000:
+                            known.clear()
+                        digest = hashlib.md5(token.encode()).hexdigest()
+                        known[token] = int(digest[:4], 16) % WIDTH, 1 - 2 * (int(digest[4], 16) % 2)
+                    bucket, sign = known[token]
+                    v[bucket] += sign * n
+                norm = sum(x * x for x in v) ** 0.5
+                if norm:
+                    out.append([x / norm for x in v])
+                    kept.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(out, pa.list_(pa.float64()))], names=["key", "vector"])
+
+    return texts.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).mapInArrow(run, f"key {kind}, vector array<double>").toDF(key, "vector")

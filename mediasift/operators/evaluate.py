@@ -2,40 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mediasift.functions.vectors import dot, l2_normalise
-from mediasift.operators.search import knn
-
-
-def rank_classes(items: DataFrame, classes: DataFrame, k: int = 5, *, item_key: str = "vec_id", vector: str = "vector") -> DataFrame:
-    """The best k classes of every item: item key, class_id, score, rk.
-
-    Classes are few and go out in blocks; the ranking of an item needs no other item, so each task
-    keeps a running best k for its own items and nothing but k rows per item is shuffled."""
-    spark = items.sparkSession
-    rows = classes.select("class_id", F.transform("cvec", lambda x: x.cast("double")).alias("c"))
-    table = [(r[0], r[1]) for r in rows.toLocalIterator()]
-    if not table:
-        return spark.createDataFrame([], f"{item_key} long, class_id int, score double, rk int")
-    out = None
-    for lo in range(0, len(table), 256):
-        part = table[lo : lo + 256]
-        pairs = F.array(*[F.struct(F.lit(c).alias("class_id"), F.array(*[F.lit(float(x)) for x in v]).alias("c")) for c, v in part])
-        scored = items.select(item_key, F.transform(pairs, lambda p: F.struct((-dot(F.col(vector), p["c"])).alias("minus"), p["class_id"].alias("class_id"))).alias("s"))
-        scored = scored.select(item_key, F.slice(F.array_sort("s"), 1, k).alias("s"))
-        out = scored if out is None else out.join(scored.withColumnRenamed("s", "t"), item_key).select(item_key, F.slice(F.array_sort(F.concat("s", "t")), 1, k).alias("s"))
-    best = out.select(item_key, F.posexplode("s").alias("p", "x"))
-    return best.select(item_key, F.col("x.class_id").alias("class_id"), (-F.col("x.minus")).alias("score"), (F.col("p") + 1).alias("rk"))
-
-
-def accuracy(ranked: DataFrame, truth: DataFrame, *, item_key: str = "vec_id") -> DataFrame:
-    """processed, top1, top5 of ranked classes against (item key, label)."""
-    hit = F.col("class_id") == F.col("label")
-    per = ranked.join(truth, item_key).groupBy(item_key).agg(F.max(F.when(hit & (F.col("rk") == 1), 1).otherwise(0)).alias("a"), F.max(F.when(hit & (F.col("rk") <= 5), 1).otherwise(0)).alias("b"))
-    return per.agg(F.count(F.lit(1)).alias("processed"), (F.sum("a") / F.count(F.lit(1))).alias("top1"), (F.sum("b") / F.count(F.lit(1))).alias("top5"))
+from mediasift.functions.vectors import dot, doubles, l2_normalise
+from mediasift.operators.search import best_k, knn, matrix, read_vectors, write_vectors
+
+
+def rank_classes(items: DataFrame, classes: DataFrame, k: int = 5, *, item_key: str = "vec_id", vector: str = "vector", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The best k classes of every item: item key, columns to keep, class_id, score, rk (ties by class_id).
+
+    The ranking of an item needs no other item: each task goes through the written classes in blocks and keeps
+    the best k for its own rows, so nothing is shuffled or joined, and items with equal keys are ranked alike.
+    Items without a vector, and scores that are not a number, have no rows."""
+    names = [item_key, *keep]
+    source = items.select(*[F.col(c) for c in names], doubles(F.col(vector)).alias("v")).where("v is not null")
+    listed = write_vectors(classes.orderBy("class_id"), "class_id", "cvec")  # places are in the order of ids
+    fields = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                part = whole.slice(lo, 2048)
+                x = matrix(part.column(len(names)))
+                score, tag, ids, base = np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int64), [], 0
+                for own, c in read_vectors(listed, 1024):
+                    got = x @ c.T
+                    got[np.isnan(got)] = -np.inf
+                    score, tag = best_k(np.hstack([score, got]), np.hstack([tag, np.broadcast_to(np.arange(base, base + len(own)), got.shape)]), k)
+                    ids.append(own)
+                    base += len(own)
+                if not ids:
+                    continue
+                order = np.lexsort((tag, -score))
+                score, tag = np.take_along_axis(score, order, 1), np.take_along_axis(tag, order, 1)
+                row, rk = np.divmod(np.arange(score.size), score.shape[1])
+                ok = score.ravel() > -np.inf
+                at = pa.array(row[ok])
+                found = pa.concat_arrays(ids).take(pa.array(tag.ravel()[ok]))
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in range(len(names))], found, pa.array(score.ravel()[ok]), pa.array((rk[ok] + 1).astype(np.int32))], names=[*names, "class_id", "score", "rk"])
+
+    return source.mapInArrow(run, f"{fields}, class_id {classes.schema['class_id'].dataType.simpleString()}, score double, rk int")
+
+
+def accuracy(ranked: DataFrame, *, label: str = "label") -> DataFrame:
+    """processed, top1, top5 of ranked classes that keep their item's label. Each ranked item counts, equal keys
+    included; class ids are distinct."""
+    hit = F.col("class_id") == F.col(label)
+    share = lambda least: F.count_if(hit & (F.col("rk") <= least)) / F.count_if(F.col("rk") == 1)
+    return ranked.agg(F.count_if(F.col("rk") == 1).alias("processed"), share(1).alias("top1"), share(5).alias("top5"))
 
 
 def precision(items: DataFrame, queries: DataFrame, k: int = 100, *, item_key: str = "vec_id", label: str = "label") -> DataFrame:

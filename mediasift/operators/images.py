@@ -1,15 +1,18 @@
-"""Images to encoder input: pixel cap, quarantine, bicubic resize, crop, normalise."""
+"""Images to encoder input: pixel cap, quarantine, decoding, bicubic resize, crop, normalise, encode."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions.media import MEAN, SIDE, STD, bomb_pixels, megapixels, within_cap
+from mediasift.sources.content import content_of
 
 
 def pixel_cap(images: DataFrame, cap: int | None) -> DataFrame:
@@ -65,14 +68,122 @@ def preprocess(rgb: np.ndarray, side: int = SIDE) -> np.ndarray:
     return ((x - np.array(MEAN, np.float32)) / np.array(STD, np.float32)).transpose(2, 0, 1)
 
 
-def to_tensors(images: DataFrame, side: int = SIDE) -> DataFrame:
-    """filepath and pixels (3 * side * side floats) of decoded images (blue-green-red rows)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                raw = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, r.channels)
-                rgb = np.repeat(raw, 3, axis=2) if r.channels == 1 else raw[:, :, 2::-1]
-                yield pd.DataFrame({"filepath": [r.filepath], "pixels": [preprocess(rgb, side).ravel()]})
-
-    return images.where("width > 0").select("filepath", "width", "height", "channels", "pixels").mapInPandas(run, "filepath string, pixels array<float>")
+def image_size(raw: bytes) -> tuple[int, int] | None:
+    """Width and height of a PNG, GIF, BMP or JPEG from its head; nothing is decoded."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
+        return struct.unpack(">II", raw[16:24])
+    if raw[:4] == b"GIF8" and len(raw) >= 10:
+        return struct.unpack("<HH", raw[6:10])
+    if raw[:2] == b"BM" and len(raw) >= 26:
+        w, h = struct.unpack("<ii", raw[18:26])
+        return abs(w), abs(h)
+    at = 2
+    while raw[:2] == b"\xff\xd8" and at + 9 <= len(raw) and raw[at] == 0xFF:
+        if 0xC0 <= raw[at + 1] <= 0xCF and raw[at + 1] not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", raw[at + 5 : at + 9])
+            return w, h
+        at += 2 + struct.unpack(">H", raw[at + 2 : at + 4])[0]
+    return None
+
+
+def decode_png(raw: bytes) -> np.ndarray:
+    """Height x width x 3 bytes of a PNG of 8 bits a channel that is not interlaced. Other formats take a
+    decoder of the user's; this one needs no imaging library."""
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("cannot identify image file")
+    at, data, palette = 8, b"", None
+    try:
+        w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", raw[16:29])
+        while at < len(raw):
+            size, name = struct.unpack(">I4s", raw[at : at + 8])
+            body, at = raw[at + 8 : at + 8 + size], at + 12 + size
+            if name == b"PLTE":
+                palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+            elif name == b"IDAT":
+                data += body
+        if depth != 8 or interlaced:
+            raise ValueError("cannot identify image file: bits a channel or interlacing")
+        n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+        rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * n)
+    except (struct.error, zlib.error, KeyError) as error:
+        raise ValueError(f"cannot identify image file: {error}") from error
+    out, above = np.empty((h, w, n), np.uint8), np.zeros((w, n), np.int64)
+    for y in range(h):
+        line = rows[y, 1:].reshape(w, n).astype(np.int64)
+        how = rows[y, 0]
+        if how == 1:
+            line = np.cumsum(line, axis=0)
+        elif how == 2:
+            line = line + above
+        elif how > 2:
+            left, corner = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for x in range(w):
+                up = above[x]
+                if how == 3:
+                    near = (left + up) >> 1
+                else:
+                    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+                    near = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                left, corner = (line[x] + near) & 255, up
+                line[x] = left
+        above = line & 255
+        out[y] = above
+    if kind == 3:
+        return palette[out[:, :, 0]]
+    return np.repeat(out[:, :, :1], 3, axis=2) if n < 3 else out[:, :, :3]
+
+
+def load_image(raw: bytes, decode: Callable[[bytes], np.ndarray], cap: int | None, side: int = SIDE) -> np.ndarray:
+    """Encoder input of an image; one above the cap is refused by its head, before it is decoded."""
+    size = image_size(raw)
+    if cap is not None and size and size[0] * size[1] > cap:
+        raise ValueError(f"Image size ({size[0] * size[1]} pixels) exceeds the cap")
+    rgb = decode(raw)
+    if cap is not None and rgb.shape[0] * rgb.shape[1] > cap:
+        raise ValueError(f"Image size ({rgb.shape[0] * rgb.shape[1]} pixels) exceeds the cap")
+    return preprocess(rgb, side)
+
+
+def encode_images(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], *, decode: Callable[[bytes], np.ndarray] = decode_png, cap: int | None = None, batch: int = 8, read: Callable[[str], bytes] = content_of) -> DataFrame:
+    """Rows of a listing with the unit ``vector`` of each image, or a null one, a ``reason`` and a ``message``.
+
+    Tasks open the files, refuse what is above the cap, decode, resize, and encode ``batch`` images at once with an
+    encoder built once a task. An image that fails fails alone; if the encoder fails, its batch does."""
+    if batch < 1:
+        raise ValueError("batch must be at least 1")
+    place = rows.columns.index("filepath")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                part = whole.slice(lo, batch)
+                errors: list[str | None] = [None] * part.num_rows
+                images, own = [], []
+                for k, path in enumerate(part.column(place).to_pylist()):
+                    try:
+                        images.append(load_image(read(path), decode, cap))
+                        own.append(k)
+                    except MemoryError:
+                        errors[k] = "out of memory while decoding"
+                    except Exception as error:  # decoders raise what they like; the file is reported and left out
+                        errors[k] = str(error) or type(error).__name__
+                vectors: list = [None] * part.num_rows
+                if images:
+                    try:
+                        encode = encode or make_encoder()
+                        found = np.asarray(encode(np.stack(images)), np.float32)
+                        for k, v in zip(own, found / np.linalg.norm(found, axis=-1, keepdims=True), strict=True):
+                            vectors[k] = v
+                    except Exception as error:
+                        for k in own:
+                            errors[k] = f"the encoder failed: {error}"
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[*part.schema.names, "vector", "error"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    found = rows.mapInArrow(run, f"{fields}, vector array<float>, error string")
+    above = F.col("error").endswith("exceeds the cap")
+    none = F.lit(None).cast("long")
+    reason = F.when(above, "too_large").otherwise(skip_reason(F.col("error"), none, none, None))
+    message = F.when(above, F.concat(megapixels(bomb_pixels(F.col("error"))), F.lit(" MP is above the cap"))).otherwise(skip_message(reason, F.col("error"), none, none))
+    return found.withColumn("reason", F.when(F.col("error").isNotNull(), reason)).withColumn("message", F.when(F.col("error").isNotNull(), message)).drop("error")

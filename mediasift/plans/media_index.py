@@ -2,59 +2,91 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.functions import terms as Q
-from mediasift.functions.media import fingerprint
+from mediasift.functions.media import parse_cap
+from mediasift.operators import images as im
 from mediasift.operators import index as ix
 from mediasift.operators import listing_filters as lf
 from mediasift.operators import search as sr
-from mediasift.sources.content import read_bytes
+from mediasift.sources.content import content_of, fingerprints
 from mediasift.sources.listing import list_library
 from mediasift.sources.store import IndexStore
 
 
 class MediaIndex:
-    """``encode_rows`` maps rows with content to rows with a unit vector; ``encode_text`` a phrase to one."""
+    """``make_encoder`` gives, in each worker, a function of a batch of images (n x 3 x 256 x 256) to vectors;
+    ``encode_text`` maps a phrase to a unit vector; ``decode`` maps a file's bytes to height x width x 3 bytes."""
 
-    def __init__(self, spark: SparkSession, store: str, encode_rows: Callable[[DataFrame], DataFrame], encode_text: Callable[[str], list[float]], *, exclude_dirs: list[str] | None = None, include_hidden: bool = False, raw_support: bool = False):
+    def __init__(
+        self, spark: SparkSession, store: str, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], encode_text: Callable[[str], list[float]], *,
+        decode: Callable[[bytes], np.ndarray] = im.decode_png, batch: int = 8, max_image_megapixels: str = "auto", memory: int = 0, workers: int = 1,
+        exclude_dirs: list[str] | None = None, include_hidden: bool = False, raw_support: bool = False, read: Callable[[str], bytes] = content_of,
+    ):
         self.spark, self.store = spark, IndexStore(spark, store)
-        self.encode_rows, self.encode_text = encode_rows, encode_text
+        self.make_encoder, self.encode_text, self.decode, self.read, self.batch = make_encoder, encode_text, decode, read, batch
+        self.cap = parse_cap(max_image_megapixels, memory, workers)
         self.exclude_dirs, self.include_hidden, self.raw_support = exclude_dirs, include_hidden, raw_support
 
-    def refresh(self, directory: str, *, restore_deleted: bool = True) -> None:
-        """Lists the directory, loads and encodes what is new or changed, and writes the next snapshot."""
-        listing = list_library(self.spark, directory, hidden=self.include_hidden, exclude_dirs=self.exclude_dirs, raw_support=self.raw_support)
-        listing = (lf.without_shadowed_raw(listing) if self.raw_support else listing).where("modified_at is not null")
-        content = read_bytes(self.spark, directory).select("filepath", "content")
+    def refresh(self, directory: str, *, restore_deleted: bool = True) -> DataFrame:
+        """Lists the directory, opens what is new or changed, encodes what is not yet known by content, and
+        writes the next snapshot. Returns the files that were left out: filepath, reason, message."""
+        listed = list_library(self.spark, directory, hidden=self.include_hidden, exclude_dirs=self.exclude_dirs, raw_support=self.raw_support)
+        listing = (lf.without_shadowed_raw(listed) if self.raw_support else listed).where("modified_at is not null").drop("name", "reason")
+        skipped = [listed.where("modified_at is null").select("filepath", F.lit("unreadable").alias("reason"), F.col("reason").alias("message"))]
+        manifest = self.store.manifest()
 
         def load(rows: DataFrame) -> DataFrame:
-            return rows.join(content, "filepath").withColumn("hash", fingerprint(F.col("content"))).drop("content", "name", "reason")
+            found = self.store.hold(fingerprints(rows))
+            skipped.append(found.where("error is not null").select("filepath", F.lit("unreadable").alias("reason"), F.col("error").alias("message")))
+            return found.where("error is null").drop("error")
 
         def encode(rows: DataFrame) -> DataFrame:
-            return self.encode_rows(rows.join(content, "filepath"))
+            found = self.store.hold(im.encode_images(rows, self.make_encoder, decode=self.decode, cap=self.cap, batch=self.batch, read=self.read))
+            skipped.append(found.where("reason is not null").select("filepath", "reason", "message"))
+            return found.where("reason is null")
 
-        self.store.write(ix.refresh(listing, self.store.read(), directory, load, encode, restore_deleted=restore_deleted, hold=self.store.hold))
+        index = ix.refresh(listing, self.store.read(manifest), directory, load, encode, restore_deleted=restore_deleted, hold=self.store.hold)
+        index = self.store.hold(index)
+        report = skipped[0]
+        for x in skipped[1:]:
+            report = report.unionByName(x)
+        path = f"{self.store.root}/skipped"
+        report.write.mode("overwrite").parquet(path)
+        self.store.write(index, based_on=manifest)
+        return self.spark.read.schema("filepath string, reason string, message string").parquet(path)
 
-    def search(self, directory: str, query: str, add: list[str] | None = None, subtract: list[str] | None = None, *, top: int = 10, refresh: bool = True) -> DataFrame:
-        """filepath and score of the best files below a directory; queries may be phrases or paths in the index."""
+    def encode_image(self, raw: bytes) -> list[float]:
+        """The unit vector of one image; a query image is not held to the pixel cap."""
+        found = np.asarray(self.make_encoder()(im.load_image(raw, self.decode, None)[None]), np.float64)[0]
+        return (found / np.linalg.norm(found)).tolist()
+
+    def query_vector(self, kind: str, body: str, images: Mapping[str, bytes]) -> list[float]:
+        """Of a phrase; of a file in the index, or else of its bytes; of a URL whose bytes are given."""
+        if kind == "phrase":
+            return self.encode_text(body)
+        if body in images:
+            return self.encode_image(images[body])
+        if kind == "url":
+            raise ValueError(f"give the bytes of {body} as images[{body!r}]")
+        path = body.removeprefix("file://")
+        found = self.store.read().where((F.col("filepath") == path) & F.col("deleted").isNull()).select("vector").first()
+        return [float(x) for x in found[0]] if found else self.encode_image(self.read(path))
+
+    def search(self, directory: str, query: str, add: list[str] | None = None, subtract: list[str] | None = None, *, top: int = 10, refresh: bool = True, images: Mapping[str, bytes] | None = None) -> DataFrame:
+        """filepath and score of the best files below a directory; queries may be phrases, files or URLs.
+
+        ``images`` has the bytes of query images by the query that names them, such as URLs."""
         if refresh:
             self.refresh(directory)
         signed = [(1.0, q) for q in [query, *(add or [])]] + [(-1.0, q) for q in subtract or []]
         rows = self.spark.createDataFrame(signed, "sign double, q string").select("sign", "q", Q.parse(F.col("q")).alias("t")).select("sign", "q", "t.*").collect()
-        vectors, weights = [], []
-        for r in rows:
-            if r["kind"] == "phrase":
-                vector = self.encode_text(r["body"])
-            else:
-                found = self.store.read().where(F.col("filepath") == r["body"].removeprefix("file://")).select("vector").first()
-                if found is None:
-                    raise ValueError(f"{r['body']} is not in the index")
-                vector = found[0]
-            vectors.append(vector)
-            weights.append(r["sign"] * r["multiplier"])
+        vectors = [self.query_vector(r["kind"], r["body"], images or {}) for r in rows]
+        weights = [r["sign"] * r["multiplier"] for r in rows]
         files = [r["q"] for r in rows if r["kind"] == "file" and r["q"] == r["body"]]
         return sr.search(ix.scan(self.store.read(), directory), sr.combine(vectors, weights, len(vectors[0])), top=top, exclude_dirs=self.exclude_dirs, query_files=files)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -206,6 +207,14 @@ _BOMB = "coalesce(TRY_CAST(regexp_extract(error, 'Image size \\((\\d+) pixels\\)
 _REASON = f"CASE WHEN width * height > {media.LEAST_CAP} THEN 'too_large' WHEN {_BOMB} > 0 THEN 'bomb' WHEN starts_with(error, 'out of memory') THEN 'out_of_memory' WHEN starts_with(error, 'cannot identify') THEN 'unreadable' WHEN error IS NOT NULL THEN 'other' END"
 
 
+_MESSAGE = f"CASE WHEN width * height > {media.LEAST_CAP} THEN printf('%.0f', width * height / 1e6) || ' MP is above the cap' WHEN {_BOMB} > 0 THEN printf('%.0f', {_BOMB} / 1e6) || ' MP is above the cap' ELSE error END"
+
+
+@register(f"SELECT image_id, reason, message FROM (SELECT *, {_REASON} AS reason, {_MESSAGE} AS message FROM image_dims) WHERE reason IS NOT NULL", "image_dims")
+def skip_messages(spark, d):
+    return im.quarantine(view(spark, d, "image_dims"), media.LEAST_CAP).where("reason is not null").select("image_id", "reason", "message")
+
+
 @register(f"SELECT reason, count(*) AS files, max(width * height) AS most_pixels FROM (SELECT *, {_REASON} AS reason FROM image_dims) WHERE reason IS NOT NULL GROUP BY reason", "image_dims")
 def skip_report(spark, d):
     bad = im.quarantine(view(spark, d, "image_dims"), media.LEAST_CAP).where("reason is not null")
@@ -242,13 +251,17 @@ def token_split(spark, d):
     return view(spark, d, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("digest"))
 
 
-#: A small list of merges; a real vocabulary is a parameter of the operator.
-MERGES = [("t", "h"), ("th", "e</w>"), ("i", "n"), ("e", "r"), ("o", "n"), ("th", "e"), ("in", "g"), ("a", "n"), ("an", "d</w>"), ("d", "e</w>")]
+def vocabulary_merges() -> list[tuple[str, str]]:
+    """The merges of a public vocabulary of this tokeniser's kind."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in json.load(f)["model"]["merges"]]
 
 
 @register()
 def bpe_tokenise(spark, d):
-    return en.tokenise(view(spark, d, "documents"), MERGES, key="doc_id", text="text")
+    return en.tokenise(view(spark, d, "documents"), vocabulary_merges(), key="doc_id", text="text")
 
 
 @register()
@@ -368,7 +381,7 @@ def result_paths_only(spark, d):
     return sr.search(items, first_vector(items)[1]).select("filepath")
 
 
-@register(f"SELECT filepath, round(score, 6) + 0.0 AS score FROM ({_TOP.format("starts_with(filepath, '/photos/c1/')")})", "items")
+@register(f"SELECT filepath, round(score, 6) + 0.0 AS score FROM ({_TOP.format(_NOT_EXCLUDED + " AND starts_with(filepath, '/photos/c1/')")})", "items")
 def search_scoped(spark, d):
     items = view(spark, d, "items").withColumn("deleted", F.lit(None).cast("boolean"))
     return rounded(sr.search(ix.scan(items, "/photos/c1"), first_vector(items)[1]), "score")
@@ -432,8 +445,7 @@ def zero_shot_predict(spark, d):
     "items classes",
 )
 def zero_shot_accuracy(spark, d):
-    items = view(spark, d, "items")
-    return ev.accuracy(ev.rank_classes(items, view(spark, d, "classes")), items.select("vec_id", "label"))
+    return ev.accuracy(ev.rank_classes(view(spark, d, "items"), view(spark, d, "classes"), keep=("label",)))
 
 
 @register(

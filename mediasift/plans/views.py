@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FILEPATH = "concat('/photos/c', label, '/n', label, '_', vec_id, '.jpg')"
+# some files lie in directories that searches leave out
+_FILEPATH = "concat('/photos/c', label, CASE vec_id % 17 WHEN 3 THEN '/node_modules' WHEN 4 THEN '/@eaDir/x' ELSE '' END, '/n', label, '_', vec_id, '.jpg')"
 _TERM = r"""CASE doc_id % 16 WHEN 0 THEN concat('1.5:', s) WHEN 1 THEN s WHEN 2 THEN concat('1:', s) WHEN 3 THEN concat('0.5:', s)
  WHEN 4 THEN concat('.5:', s) WHEN 5 THEN concat('1.:', s) WHEN 6 THEN concat('1..:', s) WHEN 7 THEN concat('..:', s)
  WHEN 8 THEN concat('whatever:', s) WHEN 9 THEN concat('10:30 ', s) WHEN 10 THEN concat('2:./', s, '.jpg') WHEN 11 THEN concat('file:///a/', s, '.jpg')

@@ -4,9 +4,9 @@
 seconds as the file system has them) and size. Unlike Spark's file sources it keeps names that begin
 with an underscore. Hidden names are skipped unless ``hidden`` is true, directories whose path
 matches ``excludeDirs`` (a regex) are pruned, names must match ``files`` (a regex). Links are followed,
-each directory once. There is a partition for each directory below the root; the directory must be
-reachable from all executors. A file whose metadata cannot be read has a null time and size and a
-reason.
+each directory once. The driver looks into directories, level by level, until there are ``PARTITIONS`` of them; each is
+then a partition with all below it. The root must be reachable from all executors. A file or directory that
+cannot be read has a null time and size and a reason.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from mediasift.functions.paths import EXCLUDED_DIRS, IMAGE_EXTENSIONS, RAW_EXTENSIONS, exclude_regex, extension_regex
 
 
+#: Directories that the driver deals out, at least, if there are so many.
+PARTITIONS = 512
+
+
 class SubTree(InputPartition):
     def __init__(self, path: str, recursive: bool):
         self.path, self.recursive = path, recursive
@@ -37,19 +41,44 @@ class LibraryReader(DataSourceReader):
         return entry.is_dir() and (self.hidden or not entry.name.startswith(".")) and not re.match(self.exclude, entry.path)
 
     def partitions(self) -> list[SubTree]:
-        # the root's own files, and each of its directories with all below
-        below = [SubTree(e.path, True) for e in os.scandir(self.root) if self._wanted_dir(e)]
-        return [SubTree(self.root, False), *sorted(below, key=lambda p: p.path)]
+        # directories whose own files are read alone, and those that are read with all below
+        single, whole, seen = [], [self.root], set()
+        while whole and len(single) + len(whole) < PARTITIONS:
+            below = []
+            for here in whole:
+                single.append(SubTree(here, False))
+                try:
+                    info = os.stat(here)
+                    if (info.st_dev, info.st_ino) not in seen:
+                        seen.add((info.st_dev, info.st_ino))
+                        below += sorted(e.path for e in os.scandir(here) if self._wanted_dir(e))
+                except OSError:
+                    pass  # the task that reads it reports it
+            whole = [p for p in below if self._id(p) not in seen]
+        return [*single, *[SubTree(p, True) for p in whole]]
+
+    @staticmethod
+    def _id(path: str) -> tuple[int, int] | None:
+        try:
+            info = os.stat(path)
+        except OSError:
+            return None
+        return info.st_dev, info.st_ino
 
     def read(self, partition: SubTree) -> Iterator[tuple]:
         todo, seen = [partition.path], set()
         while todo:
             here = todo.pop()
-            info = os.stat(here)
-            if (info.st_dev, info.st_ino) in seen:
+            try:
+                info = os.stat(here)
+                if (info.st_dev, info.st_ino) in seen:
+                    continue
+                seen.add((info.st_dev, info.st_ino))
+                entries = list(os.scandir(here))
+            except OSError as error:
+                yield here, os.path.basename(here), None, None, str(error)
                 continue
-            seen.add((info.st_dev, info.st_ino))
-            for e in os.scandir(here):
+            for e in entries:
                 if e.is_dir():
                     if partition.recursive and self._wanted_dir(e):
                         todo.append(e.path)

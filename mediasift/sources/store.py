@@ -1,12 +1,16 @@
-"""Versioned index tables: Parquet snapshots under one folder and a manifest that names the current one.
+"""Versioned index tables: Parquet snapshots under one folder, and manifests that name them.
 
-A snapshot is written beside the one being read; the manifest is then replaced by a rename, so
-readers see the old or the new table and never a part. All files go through Hadoop's file systems.
+A version is a snapshot and the few changes made since: ``add`` writes only the rows that changed, ``write`` a new
+snapshot; after ``MOST_CHANGES`` changes the next one becomes a snapshot. Readers see the old or the new version and never a part.
+A version's manifest is put in place by a rename that fails if the version exists, so of two writers that
+started from one version the second is refused. Files that neither the current version nor the one before it
+names are removed. All files go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = 4
+#: Changes that a version may have besides its snapshot; unnamed rows younger than this may be another writer's.
+MOST_CHANGES, GRACE_SECONDS = 16, 3600
 INDEX = T.StructType([
     T.StructField("filepath", T.StringType(), False), T.StructField("modified_at", T.DoubleType(), False),
     T.StructField("size", T.LongType(), False), T.StructField("hash", T.StringType()),
@@ -21,6 +27,10 @@ INDEX = T.StructType([
 ])
 
 
+class Conflict(RuntimeError):
+    """Another writer made the next version first; read again and repeat."""
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -29,30 +39,41 @@ class IndexStore:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def manifest(self) -> dict | None:
-        path = self._path("manifest.json")
-        files = path.getFileSystem(self._conf)
-        if not files.exists(path):
+    def _versions(self) -> list[int]:
+        path = self._path("manifest-*.json")
+        found = path.getFileSystem(self._conf).globStatus(path) or []
+        return sorted(int(x.getPath().getName()[9:-5]) for x in found)
+
+    def manifest(self, version: int | None = None) -> dict | None:
+        """The current version's manifest, or that of another version that is still kept."""
+        known = self._versions()
+        version = known[-1] if version is None and known else version
+        if version not in known:
             return None
-        stream = files.open(path)
+        path = self._path(f"manifest-{version:08d}.json")
+        stream = path.getFileSystem(self._conf).open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def exists(self) -> bool:
-        return self.manifest() is not None
+        return bool(self._versions())
 
     def has_rows(self) -> bool:
         return self.exists() and not self.read().isEmpty()
 
-    def read(self) -> DataFrame:
-        m = self.manifest()
+    def read(self, manifest: dict | None = None) -> DataFrame:
+        m = manifest or self.manifest()
         if m is None:
             return self.spark.createDataFrame([], INDEX)
         if m["schema_version"] > SCHEMA_VERSION:
             raise ValueError(f"the index has schema version {m['schema_version']}; this code knows {SCHEMA_VERSION}")
-        return self.spark.read.parquet(f"{self.root}/{m['snapshot']}")
+        out = self.spark.read.parquet(f"{self.root}/{m['snapshot']}")
+        for name in m["changes"]:
+            rows = self.spark.read.schema(INDEX).parquet(f"{self.root}/{name}")
+            out = out.join(rows.select("filepath"), "filepath", "left_anti").unionByName(rows)
+        return out
 
     def hold(self, rows: DataFrame) -> DataFrame:
         """Rows written beside the snapshots and read back, so that later steps do not repeat their work."""
@@ -60,22 +81,60 @@ class IndexStore:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def write(self, index: DataFrame, schema_version: int = SCHEMA_VERSION) -> None:
-        old = self.manifest() or {"version": 0}
-        version = old["version"] + 1
-        name = f"v={version}-{uuid.uuid4().hex[:8]}"
+    def write(self, index: DataFrame, schema_version: int = SCHEMA_VERSION, based_on: dict | None = None) -> None:
+        """A new snapshot; ``based_on`` is the manifest that ``index`` was made from (default: the current one)."""
+        old = based_on or self.manifest()
         # ranges of paths, so a directory's rows are in few files and row groups
-        index.repartitionByRange("filepath").sortWithinPartitions("filepath").write.parquet(f"{self.root}/{name}")
-        target, fresh = self._path("manifest.json"), self._path(f"manifest-{name}.json")
+        name = self._save(index.repartitionByRange("filepath").sortWithinPartitions("filepath"))
+        self._commit(old, {"schema_version": schema_version, "snapshot": name, "changes": []})
+
+    def add(self, rows: DataFrame, based_on: dict | None = None) -> None:
+        """Rows (columns of INDEX, distinct paths) in place of those with their paths: only they are written."""
+        old = based_on or self.manifest()
+        if old is None or len(old["changes"]) >= MOST_CHANGES:
+            base = self.read(old)
+            self.write(base.join(rows.select("filepath"), "filepath", "left_anti").unionByName(rows.select(*INDEX.fieldNames())), based_on=old)
+            return
+        name = self._save(rows.select(*INDEX.fieldNames()).sortWithinPartitions("filepath"))
+        self._commit(old, {"schema_version": old["schema_version"], "snapshot": old["snapshot"], "changes": [*old["changes"], name]})
+
+    def _save(self, rows: DataFrame) -> str:
+        name = f"rows-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}")
+        return name
+
+    def _commit(self, old: dict | None, new: dict) -> None:
+        version = (old or {"version": 0})["version"] + 1
+        target, fresh = self._path(f"manifest-{version:08d}.json"), self._path(f"fresh-{uuid.uuid4().hex}.json")
         files = target.getFileSystem(self._conf)
         out = files.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": version, "schema_version": schema_version, "snapshot": name}).encode()))
+        out.write(bytearray(json.dumps({"version": version, **new}).encode()))
         out.close()
-        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else files.getUri(), self._conf).rename(files.makeQualified(fresh), files.makeQualified(target), options)
-        for held in files.globStatus(self._path("held-*")) or []:
-            files.delete(held.getPath(), True)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self._conf)
+        keep = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            if version in self._versions() or version <= max(self._versions(), default=0):
+                raise Conflict(f"version {version} exists")
+            context.rename(files.makeQualified(fresh), files.makeQualified(target), keep)
+        except Exception as error:
+            files.delete(fresh, False)
+            if isinstance(error, Conflict) or files.exists(target):
+                raise Conflict(f"version {version} of {self.root} was made by another writer") from error
+            raise
+        self._expire(version, [new, old])
+
+    def _expire(self, version: int, kept: list[dict | None]) -> None:
+        names = {x for m in kept if m for x in (m["snapshot"], *m["changes"])}
+        path = self._path("*")
+        files = path.getFileSystem(self._conf)
+        for found in files.globStatus(path) or []:
+            name = found.getPath().getName()
+            old_manifest = name.startswith("manifest-") and int(name[9:-5]) < version - 1
+            if old_manifest or name.startswith("held-") or (name.startswith("rows-") and name not in names and self._age(found) > GRACE_SECONDS):
+                files.delete(found.getPath(), True)
+
+    def _age(self, status) -> float:
+        return time.time() - status.getModificationTime() / 1000
 
 
 def migrate(index: DataFrame, version: int, allow_reset: bool = True) -> DataFrame:

@@ -1,7 +1,7 @@
 """Incremental index updates from a stream of listings or files.
 
-Each micro-batch is upserted into the stored index. A stream cannot see removals: run the sweep of
-a full refresh as a periodic batch.
+Each micro-batch writes its new and changed rows beside the stored index, which is rewritten once in
+``MOST_CHANGES`` batches. A stream cannot see removals: run the sweep of a full refresh as a periodic batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mediasift.operators.index import diff, reuse, upsert
+from mediasift.operators.index import diff, reuse
 from mediasift.sources.store import INDEX, IndexStore
 
 
@@ -20,7 +20,8 @@ def upsert_batch(store: IndexStore, batch: DataFrame, encode: Callable[[DataFram
     """Upserts the new and changed rows of a batch; a path that comes twice counts with its latest time."""
     last = W.partitionBy("filepath").orderBy(F.col("modified_at").desc(), F.col("size").desc())
     batch = batch.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-    index = store.read()
+    manifest = store.manifest()
+    index = store.read(manifest)
     todo = batch.join(diff(batch, index, scope).where("state in ('new', 'changed')"), "filepath", "left_semi")
     known = reuse(todo, index)
     names = [c for c in INDEX.fieldNames() if c != "deleted"]
@@ -28,7 +29,9 @@ def upsert_batch(store: IndexStore, batch: DataFrame, encode: Callable[[DataFram
     once = fresh.withColumn("__n", F.row_number().over(W.partitionBy("hash", "size").orderBy("filepath"))).where("__n = 1").drop("__n")
     vectors = encode(once).select("hash", "size", "vector")
     rows = known.where("donor is not null").select(*names).unionByName(fresh.join(vectors, ["hash", "size"]).select(*names))
-    store.write(upsert(index, rows))
+    rows = store.hold(rows.withColumn("deleted", F.lit(None).cast("boolean")))
+    if manifest is None or not rows.isEmpty():
+        store.add(rows, based_on=manifest)
 
 
 def stream_upsert(stream: DataFrame, store: IndexStore, checkpoint: str, encode: Callable[[DataFrame], DataFrame], *, scope: str = "/", available_now: bool = True):

@@ -61,11 +61,28 @@ def test_listing_of_unreadable_file(spark, tmp_path):
     assert row["modified_at"] is None and row["reason"]
 
 
+def test_listing_in_few_and_many_partitions(spark, library, monkeypatch):
+    from mediasift.sources import listing as li
+
+    (library / "locked").mkdir()
+    want = names(list_library(spark, str(library)))
+    for n in (1, 3, 1000):
+        monkeypatch.setattr(li, "PARTITIONS", n)
+        reader = li.LibraryReader({"root": str(library)})
+        found = [r for p in reader.partitions() for r in reader.read(p)]
+        assert sorted(r[1] for r in found) == want
+    missing = list(li.LibraryReader({"root": str(library)}).read(li.SubTree(f"{library}/none", True)))
+    assert len(missing) == 1 and missing[0][2] is None and missing[0][4]
+
+
 def test_fingerprint_of_large_content(spark, tmp_path):
     data = os.urandom(media.HEAD + 5000)
     (tmp_path / "a.bin").write_bytes(data)
     (tmp_path / "b.bin").write_bytes(b"x" * 1024)
-    got = {r["filepath"][-5:]: r["h"] for r in content.read_bytes(spark, str(tmp_path)).withColumn("h", media.fingerprint(F.col("content"))).collect()}
+    rows = spark.createDataFrame([(f"{tmp_path}/a.bin",), (f"file://{tmp_path}/b.bin",), (f"{tmp_path}/none",)], "filepath string")
+    got = {r["filepath"][-5:]: r["h"] for r in content.read_bytes(rows).withColumn("h", media.fingerprint(F.col("content"))).collect()}
+    found = content.fingerprints(rows).collect()
+    assert {r["filepath"][-5:]: r["hash"] for r in found} == got and [r["filepath"][-5:] for r in found if r["error"]] == ["/none"]
     assert got["a.bin"] == hashlib.sha256(data[: media.HEAD] + data[-1024:]).hexdigest()
     assert got["b.bin"] == hashlib.sha256(b"x" * 1024).hexdigest()
 
@@ -102,6 +119,29 @@ def test_refresh_twice_changes_nothing(spark, tmp_path):
     assert store.manifest()["version"] == 2
 
 
+def test_store_changes_conflicts_and_expiry(spark, tmp_path, monkeypatch):
+    from mediasift.sources import store as st
+
+    monkeypatch.setattr(st, "MOST_CHANGES", 2)
+    monkeypatch.setattr(st, "GRACE_SECONDS", -1)
+    store = IndexStore(spark, f"file://{tmp_path}/index")
+    row = lambda p, v: index_rows(spark, [(p, 1, 1, "h", v, None)])
+    want = {}
+    for k in range(7):
+        name = f"/a/{k % 3}"
+        store.add(row(name, k))
+        want[name] = k
+        assert {r["filepath"]: r["vector"][0] for r in store.read().collect()} == want
+    assert len(store.manifest()["changes"]) <= 2 and store.manifest()["version"] == 7
+    assert len(list((tmp_path / "index").glob("manifest-*"))) == 2 and len(list((tmp_path / "index").glob("rows-*"))) <= 5
+    seen = store.manifest()
+    store.add(row("/a/x", 1), based_on=seen)
+    for late in (store.add, store.write):
+        with pytest.raises(st.Conflict):
+            late(row("/a/y", 2), based_on=seen)
+    assert sorted(r[0] for r in store.read().select("filepath").collect()) == ["/a/0", "/a/1", "/a/2", "/a/x"]
+
+
 def test_migration(spark):
     old = index_rows(spark, [("/a", 1, 1, None, 1, None)])
     assert migrate(old.drop("hash"), 3).count() == 1 and migrate(old, 2).count() == 0
@@ -135,15 +175,45 @@ def test_pixel_cap():
 
 
 def test_images(spark, tmp_path):
-    png(tmp_path / "flat.png", np.full((300, 400, 3), (10, 20, 30)))
+    png(tmp_path / "_flat.png", np.full((300, 400, 3), (10, 20, 30)))
+    png(tmp_path / "large.png", np.zeros((500, 500, 3)))
     (tmp_path / "broken.jpg").write_bytes(b"no image")
-    found = content.read_images(spark, str(tmp_path)).withColumn("error", F.lit(None).cast("string"))
-    bad = {r["filepath"].rsplit("/", 1)[-1]: r["reason"] for r in im.quarantine(found, media.LEAST_CAP).collect()}
-    assert bad == {"flat.png": None, "broken.jpg": "unreadable"}
-    assert {r["reason"] for r in im.quarantine(found.where("width > 0"), 100).collect()} == {"too_large"}
-    pixels = np.array(im.to_tensors(found).first()["pixels"]).reshape(3, 256, 256)
+    rows = spark.createDataFrame([(f"{tmp_path}/{n}", k) for k, n in enumerate(("_flat.png", "large.png", "broken.jpg", "absent.png"))], "filepath string, k int")
+    found = im.encode_images(rows, lambda: lambda x: x[:, :, 0, 0], cap=200_000, batch=3).collect()
+    assert {r["filepath"].rsplit("/", 1)[-1]: r["reason"] for r in found} == {"_flat.png": None, "large.png": "too_large", "broken.jpg": "unreadable", "absent.png": "other"}
+    assert next(r["message"] for r in found if r["reason"] == "too_large") == "0 MP is above the cap"
     want = (np.array([10, 20, 30]) / 255 - np.array(media.MEAN)) / np.array(media.STD)
-    assert np.allclose(pixels, want[:, None, None], atol=1e-6)
+    got = next(r["vector"] for r in found if r["reason"] is None)
+    assert np.allclose(got, want / np.linalg.norm(want), atol=1e-5) and [r["k"] for r in found if r["reason"] is None] == [0]
+
+    def fails():
+        raise RuntimeError("no model")
+
+    assert {r["reason"] for r in im.encode_images(rows, fails).collect()} == {"other", "unreadable"}
+
+
+def test_png_filters_and_kinds():
+    rng = np.random.default_rng(0)
+    for kind, n in ((0, 1), (2, 3), (3, 1), (4, 2), (6, 4)):
+        x = rng.integers(0, 256, (7, 5, n)).astype(np.int64)
+        lines = []
+        for y in range(7):
+            left = np.vstack([np.zeros((1, n), int), x[y, :-1]])
+            up = x[y - 1] if y else np.zeros_like(x[y])
+            corner = np.vstack([np.zeros((1, n), int), up[:-1]])
+            p = left + up - corner
+            paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+            how = y % 5
+            lines.append(bytes([how]) + ((x[y] - (0, left, up, (left + up) >> 1, paeth)[how]) & 255).astype(np.uint8).tobytes())
+        chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        palette = rng.integers(0, 256, (256, 3)).astype(np.uint8)
+        raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, kind, 0, 0, 0)) + (chunk(b"PLTE", palette.tobytes()) if kind == 3 else b"") + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+        want = palette[x[:, :, 0]] if kind == 3 else np.repeat(x[:, :, :1], 3, axis=2) if n < 3 else x[:, :, :3]
+        assert (im.decode_png(raw) == want).all() and im.image_size(raw) == (5, 7)
+    for bad in (b"", b"GIF89a", raw[:40], raw[:60]):
+        with pytest.raises(ValueError):
+            im.decode_png(bad)
+    assert im.image_size(b"GIF89a" + struct.pack("<HH", 3, 4)) == (3, 4) and im.image_size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 9, 8) + b"xx") == (8, 9)
 
 
 def test_preprocess_invariants():
@@ -174,16 +244,62 @@ def test_text(spark):
     assert [r[0] for r in df.select(text.clean(F.col("t"))).collect()] == ["tom & jerry's 12", None, ""]
     assert df.select(text.split_tokens(text.clean(F.col("t")))).first()[0] == ["tom", "&", "jerry", "'s", "1", "2"]
     tokens = {r[0]: r[1] for r in en.tokenise(df, [("t", "o"), ("to", "m</w>")], key="k", text="t").collect()}
+    assert [r[1] for r in en.hash_encode(spark.createDataFrame([(None, "b a"), (1, "a b"), (1, "a b"), (2, "12"), (3, None)], "k long, t string"), key="k", text="t").select("k", F.size("vector")).collect()] == [64, 64, 64]
     assert tokens[0][:2] == [514, 513] and len(tokens[0]) == 77 and tokens[1][:3] == tokens[2][:3] == [514, 515, 0]
     long = en.tokenise(spark.createDataFrame([(0, "a " * 200)], "k long, t string"), [], key="k", text="t").first()[1]
     assert len(long) == 77 and long[-1] == 513
 
 
+def test_tokens_equal_the_public_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mediasift.plans.queries import bpe_tokenise
+
+    known = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in bpe_tokenise(spark, "/root/testdata/sf0.001").collect():
+        import html
+
+        ids = known.encode(html.unescape(html.unescape(docs[r["doc_id"]])), add_special_tokens=False).ids[:75]
+        assert r["tokens"] == [49406, *ids, 49407] + [0] * (75 - len(ids))
+
+
+def test_encoded_batches_equal_numpy(spark):
+    from mediasift.plans.queries import encode_batch
+
+    weight = np.random.default_rng(1).normal(size=(64, 16)).astype(np.float32)
+    rows = {r["vec_id"]: np.array(r["embedding"], np.float32) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    got = encode_batch(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        v = rows[r["vec_id"]] @ weight
+        assert np.allclose(r["vector"], v / np.linalg.norm(v), atol=1e-5)
+
+
+def test_many_classes_and_repeated_keys(spark):
+    rng = np.random.default_rng(6)
+    classes, items = rng.normal(size=(3000, 32)), rng.normal(size=(40, 32))
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(classes)], "class_id int, cvec array<double>")
+    rows = spark.createDataFrame([(i // 2, i, v.tolist()) for i, v in enumerate(items)] + [(7, 99, None)], "vec_id long, label int, vector array<double>")
+    got = ev.rank_classes(rows, table, keep=("label",)).collect()
+    assert len(got) == 200
+    for r in got:
+        order = np.argsort(-(classes @ items[r["label"]]))
+        assert r["class_id"] == order[r["rk"] - 1] and r["vec_id"] == r["label"] // 2
+    assert ev.accuracy(ev.rank_classes(rows, table, keep=("label",))).first()["processed"] == 40
+    assert ev.rank_classes(rows, table.limit(0)).count() == 0
+    tied = spark.createDataFrame([(i, [1.0]) for i in range(2000, 0, -1)], "class_id int, cvec array<double>")
+    one = spark.createDataFrame([(1, [2.0])], "vec_id long, vector array<double>")
+    assert [r["class_id"] for r in ev.rank_classes(one, tied, 3).orderBy("rk").collect()] == [1, 2, 3]
+
+
 def test_search_edges(spark):
     items = spark.createDataFrame([("/p/a", [1.0, 0.0]), ("/p/b", [1.0, 0.0]), ("/p/node_modules/c", [2.0, 0.0]), ("/p/n", [float("nan"), 0.0]), ("/p/0", None)], "filepath string, vector array<float>")
     assert [r[0] for r in sr.search(items, [1.0, 0.0]).collect()] == ["/p/a", "/p/b"]
     assert [r[0] for r in sr.search(items, [1.0, 0.0], top=1, query_files=["/p/a"]).collect()] == ["/p/b"]
     assert sr.search(items.limit(0), [1.0, 0.0]).count() == 0
+    assert [r[0] for r in sr.search(items, [1.0, 0.0], query_files=items.where("filepath = '/p/a'")).collect()] == ["/p/b"]
     with pytest.raises(ValueError):
         sr.search(items, [1.0, 0.0], top=0)
     assert sr.combine([], [], 3) == [0.0, 0.0, 0.0]
@@ -194,7 +310,14 @@ def test_knn_blocks_give_the_same_rows(spark):
     items = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "vec_id long, vector array<double>").repartition(5)
     queries = items.where("vec_id % 20 = 0").selectExpr("vec_id as qid", "vector as qvec")
     a = sorted(sr.knn(items, queries, 7).select("qid", "vec_id", "rk").collect())
-    assert a == sorted(sr.knn(items, queries, 7, block=4).select("qid", "vec_id", "rk").collect()) and len(a) == 15 * 7
+    assert a == sorted(sr.knn(items, queries, 7, block=4, held_bytes=500).select("qid", "vec_id", "rk").collect()) and len(a) == 15 * 7
+
+
+def test_knn_ties_go_by_key(spark):
+    items = spark.createDataFrame([(f"k{i:02d}", [1.0 if i % 2 else 0.5]) for i in range(40)] + [("nan", [float("nan")])], "vec_id string, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0]), (2, None)], "qid long, qvec array<double>")
+    assert [r["vec_id"] for r in sr.knn(items, queries, 3).orderBy("rk").collect()] == ["k01", "k03", "k05"]
+    assert sr.knn(items, queries.limit(0), 3).count() == 0 and sr.knn(items.limit(0), queries, 3).count() == 0
 
 
 def test_precision_divides_by_returned_rows(spark):
@@ -206,30 +329,49 @@ def test_precision_divides_by_returned_rows(spark):
 def test_library_end_to_end(spark, tmp_path):
     lib = tmp_path / "lib"
     lib.mkdir()
-    for name, colour in (("red", (250, 10, 10)), ("green", (10, 250, 10)), ("blue", (10, 10, 250))):
+    for name, colour in (("red", (250, 10, 10)), ("_green", (10, 250, 10)), ("blue", (10, 10, 250))):
         png(lib / f"{name}.png", np.full((20, 30, 3), colour))
+    log = tmp_path / "opened"
+    log.write_text("")
 
-    def encode(rows):
-        @F.pandas_udf(INDEX["vector"].dataType)
-        def mean(raw):
-            def one(b):
-                at = bytes(b).index(b"IDAT")
-                size = struct.unpack(">I", bytes(b)[at - 4 : at])[0]
-                v = np.frombuffer(zlib.decompress(bytes(b)[at + 4 : at + 4 + size])[1:4], np.uint8).astype(np.float32)
-                return v / np.linalg.norm(v)
-            return raw.map(one)
+    def read(path):
+        with log.open("a") as f:
+            f.write(path.rsplit("/", 1)[-1] + "\n")
+        with open(path, "rb") as f:
+            return f.read()
 
-        return rows.withColumn("vector", mean("content"))
+    def opened():
+        found = sorted(log.read_text().split())
+        log.write_text("")
+        return found
+
+    def make():
+        # the mean colour, back from the encoder's input
+        return lambda x: x.mean(axis=(2, 3)) * np.array(media.STD) + np.array(media.MEAN)
 
     words = {"red": [1.0, 0.0, 0.0], "green": [0.0, 1.0, 0.0], "blue": [0.0, 0.0, 1.0]}
-    index = MediaIndex(spark, f"file://{tmp_path}/index", encode, lambda q: words[q])
+    index = MediaIndex(spark, f"file://{tmp_path}/index", make, lambda q: words[q], read=read)
     first = lambda *a, **k: [r[0].rsplit("/", 1)[-1] for r in index.search(str(lib), *a, **k).collect()]
-    assert first("red")[0] == "red.png"
-    assert first("red", add=["2:green"], refresh=False)[0] == "green.png"
+    assert first("red")[0] == "red.png" and opened() == ["_green.png", "blue.png", "red.png"]
+    assert first("green")[0] == "_green.png" and opened() == []
+    assert first("red", add=["2:green"], refresh=False)[0] == "_green.png"
     assert first("red", subtract=["2:red"], refresh=False)[-1] == "red.png"
     assert f"{lib}/red.png" not in [r[0] for r in index.search(str(lib), f"{lib}/red.png", refresh=False).collect()]
+    # a query image that is not in the index, and one of a URL
+    png(tmp_path / "other.png", np.full((9, 9, 3), (20, 240, 20)))
+    assert first(f"{tmp_path}/other.png", refresh=False)[0] == "_green.png"
+    assert first("https://e.com/x", refresh=False, images={"https://e.com/x": (tmp_path / "other.png").read_bytes()})[0] == "_green.png"
+    with pytest.raises(ValueError):
+        first("https://e.com/x", refresh=False)
+    opened()
     (lib / "copy.png").write_bytes((lib / "blue.png").read_bytes())
-    assert set(first("blue")[:2]) == {"blue.png", "copy.png"}
+    assert set(first("blue")[:2]) == {"blue.png", "copy.png"} and opened() == []  # known by content
     (lib / "copy.png").unlink()
-    assert "copy.png" not in first("blue")
+    (lib / "bad.jpg").write_bytes(b"no image")
+    (lib / "gone.jpg").symlink_to(lib / "missing")
+    skipped = index.refresh(str(lib)).collect()
+    assert sorted((r["filepath"].rsplit("/", 1)[-1], r["reason"]) for r in skipped) == [("bad.jpg", "unreadable"), ("gone.jpg", "unreadable")] and all(r["message"] for r in skipped)
+    assert "copy.png" not in first("blue", refresh=False)
+    small = MediaIndex(spark, f"file://{tmp_path}/small", make, lambda q: words[q], max_image_megapixels="0.0005")
+    assert {r["reason"] for r in small.refresh(str(lib)).collect()} == {"too_large", "unreadable"}
     assert index.search(str(tmp_path / "lib" / "none"), "red", refresh=False).count() == 0
