@@ -89,6 +89,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         with finished():  # a stage's own tables go once its result is written; token files stay
             docs = tables.save(stage(spark, docs, sf_dir), f"stage{k}")
+        decontaminate.release()
         if k:
             tables.drop(f"stage{k - 1}")
     return docs

@@ -199,10 +199,20 @@ def item_blocks(benchmark: DataFrame, item_key: str, text: str, n: int, block_wo
         yield Items(ids, texts, n)
 
 
+_sent: list = []
+
+
+def release() -> None:
+    """Frees the items sent to executors by results that have been written."""
+    while _sent:
+        _sent.pop().unpersist()
+
+
 def passes(docs: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, n: int, block_words: int) -> Iterator:
-    """A broadcast of each block of items."""
+    """A broadcast of each block of items; ``release`` frees them."""
     for items in item_blocks(benchmark, item_key, item_text, n, block_words):
-        yield docs.sparkSession.sparkContext.broadcast(items)
+        _sent.append(docs.sparkSession.sparkContext.broadcast(items))
+        yield _sent[-1]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, min_score: float = 0.4, block_words: int = 2_000_000) -> DataFrame:

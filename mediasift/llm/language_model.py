@@ -42,6 +42,8 @@ LOWER[0x41:0x5B] += 0x20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 SCALE, NONE = 2000.0, 65535
 COUNT_TOKENS = 1_500_000
+#: Shards that a scoring task keeps open.
+OPEN_TRIES = 256
 #: Word ids from here on are renumbered before two of them are put into 64 bits.
 WIDE = 1 << 32
 
@@ -250,7 +252,16 @@ class Model:
 class Scorer:
     def __init__(self, m: Model):
         self.m, self.vocabulary = m, Vocabulary(m.root, m.vocabulary, m.bits)
-        self.tries = [Trie(m.root, f) if f else None for f in m.tries]
+        self.opened: dict[int, Trie] = {}
+
+    def trie(self, shard: int) -> Trie | None:
+        """A shard that a block needs; as many stay open as ``OPEN_TRIES``."""
+        name = self.m.tries[shard] if self.m.tries else None
+        if name and shard not in self.opened:
+            if len(self.opened) >= OPEN_TRIES:
+                del self.opened[next(iter(self.opened))]
+            self.opened[shard] = Trie(self.m.root, name)
+        return self.opened[shard] if name else None
 
     def score(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each document: known tokens, base score and model score."""
@@ -270,14 +281,13 @@ class Scorer:
         starts = np.uint64(begin << 32 | begin)  # two starts, the context of first words
         pairs, at = np.unique(np.append(pair, starts), return_inverse=True)
         a, b = ids[(pairs >> np.uint64(32)).astype(np.int64)], ids[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        shard = shard_of(a, b, m.hot, len(self.tries))
+        shard = shard_of(a, b, m.hot, max(len(m.tries), 1))
         place, p2, rest1, rest2 = np.full(len(a), -1, np.int64), np.zeros(len(a)), np.ones(len(a)), np.ones(len(a))
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(self.tries) + 1))
-        for k, t in enumerate(self.tries):
-            own = order[cuts[k] : cuts[k + 1]]
-            own = own[(a[own] >= 0)]
-            if t is None or not len(own):
+        order = order[a[order] >= 0]
+        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            t = self.trie(int(shard[own[0]])) if len(own) else None
+            if t is None:
                 continue
             new = np.append(True, a[own[1:]] != a[own[:-1]])
             root = t.roots.find(a[own[new]])[np.cumsum(new) - 1]
@@ -298,10 +308,9 @@ class Scorer:
         p3 = np.zeros(len(key))
         use = np.flatnonzero((place[ctx] >= 0) & (c >= 0))
         use = use[np.argsort(shard[ctx[use]], kind="stable")]
-        cuts = np.searchsorted(shard[ctx[use]], np.arange(len(self.tries) + 1))
-        for k, t in enumerate(self.tries):
-            own = use[cuts[k] : cuts[k + 1]]
-            if t is None or not len(own):
+        for own in np.split(use, np.flatnonzero(np.diff(shard[ctx[use]])) + 1):
+            t = self.trie(int(shard[ctx[own[0]]])) if len(own) else None
+            if t is None:
                 continue
             node = t.children(t.children2, t.nodes3, place[ctx[own]], c[own])
             hit = node >= 0

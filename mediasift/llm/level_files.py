@@ -12,7 +12,9 @@ import numpy as np
 from pyarrow import fs
 
 MAGIC = b"MSLEVELS"
+LOCAL_BYTES = 4 << 30
 _local: dict[str, str] = {}
+_folder: list[str] = []
 
 
 def write(root: str, name: str, arrays: dict[str, np.ndarray], meta: dict) -> None:
@@ -32,19 +34,23 @@ def write(root: str, name: str, arrays: dict[str, np.ndarray], meta: dict) -> No
 
 
 def read(root: str, name: str) -> tuple[dict[str, np.ndarray], dict]:
-    """The arrays as memory maps; a file of a remote store is copied once for each worker process."""
+    """The arrays as memory maps. A file of a remote store is copied when it is first asked for; a worker keeps
+    copies of at most ``LOCAL_BYTES``, and drops those asked for longest ago."""
     files, folder = fs.FileSystem.from_uri(root)
     path = f"{folder}/{name}"
     if not isinstance(files, fs.LocalFileSystem):
-        if path not in _local:
-            if not _local:
-                _local[""] = tempfile.mkdtemp(prefix="levels-")
-                atexit.register(shutil.rmtree, _local[""], ignore_errors=True)
-            copy = f"{_local['']}/{len(_local)}"
-            with files.open_input_stream(path) as src, open(copy, "wb") as out:
+        copy = _local.pop(path, None)
+        if copy is None:
+            if not _folder:
+                _folder.append(tempfile.mkdtemp(prefix="levels-"))
+                atexit.register(shutil.rmtree, _folder[0], ignore_errors=True)
+            handle, copy = tempfile.mkstemp(dir=_folder[0])
+            with files.open_input_stream(path) as src, os.fdopen(handle, "wb") as out:
                 shutil.copyfileobj(src, out, 1 << 22)
-            _local[path] = copy
-        path = _local[path]
+        _local[path] = copy  # the latest last
+        while len(_local) > 1 and sum(map(os.path.getsize, _local.values())) > LOCAL_BYTES:
+            os.unlink(_local.pop(next(iter(_local))))
+        path = copy
     if os.path.getsize(path) < 16:
         raise ValueError(f"{path} is not a level file")
     data = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain array over the mapped pages

@@ -212,6 +212,8 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()  # repeated rows have met in this task: one of them is enough
         for batch in batches:
+            if len(seen) > 1_000_000:  # a repeat that comes later is work, not a wrong result
+                seen.clear()
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             first = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
             if len(first) < batch.num_rows:

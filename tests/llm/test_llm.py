@@ -762,6 +762,29 @@ def test_decontamination(spark, docs, empty, block_words):
     assert contaminated(empty, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_equals_alignment_of_all_pairs(spark):
+    """Documents of up to 1,500 words against every item, whole, without seeds, windows or bounds."""
+    from mediasift.llm import decontaminate as d
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.size(F.split("text", " ")) <= 1500)
+    docs = table.select("doc_id", F.lower("text").alias("t")).collect()
+    items_of = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    bench = items_of.select("item_id", F.lower("text").alias("t")).collect()
+    words = lambda rows: [w.hashes[a:b] | np.uint64(2) for w in [d.lowered_words(next(iter(d.blocks(pa.array([r["t"] for r in rows]), 1 << 40))))] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    items = words(bench)
+    size = np.array([len(x) for x in items])
+    padded = np.zeros((len(items), size.max()), np.uint64)
+    for row, x in zip(padded, items, strict=True):
+        row[: len(x)] = x
+    least = np.maximum(np.minimum(0.4, d.ENOUGH_WORDS / size), np.minimum(1.0, d.LEAST_WORDS / size))
+    want = set()
+    for r, x in zip(docs, words(docs), strict=True):
+        if len(x):
+            score = d.smith_waterman(padded, np.broadcast_to(x, (len(items), len(x)))) / (d.MATCH * size)
+            want |= {(r["doc_id"], bench[k]["item_id"]) for k in np.flatnonzero(score >= least)}
+    assert len(want) > 20 and {(r["doc_id"], r["item_id"]) for r in d.contaminated(table, items_of).collect()} == want
+
+
 def test_a_passage_in_a_third_of_all_rows_is_found(spark):
     from mediasift.llm.decontaminate import contaminated
 
@@ -836,6 +859,38 @@ def test_mixture_rates(spark, docs, empty):
 # --- pipeline -----------------------------------------------------------------------------------
 
 
+def test_every_stage_takes_any_rows(spark, docs, empty):
+    """Null, empty and repeated texts, null and repeated ids, other columns; and an empty table."""
+    import corpus_pipeline
+
+    learned = spark.createDataFrame([(1000 + i, ("the house is near the water " if i % 2 else "la maison est dans la rue ") * 5 + str(i), "en" if i % 2 else "fr", "s0", 100) for i in range(60)], SCHEMA)
+    rows = docs.unionByName(learned).withColumn("extra", F.lit("kept"))
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in rows.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, SF)
+        if name == "token-ID output":
+            assert got.count() == sum(texts.values())
+        else:
+            assert got.columns == rows.columns
+            assert {(r["doc_id"], r["text"]) for r in got.collect()} <= set(texts)
+        assert stage(spark, rows.limit(0), SF).count() == 0
+    first = corpus_pipeline.STAGES[0][1](spark, rows, SF).collect()
+    assert all(r["text"] and any(c.isalpha() for c in r["text"]) for r in first) and len([r for r in first if r["doc_id"] and r["doc_id"] >= 1000]) == 60
+
+
+def test_tables_of_a_finished_stage_go(spark, tmp_path):
+    from mediasift.llm import shared
+
+    with shared.finished():
+        tables = shared.Tables(spark, "gone")
+        assert tables.save(spark.range(5).groupBy("id").count(), "x").count() == 5
+        folder = tables.root.removeprefix("file://")
+        import os
+
+        assert os.path.exists(folder)
+    assert not os.path.exists(folder)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
