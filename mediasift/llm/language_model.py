@@ -42,8 +42,6 @@ LOWER[0x41:0x5B] += 0x20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 SCALE, NONE = 2000.0, 65535
 COUNT_TOKENS = 1_500_000
-#: Shards that a scoring task keeps open.
-OPEN_TRIES = 256
 #: Word ids from here on are renumbered before two of them are put into 64 bits.
 WIDE = 1 << 32
 
@@ -239,84 +237,56 @@ class Trie:
 
 
 class Model:
-    """What scoring needs: names of files, a few numbers and the hot words; the rest is mapped in tasks."""
+    """What scoring needs: files of the vocabulary, a table (shard, file) of the tries, a few numbers and the hot words."""
 
-    def __init__(self, root: str, vocabulary: list[str], bits: int, tries: list[str | None], words: int, tokens: int, hot: np.ndarray, hot_rest: np.ndarray):
-        self.root, self.vocabulary, self.bits, self.tries = root, vocabulary, bits, tries
+    def __init__(self, root: str, vocabulary: list[str], bits: int, tries: DataFrame | None, shards: int, words: int, tokens: int, hot: np.ndarray, hot_rest: np.ndarray):
+        self.root, self.vocabulary, self.bits, self.tries, self.shards = root, vocabulary, bits, tries, shards
         self.words, self.tokens, self.hot, self.hot_rest = words, tokens, hot, hot_rest
 
-    def open(self) -> Scorer:
-        return Scorer(self)
-
-
-class Scorer:
-    def __init__(self, m: Model):
-        self.m, self.vocabulary = m, Vocabulary(m.root, m.vocabulary, m.bits)
-        self.opened: dict[int, Trie] = {}
-
-    def trie(self, shard: int) -> Trie | None:
-        """A shard that a block needs; as many stay open as ``OPEN_TRIES``."""
-        name = self.m.tries[shard] if self.m.tries else None
-        if name and shard not in self.opened:
-            if len(self.opened) >= OPEN_TRIES:
-                del self.opened[next(iter(self.opened))]
-            self.opened[shard] = Trie(self.m.root, name)
-        return self.opened[shard] if name else None
-
-    def score(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each document: known tokens, base score and model score."""
-        m = self.m
-        distinct, code = np.unique(hashes, return_inverse=True)
-        known_ids, n = self.vocabulary.look(distinct)
-        n, begin = n[code], len(distinct)  # the code of the start
-        ids = np.append(known_ids, m.words)
-        p1 = (n + 0.5) / (m.tokens + 0.5 * (m.words + 1))
-        base = np.add.reduceat(np.log10(p1), first[:-1])
-        known = np.add.reduceat((n > 0).astype(np.int64), first[:-1])
-        start = np.zeros(len(code), bool)
-        start[first[:-1]] = True
-        before = np.where(start, begin, np.concatenate([[begin], code[:-1]]))
-        # distinct pairs of neighbours: their places in the tries serve as pairs and as contexts
-        pair = before.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64)
-        starts = np.uint64(begin << 32 | begin)  # two starts, the context of first words
-        pairs, at = np.unique(np.append(pair, starts), return_inverse=True)
-        a, b = ids[(pairs >> np.uint64(32)).astype(np.int64)], ids[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        shard = shard_of(a, b, m.hot, max(len(m.tries), 1))
-        place, p2, rest1, rest2 = np.full(len(a), -1, np.int64), np.zeros(len(a)), np.ones(len(a)), np.ones(len(a))
-        order = np.argsort(shard, kind="stable")
-        order = order[a[order] >= 0]
-        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            t = self.trie(int(shard[own[0]])) if len(own) else None
-            if t is None:
-                continue
-            new = np.append(True, a[own[1:]] != a[own[:-1]])
-            root = t.roots.find(a[own[new]])[np.cumsum(new) - 1]
-            own, root = own[root >= 0], root[root >= 0]
-            rest1[own] = _VALUE[t.rest1[root]]
-            some = b[own] >= 0
-            own, root = own[some], root[some]
-            node = t.children(t.children1, t.nodes2, root, b[own])
-            own, node = own[node >= 0], node[node >= 0]
-            place[own], p2[own], rest2[own] = node, _VALUE[t.p2[node]], _VALUE[t.rest2[node]]
-        if len(m.hot):
-            h = np.minimum(np.searchsorted(m.hot, a), len(m.hot) - 1)
-            rest1 = np.where(m.hot[h] == a, m.hot_rest[h], rest1)
-        lower = p2[at[:-1]] + rest1[at[:-1]] * p1
-        context = np.where(start, at[-1], np.concatenate([[0], at[:-2]])) if len(code) else at[:0]
-        key, back = np.unique(context.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64), return_inverse=True)
-        ctx, c = (key >> np.uint64(32)).astype(np.int64), ids[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        p3 = np.zeros(len(key))
-        use = np.flatnonzero((place[ctx] >= 0) & (c >= 0))
-        use = use[np.argsort(shard[ctx[use]], kind="stable")]
-        for own in np.split(use, np.flatnonzero(np.diff(shard[ctx[use]])) + 1):
-            t = self.trie(int(shard[ctx[own[0]]])) if len(own) else None
-            if t is None:
-                continue
-            node = t.children(t.children2, t.nodes3, place[ctx[own]], c[own])
-            hit = node >= 0
-            p3[own[hit]] = _VALUE[t.p3[node[hit]]]
-        p = p3[back] + np.where(place[context] >= 0, rest2[context], 1.0) * lower
-        return known, base, np.add.reduceat(np.log10(np.maximum(p, 1e-300)), first[:-1])
+    def numbers(self) -> Model:
+        """Without the table, to be sent to tasks."""
+        return Model(self.root, self.vocabulary, self.bits, None, self.shards, self.words, self.tokens, self.hot, self.hot_rest)
+
+
+def sequences(ids: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
+    """The documents' ids one after another, each with two starts before and one padding after it."""
+    rows = len(first) - 1
+    out = np.full(len(ids) + 3 * rows, words, np.int64)
+    out[np.arange(len(ids)) + 3 * np.repeat(np.arange(rows), np.diff(first)) + 2] = ids
+    out[first[1:] + 3 * np.arange(1, rows + 1) - 1] = words + 1
+    return out
+
+
+class Lookups:
+    """The distinct triples of a block, by shard; all that is asked of the tries, in an order that depends on the block alone.
+
+    ``names`` are the block's ids in order and ``code`` its sequences as places in them. A document of n tokens
+    has n + 1 triples: the first two words of a token's next triple are the token's pair."""
+
+    def __init__(self, names: np.ndarray, code: np.ndarray, m: Model):
+        start, padding = np.searchsorted(names, [m.words, m.words + 1])
+        a, b, c = code[:-2], code[1:-1], code[2:]
+        real = (c != start) & (b != padding)
+        self.token = np.flatnonzero(c[real] != padding)
+        self.word = c[real][self.token]
+        pairs, pair = np.unique(a[real] << 32 | b[real], return_inverse=True)
+        triples, self.triple = np.unique(pair << 32 | c[real], return_inverse=True)
+        self.pair_of = triples >> 32
+        self.pair = pair
+        self.a, self.b, self.c = names[pairs >> 32], names[pairs & 0xFFFFFFFF], names[triples & 0xFFFFFFFF]
+        shard = np.where(self.a > m.words, -1, shard_of(self.a, self.b, m.hot, m.shards))  # an unknown first word is in no trie
+        self.pairs_by, self.triples_by = np.argsort(shard, kind="stable"), np.argsort(shard[self.pair_of], kind="stable")
+        self.pair_shards, self.triple_shards = shard[self.pairs_by], shard[self.pair_of][self.triples_by]
+
+    def shards(self) -> list[int]:
+        found = np.unique(self.pair_shards)
+        return found[found >= 0].tolist()
+
+    def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a shard's pairs and triples."""
+        a, b = np.searchsorted(self.pair_shards, [shard, shard + 1])
+        c, d = np.searchsorted(self.triple_shards, [shard, shard + 1])
+        return self.pairs_by[a:b], self.triples_by[c:d]
 
 
 def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_tokens: int = 2_000_000, vocabulary_bits: int = 6) -> Model:
@@ -328,7 +298,7 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
     counts = tables.save(count_words(source), "words")
     words, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not words:
-        return Model(root, [], vocabulary_bits, [], 0, 0, np.zeros(0, np.int64), np.zeros(0))
+        return Model(root, [], vocabulary_bits, None, 1, 0, 0, np.zeros(0, np.int64), np.zeros(0))
     dealt = counts.withColumn("shard", F.shiftrightunsigned("w", 64 - vocabulary_bits))
     listed = tables.save(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_writer(root, vocabulary), "shard long, file string, extra binary"), "vocabulary")
     files: list[str | None] = [None] * (1 << vocabulary_bits)
@@ -366,14 +336,8 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
                 h, first = token_hashes(block)
                 distinct, back = np.unique(h, return_inverse=True)
                 ids = vocabulary.look(distinct)[0][back]
-                rows = len(block)
-                # two starts before and one padding after each document
-                row = np.repeat(np.arange(rows), np.diff(first))
-                out = np.full(len(ids) + 3 * rows, words, np.int64)
-                out[np.arange(len(ids)) + 3 * row + 2] = ids
-                out[first[1:] + 3 * np.arange(1, rows + 1) - 1] = words + 1
-                held.append(out)
-                size += len(out)
+                held.append(sequences(ids, first, words))
+                size += len(held[-1])
                 if size > COUNT_TOKENS:
                     yield flush()
                     held, size = [], 0
@@ -382,29 +346,156 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
 
     runs = source.mapInArrow(count, "shard long, run binary").repartition(shards, "shard").sortWithinPartitions("shard")
     built = tables.save(runs.mapInArrow(_writer(root, make_trie(words, hot, hot_counts, discount)), "shard long, file string, extra binary"), "tries")
-    tries: list[str | None] = [None] * shards
     kinds = np.zeros(len(hot))
-    for r in built.toLocalIterator():  # a row a shard: its file and counts for hot words
-        tries[r["shard"]] = r["file"]
-        at, k = unpack_run(bytes(r["extra"]), 2) if r["extra"] else ((), ())
-        if len(at):
-            kinds[at] += k
-    return Model(root, files, vocabulary_bits, tries, words, tokens, hot, np.where(hot_counts > 0, discount * kinds / np.maximum(hot_counts, 1), 1.0))
+    for at, n in built.where("length(extra) > 0").mapInArrow(_hot_kinds, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row a hot word
+        kinds[at] = n
+    return Model(root, files, vocabulary_bits, built.select("shard", "file"), shards, words, tokens, hot, np.where(hot_counts > 0, discount * kinds / np.maximum(hot_counts, 1), 1.0))
 
 
-def score_texts(docs: DataFrame, model: Model, held_out: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("text"))
+def _hot_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column(2).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in unpack_run(raw, 2)], names=["at", "n"])
+
+
+BLOCK = "block long, shard long, doc_ids array<long>, held array<boolean>, sizes array<long>, words binary, data binary"
+
+
+def coded(docs: DataFrame, m: Model) -> DataFrame:
+    """Blocks of about ``COUNT_TOKENS`` tokens: keys, sizes, the distinct ids with their counts, and the sequences as places in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
+        known = Vocabulary(m.root, m.vocabulary, m.bits)
+        unknown = m.words + 2
+        block_id, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, held_out, sizes, ids, n, rows = zip(*held, strict=True)
+            names, code = np.unique(np.concatenate(rows), return_inverse=True)
+            counts = np.zeros(len(names), np.int64)
+            counts[np.searchsorted(names, np.concatenate(ids))] = np.concatenate(n)
+            lists = [pa.concat_arrays(keys), pa.concat_arrays(held_out), pa.array(np.concatenate(sizes))]
+            cols = [pa.array([block_id]), pa.array([-1]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([pack_run(names, counts)], pa.binary()), pa.array([pack_run(code)], pa.binary())], names=["block", "shard", "doc_ids", "held", "sizes", "words", "data"])
+
         for batch in batches:
-            scorer = scorer or shared.value.open()
             for block in blocks(batch.column(2), 3 << 20):
-                hashes, first = token_hashes(block)
-                known, base, score = scorer.score(hashes, first)
-                cols = [batch.column(0).slice(block.lo, len(block)), batch.column(1).slice(block.lo, len(block)), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(block), shared.value.tokens)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                h, first = token_hashes(block)
+                distinct, back = np.unique(h, return_inverse=True)
+                ids, n = known.look(distinct)
+                ids = np.where(ids < 0, unknown, ids)
+                own = [batch.column(k).slice(block.lo, len(block)) for k in (0, 1)]
+                held.append((*own, np.diff(first), ids, n, sequences(ids[back], first, m.words)))
+                size += len(h)
+                if size > COUNT_TOKENS:
+                    yield flush()
+                    block_id, held, size = block_id + 1, [], 0
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, BLOCK)
+
 
-    return src.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def asked(block_rows: DataFrame, m: Model) -> DataFrame:
+    """What the blocks ask of each shard: rows of shard, block, and the triples as a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                q = Lookups(unpack_run(words.as_py(), 2)[0].astype(np.int64), unpack_run(data.as_py(), 1)[0].astype(np.int64), m)
+                runs, shards = [], q.shards()
+                for shard in shards:
+                    _, t = q.of(shard)
+                    runs.append(pack_run(q.a[q.pair_of[t]], q.b[q.pair_of[t]], q.c[t]))
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([block] * len(shards), pa.int64()), pa.array(runs, pa.binary())], names=["shard", "block", "run"])
+
+    return block_rows.select("block", "words", "data").mapInArrow(run, "shard long, block long, run binary")
+
+
+def answer(t: Trie, a: np.ndarray, b: np.ndarray, c: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quantised values of sorted distinct triples: p3 of each; p2, rest2 and rest1 of each distinct pair in front."""
+    new2 = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    pair, a2, b2 = np.cumsum(new2) - 1, a[new2], b[new2]
+    new1 = np.append(True, a2[1:] != a2[:-1])
+    root = t.roots.find(a2[new1])[np.cumsum(new1) - 1]
+    p3, place = np.full(len(a), NONE, np.uint16), np.full(len(a2), -1, np.int64)
+    p2, rest2, rest1 = np.full(len(a2), NONE, np.uint16), np.zeros(len(a2), np.uint16), np.zeros(len(a2), np.uint16)
+    own = np.flatnonzero(root >= 0)
+    rest1[own] = t.rest1[root[own]]
+    own = own[b2[own] <= words]
+    place[own] = t.children(t.children1, t.nodes2, root[own], b2[own])
+    own = own[place[own] >= 0]
+    p2[own], rest2[own] = t.p2[place[own]], t.rest2[place[own]]
+    use = np.flatnonzero((place[pair] >= 0) & (c <= words))
+    node = t.children(t.children2, t.nodes3, place[pair[use]], c[use])
+    p3[use[node >= 0]] = t.p3[node[node >= 0]]
+    return p3, p2, rest2, rest1
+
+
+def answers(questions: DataFrame, model: Model) -> DataFrame:
+    """The runs meet the trie of their shard, which a task opens once; a row of ``BLOCK`` for each run."""
+    m = model.numbers()
+    files = model.tries.select("shard", F.lit(-1).cast("long").alias("block"), F.col("file").cast("binary").alias("run"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, trie = None, None
+        for batch in batches:
+            out = []
+            for shard, block, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if block < 0:  # the shard's file, before its runs
+                    opened, trie = shard, Trie(m.root, bytes(raw).decode())
+                elif shard == opened:
+                    a, b, c = (x.astype(np.int64) for x in unpack_run(bytes(raw), 3))
+                    p3, *pairs = answer(trie, a, b, c, m.words)
+                    out.append((block, shard, pack_run(*pairs), pack_run(p3)))
+            if out:
+                block, shard, pairs, triples = zip(*out, strict=True)
+                none = [pa.nulls(len(out), pa.list_(k)) for k in (pa.int64(), pa.bool_(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(shard), *none, pa.array(pairs, pa.binary()), pa.array(triples, pa.binary())], names=["block", "shard", "doc_ids", "held", "sizes", "words", "data"])
+
+    rows = questions.unionByName(files).repartition(model.shards, "shard").sortWithinPartitions("shard", "block")
+    return rows.mapInArrow(run, BLOCK)
+
+
+def finish(m: Model):
+    """A map over blocks, each followed by its answers, to a row for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["block"]):
+            names, counts = (x.astype(np.int64) for x in unpack_run(g.column("words")[0].as_py(), 2))
+            q = Lookups(names, unpack_run(g.column("data")[0].as_py(), 1)[0].astype(np.int64), m)
+            p3, p2, rest2, rest1 = np.zeros(len(q.c)), np.zeros(len(q.a)), np.ones(len(q.a)), np.ones(len(q.a))
+            for k in range(1, len(g)):
+                pairs, triples = q.of(g.column("shard")[k].as_py())
+                p3[triples] = _VALUE[unpack_run(g.column("data")[k].as_py(), 1)[0]]
+                p2[pairs], rest2[pairs], rest1[pairs] = (_VALUE[x] for x in unpack_run(g.column("words")[k].as_py(), 3))
+            if len(m.hot):
+                h = np.minimum(np.searchsorted(m.hot, q.a), len(m.hot) - 1)
+                rest1 = np.where(m.hot[h] == q.a, m.hot_rest[h], rest1)
+            n = counts[q.word]
+            p1 = (n + 0.5) / (m.tokens + 0.5 * (m.words + 1))
+            context, own = q.pair[q.token], q.pair[q.token + 1]
+            p = p3[q.triple[q.token]] + rest2[context] * (p2[own] + rest1[own] * p1)
+            keys, held, sizes = (g.column(c).chunk(0)[:1].flatten() for c in ("doc_ids", "held", "sizes"))
+            first = np.cumsum(sizes.to_numpy()) - sizes.to_numpy()
+            known, base = np.add.reduceat((n > 0).astype(np.int64), first), np.add.reduceat(np.log10(p1), first)
+            score = np.add.reduceat(np.log10(np.maximum(p, 1e-300)), first)
+            cols = [keys, held, sizes, pa.array(known), pa.array(np.full(len(sizes), m.tokens)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run
+
+
+def score_texts(docs: DataFrame, model: Model, held_out: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    The texts become blocks of ids; the distinct triples of a block are asked of their shards by one shuffle, and
+    the answers return to the block by another. A task opens the tries of its own shards only, each once."""
+    tables = Tables(docs.sparkSession, "lm-scores")
+    src = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("text"))
+    m = model.numbers()
+    rows = tables.save(coded(src, m), "blocks")
+    if model.tries is not None:
+        rows = rows.unionByName(tables.save(answers(asked(rows, m), model), "answers"))
+    out = rows.repartition("block").sortWithinPartitions("block", "shard")
+    return out.mapInArrow(finish(m), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
