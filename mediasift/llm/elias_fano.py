@@ -84,12 +84,25 @@ class EliasFano:
             at += np.where(go, np.uint64(half), np.uint64(0))
         return word * 64 + at.astype(np.int64)
 
-    def find_in(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Index of each value inside its range of a sequence of ``ranges``, -1 where the range lacks it."""
+    def base(self, begin: np.ndarray) -> np.ndarray:
+        """Where the ranges of a sequence of ``ranges`` that begin at the given indexes go on from."""
         base = np.zeros(len(begin), np.uint64)
         later = begin > 0
         base[later] = self.get(begin[later] - 1)
-        return self.find(values.astype(np.uint64) + np.uint64(1) + base, begin, end)
+        return base
+
+    def find_in(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Index of each value inside its range of a sequence of ``ranges``, -1 where the range lacks it."""
+        out = np.full(len(values), -1, np.int64)
+        values, size = values.astype(np.uint64) + np.uint64(1) + base, end - begin
+        for k in range(2):  # most ranges are this short
+            some = np.flatnonzero((size <= 2) & (size > k) & (out < 0))
+            at = begin[some] + k
+            hit = self.get(at) == values[some]
+            out[some[hit]] = at[hit]
+        long = np.flatnonzero(size > 2)
+        out[long] = self.find(values[long], begin[long], end[long])
+        return out
 
     def find(self, values: np.ndarray, least: np.ndarray | None = None, most: np.ndarray | None = None) -> np.ndarray:
         """Index of each value by successor search, -1 where the sequence (from ``least`` up to ``most``) has no such value."""

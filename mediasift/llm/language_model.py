@@ -87,13 +87,16 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Sorted hashes and counts of words, in mapped files dealt by the hash's leading bits."""
+    """Sorted hashes and counts of words, in mapped files dealt by the hash's leading bits.
+
+    A word's id is its file's number plus the number of files times its rank by count in the file, so frequent words
+    have small ids. All ids are below ``start``, the id of the start."""
 
     def __init__(self, root: str, files: list[str], bits: int):
         self.bits = bits
         self.parts = [level_files.read(root, f)[0] if f else None for f in files]
         sizes = [len(p["w"]) if p else 0 for p in self.parts]
-        self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.start = len(files) * max(sizes, default=0)
 
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1: unknown) and count of sorted hashes."""
@@ -106,7 +109,7 @@ class Vocabulary:
                 continue
             at = np.minimum(np.searchsorted(p["w"], hashes[a:b]), len(p["w"]) - 1)
             hit = p["w"][at] == hashes[a:b]
-            ids[a:b] = np.where(hit, at + self.base[k], -1)
+            ids[a:b] = np.where(hit, p["rank"][at].astype(np.int64) * len(self.parts) + k, -1)
             n[a:b] = np.where(hit, p["n"][at], 0)
         return ids, n
 
@@ -129,7 +132,10 @@ def _writer(root: str, build):
 def vocabulary(g: pa.Table):
     w, n = g.column("w").to_numpy().view(np.uint64), g.column("n").to_numpy()
     order = np.argsort(w)
-    return {"w": w[order], "n": n[order]}, {}, b""
+    w, n = w[order], n[order]
+    rank = np.empty(len(w), np.uint32)
+    rank[np.argsort(-n, kind="stable")] = np.arange(len(w), dtype=np.uint32)
+    return {"w": w, "n": n, "rank": rank}, {}, b""
 
 
 def shard_of(a: np.ndarray, b: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
@@ -155,6 +161,22 @@ def unpack_run(raw: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view(f"<u{width}").ravel() for p in data]
 
 
+def steps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs as differences: of a, and of b while a stays the same."""
+    da, db = np.diff(a, prepend=0), b.copy()
+    same = np.flatnonzero(da[1:] == 0) + 1
+    db[same] -= b[same - 1]
+    return da, db
+
+
+def unsteps(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    da, total = da.astype(np.int64), np.cumsum(db.astype(np.int64))
+    new = da > 0
+    new[:1] = True
+    first = np.flatnonzero(new)
+    return np.cumsum(da), total - np.repeat(total[first] - db[first].astype(np.int64), np.diff(np.append(first, len(da))))
+
+
 def unique_triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray | None = None):
     """Distinct (a, b, c) in order, with summed counts."""
     if len(a) and max(int(x.max()) for x in (a, b, c)) >= WIDE:
@@ -175,25 +197,26 @@ def unique_triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray |
     return (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), n
 
 
-def make_trie(words: int, hot: np.ndarray, hot_counts: np.ndarray, discount: float):
-    """A builder of one shard's trie; ``words`` is V, so V is the id of the start and V + 1 of the padding."""
-    universe = words + 2  # of first words
+def make_trie(start: int, hot: np.ndarray, hot_counts: np.ndarray, discount: float):
+    """A builder of one shard's trie; ``start`` is the id of the start and ``start + 1`` of the padding."""
+    universe = start + 2  # of first words
 
     def trie(g: pa.Table):
-        cols = [np.concatenate(x) for x in zip(*[unpack_run(raw, 4) for raw in g.column("run").to_pylist()], strict=True)]
+        runs = [unpack_run(raw, 4) for raw in g.column("run").to_pylist()]
+        cols = [np.concatenate(x) for x in zip(*[(*unsteps(*r[:2]), *r[2:]) for r in runs], strict=True)]
         a, b, c, n = unique_triples(*cols)
         new2 = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         at2 = np.flatnonzero(new2)
         n2 = np.add.reduceat(n, at2)
         a2, b2, parent = a[at2], b[at2], np.cumsum(new2) - 1
-        real = c != words + 1  # the padding counts for its pair only
+        real = c != start + 1  # the padding counts for its pair only
         parent, c, n = parent[real], c[real], n[real]
         total = np.bincount(parent, n, len(at2))
         kinds = np.bincount(parent, minlength=len(at2))
         new1 = np.append(True, a2[1:] != a2[:-1])
         at1 = np.flatnonzero(new1)
         a1, root = a2[at1], np.cumsum(new1) - 1
-        followed = b2 != words  # a start after a start is a context, not an event
+        followed = b2 != start  # a start after a start is a context, not an event
         n1 = np.bincount(root[followed], n2[followed], len(at1))
         kinds1 = np.bincount(root[followed], minlength=len(at1))
         is_hot = np.isin(a1, hot)
@@ -233,27 +256,34 @@ class Trie:
         own = parent[new]
         ends = pointers.get(np.concatenate([own, own + 1])).astype(np.int64)
         at = np.cumsum(new) - 1
-        return nodes.find_in(words, ends[: len(own)][at], ends[len(own) :][at])
+        begin, end = ends[: len(own)], ends[len(own) :]
+        return nodes.find_in(words, begin[at], end[at], nodes.base(begin)[at])
 
 
 class Model:
     """What scoring needs: files of the vocabulary, a table (shard, file) of the tries, a few numbers and the hot words."""
 
-    def __init__(self, root: str, vocabulary: list[str], bits: int, tries: DataFrame | None, shards: int, words: int, tokens: int, hot: np.ndarray, hot_rest: np.ndarray):
-        self.root, self.vocabulary, self.bits, self.tries, self.shards = root, vocabulary, bits, tries, shards
+    def __init__(self, root: str, vocabulary: list[str], bits: int, tries: DataFrame | None, shards: int, start: int, words: int, tokens: int, hot: np.ndarray, hot_rest: np.ndarray):
+        self.root, self.vocabulary, self.bits, self.tries, self.shards, self.start = root, vocabulary, bits, tries, shards, start
         self.words, self.tokens, self.hot, self.hot_rest = words, tokens, hot, hot_rest
 
+    def close(self) -> None:
+        """Remove the tries and the vocabulary; scores that ``score_texts`` has returned do not read them."""
+        if self.tries is not None:
+            path = self.tries.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.tries.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def numbers(self) -> Model:
         """Without the table, to be sent to tasks."""
-        return Model(self.root, self.vocabulary, self.bits, None, self.shards, self.words, self.tokens, self.hot, self.hot_rest)
+        return Model(self.root, self.vocabulary, self.bits, None, self.shards, self.start, self.words, self.tokens, self.hot, self.hot_rest)
 
 
-def sequences(ids: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
+def sequences(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     """The documents' ids one after another, each with two starts before and one padding after it."""
     rows = len(first) - 1
-    out = np.full(len(ids) + 3 * rows, words, np.int64)
+    out = np.full(len(ids) + 3 * rows, start, np.int64)
     out[np.arange(len(ids)) + 3 * np.repeat(np.arange(rows), np.diff(first)) + 2] = ids
-    out[first[1:] + 3 * np.arange(1, rows + 1) - 1] = words + 1
+    out[first[1:] + 3 * np.arange(1, rows + 1) - 1] = start + 1
     return out
 
 
@@ -264,7 +294,7 @@ class Lookups:
     has n + 1 triples: the first two words of a token's next triple are the token's pair."""
 
     def __init__(self, names: np.ndarray, code: np.ndarray, m: Model):
-        start, padding = np.searchsorted(names, [m.words, m.words + 1])
+        start, padding = np.searchsorted(names, [m.start, m.start + 1])
         a, b, c = code[:-2], code[1:-1], code[2:]
         real = (c != start) & (b != padding)
         self.token = np.flatnonzero(c[real] != padding)
@@ -274,7 +304,7 @@ class Lookups:
         self.pair_of = triples >> 32
         self.pair = pair
         self.a, self.b, self.c = names[pairs >> 32], names[pairs & 0xFFFFFFFF], names[triples & 0xFFFFFFFF]
-        shard = np.where(self.a > m.words, -1, shard_of(self.a, self.b, m.hot, m.shards))  # an unknown first word is in no trie
+        shard = np.where(self.a > m.start, -1, shard_of(self.a, self.b, m.hot, m.shards))  # an unknown first word is in no trie
         self.pairs_by, self.triples_by = np.argsort(shard, kind="stable"), np.argsort(shard[self.pair_of], kind="stable")
         self.pair_shards, self.triple_shards = shard[self.pairs_by], shard[self.pair_of][self.triples_by]
 
@@ -298,7 +328,7 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
     counts = tables.save(count_words(source), "words")
     words, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not words:
-        return Model(root, [], vocabulary_bits, None, 1, 0, 0, np.zeros(0, np.int64), np.zeros(0))
+        return Model(root, [], vocabulary_bits, None, 1, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0))
     dealt = counts.withColumn("shard", F.shiftrightunsigned("w", 64 - vocabulary_bits))
     listed = tables.save(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_writer(root, vocabulary), "shard long, file string, extra binary"), "vocabulary")
     files: list[str | None] = [None] * (1 << vocabulary_bits)
@@ -308,9 +338,11 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
     # at most 4 * shards words hold more than a quarter of a shard's tokens each
     heavy = {np.uint64(r["w"] % 2**64): r["n"] for r in counts.where((F.col("n") > tokens / (4 * shards)) & (F.col("w") != int(END.view(np.int64)))).collect()}
     look = Vocabulary(root, files, vocabulary_bits)
+    tables.drop("words")
     hashes = np.sort(np.array(list(heavy), np.uint64))
     ends = int(look.look(np.array([END]))[1][0])
-    hot = np.append(look.look(hashes)[0], words)
+    start = look.start
+    hot = np.append(look.look(hashes)[0], start)
     hot_counts = np.append([heavy[h] for h in hashes], ends)  # the start is followed once for each document
     order = np.argsort(hot)
     hot, hot_counts = hot[order].astype(np.int64), hot_counts[order].astype(np.int64)
@@ -322,13 +354,14 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(held)
             a, b, c = ids[:-2], ids[1:-1], ids[2:]
-            real = (c != words) & (b != words + 1)  # not from one document into the next
+            real = (c != start) & (b != start + 1)  # not from one document into the next
             a, b, c, n = unique_triples(a[real], b[real], c[real])
             shard = shard_of(a, b, hot, shards)
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
             some = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
-            runs = [pack_run(*(x[by[cuts[k] : cuts[k + 1]]] for x in (a, b, c, n))) for k in some]
+            own = [by[cuts[k] : cuts[k + 1]] for k in some]
+            runs = [pack_run(*steps(a[x], b[x]), c[x], n[x]) for x in own]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(runs, pa.binary())], names=["shard", "run"])
 
         for batch in batches:
@@ -336,7 +369,7 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
                 h, first = token_hashes(block)
                 distinct, back = np.unique(h, return_inverse=True)
                 ids = vocabulary.look(distinct)[0][back]
-                held.append(sequences(ids, first, words))
+                held.append(sequences(ids, first, start))
                 size += len(held[-1])
                 if size > COUNT_TOKENS:
                     yield flush()
@@ -345,11 +378,11 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
             yield flush()
 
     runs = source.mapInArrow(count, "shard long, run binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    built = tables.save(runs.mapInArrow(_writer(root, make_trie(words, hot, hot_counts, discount)), "shard long, file string, extra binary"), "tries")
+    built = tables.save(runs.mapInArrow(_writer(root, make_trie(start, hot, hot_counts, discount)), "shard long, file string, extra binary"), "tries")
     kinds = np.zeros(len(hot))
     for at, n in built.where("length(extra) > 0").mapInArrow(_hot_kinds, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row a hot word
         kinds[at] = n
-    return Model(root, files, vocabulary_bits, built.select("shard", "file"), shards, words, tokens, hot, np.where(hot_counts > 0, discount * kinds / np.maximum(hot_counts, 1), 1.0))
+    return Model(root, files, vocabulary_bits, built.select("shard", "file"), shards, start, words, tokens, hot, np.where(hot_counts > 0, discount * kinds / np.maximum(hot_counts, 1), 1.0))
 
 
 def _hot_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +399,7 @@ def coded(docs: DataFrame, m: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary(m.root, m.vocabulary, m.bits)
-        unknown = m.words + 2
+        unknown = m.start + 2
         block_id, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -375,8 +408,11 @@ def coded(docs: DataFrame, m: Model) -> DataFrame:
             counts = np.zeros(len(names), np.int64)
             counts[np.searchsorted(names, np.concatenate(ids))] = np.concatenate(n)
             lists = [pa.concat_arrays(keys), pa.concat_arrays(held_out), pa.array(np.concatenate(sizes))]
+            often = np.argsort(-np.bincount(code), kind="stable")  # frequent words get small numbers
+            place = np.empty(len(often), np.int64)
+            place[often] = np.arange(len(often))
             cols = [pa.array([block_id]), pa.array([-1]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([pack_run(names, counts)], pa.binary()), pa.array([pack_run(code)], pa.binary())], names=["block", "shard", "doc_ids", "held", "sizes", "words", "data"])
+            return pa.RecordBatch.from_arrays([*cols, pa.array([pack_run(names[often], counts[often])], pa.binary()), pa.array([pack_run(place[code])], pa.binary())], names=["block", "shard", "doc_ids", "held", "sizes", "words", "data"])
 
         for batch in batches:
             for block in blocks(batch.column(2), 3 << 20):
@@ -385,7 +421,7 @@ def coded(docs: DataFrame, m: Model) -> DataFrame:
                 ids, n = known.look(distinct)
                 ids = np.where(ids < 0, unknown, ids)
                 own = [batch.column(k).slice(block.lo, len(block)) for k in (0, 1)]
-                held.append((*own, np.diff(first), ids, n, sequences(ids[back], first, m.words)))
+                held.append((*own, np.diff(first), ids, n, sequences(ids[back], first, m.start)))
                 size += len(h)
                 if size > COUNT_TOKENS:
                     yield flush()
@@ -396,37 +432,47 @@ def coded(docs: DataFrame, m: Model) -> DataFrame:
     return docs.mapInArrow(run, BLOCK)
 
 
+def unpack_block(words: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's ids in order, their counts, and its sequences as places in them."""
+    names, counts = (x.astype(np.int64) for x in unpack_run(words, 2))
+    order = np.argsort(names)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    return names[order], counts[order], place[unpack_run(data, 1)[0]]
+
+
 def asked(block_rows: DataFrame, m: Model) -> DataFrame:
     """What the blocks ask of each shard: rows of shard, block, and the triples as a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                q = Lookups(unpack_run(words.as_py(), 2)[0].astype(np.int64), unpack_run(data.as_py(), 1)[0].astype(np.int64), m)
+                names, _, code = unpack_block(words.as_py(), data.as_py())
+                q = Lookups(names, code, m)
                 runs, shards = [], q.shards()
                 for shard in shards:
                     _, t = q.of(shard)
-                    runs.append(pack_run(q.a[q.pair_of[t]], q.b[q.pair_of[t]], q.c[t]))
+                    runs.append(pack_run(*steps(q.a[q.pair_of[t]], q.b[q.pair_of[t]]), q.c[t]))
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([block] * len(shards), pa.int64()), pa.array(runs, pa.binary())], names=["shard", "block", "run"])
 
     return block_rows.select("block", "words", "data").mapInArrow(run, "shard long, block long, run binary")
 
 
-def answer(t: Trie, a: np.ndarray, b: np.ndarray, c: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Quantised values of sorted distinct triples: p3 of each; p2, rest2 and rest1 of each distinct pair in front."""
+def answer(t: Trie, a: np.ndarray, b: np.ndarray, c: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quantised values of sorted distinct triples: p3 of each, p2 and rest2 of each distinct pair in front, rest1 of each distinct first word."""
     new2 = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     pair, a2, b2 = np.cumsum(new2) - 1, a[new2], b[new2]
     new1 = np.append(True, a2[1:] != a2[:-1])
-    root = t.roots.find(a2[new1])[np.cumsum(new1) - 1]
+    roots = t.roots.find(a2[new1])
+    rest1 = np.where(roots >= 0, t.rest1[np.maximum(roots, 0)], 0).astype(np.uint16)
+    root = roots[np.cumsum(new1) - 1]
     p3, place = np.full(len(a), NONE, np.uint16), np.full(len(a2), -1, np.int64)
-    p2, rest2, rest1 = np.full(len(a2), NONE, np.uint16), np.zeros(len(a2), np.uint16), np.zeros(len(a2), np.uint16)
-    own = np.flatnonzero(root >= 0)
-    rest1[own] = t.rest1[root[own]]
-    own = own[b2[own] <= words]
+    p2, rest2 = np.full(len(a2), NONE, np.uint16), np.zeros(len(a2), np.uint16)
+    own = np.flatnonzero((root >= 0) & (b2 <= start))
     place[own] = t.children(t.children1, t.nodes2, root[own], b2[own])
     own = own[place[own] >= 0]
     p2[own], rest2[own] = t.p2[place[own]], t.rest2[place[own]]
-    use = np.flatnonzero((place[pair] >= 0) & (c <= words))
+    use = np.flatnonzero((place[pair] >= 0) & (c < start))
     node = t.children(t.children2, t.nodes3, place[pair[use]], c[use])
     p3[use[node >= 0]] = t.p3[node[node >= 0]]
     return p3, p2, rest2, rest1
@@ -445,9 +491,9 @@ def answers(questions: DataFrame, model: Model) -> DataFrame:
                 if block < 0:  # the shard's file, before its runs
                     opened, trie = shard, Trie(m.root, bytes(raw).decode())
                 elif shard == opened:
-                    a, b, c = (x.astype(np.int64) for x in unpack_run(bytes(raw), 3))
-                    p3, *pairs = answer(trie, a, b, c, m.words)
-                    out.append((block, shard, pack_run(*pairs), pack_run(p3)))
+                    da, db, c = unpack_run(bytes(raw), 3)
+                    p3, p2, rest2, rest1 = answer(trie, *unsteps(da, db), c.astype(np.int64), m.start)
+                    out.append((block, shard, pack_run(p2, rest2), pack_run(np.append(p3, rest1))))
             if out:
                 block, shard, pairs, triples = zip(*out, strict=True)
                 none = [pa.nulls(len(out), pa.list_(k)) for k in (pa.int64(), pa.bool_(), pa.int64())]
@@ -462,13 +508,16 @@ def finish(m: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["block"]):
-            names, counts = (x.astype(np.int64) for x in unpack_run(g.column("words")[0].as_py(), 2))
-            q = Lookups(names, unpack_run(g.column("data")[0].as_py(), 1)[0].astype(np.int64), m)
+            names, counts, code = unpack_block(g.column("words")[0].as_py(), g.column("data")[0].as_py())
+            q = Lookups(names, code, m)
             p3, p2, rest2, rest1 = np.zeros(len(q.c)), np.zeros(len(q.a)), np.ones(len(q.a)), np.ones(len(q.a))
             for k in range(1, len(g)):
                 pairs, triples = q.of(g.column("shard")[k].as_py())
-                p3[triples] = _VALUE[unpack_run(g.column("data")[k].as_py(), 1)[0]]
-                p2[pairs], rest2[pairs], rest1[pairs] = (_VALUE[x] for x in unpack_run(g.column("words")[k].as_py(), 3))
+                values = _VALUE[unpack_run(g.column("data")[k].as_py(), 1)[0]]
+                p3[triples] = values[: len(triples)]
+                p2[pairs], rest2[pairs] = (_VALUE[x] for x in unpack_run(g.column("words")[k].as_py(), 2))
+                a = q.a[pairs]
+                rest1[pairs] = values[len(triples) + np.cumsum(np.append(True, a[1:] != a[:-1])) - 1]
             if len(m.hot):
                 h = np.minimum(np.searchsorted(m.hot, q.a), len(m.hot) - 1)
                 rest1 = np.where(m.hot[h] == q.a, m.hot_rest[h], rest1)
@@ -490,7 +539,8 @@ def score_texts(docs: DataFrame, model: Model, held_out: Column, *, key: str = "
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The texts become blocks of ids; the distinct triples of a block are asked of their shards by one shuffle, and
-    the answers return to the block by another. A task opens the tries of its own shards only, each once."""
+    the answers return to the block by another. A task opens the tries of its own shards only, each once. The look-ups
+    are done and written when this returns: the result reads the model no more."""
     tables = Tables(docs.sparkSession, "lm-scores")
     src = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("text"))
     m = model.numbers()

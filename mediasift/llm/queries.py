@@ -65,7 +65,10 @@ def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     fold = hash_mod(F.col("doc_id"), 5)
-    return lm.score_texts(docs, lm.train(docs.where(F.coalesce(fold != 1, F.lit(True)))), F.coalesce(fold == 1, F.lit(False)))
+    model = lm.train(docs.where(F.coalesce(fold != 1, F.lit(True))))
+    scores = lm.score_texts(docs, model, F.coalesce(fold == 1, F.lit(False)))
+    model.close()
+    return scores
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
