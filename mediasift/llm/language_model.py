@@ -42,6 +42,8 @@ LOWER[0x41:0x5B] += 0x20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 SCALE, NONE = 2000.0, 65535
 COUNT_TOKENS = 1_500_000
+#: Tokens of a block that is scored.
+SCORE_TOKENS = 500_000
 #: Word ids from here on are renumbered before two of them are put into 64 bits.
 WIDE = 1 << 32
 
@@ -395,7 +397,7 @@ BLOCK = "block long, shard long, doc_ids array<long>, held array<boolean>, sizes
 
 
 def coded(docs: DataFrame, m: Model) -> DataFrame:
-    """Blocks of about ``COUNT_TOKENS`` tokens: keys, sizes, the distinct ids with their counts, and the sequences as places in them."""
+    """Blocks of about ``SCORE_TOKENS`` tokens: keys, sizes, the distinct ids with their counts, and the sequences as places in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary(m.root, m.vocabulary, m.bits)
@@ -415,7 +417,7 @@ def coded(docs: DataFrame, m: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([*cols, pa.array([pack_run(names[often], counts[often])], pa.binary()), pa.array([pack_run(place[code])], pa.binary())], names=["block", "shard", "doc_ids", "held", "sizes", "words", "data"])
 
         for batch in batches:
-            for block in blocks(batch.column(2), 3 << 20):
+            for block in blocks(batch.column(2)):
                 h, first = token_hashes(block)
                 distinct, back = np.unique(h, return_inverse=True)
                 ids, n = known.look(distinct)
@@ -423,7 +425,7 @@ def coded(docs: DataFrame, m: Model) -> DataFrame:
                 own = [batch.column(k).slice(block.lo, len(block)) for k in (0, 1)]
                 held.append((*own, np.diff(first), ids, n, sequences(ids[back], first, m.start)))
                 size += len(h)
-                if size > COUNT_TOKENS:
+                if size > SCORE_TOKENS:
                     yield flush()
                     block_id, held, size = block_id + 1, [], 0
         if held:
