@@ -7,7 +7,8 @@ a trie of three levels. The word ids of a level are one Elias-Fano sequence, in
 on where the one before ended; the pointers to the ranges are another. A node is found by a successor search
 relative to its context, between the context's two pointers. Nodes carry their discounted probability, and inner nodes the weight left to shorter
 contexts, quantised to 16 bits on a logarithmic scale. Shards are files that tasks map into memory,
-so the model may be larger than any heap, and workers of one machine share its pages.
+so the model may be larger than any heap. Scoring deals the distinct triples of blocks of text to the shards and
+the answers back to the blocks, so a task opens its own shards only. The vocabulary is opened by every task.
 
 The model interpolates with absolute discounting:
 ``p(c|ab) = max(n(abc) - D, 0) / n(ab.) + D * n1(ab.) / n(ab.) * p(c|b)``, likewise for ``p(c|b)``, and
@@ -487,9 +488,9 @@ def answers(questions: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, trie = None, None
-        for batch in batches:
+        for part in (batch.slice(lo, 64) for batch in batches for lo in range(0, batch.num_rows, 64)):
             out = []
-            for shard, block, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for shard, block, raw in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 if block < 0:  # the shard's file, before its runs
                     opened, trie = shard, Trie(m.root, bytes(raw).decode())
                 elif shard == opened:
