@@ -89,14 +89,27 @@ def op10_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm.hyperplane_tree import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm.exact_topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_jaccard_join": op2_jaccard_join, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_token_store": op6_token_store, "op7_ngram_scores": op7_ngram_scores, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture}
+    return {"op1_quality_rules": op1_quality_rules, "op2_jaccard_join": op2_jaccard_join, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_token_store": op6_token_store, "op7_ngram_scores": op7_ngram_scores, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture, "op11_hard_negatives": op11_hard_negatives, "op12_exact_topk": op12_exact_topk}
 
 
 def oracle_sql() -> dict[str, str]:
     from mediasift.llm import quality_sql, warc_query
 
-    return {"op1_quality_rules": quality_sql.sql(), "op8_warc_revisits": warc_query.SQL, "op10_poisson_mixture": OP10_SQL}
+    return {"op1_quality_rules": quality_sql.sql(), "op8_warc_revisits": warc_query.SQL, "op10_poisson_mixture": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_exact_topk": OP12_SQL}
 
 
 OP10_SQL = """
@@ -127,3 +140,35 @@ WITH RECURSIVE sizes AS (
 )
 SELECT *, md5('order17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(replica AS VARCHAR)) AS shuffle_key FROM replicas
 """
+
+OP11_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a, rows r WHERE a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n USING (anchor_id)
+WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+FROM rows q, rows c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)
+QUALIFY row_number() OVER w <= 20
+"""

@@ -37,6 +37,10 @@ class Tables:
             self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def path(self, name: str) -> str:
+        """Where a saved table's files are, for tasks that go through them."""
+        return f"{self.root}/{name}"
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         self._delete(*[f"{self.root}/{name}" for name in names])
