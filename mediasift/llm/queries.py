@@ -102,14 +102,20 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediasift.llm.prefix_trie import grafted, prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), grafted, 8).drop("enter_at", "leave_at")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_jaccard_join": op2_jaccard_join, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_token_store": op6_token_store, "op7_ngram_scores": op7_ngram_scores, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture, "op11_hard_negatives": op11_hard_negatives, "op12_exact_topk": op12_exact_topk}
+    return {"op1_quality_rules": op1_quality_rules, "op2_jaccard_join": op2_jaccard_join, "op3_html_text": op3_html_text, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_token_store": op6_token_store, "op7_ngram_scores": op7_ngram_scores, "op8_warc_revisits": op8_warc_revisits, "op9_decontamination": op9_decontamination, "op10_poisson_mixture": op10_poisson_mixture, "op11_hard_negatives": op11_hard_negatives, "op12_exact_topk": op12_exact_topk, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
     from mediasift.llm import quality_sql, warc_query
 
-    return {"op1_quality_rules": quality_sql.sql(), "op8_warc_revisits": warc_query.SQL, "op10_poisson_mixture": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_exact_topk": OP12_SQL}
+    return {"op1_quality_rules": quality_sql.sql(), "op8_warc_revisits": warc_query.SQL, "op10_poisson_mixture": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_exact_topk": OP12_SQL, "op13_prefix_trie": OP13_SQL}
 
 
 OP10_SQL = """
@@ -172,3 +178,36 @@ FROM rows q, rows c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)
 QUALIFY row_number() OVER w <= 20
 """
+
+OP13_SQL = """
+WITH digests AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_hash, strlen(coalesce(text, '')) AS n_bytes
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({t: turn_hash, b: n_bytes} ORDER BY turn NULLS FIRST, turn_hash) AS turns FROM digests GROUP BY conv_id
+), drawn AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(str_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS h FROM own
+), rebuilt AS (
+  SELECT d.conv_id, list_concat(coalesce(b.turns[1:d.h], []), d.turns[d.h + 1:]) AS turns FROM drawn d LEFT JOIN own b ON b.conv_id = d.conv_id - d.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt
+), keyed AS (
+  SELECT conv_id, depth, len(turns) = depth AS ends, array_to_string(list_transform(turns[1:depth], lambda x: x.t), '') AS key, CASE WHEN depth > 0 THEN turns[depth].b ELSE 0 END AS n_bytes FROM prefixes
+), nodes AS (
+  SELECT depth, key, min(conv_id) AS rep, count(*) AS n_convs, max(n_bytes) AS n_bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM keyed GROUP BY depth, key
+), members AS (
+  SELECT k.conv_id, k.depth, n.rep FROM keyed k JOIN nodes n USING (depth, key)
+), parents AS (
+  SELECT n.*, m.rep AS parent FROM nodes n LEFT JOIN members m ON m.conv_id = n.rep AND m.depth = n.depth - 1
+), children AS (
+  SELECT parent AS rep, depth - 1 AS depth, count(*) AS n FROM parents WHERE depth > 0 GROUP BY ALL
+), subtrees AS (
+  SELECT m.rep, m.depth, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.n_bytes) AS saved
+  FROM nodes n JOIN members m ON m.conv_id = n.rep AND m.depth <= n.depth LEFT JOIN children c ON c.rep = n.rep AND c.depth = n.depth GROUP BY ALL
+)
+SELECT p.rep AS conv_id, p.depth, p.parent AS parent_conv_id, p.n_convs, coalesce(c.n, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, p.ends_sha256
+FROM parents p LEFT JOIN children c USING (rep, depth) JOIN subtrees s USING (rep, depth)
+"""
