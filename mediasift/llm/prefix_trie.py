@@ -45,6 +45,11 @@ def digest(role: Column, text: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256))
 
 
+def changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where rows differ from the one before; the first does."""
+    return np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+
 def numbered(tables: Tables, conversations: DataFrame) -> DataFrame:
     """conv_id, lo, hi, turn_hash, n_bytes: equal turns that follow each other, and the places (from 1) that they take.
 
@@ -60,7 +65,7 @@ def numbered(tables: Tables, conversations: DataFrame) -> DataFrame:
                 continue
             conv, n = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             ends = np.cumsum(n)
-            first = np.flatnonzero(np.diff(conv, prepend=conv[0] - 1) != 0)
+            first = np.flatnonzero(changes([conv]))
             before = np.repeat((ends - n)[first] - np.where(conv[first] == last, total, 0), np.diff([*first, len(conv)]))
             done = ends - before
             last, total = conv[-1], int(done[-1])
@@ -95,7 +100,7 @@ def grafted(tables: Tables, rows: DataFrame, group: int = 5, most: int = 9) -> D
     sizes = tables.save(rows.groupBy("conv_id").agg(F.max("hi").alias("n_own")), "sizes")
     own = sizes.select("*", F.expr(f"conv_id - conv_id % {group}").alias("base"), (F.crc32(F.col("conv_id").cast("string")) % most).alias("skip"))
     bases = sizes.select(F.col("conv_id").alias("base"), F.col("n_own").alias("n_base"))
-    found = own.where("base != conv_id").join(bases, "base", "left").select("conv_id", "n_own", "skip", "base", F.coalesce(F.least("skip", "n_base"), F.lit(0)).alias("taken"))
+    found = own.where("base != conv_id").join(bases, "base", "left").select("conv_id", "n_own", "skip", "base", F.least("skip", F.coalesce("n_base", F.lit(0))).alias("taken"))
     nothing = F.lit(0).cast("long")
     return found.unionByName(own.where("base = conv_id").select("conv_id", "n_own", nothing.alias("skip"), F.lit(None).cast("long").alias("base"), nothing.alias("taken")))
 
@@ -145,7 +150,7 @@ def end_hashes(tables: Tables, ends: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy() for c in batch.columns]
-            starts = np.flatnonzero(np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in columns[:3]], axis=0))
+            starts = np.flatnonzero(changes(columns[:3]))
             starts = np.unique(np.concatenate([starts, np.arange(0, batch.num_rows, PIECE_IDS)]))
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, batch.num_rows).astype(np.int32)), batch.column(3).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*[pa.array(c[starts]) for c in columns], pc.binary_join(lists, ",")], names=[*key, "first", "ids"])
@@ -248,7 +253,7 @@ def places(ids: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
     columns = [np.concatenate(pair) for pair in zip(ids, wanted, strict=True)]
     order = np.lexsort(columns[::-1])
     group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(np.any([np.diff(c[order], prepend=c[order[0]] - 1) != 0 for c in columns], axis=0))
+    group[order] = np.cumsum(changes([c[order] for c in columns]))
     at, n = np.full(len(order) + 1, -1), len(ids[0])
     at[group[:n]] = np.arange(n)
     return at[group[n:]]
