@@ -15,7 +15,7 @@ from mediasift.operators import index as ix
 from mediasift.operators import listing_filters as lf
 from mediasift.operators import search as sr
 from mediasift.sources.content import content_of, fingerprints
-from mediasift.sources.listing import list_library
+from mediasift.sources.walk import list_library
 from mediasift.sources.store import IndexStore
 
 

@@ -6,19 +6,10 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 
 from mediasift.functions.media import HEAD, TAIL
-
-
-def open_file(path: str) -> pa.NativeFile:
-    """A file by its path (of the local file system, which all executors see) or URI."""
-    if "://" in path or path.startswith("file:"):
-        files, path = fs.FileSystem.from_uri(path)
-    else:
-        files = fs.LocalFileSystem()
-    return files.open_input_file(path)
+from mediasift.sources.files import open_file
 
 
 def content_of(path: str) -> bytes:

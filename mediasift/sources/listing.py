@@ -6,7 +6,8 @@ with an underscore. Hidden names are skipped unless ``hidden`` is true, director
 matches ``excludeDirs`` (a regex) are pruned, names must match ``files`` (a regex). Links are followed,
 each directory once. The driver looks into directories, level by level, until there are ``PARTITIONS`` of them; each is
 then a partition with all below it. The root must be reachable from all executors. A file or directory that
-cannot be read has a null time and size and a reason.
+cannot be read has a null time and size and a reason. ``walk.list_library`` lists libraries of any size and
+on any file system, in steps of Spark; this source suits those that a few hundred tasks can go through alone.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ import os
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from mediasift.functions.paths import EXCLUDED_DIRS, IMAGE_EXTENSIONS, RAW_EXTENSIONS, exclude_regex, extension_regex
+from mediasift.functions.paths import EXCLUDED_DIRS, IMAGE_EXTENSIONS, exclude_regex, extension_regex
 
 
 #: Directories that the driver deals out, at least, if there are so many.
@@ -100,9 +100,3 @@ class Library(DataSource):
 
     def reader(self, schema) -> LibraryReader:
         return LibraryReader({k.lower(): v for k, v in self.options.items()})
-
-
-def list_library(spark: SparkSession, root: str, *, hidden: bool = False, exclude_dirs: list[str] | None = None, raw_support: bool = False) -> DataFrame:
-    spark.dataSource.register(Library)
-    extensions = IMAGE_EXTENSIONS + (RAW_EXTENSIONS if raw_support else [])
-    return spark.read.format("library").options(root=root, hidden=str(hidden).lower(), excludeDirs=exclude_regex(exclude_dirs), files=extension_regex(extensions)).load()

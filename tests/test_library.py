@@ -17,7 +17,7 @@ from mediasift.operators import index as ix
 from mediasift.operators import search as sr
 from mediasift.plans.media_index import MediaIndex
 from mediasift.sources import content
-from mediasift.sources.listing import list_library
+from mediasift.sources.walk import list_library
 from mediasift.sources.store import INDEX, IndexStore, migrate
 
 
@@ -75,6 +75,56 @@ def test_listing_in_few_and_many_partitions(spark, library, monkeypatch):
     assert len(missing) == 1 and missing[0][2] is None and missing[0][4]
 
 
+def test_listing_in_steps(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from mediasift.sources import walk
+    from mediasift.sources.files import Place
+
+    lib = tmp_path / "a b%20c"
+    for d in ("x/y/z", "x/w", "v", ".hid/in", "node_modules/m"):
+        (lib / d).mkdir(parents=True)
+        (lib / d / "one.jpg").write_bytes(b"1" * len(d))
+    (lib / "x/up").symlink_to(lib)  # back to the root
+    (lib / "v/across").symlink_to(lib / "x/y")  # the same folder on the same level: the smaller path counts
+    (lib / "x/w/deep").symlink_to(lib / "x/y/z")
+    (lib / "v/lost").symlink_to(lib / "none")
+    want = ["v/across/z/one.jpg", "v/one.jpg", "x/w/one.jpg"]
+    below = lambda df, head: sorted(r["filepath"].removeprefix(f"{head}/") for r in df.collect())
+    # x/w/deep and v/across/z are one folder on one level
+    assert below(list_library(spark, str(lib)), str(lib)) == want
+    assert below(list_library(spark, f"file://{lib}/"), f"file://{lib}") == want
+    hidden = below(list_library(spark, str(lib), hidden=True), str(lib))
+    assert ".hid/in/one.jpg" in hidden and ".hid/one.jpg" not in hidden
+
+    # a file system of Arrow's that is not the local one: no links are known there
+    (lib / "x/up").unlink()
+    base = str(lib)
+
+    def find(path):
+        return Place(fs.SubTreeFileSystem(base, fs.LocalFileSystem()), "", "box://far/")
+
+    far = list_library(spark, "box://far/", find=find)
+    assert below(far.where("size > 0"), "box://far") == ["v/across/z/one.jpg", "v/one.jpg", "x/w/deep/one.jpg", "x/w/one.jpg", "x/y/z/one.jpg"]
+    row = far.where("name = 'one.jpg' and size = 3").first()
+    assert abs(row["modified_at"] - os.stat(lib / "x/w/one.jpg").st_mtime) < 1e-3
+    assert list_library(spark, f"{tmp_path}/none").first()["reason"]
+    monkeypatch.setattr(walk, "MOST_LEVELS", 2)
+    with pytest.raises(OSError):
+        list_library(spark, str(lib))
+
+
+def test_listing_of_a_large_flat_folder(spark, tmp_path):
+    from mediasift.sources import walk
+
+    for i in range(100_000):
+        os.close(os.open(f"{tmp_path}/f{i:06d}.jpg", os.O_CREAT | os.O_WRONLY))
+    assert list_library(spark, str(tmp_path)).where("modified_at is not null and size = 0").count() == 100_000
+    paths = spark.createDataFrame([(f"{tmp_path}/f{i:06d}.jpg", f"f{i:06d}.jpg") for i in range(0, 100_000, 20)], "filepath string, name string")
+    found = walk.looked_up(paths, 5).groupBy(F.spark_partition_id().alias("task")).agg(F.min("filepath").alias("lo"), F.max("filepath").alias("hi"), F.count("size").alias("n")).orderBy("lo").collect()
+    assert len(found) == 5 and all(a["hi"] < b["lo"] for a, b in zip(found, found[1:])) and max(r["n"] for r in found) < 2 * 1000
+
+
 def test_fingerprint_of_large_content(spark, tmp_path):
     data = os.urandom(media.HEAD + 5000)
     (tmp_path / "a.bin").write_bytes(data)
