@@ -47,12 +47,14 @@ def encode_batches(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndar
 
         def predict(x: np.ndarray) -> np.ndarray:
             y = np.asarray(encode(x), np.float32)
-            return y / np.linalg.norm(y, axis=-1, keepdims=True)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return y / np.linalg.norm(y, axis=-1, keepdims=True)
 
         return predict
 
     run = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[shape] if shape else None)
-    return rows.withColumn(out, run(F.col(column)))
+    found = rows.withColumn(out, run(F.col(column)))
+    return found.withColumn(out, F.when(~F.exists(out, F.isnan), F.col(out)))  # a zero vector has no direction
 
 
 @lru_cache(1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.codecs import decode_image
 from mediasift.functions.media import MEAN, SIDE, STD, bomb_pixels, megapixels, within_cap
 from mediasift.sources.content import content_of
 
@@ -86,53 +86,6 @@ def image_size(raw: bytes) -> tuple[int, int] | None:
     return None
 
 
-def decode_png(raw: bytes) -> np.ndarray:
-    """Height x width x 3 bytes of a PNG of 8 bits a channel that is not interlaced. Other formats take a
-    decoder of the user's; this one needs no imaging library."""
-    if raw[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("cannot identify image file")
-    at, data, palette = 8, b"", None
-    try:
-        w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", raw[16:29])
-        while at < len(raw):
-            size, name = struct.unpack(">I4s", raw[at : at + 8])
-            body, at = raw[at + 8 : at + 8 + size], at + 12 + size
-            if name == b"PLTE":
-                palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-            elif name == b"IDAT":
-                data += body
-        if depth != 8 or interlaced:
-            raise ValueError("cannot identify image file: bits a channel or interlacing")
-        n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-        rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * n)
-    except (struct.error, zlib.error, KeyError) as error:
-        raise ValueError(f"cannot identify image file: {error}") from error
-    out, above = np.empty((h, w, n), np.uint8), np.zeros((w, n), np.int64)
-    for y in range(h):
-        line = rows[y, 1:].reshape(w, n).astype(np.int64)
-        how = rows[y, 0]
-        if how == 1:
-            line = np.cumsum(line, axis=0)
-        elif how == 2:
-            line = line + above
-        elif how > 2:
-            left, corner = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for x in range(w):
-                up = above[x]
-                if how == 3:
-                    near = (left + up) >> 1
-                else:
-                    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
-                    near = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                left, corner = (line[x] + near) & 255, up
-                line[x] = left
-        above = line & 255
-        out[y] = above
-    if kind == 3:
-        return palette[out[:, :, 0]]
-    return np.repeat(out[:, :, :1], 3, axis=2) if n < 3 else out[:, :, :3]
-
-
 def load_image(raw: bytes, decode: Callable[[bytes], np.ndarray], cap: int | None, side: int = SIDE) -> np.ndarray:
     """Encoder input of an image; one above the cap is refused by its head, before it is decoded."""
     size = image_size(raw)
@@ -144,7 +97,7 @@ def load_image(raw: bytes, decode: Callable[[bytes], np.ndarray], cap: int | Non
     return preprocess(rgb, side)
 
 
-def encode_images(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], *, decode: Callable[[bytes], np.ndarray] = decode_png, cap: int | None = None, batch: int = 8, read: Callable[[str], bytes] = content_of) -> DataFrame:
+def encode_images(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], *, decode: Callable[[bytes], np.ndarray] = decode_image, cap: int | None = None, batch: int = 8, read: Callable[[str], bytes] = content_of) -> DataFrame:
     """Rows of a listing with the unit ``vector`` of each image, or a null one, a ``reason`` and a ``message``.
 
     Tasks open the files, refuse what is above the cap, decode, resize, and encode ``batch`` images at once with an
@@ -173,8 +126,11 @@ def encode_images(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndarr
                     try:
                         encode = encode or make_encoder()
                         found = np.asarray(encode(np.stack(images)), np.float32)
-                        for k, v in zip(own, found / np.linalg.norm(found, axis=-1, keepdims=True), strict=True):
-                            vectors[k] = v
+                        for k, v, n in zip(own, found, np.linalg.norm(found, axis=-1), strict=True):
+                            if n > 0 and np.isfinite(n):
+                                vectors[k] = v / n
+                            else:
+                                errors[k] = "the encoder gave a vector without a direction"
                     except Exception as error:
                         for k in own:
                             errors[k] = f"the encoder failed: {error}"

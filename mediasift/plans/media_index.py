@@ -25,7 +25,7 @@ class MediaIndex:
 
     def __init__(
         self, spark: SparkSession, store: str, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], encode_text: Callable[[str], list[float]], *,
-        decode: Callable[[bytes], np.ndarray] = im.decode_png, batch: int = 8, max_image_megapixels: str = "auto", memory: int = 0, workers: int = 1,
+        decode: Callable[[bytes], np.ndarray] = im.decode_image, batch: int = 8, max_image_megapixels: str = "auto", memory: int = 0, workers: int = 1,
         exclude_dirs: list[str] | None = None, include_hidden: bool = False, raw_support: bool = False, read: Callable[[str], bytes] = content_of,
     ):
         self.spark, self.store = spark, IndexStore(spark, store)

@@ -15,6 +15,7 @@ from mediasift.operators import evaluate as ev
 from mediasift.operators import images as im
 from mediasift.operators import index as ix
 from mediasift.operators import search as sr
+from mediasift.codecs import decode_png
 from mediasift.plans.media_index import MediaIndex
 from mediasift.sources import content
 from mediasift.sources.walk import list_library
@@ -259,10 +260,10 @@ def test_png_filters_and_kinds():
         palette = rng.integers(0, 256, (256, 3)).astype(np.uint8)
         raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, kind, 0, 0, 0)) + (chunk(b"PLTE", palette.tobytes()) if kind == 3 else b"") + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
         want = palette[x[:, :, 0]] if kind == 3 else np.repeat(x[:, :, :1], 3, axis=2) if n < 3 else x[:, :, :3]
-        assert (im.decode_png(raw) == want).all() and im.image_size(raw) == (5, 7)
+        assert (decode_png(raw) == want).all() and im.image_size(raw) == (5, 7)
     for bad in (b"", b"GIF89a", raw[:40], raw[:60]):
         with pytest.raises(ValueError):
-            im.decode_png(bad)
+            decode_png(bad)
     assert im.image_size(b"GIF89a" + struct.pack("<HH", 3, 4)) == (3, 4) and im.image_size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 9, 8) + b"xx") == (8, 9)
 
 
@@ -277,6 +278,8 @@ def test_padding_and_batches(spark):
     seen = []
     run = en.padded(lambda x: seen.append(len(x)) or x * 2, 4)
     assert np.array_equal(run(np.arange(10.0)[:, None]), np.arange(10.0)[:, None] * 2) and seen == [4, 4, 4]
+    zero = en.encode_batches(spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 4.0])], "i long, pixels array<float>"), lambda: lambda x: x, shape=[2])
+    assert [r["vector"] for r in zero.orderBy("i").collect()][0] is None
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(20)], "i long, pixels array<float>")
     got = en.encode_batches(df, lambda: lambda x: x * 3, shape=[2]).collect()
     assert all(abs(sum(v * v for v in r["vector"]) - 1) < 1e-5 for r in got)
