@@ -50,13 +50,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def lower(text: str) -> str:
+    """As ``ascii_lower``."""
+    return "".join(c.lower() if c in UPPER else c for c in text)
+
+
+def scope_prefix(directory: str) -> str:
+    """What paths below a directory begin with: it ends in one separator."""
+    sep = "\\" if "\\" in directory and "/" not in directory else "/"
+    return directory if directory.endswith(sep) else directory + sep
+
+
 def in_scope(path: Column, prefix: str, case_sensitive: bool = False) -> Column:
-    """True below a directory. The prefix ends in one separator and has no wildcards."""
-    sep = "\\" if "\\" in prefix and "/" not in prefix else "/"
-    prefix = prefix if prefix.endswith(sep) else prefix + sep
-    if case_sensitive:
-        return path.startswith(prefix)
-    return ascii_lower(path).startswith("".join(c.lower() if c in UPPER else c for c in prefix))
+    """True below a directory. The prefix has no wildcards."""
+    prefix = scope_prefix(prefix)
+    return path.startswith(prefix) if case_sensitive else ascii_lower(path).startswith(lower(prefix))
 
 
 def class_label(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 import numpy as np
@@ -31,35 +32,46 @@ class MediaIndex:
         self.spark, self.store = spark, IndexStore(spark, store)
         self.make_encoder, self.encode_text, self.decode, self.read, self.batch = make_encoder, encode_text, decode, read, batch
         self.cap = parse_cap(max_image_megapixels, memory, workers)
+        self.counts: dict[str, int] = {}
         self.exclude_dirs, self.include_hidden, self.raw_support = exclude_dirs, include_hidden, raw_support
 
     def refresh(self, directory: str, *, restore_deleted: bool = True) -> DataFrame:
-        """Lists the directory, opens what is new or changed, encodes what is not yet known by content, and
-        writes the next snapshot. Returns the files that were left out: filepath, reason, message."""
-        listed = list_library(self.spark, directory, hidden=self.include_hidden, exclude_dirs=self.exclude_dirs, raw_support=self.raw_support)
+        """Lists the directory, opens what is new or changed, encodes what is not yet known by content, and adds the rows and marks
+        that differ to the index. Returns the files that were left out: filepath, reason, message. ``counts`` then has visited, unchanged,
+        new, changed, gone, restored, written and marked rows, and those skipped."""
+        try:
+            return self._refresh(directory, restore_deleted)
+        finally:
+            self.store.release()
+
+    def _refresh(self, directory: str, restore_deleted: bool) -> DataFrame:
+        hold = self.store.hold
+        listed = list_library(self.spark, directory, hidden=self.include_hidden, exclude_dirs=self.exclude_dirs, raw_support=self.raw_support, hold=hold)
         listing = (lf.without_shadowed_raw(listed) if self.raw_support else listed).where("modified_at is not null").drop("name", "reason")
         skipped = [listed.where("modified_at is null").select("filepath", F.lit("unreadable").alias("reason"), F.col("reason").alias("message"))]
         manifest = self.store.manifest()
 
         def load(rows: DataFrame) -> DataFrame:
-            found = self.store.hold(fingerprints(rows))
+            found = hold(fingerprints(rows))
             skipped.append(found.where("error is not null").select("filepath", F.lit("unreadable").alias("reason"), F.col("error").alias("message")))
             return found.where("error is null").drop("error")
 
         def encode(rows: DataFrame) -> DataFrame:
-            found = self.store.hold(im.encode_images(rows, self.make_encoder, decode=self.decode, cap=self.cap, batch=self.batch, read=self.read))
+            found = hold(im.encode_images(rows, self.make_encoder, decode=self.decode, cap=self.cap, batch=self.batch, read=self.read))
             skipped.append(found.where("reason is not null").select("filepath", "reason", "message"))
             return found.where("reason is null")
 
-        index = ix.refresh(listing, self.store.read(manifest), directory, load, encode, restore_deleted=restore_deleted, hold=self.store.hold)
-        index = self.store.hold(index)
+        rows, marks, counts = ix.delta(listing, self.store.read(manifest), directory, load, encode, within=self.store.read(manifest, directory), restore_deleted=restore_deleted, hold=hold)
         report = skipped[0]
         for x in skipped[1:]:
             report = report.unionByName(x)
-        path = f"{self.store.root}/skipped"
-        report.write.mode("overwrite").parquet(path)
-        self.store.write(index, based_on=manifest)
-        return self.spark.read.schema("filepath string, reason string, message string").parquet(path)
+        path = f"{self.store.root}/skipped-{uuid.uuid4().hex}"
+        report.write.parquet(path)
+        if manifest is None or rows is not None or marks is not None:
+            self.store.add(rows, manifest, marks=marks)
+        report = self.spark.read.schema("filepath string, reason string, message string").parquet(path)
+        self.counts = {**counts, "skipped": report.count()}
+        return report
 
     def encode_image(self, raw: bytes) -> list[float]:
         """The unit vector of one image; a query image is not held to the pixel cap."""
@@ -75,7 +87,7 @@ class MediaIndex:
         if kind == "url":
             raise ValueError(f"give the bytes of {body} as images[{body!r}]")
         path = body.removeprefix("file://")
-        found = self.store.read().where((F.col("filepath") == path) & F.col("deleted").isNull()).select("vector").first()
+        found = self.store.read(path=path).where((F.col("filepath") == path) & F.col("deleted").isNull()).select("vector").first()
         return [float(x) for x in found[0]] if found else self.encode_image(self.read(path))
 
     def search(self, directory: str, query: str, add: list[str] | None = None, subtract: list[str] | None = None, *, top: int = 10, refresh: bool = True, images: Mapping[str, bytes] | None = None) -> DataFrame:
@@ -89,4 +101,4 @@ class MediaIndex:
         vectors = [self.query_vector(r["kind"], r["body"], images or {}) for r in rows]
         weights = [r["sign"] * r["multiplier"] for r in rows]
         files = [r["q"] for r in rows if r["kind"] == "file" and r["q"] == r["body"]]
-        return sr.search(ix.scan(self.store.read(), directory), sr.combine(vectors, weights, len(vectors[0])), top=top, exclude_dirs=self.exclude_dirs, query_files=files)
+        return sr.search(ix.scan(self.store.read(scope=directory), directory), sr.combine(vectors, weights, len(vectors[0])), top=top, exclude_dirs=self.exclude_dirs, query_files=files)
