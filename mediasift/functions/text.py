@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed pattern: contractions, letter runs, single digits, other runs.
-TOKEN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
+# Tokens that are kept whole, and the pattern of the others: contractions, letter runs, single digits, other runs.
+SPECIAL_TOKENS = ["<start_of_text>", "<end_of_text>"]
+TOKEN_PATTERN = "<start_of_text>|<end_of_text>|'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
 WIDTH = 64
 
 

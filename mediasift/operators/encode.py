@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediasift.functions.text import WIDTH, clean, split_tokens
+from mediasift.functions.text import SPECIAL_TOKENS, WIDTH, clean, split_tokens
 
 LENGTH = 77
 LETTERS = re.compile("[a-z]+")
@@ -60,36 +61,47 @@ def encode_batches(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndar
 @lru_cache(1)
 def byte_letters() -> list[str]:
     """A printable letter for each byte: itself where printable, else one from 256 up."""
+    # The ranges of bytes that stand for themselves.
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
 def merge(token: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Pieces of a token's letters after all merges, lowest rank first; the last letter ends the word."""
+    """Pieces of a token's letters after all merges, lowest rank first; the last letter ends the word.
+
+    A queue has the places where a known pair begins, by rank; places are linked to those of their neighbours. All
+    places of the lowest rank are merged, from left to right, before the pairs that arise count."""
     letters = [byte_letters()[b] for b in token.encode()]
-    parts = [*letters[:-1], letters[-1] + "</w>"]
-    while len(parts) > 1:
-        rank, at = min((ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 60:
-            break
-        pair, out, i = (parts[at], parts[at + 1]), [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                out.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
+    parts: list[str | None] = [*letters[:-1], letters[-1] + "</w>"]
+    n = len(parts)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    queue = [(ranks[pair], i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if pair in ranks]
+    heapify(queue)
+    while queue:
+        rank, places = queue[0][0], []
+        while queue and queue[0][0] == rank:
+            places.append(heappop(queue)[1])
+        arisen = []
+        for i in places:
+            j = after[i]
+            if parts[i] is None or j >= n or ranks.get((parts[i], parts[j])) != rank:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            arisen += [before[i], i]
+        for i in arisen:
+            if i >= 0 and parts[i] is not None and after[i] < n and (rank := ranks.get((parts[i], parts[after[i]]))) is not None:
+                heappush(queue, (rank, i))
+    return [p for p in parts if p is not None]
 
 
 def tokenise(texts: DataFrame, merges: list[tuple[str, str]], *, key: str, text: str, length: int = LENGTH) -> DataFrame:
     """key and ``tokens``: start, byte-pair ids of the cleaned text, end, zeros up to ``length``.
 
-    Ids: the 256 byte letters, the same ending a word, the merges in order, start and end. A longer
-    text keeps its first ids and the end. Each distinct token of a task is merged once; the list of
+    Ids: the 256 byte letters, the same ending a word, the merges in order, start and end. Start and end that
+    are written out in a text have their ids. A longer text keeps its first ids and the end. Each distinct token of a task is merged once; the list of
     merges, whose size the vocabulary fixes, is broadcast.
     """
     letters = sorted(byte_letters(), key=lambda c: (ord(c) > 255, ord(c)))
@@ -100,7 +112,7 @@ def tokenise(texts: DataFrame, merges: list[tuple[str, str]], *, key: str, text:
     @F.pandas_udf("array<int>")
     def ids(tokens: pd.Series) -> pd.Series:
         ranks, codes = shared.value
-        known: dict[str, list[int]] = {}
+        known: dict[str, list[int]] = {SPECIAL_TOKENS[0]: [start], SPECIAL_TOKENS[1]: [end]}
 
         def one(row) -> list[int]:
             out = [start]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mediasift.functions.vectors import dot, doubles, l2_normalise
-from mediasift.operators.search import best_k, knn, matrix, read_vectors, write_vectors
+from mediasift.operators.search import HELD_BYTES, best_k, knn, matrix, read_vectors, write_vectors
 
 
 def rank_classes(items: DataFrame, classes: DataFrame, k: int = 5, *, item_key: str = "vec_id", vector: str = "vector", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -25,13 +25,24 @@ def rank_classes(items: DataFrame, classes: DataFrame, k: int = 5, *, item_key:
     listed = write_vectors(classes.orderBy("class_id"), "class_id", "cvec")  # places are in the order of ids
     fields = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in names)
 
+    def held() -> list | None:
+        """The classes, if they are small enough to be kept by a task."""
+        blocks, size = [], 0
+        for own, c in read_vectors(listed, 1024):
+            blocks.append((own, c))
+            size += c.nbytes
+            if size > HELD_BYTES:
+                return None
+        return blocks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = held()
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 part = whole.slice(lo, 2048)
                 x = matrix(part.column(len(names)))
                 score, tag, ids, base = np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int64), [], 0
-                for own, c in read_vectors(listed, 1024):
+                for own, c in blocks if blocks is not None else read_vectors(listed, 1024):
                     got = x @ c.T
                     got[np.isnan(got)] = -np.inf
                     score, tag = best_k(np.hstack([score, got]), np.hstack([tag, np.broadcast_to(np.arange(base, base + len(own)), got.shape)]), k)

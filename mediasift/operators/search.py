@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mediasift.functions.paths import exclude_regex
 from mediasift.functions.vectors import dot, doubles
@@ -24,10 +25,54 @@ QUERY_BLOCK, ITEM_BLOCK, HELD_BYTES = 4096, 2048, 64 << 20
 
 
 def weighted_vectors(terms: DataFrame) -> DataFrame:
-    """qid and the sum of sign * multiplier * vector over its terms (qid, sign, multiplier, tvec)."""
-    parts = terms.select("qid", F.posexplode(F.transform("tvec", lambda x: F.col("sign") * F.col("multiplier") * x.cast("double"))).alias("pos", "x"))
-    summed = parts.groupBy("qid", "pos").agg(F.sum("x").alias("x"))
-    return summed.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p")).select("qid", F.transform("p", lambda s: s["x"]).alias("qvec"))
+    """qid and the sum of sign * multiplier * vector over its terms (qid, sign, multiplier, tvec); terms without a vector count for nothing.
+
+    Each task adds up whole vectors of its own terms, ``QUERY_BLOCK`` queries at a time; the sums, a row for each query and task,
+    are dealt by query and added in order, one vector in memory. Shorter vectors and null components count as zeros."""
+    kind = terms.schema["qid"].dataType.simpleString()
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for qid, weight, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if qid not in sums and len(sums) >= QUERY_BLOCK:
+                    yield rows(sums)
+                    sums = {}
+                sums[qid] = added(sums.get(qid), weight * np.nan_to_num(vector.values.to_numpy(zero_copy_only=False), copy=False) if vector.values.null_count else weight * vector.values.to_numpy())
+        if sums:
+            yield rows(sums)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}  # the last query, whose rows may go on in the next batch
+        for batch in batches:
+            done: dict = {}
+            for qid, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and qid not in held:
+                    done |= held
+                    held = {}
+                held[qid] = added(held.get(qid), vector.values.to_numpy())
+            if done:
+                yield rows(done)
+        if held:
+            yield rows(held)
+
+    def added(total: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        if total is None:
+            return x
+        if len(total) < len(x):
+            total, x = x, total
+        out = total.copy()
+        out[: len(x)] += x
+        return out
+
+    def rows(sums: dict) -> pa.RecordBatch:
+        vectors = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sums.values())]).astype(np.int32), np.concatenate(list(sums.values())))
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), key_type), vectors], names=["qid", "qvec"])
+
+    key_type = to_arrow_type(terms.schema["qid"].dataType)
+    source = terms.select("qid", (F.col("sign") * F.col("multiplier")).cast("double").alias("w"), doubles(F.col("tvec")).alias("v")).where("v is not null and w is not null")
+    schema = f"qid {kind}, qvec array<double>"
+    return source.mapInArrow(own, schema).repartition("qid").sortWithinPartitions("qid").mapInArrow(together, schema)
 
 
 def combine(vectors: list[list[float]], weights: list[float], width: int) -> list[float]:

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from mediasift.functions import terms as Q
 from mediasift.functions.media import parse_cap
+from mediasift.functions.paths import IMAGE_EXTENSIONS, RAW_EXTENSIONS, exclude_regex, extension_regex
 from mediasift.operators import images as im
 from mediasift.operators import index as ix
 from mediasift.operators import listing_filters as lf
 from mediasift.operators import search as sr
 from mediasift.sources.content import content_of, fingerprints
 from mediasift.sources.walk import list_library
+from mediasift.streaming.upsert import stream_upsert
+from mediasift.sources.listing import Library
 from mediasift.sources.store import IndexStore
 
 
@@ -73,6 +76,23 @@ class MediaIndex:
         self.counts = {**counts, "skipped": report.count()}
         return report
 
+    def follow(self, directory: str, checkpoint: str, *, available_now: bool = True, lag: float = 2.0):
+        """Starts a query that adds the directory's new and changed files to the index as they come; files that fail are left out.
+
+        Removals are seen by ``refresh`` alone, which may run beside it."""
+        self.spark.dataSource.register(Library)
+        extensions = IMAGE_EXTENSIONS + (RAW_EXTENSIONS if self.raw_support else [])
+        options = {"root": directory, "hidden": str(self.include_hidden).lower(), "excludeDirs": exclude_regex(self.exclude_dirs), "files": extension_regex(extensions), "lag": str(lag)}
+        stream = self.spark.readStream.format("library").options(**options).load()
+
+        def load(rows: DataFrame) -> DataFrame:
+            return fingerprints(rows).where("error is null").drop("error")
+
+        def encode(rows: DataFrame) -> DataFrame:
+            return im.encode_images(rows, self.make_encoder, decode=self.decode, cap=self.cap, batch=self.batch, read=self.read).where("reason is null")
+
+        return stream_upsert(stream, self.store, checkpoint, encode, scope=directory, available_now=available_now, load=load)
+
     def encode_image(self, raw: bytes) -> list[float]:
         """The unit vector of one image; a query image is not held to the pixel cap."""
         found = np.asarray(self.make_encoder()(im.load_image(raw, self.decode, None)[None]), np.float64)[0]

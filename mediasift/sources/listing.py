@@ -8,15 +8,18 @@ each directory once. The driver looks into directories, level by level, until th
 then a partition with all below it. The root must be reachable from all executors. A file or directory that
 cannot be read has a null time and size and a reason. ``walk.list_library`` lists libraries of any size and
 on any file system, in steps of Spark; this source suits those that a few hundred tasks can go through alone.
+
+``spark.readStream.format("library")`` takes the same options and gives new and changed files.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import time
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from mediasift.functions.paths import EXCLUDED_DIRS, IMAGE_EXTENSIONS, exclude_regex, extension_regex
 
@@ -90,6 +93,56 @@ class LibraryReader(DataSourceReader):
                         yield e.path, e.name, None, None, str(error)
 
 
+class Since(SubTree):
+    """A part of the library, and the times between which files have changed."""
+
+    def __init__(self, part: SubTree, start: float, end: float):
+        super().__init__(part.path, part.recursive)
+        self.start, self.end = start, end
+
+
+class LibraryStreamReader(DataSourceStreamReader):
+    """New and changed files, by the time at which the file system last changed them (which renames set, too).
+
+    An offset is a time; a batch has the files that changed after its first and up to its last, so nothing needs
+    to be remembered between batches and a batch that is run again gives what has not changed once more since. Offsets stay
+    ``lag`` seconds behind the clock, so that no later file has an earlier time. A directory whose own entry changed while its
+    list of files did not has been moved here or reopened: all below it is new. Files that cannot be read are left out.
+    A batch looks at all files; it is the trigger that says how often. Removals are not seen."""
+
+    def __init__(self, options: dict):
+        self.reader, self.lag = LibraryReader(options), float(options.get("lag", 2))
+
+    def initialOffset(self) -> dict:
+        return {"changed": 0.0}
+
+    def latestOffset(self) -> dict:
+        return {"changed": time.time() - self.lag}
+
+    def partitions(self, start: dict, end: dict) -> list[Since]:
+        # what moves a directory may be above it: the parts that the driver makes are looked at as a whole in that case
+        return [Since(p, start["changed"], end["changed"]) for p in self.reader.partitions()] if end["changed"] > start["changed"] else []
+
+    def read(self, partition: Since) -> Iterator[tuple]:
+        moved: dict[str, bool] = {}
+
+        def came(path: str) -> bool:
+            """Whether a directory, or one above it, has been moved into place since the start."""
+            if path not in moved:
+                info = os.stat(path)
+                own = partition.start < info.st_ctime <= partition.end and info.st_ctime > info.st_mtime
+                moved[path] = own or (len(path) > len(self.reader.root) and came(os.path.dirname(path)))
+            return moved[path]
+
+        for row in self.reader.read(partition):
+            try:
+                changed = os.stat(row[0]).st_ctime
+                if row[2] is not None and changed <= partition.end and (changed > partition.start or came(os.path.dirname(row[0]))):
+                    yield row
+            except OSError:
+                continue  # gone meanwhile
+
+
 class Library(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -98,5 +151,8 @@ class Library(DataSource):
     def schema(self) -> str:
         return "filepath string, name string, modified_at double, size long, reason string"
 
+    def streamReader(self, schema) -> LibraryStreamReader:
+        return LibraryStreamReader({k.lower(): v for k, v in self.options.items()})
+
     def reader(self, schema) -> LibraryReader:
         return LibraryReader({k.lower(): v for k, v in self.options.items()})

@@ -16,7 +16,7 @@ from mediasift.operators.index import diff, reuse
 from mediasift.sources.store import INDEX, IndexStore
 
 
-def upsert_batch(store: IndexStore, batch: DataFrame, encode: Callable[[DataFrame], DataFrame], scope: str = "/", number: tuple[str, int] | None = None) -> None:
+def upsert_batch(store: IndexStore, batch: DataFrame, encode: Callable[[DataFrame], DataFrame], scope: str = "/", number: tuple[str, int] | None = None, load: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Upserts the new and changed rows of a batch; a path that comes twice counts with its latest time.
 
     ``number`` is the stream and the batch in it; a batch that the index has already changes nothing."""
@@ -27,6 +27,8 @@ def upsert_batch(store: IndexStore, batch: DataFrame, encode: Callable[[DataFram
         return
     index = store.read(manifest)
     todo = batch.join(diff(batch, index, scope).where("state in ('new', 'changed')"), "filepath", "left_semi")
+    if load:
+        todo = store.hold(load(todo.select("filepath", "modified_at", "size")))
     known = reuse(todo, index)
     names = [c for c in INDEX.fieldNames() if c != "deleted"]
     fresh = known.where("donor is null").drop("vector", "donor")
@@ -41,9 +43,9 @@ def upsert_batch(store: IndexStore, batch: DataFrame, encode: Callable[[DataFram
         store.release()
 
 
-def stream_upsert(stream: DataFrame, store: IndexStore, checkpoint: str, encode: Callable[[DataFrame], DataFrame], *, scope: str = "/", available_now: bool = True):
+def stream_upsert(stream: DataFrame, store: IndexStore, checkpoint: str, encode: Callable[[DataFrame], DataFrame], *, scope: str = "/", available_now: bool = True, load: Callable[[DataFrame], DataFrame] | None = None):
     """Starts a query that keeps the stored index up to date with a stream (filepath, modified_at, size, hash, ...).
 
     The index notes the last batch of each checkpoint, so one that is run again after a failure changes nothing."""
-    writer = stream.writeStream.foreachBatch(lambda df, n: upsert_batch(store, df, encode, scope, (checkpoint, n))).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, n: upsert_batch(store, df, encode, scope, (checkpoint, n), load)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

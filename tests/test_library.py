@@ -428,3 +428,129 @@ def test_library_end_to_end(spark, tmp_path):
     small = MediaIndex(spark, f"file://{tmp_path}/small", make, lambda q: words[q], max_image_megapixels="0.0005")
     assert {r["reason"] for r in small.refresh(str(lib)).collect()} == {"too_large", "unreadable"}
     assert index.search(str(tmp_path / "lib" / "none"), "red", refresh=False).count() == 0
+
+
+def test_stream_of_a_library(spark, tmp_path):
+    lib, log = tmp_path / "lib", tmp_path / "opened"
+    (lib / "sub").mkdir(parents=True)
+    log.write_text("")
+
+    def read(path):
+        with log.open("a") as f:
+            f.write(path.rsplit("/", 1)[-1] + "\n")
+        with open(path, "rb") as f:
+            return f.read()
+
+    def opened():
+        found = sorted(log.read_text().split())
+        log.write_text("")
+        return found
+
+    index = MediaIndex(spark, f"file://{tmp_path}/index", lambda: lambda x: x.mean(axis=(2, 3)) + 3, lambda q: [1.0, 0.0, 0.0], read=read)
+    run = lambda: index.follow(str(lib), f"file://{tmp_path}/checkpoint", lag=0.0).awaitTermination()
+    live = lambda: sorted(r["filepath"].rsplit("/", 1)[-1] for r in index.store.read().where("deleted is null").collect())
+    png(lib / "a.png", np.full((5, 5, 3), 9))
+    png(lib / "sub" / "b.png", np.full((5, 5, 3), 90))
+    (lib / "bad.png").write_bytes(b"no image")
+    run()
+    assert live() == ["a.png", "b.png"] and opened() == ["a.png", "b.png", "bad.png"]
+    # a new query from the same checkpoint goes on where the first ended
+    png(lib / "c.png", np.full((5, 5, 3), 40))
+    png(lib / "a.png", np.full((6, 6, 3), 77))
+    run()
+    assert live() == ["a.png", "b.png", "c.png"] and opened() == ["a.png", "c.png"]
+    # old files in a folder that is moved in, and one that is renamed
+    aside = tmp_path / "aside"
+    aside.mkdir()
+    png(aside / "d.png", np.full((5, 5, 3), 120))
+    run()
+    version = index.store.manifest()["version"]
+    aside.rename(lib / "moved")
+    (lib / "c.png").rename(lib / "e.png")
+    run()
+    assert opened() == ["d.png"] and {"d.png", "e.png"} < set(live())
+    # a batch that comes again is known by its number
+    from mediasift.streaming.upsert import upsert_batch
+
+    name, last = next(iter(index.store.manifest()["batches"].items()))
+    assert name == f"file://{tmp_path}/checkpoint" and last >= 2 and index.store.manifest()["version"] > version
+    rows = spark.createDataFrame([("/lib/never.png", 1.0, 1, "h")], "filepath string, modified_at double, size long, hash string")
+    before = index.store.manifest()
+    upsert_batch(index.store, rows, lambda r: r.withColumn("vector", F.array(F.lit(1.0).cast("float"))), number=(name, last))
+    assert index.store.manifest() == before
+    index.refresh(str(lib))
+    assert live() == ["a.png", "b.png", "d.png", "e.png"] and opened() == ["bad.png"]
+
+
+def test_result_file(spark, tmp_path):
+    from mediasift.sources.results import write_results
+
+    rows = spark.createDataFrame([("/p/b", 0.25), ("/p/ä \"x\"", 0.9996), ("/p/c", -0.0625)], "filepath string, score double")
+    target = tmp_path / "found.tsv"
+    write_results(sr.top_k(rows, 10), str(target))
+    assert target.read_text() == 'score\tfilepath\n1.000\t"/p/ä "x""\n0.250\t"/p/b"\n-0.062\t"/p/c"\n'
+    write_results(sr.top_k(rows, 2), f"file://{target}", paths_only=True)
+    assert target.read_text() == '/p/ä "x"\n/p/b\n'
+    many = spark.range(1000).selectExpr("concat('/p/', id) as filepath", "double(id) as score").repartition(7).orderBy(F.col("score").desc())
+    write_results(many, str(target))
+    assert [x.split("\t")[0] for x in target.read_text().splitlines()[1:]] == [f"{i}.000" for i in range(999, -1, -1)]
+    # an empty library gives the header alone
+    (tmp_path / "none").mkdir()
+    index = MediaIndex(spark, f"file://{tmp_path}/index", lambda: lambda x: x, lambda q: [1.0])
+    write_results(index.search(str(tmp_path / "none"), "cat"), str(target))
+    assert target.read_text() == "score\tfilepath\n" and [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
+
+
+def test_merging_is_exact_and_fast():
+    import time
+
+    def slow(token, ranks):
+        letters = [en.byte_letters()[b] for b in token.encode()]
+        parts = [*letters[:-1], letters[-1] + "</w>"]
+        while len(parts) > 1:
+            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, 1 << 60))
+            if best not in ranks:
+                break
+            out, i = [], 0
+            while i < len(parts):
+                two = i + 1 < len(parts) and (parts[i], parts[i + 1]) == best
+                out.append(parts[i] + parts[i + 1] if two else parts[i])
+                i += 1 + two
+            parts = out
+        return parts
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        # merges in any order, so that later ones may outrank those they build on
+        pieces = ["a", "b", "c", "c</w>", "ab", "aa", "abc", "ba", "bab", "aab"]
+        pairs = list(dict.fromkeys(zip(rng.choice(pieces, 12), rng.choice(pieces, 12))))
+        ranks = {(str(a), str(b)): i for i, (a, b) in enumerate(pairs)}
+        token = "".join(rng.choice(list("abc"), int(rng.integers(1, 25))))
+        assert en.merge(token, ranks) == slow(token, ranks), (token, ranks)
+    from mediasift.plans.queries import vocabulary_merges
+
+    ranks = {m: i for i, m in enumerate(vocabulary_merges())}
+    token = "".join(rng.choice(list("etaoinshrdlu"), 100_000))
+    began = time.process_time()
+    assert "".join(en.merge(token, ranks)) == token + "</w>" and time.process_time() - began < 3
+
+
+def test_special_tokens(spark):
+    df = spark.createDataFrame([(0, "a <START_OF_TEXT>b<end_of_text> <end_of_texts>")], "k long, t string")
+    assert df.select(text.split_tokens(text.clean(F.col("t")))).first()[0] == ["a", "<start_of_text>", "b", "<end_of_text>", "<", "end", "_", "of", "_", "texts", ">"]
+    ids = en.tokenise(df, [], key="k", text="t").first()[1]
+    assert ids[0] == ids[2] == 512 and ids[4] == 513 and ids.count(513) == 2
+
+
+def test_weighted_vectors(spark):
+    rows = [(i % 7 if i % 7 else None, 1 if i % 3 else -1, 0.5 * (1 + i % 4), None if i == 8 else [float(i), float(i * i), 1.0][: 2 + i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "qid int, sign int, multiplier double, tvec array<float>").repartition(9)
+    want = {}
+    for q, s, m, v in rows:
+        if v is not None:
+            x = np.array([*v, 0.0][:3]) * s * m
+            want[q] = want.get(q, 0) + x
+    found = sr.weighted_vectors(df)
+    got = {r["qid"]: r["qvec"] for r in found.collect()}
+    assert set(got) == set(want) and all(np.allclose([*got[q], 0.0][:3], want[q]) for q in want)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString() and sr.weighted_vectors(df.limit(0)).count() == 0
