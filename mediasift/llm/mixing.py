@@ -2,13 +2,13 @@
 
 Every source gets a mean repetition rate so that its expected share of the characters of the
 mixture is its target weight; each document's repetition count is the inverse of the Poisson
-distribution with that mean at a number hashed from the seed and the document's key, found in the source's
+distribution with that mean at a number hashed from the seed, the document's key and its text, found in the source's
 distribution function, which is worked out once for each source. The count
 needs no state and no order, so a retried or speculative task gives the same rows. The replicas
 are then dealt to partitions and ordered by another hash, which is a global shuffle.
 
-Nulls: a null source is a source of its own, a null text has no characters, a null key is hashed
-as the empty string. Repeated rows are replicated alike. Sources without characters get a rate of
+Nulls: a null source is a source of its own, a null text has no characters, a null key or text is hashed
+as the empty string; different texts without a key, or of one key, are drawn and dealt apart. Rows that agree in key and text are replicated alike. Sources without characters get a rate of
 zero if they have a weight, since no repetition reaches it. A text of any length counts whole; equal hashes of
 two documents draw equal counts. An empty table gives an empty table.
 Columns other than the three named ones pass through; those with the names of the three columns that
@@ -91,13 +91,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     if rates.count() <= BROADCAST_SOURCES:  # else a join that splits hot sources
         rates = F.broadcast(rates)
     names = [c for c in docs.columns if columns == "input" or c not in ("rate", "replica", "shuffle_key")]
-    joined = docs.join(rates, docs[source].eqNullSafe(rates["__source"]), "left")
+    joined = docs.join(rates, docs[source].eqNullSafe(rates["__source"]), "left").withColumn("__text", F.coalesce(F.md5(F.col(text)), F.lit("")))
     count = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda p: poisson_inverse(F.col("__cdf"), uniform(seed, F.col(key), p))),
+        F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda p: poisson_inverse(F.col("__cdf"), uniform(seed, F.col(key), F.col("__text"), p))),
         F.lit(0), lambda a, b: a + b,
     )
     out = joined.withColumn("__n", count).where("__n > 0").withColumn("__replica", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    out = out.withColumn("__order", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__replica").cast("string"))))
+    out = out.withColumn("__order", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__text"), F.col("__replica").cast("string"))))
     out = out.repartition(F.col("__order")).sortWithinPartitions("__order")
     keep = [F.col(f"`{c}`") for c in names]
     return out.select(*keep) if columns == "input" else out.select(*keep, F.col("__rate").alias("rate"), F.col("__replica").alias("replica"), F.col("__order").alias("shuffle_key"))

@@ -1,7 +1,8 @@
 """Quality rules on repetition: how much of a text lies inside repeated n-grams and lines.
 
 Rolling hashes of word n-grams are taken over a block of many documents at once in numpy. For
-2 to 4 words the measure is the share of word characters covered by the most frequent n-gram; for
+2 to 4 words the measure is the share of word characters inside the most frequent n-gram (of a tie, of that with
+the most), each character once however many occurrences overlap on it; for
 5 to 10 words the share covered by any n-gram that occurs twice or more; for lines the shares of
 lines and of their characters that repeat an earlier line. A document fails when a share is over
 its limit. The operator is a map over documents: no shuffle, any row order, bounded memory.
@@ -63,10 +64,11 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     salt = mix(np.arange(1, rows + 1, dtype=np.uint64))[words.row]
 
     shares: dict[str, np.ndarray] = {}
+    total_chars = np.concatenate([[0], np.cumsum(chars)])
     for n in TOP_LIMITS:
         h, ok = windows(words.hashes, words.first, n)
         at = np.flatnonzero(ok)
-        shares[f"top_{n}gram_share"] = top_share(h[at] ^ salt[at], at, n, words, chars) / share_of
+        shares[f"top_{n}gram_share"] = top_share(h[at] ^ salt[at], at, n, words, total_chars) / share_of
     live = None
     repeat_words = np.zeros(rows, np.int64)
     for n in DUPLICATE_LIMITS:
@@ -108,24 +110,24 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     return out | {"kept": ~failed} | shares
 
 
-def top_share(key: np.ndarray, at: np.ndarray, n: int, words: Words, chars: np.ndarray) -> np.ndarray:
-    """Characters in all occurrences of each document's most frequent n-gram (the longest of a tie);
-    zero where no n-gram occurs twice."""
-    rows = len(words.first) - 1
-    best = np.zeros(rows, np.int64)
-    if not len(at):
-        return best
-    total = np.concatenate([[0], np.cumsum(chars)])
+def top_share(key: np.ndarray, at: np.ndarray, n: int, words: Words, total: np.ndarray) -> np.ndarray:
+    """Characters inside the occurrences of each document's most frequent n-gram (of a tie, of that with the most);
+    zero where no n-gram occurs twice. ``total`` has the characters before each word."""
+    best = np.zeros(len(words.first) - 1, np.int64)
     again = np.flatnonzero(repeated(key))
     if not len(again):
         return best
-    _, index, count = np.unique(key[again], return_index=True, return_counts=True)
-    start = at[again[index]]
-    row, size = words.row[start], total[start + n] - total[start]
+    again = again[np.argsort(key[again], kind="stable")]  # by n-gram, then by place
+    start = at[again]
+    new = np.append(True, key[again][1:] != key[again][:-1])
+    # an occurrence adds the words that the one before does not reach
+    reached = np.where(new, 0, np.append(0, start[:-1]) + n)
+    added = total[start + n] - total[np.maximum(start, reached)]
+    first = np.flatnonzero(new)
+    size, count, row = np.add.reduceat(added, first), np.diff(np.append(first, len(start))), words.row[start[first]]
     order = np.lexsort((size, count, row))
-    last = np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True))
-    pick = order[last]
-    best[row[pick]] = size[pick] * count[pick]
+    pick = order[np.append(row[order][1:] != row[order][:-1], True)]
+    best[row[pick]] = size[pick]
     return best
 
 

@@ -15,7 +15,12 @@ def sql() -> str:
     grams = ", ".join(_gram(n) for n in lengths)
     counts = ", ".join(f"CASE WHEN g{n} IS NOT NULL THEN count(*) OVER (PARTITION BY doc_id, g{n}) END AS c{n}" for n in lengths)
     inside = ", ".join(f"coalesce(max(c{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 0) > 1 AS in{n}" for n in DUPLICATE_LIMITS)
-    tops = ", ".join(f"coalesce(arg_max((length(g{n}) - {n - 1}) * c{n}, (c{n}, length(g{n}))) FILTER (WHERE c{n} > 1), 0) AS t{n}" for n in TOP_LIMITS)
+    lengths_on = ", ".join(f"lead(length(word), {k}) OVER p AS l{k}" for k in range(max(TOP_LIMITS)))
+    before = ", ".join(f"lag(i) OVER (PARTITION BY doc_id, g{n} ORDER BY i) AS b{n}" for n in TOP_LIMITS)
+    # an occurrence adds the words that the one before does not reach
+    added = ", ".join(" + ".join(f"CASE WHEN b{n} IS NULL OR i + {k} >= b{n} + {n} THEN l{k} ELSE 0 END" for k in range(n)) + f" AS a{n}" for n in TOP_LIMITS)
+    added_up = ", ".join(f"sum(a{n}) OVER (PARTITION BY doc_id, g{n}) AS s{n}" for n in TOP_LIMITS)
+    tops = ", ".join(f"coalesce(arg_max(s{n}, (c{n}, s{n})) FILTER (WHERE c{n} > 1), 0) AS t{n}" for n in TOP_LIMITS)
     dups = ", ".join(f"coalesce(sum(length(word)) FILTER (WHERE in{n}), 0) AS d{n}" for n in DUPLICATE_LIMITS)
     shares = [(f"top_{n}gram_share", f"coalesce(t{n}, 0) / greatest(coalesce(word_chars, 0), 1)", limit) for n, limit in TOP_LIMITS.items()]
     shares += [(f"dup_{n}gram_share", f"coalesce(d{n}, 0) / greatest(coalesce(word_chars, 0), 1)", limit) for n, limit in DUPLICATE_LIMITS.items()]
@@ -25,9 +30,10 @@ def sql() -> str:
     return f"""
 WITH words AS (
   SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)
-), grams AS (SELECT doc_id, i, word, {grams} FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)
-), counted AS (SELECT *, {counts} FROM grams
-), covered AS (SELECT *, {inside} FROM counted
+), grams AS (SELECT doc_id, i, word, {lengths_on}, {grams} FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), counted AS (SELECT *, {counts}, {before} FROM grams
+), added AS (SELECT *, {added} FROM counted
+), covered AS (SELECT *, {inside}, {added_up} FROM added
 ), per_doc AS (
   SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (WHERE in8) AS n_repeat_words, {tops}, {dups} FROM covered GROUP BY doc_id
 ), lines AS (

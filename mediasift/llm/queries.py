@@ -134,7 +134,7 @@ WITH RECURSIVE sizes AS (
   SELECT source, mean, k + 1, term * mean / (k + 1), total + term * mean / (k + 1) FROM cdf
   WHERE k < ceil(mean + 12.0 * sqrt(mean) + 24.0)
 ), drawn AS (
-  SELECT d.*, r.rate, i.i, ('0x' || substr(md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || CAST(i.i AS VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  SELECT d.*, r.rate, i.i, ('0x' || substr(md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || coalesce(md5(d.text), '') || ':' || CAST(i.i AS VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents d JOIN parts r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(1, r.p + 1)) AS i) i
 ), counted AS (
   SELECT w.doc_id, w.text, w.lang, w.source, w.n_chars, w.rate, w.i,
@@ -144,7 +144,7 @@ WITH RECURSIVE sizes AS (
 ), replicas AS (
   SELECT doc_id, text, lang, source, n_chars, rate, CAST(unnest(range(1, n + 1)) AS INTEGER) AS replica FROM summed
 )
-SELECT *, md5('order17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(replica AS VARCHAR)) AS shuffle_key FROM replicas
+SELECT *, md5('order17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') || ':' || CAST(replica AS VARCHAR)) AS shuffle_key FROM replicas
 """
 
 OP11_SQL = """

@@ -70,7 +70,8 @@ def shares_by_hand(text):
         grams = collections.Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
         if n < 5:
             most = max(grams.values(), default=0)
-            out[f"top_{n}gram_share"] = max([sum(map(len, g)) * c for g, c in grams.items() if c == most], default=0) / chars if most > 1 else 0.0
+            inside = lambda g, n=n: {i + j for i in range(len(words) - n + 1) if tuple(words[i : i + n]) == g for j in range(n)}
+            out[f"top_{n}gram_share"] = max([sum(len(words[i]) for i in inside(g)) for g, c in grams.items() if c == most], default=0) / chars if most > 1 else 0.0
         else:
             inside = {i + j for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1 for j in range(n)}
             out[f"dup_{n}gram_share"] = sum(len(words[i]) for i in inside) / chars
@@ -93,6 +94,18 @@ def test_quality(spark, docs, empty):
     assert repetition_rules(empty).count() == 0
 
 
+def test_overlaps_count_once(spark):
+    from mediasift.llm.quality import SHARES, repetition_rules
+
+    rest = " ".join(f"w{i}" for i in range(10, 50))
+    rows = [(1, "ha " * 100, None, None, 0), (2, "the cat the cat the cat " + rest, None, None, 0), (3, "a b a b a x " * 3 + rest, None, None, 0)]
+    got = {r["doc_id"]: r for r in repetition_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(0 <= r[c] <= 1 for r in got.values() for c in SHARES) and got[1]["top_3gram_share"] == 1.0
+    assert abs(got[2]["top_4gram_share"] - 18 / (18 + 40 * 3)) < 1e-12 and got[2]["kept"]
+    for i, text, *_ in rows:
+        assert all(abs(got[i][k] - v) < 1e-12 for k, v in shares_by_hand(text).items())
+
+
 def test_quality_matches_sql(spark):
     from conftest import assert_same
     from mediasift.llm.queries import op1_quality_rules, oracle_sql
@@ -859,6 +872,19 @@ def test_mixture_rates(spark, docs, empty):
 # --- pipeline -----------------------------------------------------------------------------------
 
 
+def test_mixture_without_ids(spark):
+    from mediasift.llm.mixing import mix_sources
+
+    rows = [(None if i % 3 == 0 else i % 50, f"text number {i}", "en", "ab"[i % 2], 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for seed in (1, 2, 3, 17):
+        mixed = mix_sources(df, {"a": 3.0, "b": 1.0}, seed=seed)
+        chars = {r[0]: r[1] for r in mixed.groupBy("source").agg(F.sum(F.length("text"))).collect()}
+        assert abs(chars["a"] / (chars["a"] + chars["b"]) - 0.75) < 0.75 * 0.05
+        found = [r[1] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(found) < 2 * sum(found) / len(found)
+
+
 def test_every_stage_takes_any_rows(spark, docs, empty):
     """Null, empty and repeated texts, null and repeated ids, other columns; and an empty table."""
     import corpus_pipeline
