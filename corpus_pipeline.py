@@ -47,7 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # never null, so that the aggregation and the join are dealt alike and texts are shuffled once
     row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("th").cast("string")).alias("__row")
     one = docs.where(words | F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("__all"), F.col("doc_id"), F.xxhash64("text").alias("th"))
-    one = one.select(row, "__all").groupBy("__row").agg(F.first("__all").alias("__all"))
+    # of equal claims one row, whatever the order of tasks
+    one = one.select(row, "__all").groupBy("__row").agg(F.min_by("__all", F.xxhash64("__all")).alias("__all"))
     alone = docs.where(~words & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th")).distinct()
     lead = jaccard.leaders(docs).unionByName(alone).select(row)
     return one.join(lead, "__row", "left_semi").select("__all.*").unionByName(rest)
@@ -59,11 +60,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources approach the square roots of their shares.
-
-    Draws are of id and text, so that different texts under one key or without one are drawn apart."""
-    draw = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
-    return mixing.mix_sources(docs.withColumn("__draw", draw), key="__draw", columns="input").select(*docs.columns)
+    """Repeats documents so that sources approach the square roots of their shares; draws are of id and text."""
+    return mixing.mix_sources(docs, columns="input")
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
