@@ -1,9 +1,13 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every document is scanned for word n-grams of the test items, its seeds. All seeds count, however
-many documents hold them: a place where a seed lies gives a window of the document, which is dropped
-only if it has too few of the item's words for any alignment to be worth enough (an upper bound, so
-no pair is lost by it). What is left is aligned with the item, by local alignment of words; the score is
+Every document is scanned for word n-grams of the test items, its seeds. Rare seeds, those of at most ``RARE``
+items, come first: each place where one lies joins the document to its items. A seed of more items (a stem that they
+share) is opened only for the items that can still be worth enough there: of those, the stretch of the document around
+the seed must have so many of the item's rarer words that, with all its common ones, the worth could be reached. These items
+are found from the stretch's rarer words, so a common seed does not cost a step for each item that has it. However
+many documents hold a seed does not matter. Each place gives a window of the document, which is dropped
+only if it has too few of the item's words for any alignment to be worth enough. Both are upper bounds, so
+no pair is lost by them. What is left is aligned with the item, by local alignment of words; the score is
 a share of the score of a whole exact copy, and must reach ``min_score``, or the worth of
 ``ENOUGH_WORDS`` words in a long item, and the worth of ``LEAST_WORDS`` words (of the whole item, if
 shorter). Edited and paraphrased copies keep some seeds and most of the alignment.
@@ -35,6 +39,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_WORDS = 8
 #: Words that are enough, whatever their share of the item.
 ENOUGH_WORDS = 30
+#: Items of a rare seed; a word of more items, or of more than this share of them, is common. Words of a stretch, at least.
+RARE, COMMON_SHARE, STRETCH = 16, 1 / 16, 256
 #: Windows of documents, and words of windows, that are handled at once.
 MOST_WINDOWS, MOST_WORDS = 1 << 20, 1 << 21
 
@@ -66,10 +72,36 @@ class Items:
         self.bits = max(10, int(len(self.keys) * 64).bit_length())
         self.map = np.zeros(1 << self.bits, dtype=bool)
         self.map[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self._common()
         self.word_bits = max(10, int(len(self.codes) * 16).bit_length())
         self.words = np.zeros(1 << self.word_bits, dtype=bool)
         self.words[self.word_places(self.codes, np.repeat(np.arange(len(ids)), np.diff(self.first)))] = True
 
+    def _common(self) -> None:
+        """For seeds of many items: their keys by item, and the items by their rarer words, with how often they have each."""
+        span = np.diff(self.key_first)
+        self.frequent = span > RARE
+        key_of = np.repeat(np.arange(len(self.keys)), span)
+        mine = np.flatnonzero(self.frequent[key_of])
+        order = mine[np.argsort(self.item[mine], kind="stable")]
+        self.by_item, self.by_item_key = order, key_of[order]
+        self.by_item_first = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
+        row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        pairs, times = np.unique(np.stack([self.codes, row.astype(np.uint64)]), axis=1, return_counts=True) if len(row) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+        vocabulary, first, n_items = np.unique(pairs[0], return_index=True, return_counts=True)
+        rarer = n_items <= max(RARE, COMMON_SHARE * len(self.ids))
+        keep = np.repeat(rarer, n_items)
+        self.rarer, self.rarer_item, self.rarer_times = vocabulary[rarer], pairs[1][keep].astype(np.int64), times[keep]
+        self.rarer_first = np.append(0, np.cumsum(n_items[rarer]))
+        self.n_common = np.diff(self.first) - np.bincount(self.rarer_item, self.rarer_times, len(self.ids)).astype(np.int64)
+        self.stretch = max(STRETCH, 3 * int(np.diff(self.first).max(initial=0)))
+
+    def least(self, min_score: float) -> np.ndarray:
+        """The share of each item that an alignment must be worth: short items need more of themselves (eight
+        words, or all of them); of long items thirty words are enough."""
+        size = np.maximum(np.diff(self.first), 1)
+        return np.maximum(np.minimum(min_score, ENOUGH_WORDS / size), np.minimum(1.0, LEAST_WORDS / size))
+
     def word_places(self, codes: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Places in the bitmap ``words`` of words of items; true there for each word that the item has."""
         return (mix(codes ^ mix(item.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - self.word_bits)).astype(np.int64)
@@ -126,7 +158,13 @@ def portions(cost: np.ndarray, most: int) -> list[np.ndarray]:
 def align(items: Items, words: Words, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, items and scores of the pairs that reach ``min_score``."""
     at, key = items.hits(words)
-    found = [align_windows(items, words, min_score, at[part], key[part]) for part in portions(np.diff(items.key_first)[key], MOST_WINDOWS)]
+    rare = ~items.frequent[key]
+    found = []
+    for part in portions(np.diff(items.key_first)[key[rare]], MOST_WINDOWS):
+        pair, member = expanded(items.key_first, key[rare][part])
+        found.append(align_windows(items, words, min_score, at[rare][part][pair], member))
+    for place, member in common_seeds(items, words, min_score, at[~rare], key[~rare]):
+        found.append(align_windows(items, words, min_score, place, member))
     row, item, score = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     if not len(row):
         return row, item, score
@@ -136,14 +174,71 @@ def align(items: Items, words: Words, min_score: float) -> tuple[np.ndarray, np.
     return pairs[0], pairs[1], top
 
 
-def align_windows(items: Items, words: Words, min_score: float, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, items and scores of the windows around the seeds at ``at`` that are worth enough."""
-    span = np.diff(items.key_first)[key]
-    pair = np.repeat(np.arange(len(at)), span)
-    member = np.arange(len(pair)) - np.repeat(np.cumsum(span) - span, span) + items.key_first[key][pair]
+def expanded(first: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of rows that begin at ``first``: the index of each asked group, and each of its rows."""
+    span = first[group + 1] - first[group]
+    pair = np.repeat(np.arange(len(group)), span)
+    return pair, np.arange(len(pair)) - np.repeat(np.cumsum(span) - span, span) + first[group][pair]
+
+
+def common_seeds(items: Items, words: Words, min_score: float, at: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of seeds of many items, with the items' seeds (members) that can still be worth enough there."""
+    if not len(at):
+        return
+    size = np.diff(items.first)
+    lacking = items.least(min_score) * size - items.n_common - 1e-6  # rarer words that an item needs at least
+    # a window lies in the stretch of its seed and the two beside it; between rows there is an empty one
+    per_row = np.diff(words.first) // items.stretch + 2
+    begin = np.cumsum(per_row) - per_row + 1
+    stretch = begin[words.row[at]] + (at - words.first[words.row[at]]) // items.stretch
+    order = np.lexsort((key, stretch))
+    at, key, stretch = at[order], key[order], stretch[order]
+    hits = stretch * len(items.keys) + key
+    asked = np.unique(stretch)
+    for few in np.array_split(asked, -(-len(asked) // 64)):
+        near = np.unique((few[:, None] + [-1, 0, 1]).ravel())
+        row = np.searchsorted(begin - 1, near, "right") - 1
+        lo = words.first[row] + (near - begin[row]) * items.stretch
+        hi = np.minimum(lo + items.stretch, words.first[row + 1])
+        inside = (near >= begin[row]) & (lo < hi)
+        near, lo, hi = near[inside], lo[inside], hi[inside]
+        place = np.arange((hi - lo).sum()) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+        if len(items.rarer):
+            code = np.minimum(np.searchsorted(items.rarer, words.hashes[place]), len(items.rarer) - 1)
+            known = items.rarer[code] == words.hashes[place]
+            seen = np.unique(np.stack([np.repeat(near, hi - lo)[known], code[known]]), axis=1)
+        else:
+            seen = np.zeros((2, 0), np.int64)
+        total: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for part in portions(np.diff(items.rarer_first)[seen[1]], MOST_WORDS):
+            pair, entry = expanded(items.rarer_first, seen[1][part])
+            target = (seen[0][part][pair][:, None] + [-1, 0, 1]).ravel() * len(items.ids) + np.repeat(items.rarer_item[entry], 3)
+            code, back = np.unique(np.concatenate([total[0], target]), return_inverse=True)
+            total = code, np.bincount(back.ravel(), np.concatenate([total[1], np.repeat(items.rarer_times[entry], 3)])).astype(np.int64)
+        where, item = np.divmod(total[0], max(len(items.ids), 1))
+        enough = (total[1] >= lacking[item]) & np.isin(where, few)
+        # items whose common words are enough need no other
+        always = np.flatnonzero(lacking <= 0)
+        always = always[np.diff(items.by_item_first)[always] > 0]
+        where = np.concatenate([where[enough], np.repeat(few, len(always))])
+        item = np.concatenate([item[enough], np.tile(always, len(few))])
+        for part in portions(np.diff(items.by_item_first)[item] + 1, MOST_WINDOWS):
+            pair, entry = expanded(items.by_item_first, item[part])
+            wanted = where[part][pair] * len(items.keys) + items.by_item_key[entry]
+            first, last = np.searchsorted(hits, wanted, "left"), np.searchsorted(hits, wanted, "right")
+            for some in portions(last - first, MOST_WINDOWS):
+                span = (last - first)[some]
+                which = np.repeat(some, span)
+                hit = np.arange(len(which)) - np.repeat(np.cumsum(span) - span, span) + first[which]
+                if len(hit):
+                    yield at[hit], items.by_item[entry[which]]
+
+
+def align_windows(items: Items, words: Words, min_score: float, at: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, items and scores of the windows around seeds (places and members of the items' seeds) that are worth enough."""
     item = items.item[member]
-    row = words.row[at[pair]]
-    begin = at[pair] - items.place[member] - words.first[row]  # where the item's first word would lie
+    row = words.row[at]
+    begin = at - items.place[member] - words.first[row]  # where the item's first word would lie
     # one window for each place (in steps of half an item) where an item may begin
     cell = begin // np.maximum(np.diff(items.first)[item] // 2, 4)
     order = np.lexsort((cell, item, row))
@@ -155,8 +250,7 @@ def align_windows(items: Items, words: Words, min_score: float, at: np.ndarray,
     step = np.maximum(size // 2, 4)
     lo = words.first[row] + np.maximum(cell * step - step, 0)
     hi = np.minimum(words.first[row + 1], words.first[row] + np.maximum((cell + 2) * step + size, 0))
-    # short items need more of themselves: eight words, or all of them; of long items thirty words are enough
-    least = np.maximum(np.minimum(min_score, ENOUGH_WORDS / np.maximum(size, 1)), np.minimum(1.0, LEAST_WORDS / np.maximum(size, 1)))
+    least = items.least(min_score)[item]
     # an alignment is worth no more words than the window has of the item's
     most = np.zeros(len(row))
     for part in portions(hi - lo, MOST_WORDS):

@@ -935,3 +935,54 @@ def test_pipeline(spark, tmp_path):
             assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted({c for _, c, _ in classes_by_hand(rows)})
     assert counts[3] == counts[4]
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(kept.collect())
+
+
+# --- op9: seeds of many items ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("vocabulary", [300, 20_000])
+def test_common_seeds_lose_no_pair(monkeypatch, vocabulary):
+    from mediasift.llm import decontaminate as d
+    from mediasift.llm.arrow_text import blocks
+
+    rng = np.random.default_rng(vocabulary)
+    stem = "which one of the following statements is true"
+    words = [f"w{i}" for i in range(vocabulary)]
+    items = [f"{stem} " + " ".join(rng.choice(words, int(rng.integers(0, 40)))) for _ in range(300)] + [stem, "one of the", ""]
+    docs = []
+    for k in range(25):
+        text = list(rng.choice(words, 600))
+        for at in rng.integers(0, 600, 6):
+            text[at:at] = stem.split()
+        for item in rng.choice(300, 3):
+            copy = [w if rng.random() < 0.7 else "zz" for w in items[item].split()]
+            at = int(rng.integers(0, len(text)))
+            text[at:at] = copy
+        docs.append(" ".join(text))
+
+    def found(rare, stretch=d.STRETCH):
+        monkeypatch.setattr(d, "RARE", rare)
+        monkeypatch.setattr(d, "STRETCH", stretch)
+        held = d.Items(list(range(len(items))), items, 3)
+        (block,) = blocks(d.lower(pa.array([*docs, None, ""])), 1 << 30)
+        return [(int(a), int(b), round(float(s), 9)) for a, b, s in zip(*d.align(held, d.lowered_words(block), 0.4))]
+
+    want = found(10**9)
+    assert len(want) > 25 and found(16) == want and found(1) == want and found(0) == want and found(2, 1) == want
+
+
+def test_common_seeds_cost_little():
+    from mediasift.llm import decontaminate as d
+    from mediasift.llm.arrow_text import blocks
+
+    rng = np.random.default_rng(1)
+    stem, words = "which one of the following statements is true", [f"w{i}" for i in range(20_000)]
+    opened = []
+    for n in (400, 4000):
+        items = d.Items(list(range(n)), [f"{stem} " + " ".join(rng.choice(words, 30)) for _ in range(n)], 3)
+        (block,) = blocks(pa.array([" ".join([*rng.choice(words, 140), stem, *rng.choice(words, 140), stem]) for _ in range(5)]), 1 << 30)
+        held = d.lowered_words(block)
+        at, key = items.hits(held)
+        assert items.frequent[key].all() and len(at) >= 60
+        opened.append(sum(len(p) for p, _ in d.common_seeds(items, held, 0.4, at, key)))
+    assert max(opened) <= 60  # not the 60 places times 4,000 items
