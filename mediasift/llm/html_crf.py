@@ -9,13 +9,13 @@ the model (about 100 kB) is broadcast, nothing is shuffled, and batches of pages
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by
 one newline in page order; nothing else is dropped. Not shown, and so no block: comments, script,
-style, textarea and iframe up to their end or the page's, as browsers read them; noscript, template
+style, textarea and iframe up to their end or the page's, as browsers read them; template
 and svg with an end tag; title, select, option, button and datalist. A null or empty page, or one without a content
 block, has an empty text. Unclosed and stray tags are accepted: a head ends with the first tag or text that
 is not allowed in it, a button or title without an end tag with the next block-level tag; a tag ends at the next
 ``>`` if its quotes are never closed. Pages of any length are read whole, in time in proportion to their
-length: of ancestors the outermost ``MOST_DEPTH`` and the block's own element give features, each by at most
-``MOST_WORDS`` words. Repeated pages give equal rows; an
+length: an element keeps only the features that its ancestors lack, and the weights of a block's ancestors are
+sums that are carried from element to element. Repeated pages give equal rows; an
 empty table gives an empty table; only the named columns are read.
 """
 
@@ -41,7 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Read as text by browsers, up to the end tag or the end of the page.
 RAW = frozenset("script style textarea iframe".split())
 #: Left out if there is an end tag.
-SKIPPED = frozenset("noscript template svg".split())
+SKIPPED = frozenset("template svg".split())
 ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW | SKIPPED}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head title select option button datalist".split())
@@ -53,7 +53,6 @@ NO_CLOSES = {"p"}
 TAG_START = re.compile(r"</?[a-zA-Z]")
 #: Tags that may start inside a head; any other start ends it.
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
-MOST_DEPTH, MOST_WORDS = 64, 32
 #: Blocks that are decoded at once, padding included.
 MOST_BLOCKS = 100_000
 BITS = 13
@@ -66,19 +65,26 @@ def ended(page: str, tag: str, at: int) -> bool:
     return m is not None and m.group(1) == "/"
 
 
+class Path:
+    """Features of an element that its ancestors lack, and those ancestors that have others."""
+
+    __slots__ = ("above", "depth", "new")
+
+    def __init__(self, new: list[int], above: Path | None):
+        self.new, self.above, self.depth = new, above, above.depth + 1 if above else 1
+
+
 class Element:
-    """An open element: its tag, its attribute words, and the features of it and its ancestors."""
+    """An open element: its tag, the features of its own, and its path. ``active`` has the features of all open elements."""
 
-    __slots__ = ("ended", "own", "path", "tag")
+    __slots__ = ("ended", "new", "own", "path", "tag")
 
-    def __init__(self, tag: str, words: list[str], above: Element | None, depth: int, ended: bool):
+    def __init__(self, tag: str, words: list[str], above: Path | None, ended: bool, active: set[int]):
         self.tag, self.ended = tag, ended
         self.own = frozenset([feature(f"own:{tag}"), *[feature(f"own-attr:{w}") for w in words]])
-        self.path = above.path if above else frozenset()
-        if depth < MOST_DEPTH:
-            self.path |= {feature(f"in:{tag}"), *[feature(f"attr:{w}") for w in words]}
-        else:
-            self.own |= {feature(f"in:{tag}"), *[feature(f"attr:{w}") for w in words]}
+        self.new = [i for i in {feature(f"in:{tag}"), *[feature(f"attr:{w}") for w in words]} if i not in active]
+        self.path = Path(self.new, above) if self.new else above
+        active.update(self.new)
 
 
 def leaf_blocks(page: str) -> list[tuple[str, list[int]]]:
@@ -103,6 +109,7 @@ def cut_blocks(page: str) -> list[tuple[str, float, tuple]]:
     out: list[tuple[str, float, tuple]] = []
     text: list[str] = []
     linked, at = 0, (None, False)
+    active: set[int] = set()  # features of open elements
     missing: set[str] = set()  # tags without an end tag in the rest of the page
     last, tags = page.rfind(">"), TAG
 
@@ -111,6 +118,7 @@ def cut_blocks(page: str) -> list[tuple[str, float, tuple]]:
         for e in stack[depth:]:
             opened[e.tag] -= 1
             hidden -= e.tag in HIDDEN
+            active.difference_update(e.new)
         del stack[depth:]
         if unended is not None and unended >= depth:
             unended = None
@@ -205,11 +213,11 @@ def cut_blocks(page: str) -> list[tuple[str, float, tuple]]:
             words: list[str] = []
             if attributes:
                 for x in ATTRIBUTE.finditer(attributes):
-                    words += WORD.findall((x.group(1) or x.group(2) or x.group(3) or "").lower())[:MOST_WORDS]
+                    words += WORD.findall((x.group(1) or x.group(2) or x.group(3) or "").lower())
             has_end = tag not in ENDED or ended(page, tag, pos)
             if not has_end and unended is None:
                 unended = len(stack)
-            stack.append(Element(tag, words[:MOST_WORDS], stack[-1] if stack else None, len(stack), has_end))
+            stack.append(Element(tag, words, stack[-1].path if stack else None, has_end, active))
             opened[tag] = opened.get(tag, 0) + 1
             hidden += tag in HIDDEN
     flush()
@@ -224,7 +232,7 @@ def feature(name: str) -> int:
     return (h ^ h >> 15) & ((1 << BITS) - 1)
 
 
-def features(text: str, link_share: float, at: tuple, k: int, n: int) -> list[int]:
+def own_features(text: str, link_share: float, at: tuple, k: int, n: int) -> set[int]:
     words = text.count(" ") + 1
     names = {"bias", f"words:{min(words.bit_length(), 8)}", f"links:{0 if link_share == 0 else 1 if link_share < 0.4 else 2 if link_share < 0.8 else 3}"}
     names.add(f"end:{text[-1] if text[-1] in '.!?:;' else 'letter' if text[-1].isalnum() else 'other'}")
@@ -238,11 +246,21 @@ def features(text: str, link_share: float, at: tuple, k: int, n: int) -> list[in
         names |= {"own:a", "in:a"}
     elif element is None:
         names.add("own:none")
-    own = [feature(x) for x in names]
-    if element is None:
-        return own
-    ids = element.path.union(own)
-    return [*(ids if in_link else ids | element.own)]
+    own = {feature(x) for x in names}
+    return own if in_link or element is None else own | element.own
+
+
+def path_features(element: Element | None) -> list[int]:
+    path, out = element.path if element else None, []
+    while path:
+        out += path.new
+        path = path.above
+    return out
+
+
+def features(text: str, link_share: float, at: tuple, k: int, n: int) -> list[int]:
+    """All features of block k of n: its own, and those of its ancestors."""
+    return [*own_features(text, link_share, at, k, n).union(path_features(at[0]))]
 
 
 class Field:
@@ -263,9 +281,47 @@ class Field:
             out[mask] = np.add.reduceat(self.emit[flat], np.cumsum(counts) - counts, axis=0)
         return out, sizes
 
+    def page_scores(self, cut: list[tuple[str, float, tuple]]) -> np.ndarray:
+        """Emission scores of a page's blocks. From block to block only the paths that end and begin are looked at, so
+        the time does not depend on how deep the page is."""
+        sums: list[tuple[float, float]] = [(0.0, 0.0)]  # of the open paths, the outermost first
+        opened: list[Path] = []
+        active: set[int] = set()
+        own, counts, above = [], [], []
+        for k, (text, share, at) in enumerate(cut):
+            path, new = at[0].path if at[0] else None, []
+            while path and (len(opened) < path.depth or opened[path.depth - 1] is not path):
+                new.append(path)
+                path = path.above
+            for gone in opened[path.depth if path else 0 :]:
+                active.difference_update(gone.new)
+            del opened[path.depth if path else 0 :], sums[len(opened) + 1 :]
+            for p in reversed(new):
+                x = self.emit[p.new].sum(axis=0)
+                sums.append((sums[-1][0] + x[0], sums[-1][1] + x[1]))
+                opened.append(p)
+                active.update(p.new)
+            ids = own_features(text, share, at, k, len(cut)) - active
+            own.extend(ids)
+            counts.append(len(ids))
+            above.append(sums[-1])
+        ends = np.cumsum(counts)
+        total = np.concatenate([np.zeros((1, LABELS)), np.cumsum(self.emit[own], axis=0)])
+        return total[ends] - total[ends - counts] + np.array(above)
+
     def decode(self, pages: list[list[list[int]]]) -> list[np.ndarray]:
-        """The most probable labels of each page (Viterbi, all pages at once)."""
-        score, sizes = self.scores(pages)
+        """The most probable labels of each page, given the features of its blocks."""
+        return self.viterbi(*self.scores(pages))
+
+    def decode_scores(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """The same, given the scores of its blocks."""
+        sizes = np.array([len(p) for p in pages], np.int64)
+        out = np.zeros((len(pages), max(int(sizes.max(initial=0)), 1), LABELS))
+        out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate([np.zeros((0, LABELS)), *[p for p in pages if len(p)]])
+        return self.viterbi(out, sizes)
+
+    def viterbi(self, score: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The most probable labels of padded pages, all at once."""
         n, t_max, _ = score.shape
         best = score[:, 0] + self.start
         back = np.zeros((n, t_max, LABELS), np.int8)
@@ -349,6 +405,21 @@ PARTS = {
 }
 
 
+#: Words of page parts in German, French, Spanish, Italian and Dutch; fixed values.
+OTHER_WORDS = {
+    "content": "artikel artikeltext beitrag inhalt hauptinhalt contenu texte contenido cuerpo texto articolo contenuto inhoud".split(),
+    "nav": "navigationsleiste navigacion seitennavigation hauptmenue kopfmenue rubriques sommaire menu navigazione navigatie".split(),
+    "header": "kopf kopfzeile entete cabecera encabezado testata intestazione".split(),
+    "footer": "fuss fusszeile fussbereich pied pieddepage piedepagina pie impressum voet voettekst".split(),
+    "aside": "seitenleiste randspalte verwandt barre laterale colonne barra lateral relacionados correlati zijbalk".split(),
+    "ad": "werbung anzeige publicite pub publicidad anuncio pubblicita reclame advertentie".split(),
+    "notice": "hinweis meldung avis aviso avviso melding einwilligung".split(),
+    "form": "suche suchfeld anmeldung recherche formulaire buscar formulario ricerca zoeken".split(),
+    "comments": "kommentar kommentare leserbriefe diskussion commentaires commentaire comentario comentarios commenti reacties".split(),
+    "share": "teilen autor datum partager auteur compartir fecha condividi delen".split(),
+}
+
+
 def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
     """``n`` labelled pages in many layouts: a block's label is its first character, 1 for main text.
 
@@ -356,7 +427,24 @@ def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
     return [_page(random.Random(seed * 100_003 + i)) for i in range(n)]
 
 
-def _page(rng: random.Random) -> str:
+def varied_pages(n: int = 300, seed: int = 8) -> list[str]:
+    """Labelled pages with class words of other languages, laid out in tables, deeply nested, or with text for
+    browsers without scripts."""
+    out = []
+    for i in range(n):
+        rng = random.Random(seed * 100_019 + i)
+        page = _page(rng, OTHER_WORDS if rng.random() < 0.6 else None, tables=rng.random() < 0.3)
+        if rng.random() < 0.3:
+            note = rng.choice(("Please enable JavaScript to see this page.", "JavaScript ist ausgeschaltet.", "Ce site utilise JavaScript.", "Active JavaScript para ver esta página."))
+            page = page.replace("<body>", f"<body><noscript>0{note}</noscript>" if rng.random() < 0.5 else f"<body><noscript><p>0{note}</p></noscript>")
+        if rng.random() < 0.2:
+            k = rng.randint(5, 80)
+            page = page.replace("<body>", "<body>" + "<div>" * k).replace("</body>", "</div>" * k + "</body>")
+        out.append(page)
+    return out
+
+
+def _page(rng: random.Random, other: dict[str, list[str]] | None = None, tables: bool = False) -> str:
     def word() -> str:
         return "".join(rng.choice(("ba", "den", "ol", "ki", "ra", "sun", "te", "é", "lor", "mi", "x", "ous")) for _ in range(rng.randint(1, 4)))
 
@@ -375,7 +463,7 @@ def _page(rng: random.Random) -> str:
     def attrs(kind: str) -> str:
         if not named or rng.random() < 0.15:
             return ""
-        pool = CONTENT_WORDS if kind == "content" else PARTS[kind]
+        pool = other[kind] if other else CONTENT_WORDS if kind == "content" else PARTS[kind]
         joined = rng.choice("-_ ").join([*rng.sample(pool, rng.randint(1, 2)), *([word()] if rng.random() < 0.3 else [])])
         return f' {rng.choice(("class", "class", "id"))}="{joined}"'
 
@@ -383,9 +471,9 @@ def _page(rng: random.Random) -> str:
         tag = (tag if rng.random() < 0.85 else "section") if semantic else "div"
         marked = attrs(kind)
         if tag in ("div", "section") and not marked and kind in ("ad", "notice", "comments", "share"):
-            marked = f' class="{rng.choice(PARTS[kind])}"'  # else nothing tells such a block apart
+            marked = f' class="{rng.choice((other or PARTS)[kind])}"'  # else nothing tells such a block apart
         elif tag == "section" and not marked and kind != "content":
-            marked = f' class="{rng.choice(PARTS[kind])}"'
+            marked = f' class="{rng.choice((other or PARTS)[kind])}"'
         return f"<{tag}{marked}>{inner}</{tag}>"
 
     def links(k: int) -> str:
@@ -448,7 +536,12 @@ def _page(rng: random.Random) -> str:
     rng.shuffle(before)
     if rng.random() < 0.12:  # an article and nothing else
         before, after = [], []
-    body = "".join([*before, content(), *after])
+    if tables:
+        row = lambda x: f"<tr><td>{x}</td></tr>"
+        bar = "".join(f'<td><a href="/{word()}">0{label()}</a></td>' for _ in range(rng.randint(2, 6))) if rng.random() < 0.5 else "<td>0" + " | ".join(f'<a href="/{word()}">{label()}</a>' for _ in range(rng.randint(2, 6))) + "</td>"
+        body = f"<table><tr>{bar}</tr></table><table>" + "".join(row(x) for x in before) + row(content()) + "".join(row(x) for x in after) + "</table>"
+    else:
+        body = "".join([*before, content(), *after])
     if rng.random() < 0.2:
         body = f"<div{attrs('content')}>{body}</div>"
     return f"<!DOCTYPE html><html><head><title>{label()}</title><script>x</script></head><body>{body}</body></html>"
@@ -456,8 +549,9 @@ def _page(rng: random.Random) -> str:
 
 @lru_cache(2)
 def default_field(n: int = 900, seed: int = 7) -> Field:
-    """A field fitted on ``labelled_pages(n, seed)``."""
-    return fit([[(f, y) for _, f, y in labelled_blocks(html)] for html in labelled_pages(n, seed)])
+    """A field fitted on ``labelled_pages(n, seed)`` and a third as many ``varied_pages``."""
+    pages = [*labelled_pages(n, seed), *varied_pages(n // 3, seed + 1)]
+    return fit([[(f, y) for _, f, y in labelled_blocks(html)] for html in pages])
 
 
 def alike(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
@@ -483,13 +577,17 @@ def extract(pages: DataFrame, field: Field | None = None, *, key: str = "page_id
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                cut = [leaf_blocks(x) if x else [] for x in part.column(2).to_pylist()]
+                cut, scores = [], []
+                for x in part.column(2).to_pylist():
+                    found = cut_blocks(x) if x else []
+                    scores.append(model.page_scores(found) if found else np.zeros((0, LABELS)))
+                    cut.append([t for t, *_ in found])
                 texts = [""] * len(cut)
                 order = sorted(range(len(cut)), key=lambda k: len(cut[k]))
                 # pages of like length are decoded together, so padding stays small
                 for group in alike(order, [len(x) for x in cut]):
-                    for k, labels in zip(group, model.decode([[f for _, f in cut[k]] for k in group]), strict=True):
-                        texts[k] = "\n".join(t for (t, _), y in zip(cut[k], labels, strict=True) if y)
+                    for k, labels in zip(group, model.decode_scores([scores[k] for k in group]), strict=True):
+                        texts[k] = "\n".join(t for t, y in zip(cut[k], labels, strict=True) if y)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return src.mapInArrow(run, f"page_id {kinds[key]}, url {kinds[url]}, text string, n_chars long").toDF(key, "url", "text", "n_chars")

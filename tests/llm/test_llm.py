@@ -275,8 +275,9 @@ def test_html(spark):
     ("<div><button class=x>No<p>Main text.</p><button>No<div>no</div></button></div>", ["Main text."]),
     ("<select><option>No<option>No<p>Main text.", ["Main text."]),
     ("<select><option>No<option>No</select>Main <button>no</button>text.", ["Main", "text."]),
-    ("<noscript>No</noscript><p>Main text.", ["Main text."]),
+    ("<noscript>No</noscript><p>Main text.", ["No", "Main text."]),
     ("<noscript><p>Main text.", ["Main text."]),
+    ("<head><noscript><p>No</noscript></head><p>Main text.", ["Main text."]),
     ("<template><p>Main text.", ["Main text."]),
     ("<svg><p>Main text.", ["Main text."]),
     ("<script>No</script ><style>no<p>no", []),
@@ -986,3 +987,49 @@ def test_common_seeds_cost_little():
         assert items.frequent[key].all() and len(at) >= 60
         opened.append(sum(len(p) for p, _ in d.common_seeds(items, held, 0.4, at, key)))
     assert max(opened) <= 60  # not the 60 places times 4,000 items
+
+
+# --- op3: depth, languages, tables ------------------------------------------------------------------
+
+
+def kept_of(page):
+    from mediasift.llm import html_crf as h
+
+    field, cut = h.default_field(), h.cut_blocks(page)
+    scores = field.page_scores(cut)
+    assert np.allclose(scores, field.scores([[h.features(t, share, at, k, len(cut)) for k, (t, share, at) in enumerate(cut)]])[0][0])
+    return [t for (t, *_), y in zip(cut, field.decode_scores([scores])[0]) if y]
+
+
+def test_depth_does_not_change_a_page():
+    from labelled_pages import PAGES
+
+    for page, _ in PAGES:
+        shallow = kept_of(page)
+        for n in (1, 70, 3000):
+            at = page.index(">", page.index("<body")) + 1
+            assert kept_of(page[:at] + "<div>" * n + page[at:]) == shallow
+    assert all(x not in kept_of(PAGES[1][0].replace('<div id="wrapper">', '<div id="wrapper">' + "<div>" * 100)) for x in ("I made this twice and it was lovely, thank you.", "Three comments"))
+
+
+TEXT = "<h1>{0}</h1><p>{1}</p><p>{2}</p>"
+PROSE = ["The old town hall", "The hall has stood on the square for three hundred years, and nobody knows who built it.", "In winter it is shut; in summer a small museum is open there."]
+
+
+@pytest.mark.parametrize("head,tail", [
+    ('<div class="kopfzeile"><a href="/">Start</a></div><div class="beitrag">', '</div><div class="kommentare"><p>Vielen Dank für den schönen Text!</p></div><div class="fusszeile">Impressum</div>'),
+    ('<nav class="rubriques"><ul><li><a href="/a">Accueil</a></li></ul></nav><div class="contenu">', '</div><div class="commentaires"><p>Merci pour cet article, il est superbe.</p></div><div class="pied">Mentions</div>'),
+    ('<div class="cabecera"><a href="/">Inicio</a></div><div class="contenido">', '</div><div class="publicidad"><p>Compra ahora y ahorra mucho.</p></div><div class="comentarios"><p>Gracias por el texto.</p></div>'),
+    ('<table><tr><td><a href="/">Home</a> | <a href="/a">About</a></td></tr></table><table><tr><td>', "</td></tr></table>"),
+    ("<noscript>Please turn on scripts to read this site.</noscript><article>", "</article>"),
+    ('<div class="menu"><div><a href="/1">One</a></div><div><a href="/2">Two</a></div></div><main><article>', '</article><div class="werbung">Jetzt kaufen!</div></main><footer><p>&copy; 2020 Town</p></footer>'),
+    ('<div class="cookie-consent"><p>We use cookies on this site.</p><button>OK</button></div><section class="story">', '<aside class="related"><h3>More</h3><ul><li><a href="/x">A bridge</a></li></ul></aside></section>'),
+    ('<form class="zoeken"><label>Zoeken</label><input></form><div class="artikel">', '</div><div class="reacties"><p>Mooi stuk, dank je wel.</p></div><div class="voet">Colofon</div>'),
+    ('<header><h1>The Daily Page</h1><nav><a href="/n">News</a> <a href="/s">Sport</a></nav></header><article>', '</article><section class="comments"><h3>Comments</h3><ol><li>I was there last year.</li></ol></section>'),
+    ('<noscript><img src="x.png"></noscript><div id="content">', '</div><div id="sidebar"><h4>Popular</h4><a href="/p">A walk</a></div>'),
+])
+def test_pages_of_other_kinds(head, tail):
+    assert kept_of(f"<html><body>{head}{TEXT.format(*PROSE)}{tail}</body></html>") == PROSE
+
+
+# --- op4: by hand -----------------------------------------------------------------------------------
