@@ -549,8 +549,8 @@ def _page(rng: random.Random, other: dict[str, list[str]] | None = None, tables:
 
 @lru_cache(2)
 def default_field(n: int = 900, seed: int = 7) -> Field:
-    """A field fitted on ``labelled_pages(n, seed)`` and a third as many ``varied_pages``."""
-    pages = [*labelled_pages(n, seed), *varied_pages(n // 3, seed + 1)]
+    """A field fitted on ``labelled_pages(n, seed)`` and half as many ``varied_pages``."""
+    pages = [*labelled_pages(n, seed), *varied_pages(n // 2, seed + 1)]
     return fit([[(f, y) for _, f, y in labelled_blocks(html)] for html in pages])
 
 
