@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -12,6 +11,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from mediasift.functions.text import SPECIAL_TOKENS, WIDTH, clean, split_tokens
 
 LENGTH = 77
-LETTERS = re.compile("[a-z]+")
+LETTERS = re.compile(b"[a-z]+")
 
 
 def padded(encode: Callable[[np.ndarray], np.ndarray], size: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -130,31 +130,46 @@ def tokenise(texts: DataFrame, merges: list[tuple[str, str]], *, key: str, text:
     return texts.select(key, ids(split_tokens(clean(F.col(text)))).alias("tokens"))
 
 
+def letter_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The runs of a-z of an Arrow array of strings that each end in a space: the row of each, its code, and the distinct runs by code."""
+    raw = pc.fill_null(texts, "").cast(pa.large_binary())
+    _, offsets, data = raw.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    body = bytes(data)[offsets[0] : offsets[-1]] if data is not None else b""
+    found = LETTERS.findall(body)
+    flag = np.frombuffer(body, np.uint8)
+    flag = (flag >= 97) & (flag <= 122)
+    starts = np.flatnonzero(flag & ~np.concatenate([[False], flag[:-1]])) if len(flag) else np.zeros(0, np.int64)
+    edges = offsets - offsets[0]
+    code, distinct = pd.factorize(np.array(found, object))
+    return np.searchsorted(edges, starts, "right") - 1, code, list(distinct)
+
+
 def hash_encode(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     """key and the unit ``vector`` of signed bucket counts of the text's tokens, the runs of a-z in lower case.
 
     A map over rows: equal and null keys stay rows of their own. Texts whose counts are all zero have no
-    vector and are left out. A task hashes each distinct token once, and forgets them at a million."""
+    vector and are left out. A task hashes each distinct token once, and forgets them at a million; tokens of a batch are
+    added up together."""
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int]] = {}
+        known: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            out, kept = [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                v = [0.0] * WIDTH
-                for token, n in Counter(LETTERS.findall(t or "")).items():
-                    if token not in known:
-                        if len(known) >= 1_000_000:
-                            known.clear()
-                        digest = hashlib.md5(token.encode()).hexdigest()
-                        known[token] = int(digest[:4], 16) % WIDTH, 1 - 2 * (int(digest[4], 16) % 2)
-                    bucket, sign = known[token]
-                    v[bucket] += sign * n
-                norm = sum(x * x for x in v) ** 0.5
-                if norm:
-                    out.append([x / norm for x in v])
-                    kept.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(out, pa.list_(pa.float64()))], names=["key", "vector"])
-
-    return texts.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).mapInArrow(run, f"key {kind}, vector array<double>").toDF(key, "vector")
+            row, code, distinct = letter_runs(batch.column(1))
+            if len(known) > 1_000_000:
+                known.clear()
+            for token in distinct:
+                if token not in known:
+                    digest = hashlib.md5(token).hexdigest()
+                    known[token] = int(digest[:4], 16) % WIDTH, 1 - 2 * (int(digest[4], 16) % 2)
+            places = np.array([known[t] for t in distinct], np.int64).reshape(-1, 2)[code]
+            v = np.bincount(row * WIDTH + places[:, 0], places[:, 1], batch.num_rows * WIDTH).reshape(-1, WIDTH)
+            norm = np.sqrt((v * v).sum(axis=1))
+            kept = np.flatnonzero(norm)
+            unit = v[kept] / norm[kept, None]
+            vectors = pa.ListArray.from_arrays(np.arange(0, unit.size + 1, WIDTH, dtype=np.int32), unit.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), vectors], names=["key", "vector"])
+
+    # the space sets rows apart
+    return texts.select(F.col(key).alias("key"), F.concat(F.lower(F.col(text)), F.lit(" ")).alias("text")).mapInArrow(run, f"key {kind}, vector array<double>").toDF(key, "vector")

@@ -23,18 +23,29 @@ from mediasift.sources.listing import Library
 from mediasift.sources.store import IndexStore
 
 
+def executor(spark: SparkSession) -> tuple[int, int]:
+    """Bytes of memory of an executor and tasks that it runs at once, as the session has them."""
+    context, conf = spark.sparkContext, spark.sparkContext.getConf()
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    memory = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
+    workers = context.defaultParallelism if local else int(conf.get("spark.executor.cores", "1")) // int(conf.get("spark.task.cpus", "1"))
+    return context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(memory), max(1, workers)
+
+
 class MediaIndex:
     """``make_encoder`` gives, in each worker, a function of a batch of images (n x 3 x 256 x 256) to vectors;
-    ``encode_text`` maps a phrase to a unit vector; ``decode`` maps a file's bytes to height x width x 3 bytes."""
+    ``encode_text`` maps a phrase to a unit vector; ``decode`` maps a file's bytes to height x width x 3 bytes. The automatic pixel cap is that of an executor's ``memory`` and
+    ``workers`` (0: the session's)."""
 
     def __init__(
         self, spark: SparkSession, store: str, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], encode_text: Callable[[str], list[float]], *,
-        decode: Callable[[bytes], np.ndarray] = im.decode_image, batch: int = 8, max_image_megapixels: str = "auto", memory: int = 0, workers: int = 1,
+        decode: Callable[[bytes], np.ndarray] = im.decode_image, batch: int = 8, max_image_megapixels: str = "auto", memory: int = 0, workers: int = 0,
         exclude_dirs: list[str] | None = None, include_hidden: bool = False, raw_support: bool = False, read: Callable[[str], bytes] = content_of,
     ):
         self.spark, self.store = spark, IndexStore(spark, store)
         self.make_encoder, self.encode_text, self.decode, self.read, self.batch = make_encoder, encode_text, decode, read, batch
-        self.cap = parse_cap(max_image_megapixels, memory, workers)
+        own_memory, own_workers = executor(spark)
+        self.cap = parse_cap(max_image_megapixels, memory or own_memory, workers or own_workers)
         self.counts: dict[str, int] = {}
         self.exclude_dirs, self.include_hidden, self.raw_support = exclude_dirs, include_hidden, raw_support
 

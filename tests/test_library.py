@@ -554,3 +554,28 @@ def test_weighted_vectors(spark):
     got = {r["qid"]: r["qvec"] for r in found.collect()}
     assert set(got) == set(want) and all(np.allclose([*got[q], 0.0][:3], want[q]) for q in want)
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString() and sr.weighted_vectors(df.limit(0)).count() == 0
+
+
+def test_hashed_vectors_of_many_rows(spark):
+    import hashlib as hl
+    import re
+
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 11 == 0 else " ".join(rng.choice(["Alpha", "be1ta", "ÄÖ", "x", "ß-straße", "", "12", "omega"], int(rng.integers(0, 30)))) + "end" * (i % 2)) for i in range(300)]
+    got = {r[0]: r[1] for r in en.hash_encode(spark.createDataFrame(rows, "k long, t string").repartition(3), key="k", text="t").collect()}
+    for i, t in rows:
+        v = np.zeros(64)
+        for token in re.findall("[a-z]+", (t or "").lower()):
+            digest = hl.md5(token.encode()).hexdigest()
+            v[int(digest[:4], 16) % 64] += 1 - 2 * (int(digest[4], 16) % 2)
+        assert (i in got) == bool(v.any()) and (i not in got or np.allclose(got[i], v / np.linalg.norm(v)))
+    assert en.hash_encode(spark.createDataFrame([], "k long, t string"), key="k", text="t").count() == 0
+
+
+def test_automatic_cap_is_of_the_session(spark, tmp_path):
+    from mediasift.plans.media_index import executor
+
+    memory, workers = executor(spark)
+    assert memory == 4 << 30 and workers == 4
+    make = lambda **k: MediaIndex(spark, f"file://{tmp_path}/i", lambda: lambda x: x, lambda q: [1.0], **k).cap
+    assert make() == media.parse_cap("auto", 4 << 30, 4) and make(memory=64 << 30, workers=8) == (64 << 30) // 64 and make(max_image_megapixels="none") is None
