@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediasift.codecs import decode_image
 from mediasift.functions import media, terms, text, vectors
 from mediasift.functions import paths as P
 from mediasift.operators import encode as en
@@ -19,8 +21,12 @@ from mediasift.operators import index as ix
 from mediasift.operators import listing_filters as lf
 from mediasift.operators import search as sr
 from mediasift.plans.views import rounded, view, with_views
+from mediasift.sources.files import place_of
+from mediasift.sources.listing import Library
+from mediasift.sources.results import write_results
 from mediasift.sources.shared import shared_dir
 from mediasift.sources.store import IndexStore, migrate
+from mediasift.sources.walk import list_library
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -92,6 +98,48 @@ def file_extension(spark, d):
     return view(spark, d, "paths").withColumn("ext", P.extension(F.col("filepath")))
 
 
+_LISTED = f"SELECT filepath, CAST(strlen(text) AS BIGINT) AS size FROM paths JOIN documents USING (doc_id) WHERE text IS NOT NULL AND {_EXT} AND NOT {_EXCLUDED} AND NOT ({_HIDDEN})"
+
+
+def _written_library(spark, d) -> str:
+    """The documents as files of the paths' names, written by tasks to the shared folder."""
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows = view(spark, d, "paths").join(view(spark, d, "documents").select("doc_id", "text"), "doc_id").where("text is not null").select("filepath", "text")
+
+    def write(batches):
+        place = place_of(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place.files.create_dir(place.inner(root + path).rsplit("/", 1)[0], recursive=True)
+                with place.files.open_output_stream(place.inner(root + path)) as out:
+                    out.write(content.encode())
+            yield batch.select([0])
+
+    rows.mapInArrow(write, "filepath string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _below(files: DataFrame, root: str) -> DataFrame:
+    return files.select(F.substring("filepath", len(root) + 1, 1 << 20).alias("filepath"), "size")
+
+
+@register(_LISTED, "paths")
+def library_listing(spark, d):
+    root = _written_library(spark, d)
+    return _below(list_library(spark, root), root)
+
+
+@register(_LISTED, "paths")
+def library_stream(spark, d):
+    """The same files, as a stream finds them."""
+    root = _written_library(spark, d).removeprefix("file://")
+    out = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    spark.dataSource.register(Library)
+    stream = spark.readStream.format("library").options(root=root, lag="0").load()
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/files").awaitTermination()
+    return _below(spark.read.parquet(f"{out}/files"), root)
+
+
 # --- index --------------------------------------------------------------------------------------
 
 _STATE = """CASE WHEN l.filepath IS NULL THEN CASE WHEN starts_with(translate(i.filepath, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/lib/') THEN 'gone' ELSE 'out_of_scope' END
@@ -167,6 +215,51 @@ def index_apply(spark, d):
     return _index_rows(ix.refresh(view(spark, d, "listing"), view(spark, d, "idx"), "/lib", lambda rows: rows, _hash_vector))
 
 
+_CHANGED = f"""SELECT filepath, 'row' AS kind, CAST(NULL AS BOOLEAN) AS deleted FROM ({_DIFF}) WHERE state IN ('new', 'changed')
+ UNION ALL SELECT filepath, 'mark', CASE state WHEN 'gone' THEN true END FROM ({_DIFF}) JOIN idx USING (filepath) WHERE state = 'gone' AND deleted IS NULL OR state = 'unchanged' AND deleted"""
+
+
+def _delta(spark, d):
+    """The changes of a refresh whose files' hashes are those of the listing."""
+    listing, index = view(spark, d, "listing"), view(spark, d, "idx")
+    hashes = listing.select("filepath", "hash")
+    return index, ix.delta(listing.drop("hash"), index, "/lib", lambda rows: rows.join(hashes, "filepath"), _hash_vector)
+
+
+@register(_CHANGED, "listing idx")
+def index_delta(spark, d):
+    _, (rows, marks, _) = _delta(spark, d)
+    return rows.select("filepath", F.lit("row").alias("kind"), "deleted").unionByName(marks.select("filepath", F.lit("mark").alias("kind"), "deleted"))
+
+
+@register(
+    f"""SELECT count(*) FILTER (WHERE state IN ('new', 'changed', 'unchanged')) AS visited, count(*) FILTER (WHERE state = 'unchanged') AS unchanged, count(*) FILTER (WHERE state = 'new') AS new,
+ count(*) FILTER (WHERE state = 'changed') AS changed, count(*) FILTER (WHERE state = 'gone' AND i.deleted IS NULL) AS gone, count(*) FILTER (WHERE state = 'unchanged' AND i.deleted) AS restored,
+ (SELECT count(*) FROM ({_CHANGED}) WHERE kind = 'row') AS written, (SELECT count(*) FROM ({_CHANGED}) WHERE kind = 'mark') AS marked FROM ({_DIFF}) s LEFT JOIN idx i ON i.filepath = s.filepath""",
+    "listing idx",
+)
+def index_refresh_counts(spark, d):
+    _, (_, _, counts) = _delta(spark, d)
+    names = ["visited", "unchanged", "new", "changed", "gone", "restored", "written", "marked"]
+    return spark.range(1).select(*[F.lit(counts[n]).cast("long").alias(n) for n in names])
+
+
+@register(
+    f"""SELECT * FROM (SELECT filepath, modified_at, size, hash, NULL AS deleted, round(CAST(coalesce(donated, {_FLOATS})[1] AS DOUBLE), 6) AS v0 FROM listing LEFT JOIN ({_DONORS}) USING (hash, size)
+ WHERE filepath IN (SELECT filepath FROM ({_DIFF}) WHERE state IN ('new', 'changed'))
+ UNION ALL SELECT filepath, modified_at, size, hash, CASE state WHEN 'gone' THEN true WHEN 'unchanged' THEN NULL ELSE deleted END, round(CAST(vector[1] AS DOUBLE), 6)
+ FROM idx JOIN ({_DIFF}) USING (filepath) WHERE state NOT IN ('new', 'changed')) WHERE starts_with(lower(filepath), '/lib/en/')""",
+    "listing idx",
+)
+def index_stored_scope(spark, d):
+    """The changes added to a stored index, which is then read below one directory."""
+    index, (rows, marks, _) = _delta(spark, d)
+    store = IndexStore(spark, f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}")
+    store.write(index)
+    store.add(rows, marks=marks)
+    return _index_rows(store.read(scope="/LIB/en"))
+
+
 @register("SELECT hash, size, count(*) AS files, min(filepath) AS first, max(filepath) AS last FROM listing WHERE hash IS NOT NULL GROUP BY hash, size HAVING count(*) > 1", "listing")
 def duplicate_groups(spark, d):
     return ix.duplicates(view(spark, d, "listing"))
@@ -203,6 +296,31 @@ def pixel_cap_filter(spark, d):
     return im.pixel_cap(view(spark, d, "image_dims"), media.LEAST_CAP).select("image_id", "width", "height")
 
 
+_GREY = "list_transform(embedding, lambda x: CAST(floor(128 + 127 * CAST(x AS DOUBLE)) AS BIGINT))"
+#: Width and height 8, 24 bits a pixel, rows from the bottom, as a bitmap's first 54 bytes in hexadecimal.
+BITMAP_HEAD = "424df60000000000000036000000" + "28000000080000000800000001001800000000000000000000000000000000000000000000000000"[:80]
+
+
+def _pixels(files: pd.Series) -> pd.DataFrame:
+    found = [decode_image(bytes(x)) for x in files]
+    return pd.DataFrame({"height": [x.shape[0] for x in found], "width": [x.shape[1] for x in found], "total": [int(x.sum()) for x in found], "first": [int(x[0, 0, 0]) for x in found], "last": [int(x[-1, -1, 2]) for x in found]})
+
+
+@register(
+    f"""SELECT vec_id, kind, 8 AS height, 8 AS width, CAST(3 * list_sum(g) AS BIGINT) AS total, CASE kind WHEN 'pgm' THEN g[1] ELSE g[57] END AS first, CASE kind WHEN 'pgm' THEN g[64] ELSE g[8] END AS last
+ FROM (SELECT vec_id, {_GREY} AS g FROM embeddings), (VALUES ('pgm'), ('bmp')) k(kind)"""
+)
+def image_pixels(spark, d):
+    """Images of 8 x 8 grey values made of the vectors, as a greymap and as a bitmap, decoded."""
+    two = lambda x: F.lpad(F.hex(F.floor(F.lit(128) + F.lit(127) * x.cast("double"))), 2, "0")
+    grey = F.array_join(F.transform("embedding", two), "")
+    colour = F.array_join(F.transform("embedding", lambda x: F.repeat(two(x), 3)), "")
+    head = b"P5 8 8 255\n".hex()
+    rows = view(spark, d, "embeddings").select("vec_id", F.explode(F.create_map(F.lit("pgm"), F.unhex(F.concat(F.lit(head), grey)), F.lit("bmp"), F.unhex(F.concat(F.lit(BITMAP_HEAD), colour)))).alias("kind", "file"))
+    pixels = F.pandas_udf(_pixels, "struct<height: int, width: int, total: long, first: long, last: long>")
+    return rows.select("vec_id", "kind", pixels("file").alias("p")).select("vec_id", "kind", "p.*")
+
+
 _BOMB = "coalesce(TRY_CAST(regexp_extract(error, 'Image size \\((\\d+) pixels\\)', 1) AS BIGINT), 0)"
 _REASON = f"CASE WHEN width * height > {media.LEAST_CAP} THEN 'too_large' WHEN {_BOMB} > 0 THEN 'bomb' WHEN starts_with(error, 'out of memory') THEN 'out_of_memory' WHEN starts_with(error, 'cannot identify') THEN 'unreadable' WHEN error IS NOT NULL THEN 'other' END"
 
@@ -375,6 +493,14 @@ def result_format(spark, d):
     return sr.format_results(sr.search(items, first_vector(items)[1]))
 
 
+@register(f"SELECT 'score' || chr(9) || 'filepath' AS value UNION ALL SELECT printf('%.3f', score) || chr(9) || '\"' || filepath || '\"' FROM ({_TOP.format(_NOT_EXCLUDED)})", "items")
+def result_file(spark, d):
+    """The file that the result sink writes, line by line."""
+    items, path = view(spark, d, "items"), f"{shared_dir(spark)}/results-{uuid.uuid4().hex}.tsv"
+    write_results(sr.search(items, first_vector(items)[1]), path)
+    return spark.read.text(path)
+
+
 @register(f"SELECT filepath FROM ({_TOP.format(_NOT_EXCLUDED)})", "items")
 def result_paths_only(spark, d):
     items = view(spark, d, "items")
