@@ -361,10 +361,8 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
             a, b, c, n = unique_triples(a[real], b[real], c[real])
             shard = shard_of(a, b, hot, shards)
             by = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-            some = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
-            own = [by[cuts[k] : cuts[k + 1]] for k in some]
-            runs = [pack_run(*steps(a[x], b[x]), c[x], n[x]) for x in own]
+            some, first_of = np.unique(shard[by], return_index=True)
+            runs = [pack_run(*steps(a[x], b[x]), c[x], n[x]) for x in np.split(by, first_of[1:])] if len(some) else []
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(runs, pa.binary())], names=["shard", "run"])
 
         for batch in batches:

@@ -15,8 +15,9 @@ position, ``read_documents`` the ids of single documents, by pages of ``PAGE`` b
 all documents, and gets each one's ids by their places as well.
 
 A null or empty text has the end id alone. Null keys come first. Rows with equal keys come in the order of a
-hash of the text, and a key that many rows share is split by that hash; rows that are equal in both cannot be
-told apart. Repeated rows are all written. An empty table has an empty manifest.
+hash of the text, and a key that many rows share is split by that hash. Rows that agree in key and text are interchangeable:
+where there are more than ``HOT`` they are counted, and dealt by blocks of ``COPIES`` of which one row carries the text, which is
+encoded once for all of them. Repeated rows are all written. An empty table has an empty manifest.
 Only the key and the text are read. Texts of any length are encoded whole.
 
 File: 8 bytes of magic, the header's length (unsigned 64-bit, little-endian), a JSON header, then
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mediasift.llm.arrow_text import blocks
+from mediasift.llm.shared import Tables
 
 MAGIC = b"MSDAC\x00\x01\n"
 RANK_BITS = 512
@@ -292,6 +294,8 @@ class Shard:
         return self._all("ends").astype(np.int64)
 
 
+#: Equal rows that are counted, and those that share one row's text; files that a reading task goes through, at least; hot rows that are broadcast.
+HOT, COPIES, FILES_A_TASK, BROADCAST_ROWS = 1024, 64, 16, 20_000
 MANIFEST = "file string, part long, seq long, docs long, tokens long, first long, last long"
 
 
@@ -308,9 +312,10 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
     """
     if chunk_bits is None:
         chunk_bits = widths(max(end_id, *encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values()))
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = counted(docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")))
     # by key and text: rows without a key, or with one that very many share, are dealt to many tasks
-    rows = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
+    order = ["key", "th", "th2", "turn"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "again").select("key", "text", "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -318,11 +323,11 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
         files, folder = _files(root)
         encode, seq = encoder(tokenizer).encode, 0
         keys, nulls, counts, ids, size = [], [], [], [], 0
-        end = np.array([end_id], "<u4")
+        same, end = np.zeros(0, "<u4"), np.array([end_id], "<u4")
 
         def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{seq:05d}-{attempt}.dac"
-            own, null = np.concatenate(keys), np.concatenate(nulls)
+            own, null = np.array(keys, np.int64), np.array(nulls, bool)
             raw = to_bytes(own, null, np.array(counts), np.concatenate(ids), chunk_bits)
             with files.open_output_stream(f"{folder}/data/{name}") as f:
                 f.write(raw)
@@ -332,14 +337,15 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
 
         files.create_dir(f"{folder}/data", recursive=True)
         for batch in batches:
-            key_nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            key_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            key_nulls = batch.column(0).is_null().to_pylist()
+            key_ids, again = batch.column(0).fill_null(0).to_pylist(), batch.column(2).to_pylist()
             for block in blocks(batch.column(1), min(1 << 20, 4 * shard_tokens)):
                 raw = block.data.tobytes()
                 got = encode([raw[a:b] for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)])
-                keys.append(key_ids[block.lo : block.hi])
-                nulls.append(key_nulls[block.lo : block.hi])
-                for x in got:
+                for k, x in enumerate(got, block.lo):
+                    same = x = same if again[k] else x  # the text is that of the row before
+                    keys.append(key_ids[k])
+                    nulls.append(key_nulls[k])
                     ids += [x, end]
                     counts.append(len(x) + 1)
                     size += len(x) + 1
@@ -354,11 +360,36 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, *, key: str = "doc_
     return read_manifest(docs.sparkSession, root)
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """key, text, th, th2, turn, again: rows with their place in the order. Of rows of which there are more than ``HOT`` one
+    of ``COPIES`` has the text; the others follow it and say so (again)."""
+    columns = ["key", "text", "th", "th2", "turn", "again"]
+    own = rows.withColumn("th", F.xxhash64("text"))
+    rest = (F.lit(0).cast("long").alias("th2"), F.lit(0).cast("long").alias("turn"), F.lit(False).alias("again"))
+    found = own.groupBy("key", "th").count().where(F.col("count") > HOT).select(F.col("key").alias("hot_key"), F.col("th").alias("hot_th"))
+    hot = Tables(rows.sparkSession, "hot-rows").save(found, "hot")
+    n = hot.count()
+    if not n:
+        return own.select("key", "text", "th", *rest)
+    hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    same = own["key"].eqNullSafe(hot["hot_key"]) & (own["th"] == hot["hot_th"])
+    many = own.join(hot, same, "left_semi").groupBy("key", "th", "text").count().withColumn("th2", F.xxhash64(F.lit(1), "text"))
+    # a text goes to many tasks before its copies are made
+    each = F.lit(COPIES * 1024)
+    many = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {COPIES * 1024}"))))
+    many = many.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "th2", "part")
+    many = many.withColumn("i", F.explode(F.sequence(F.col("part") * each, F.least((F.col("part") + 1) * each, F.col("count")) - 1)))
+    many = many.withColumn("again", F.col("i") % COPIES != 0).withColumn("turn", F.expr(f"i div {COPIES}")).withColumn("text", F.when(~F.col("again"), F.col("text")))
+    return own.join(hot, same, "left_anti").select("key", "text", "th", *rest).unionByName(many.select(*columns))
+
+
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
-    # a row a file: the running total is the only step on one partition
-    order = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    # files are numbered inside their part; the running total of parts (a row a task that wrote) is the only step on one partition
+    before = W.unboundedPreceding, -1
+    parts = rows.groupBy("part").agg(F.sum("tokens").alias("own")).select("part", F.coalesce(F.sum("own").over(W.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("part_start"))
+    inside = F.coalesce(F.sum("tokens").over(W.partitionBy("part").orderBy("seq").rowsBetween(*before)), F.lit(0))
+    return rows.withColumn("inside", inside).join(parts, "part").select(*[f.split()[0] for f in MANIFEST.split(", ")], (F.col("part_start") + F.col("inside")).alias("start"))
 
 
 def read_tokens(spark: SparkSession, root: str) -> DataFrame:
@@ -381,8 +412,9 @@ def read_tokens(spark: SparkSession, root: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.nulls), pa.array(base + begin), pa.array(ends - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = read_manifest(spark, root).select("file", "start")
-    listed = listed.repartition(max(1, listed.count()), "file")
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = listed.count()
+    tasks = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, -(-n // FILES_A_TASK))))
+    return listed.repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_at(spark: SparkSession, root: str, places: DataFrame, *, place: str = "place", cell: int = 1 << 21) -> DataFrame:

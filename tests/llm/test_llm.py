@@ -1094,3 +1094,34 @@ def test_language_id_equals_naive_bayes_by_hand(spark, docs):
     for r in got:
         lang, p = posterior(r["text"])
         assert r["lang_pred"] == lang and abs(r["score"] - p) < 1e-3, r["doc_id"]
+
+
+# --- op6: equal rows ----------------------------------------------------------------------------------
+
+
+def test_equal_rows_are_counted_and_split(spark, tmp_path, monkeypatch):
+    from mediasift.llm import token_store as ts
+    from mediasift.llm.queries import tokenizer_file
+
+    monkeypatch.setattr(ts, "HOT", 50)
+    monkeypatch.setattr(ts, "COPIES", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(None, "one text that a third of all rows hold")] * 1000 + [(None, None)] * 120 + [(7, "seven")] * 51 + [(7, "others")] * 50 + [(i, text_of(i, 5)) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (20_000, 0):
+        monkeypatch.setattr(ts, "BROADCAST_ROWS", hot)
+        root = f"file://{tmp_path}/{hot}"
+        manifest = ts.write_tokens(df, root, tokenizer_file(), shard_tokens=500).collect()
+        got = ts.read_tokens(spark, root).orderBy("start").collect()
+        encode = ts.encoder(tokenizer_file()).encode
+        want = collections.Counter((i, zlib.crc32(np.append(encode([(t or "").encode()])[0], 1).astype("<u4").tobytes())) for i, t in rows)
+        assert collections.Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+        ids = [r["doc_id"] for r in got]
+        assert ids == sorted(ids, key=lambda i: (i is not None, i))
+        assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got[:-1]]]).tolist()
+        assert sum(r["docs"] for r in manifest) == len(rows)
+        parts = collections.Counter()
+        for r in manifest:
+            parts[r["part"]] += r["docs"]
+        assert len(parts) == 4 and max(parts.values()) < 1.5 * len(rows) / 4  # the 1,000 equal rows are dealt by blocks of eight
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
