@@ -38,7 +38,7 @@ def weighted_vectors(terms: DataFrame) -> DataFrame:
                 if qid not in sums and len(sums) >= QUERY_BLOCK:
                     yield rows(sums)
                     sums = {}
-                sums[qid] = added(sums.get(qid), weight * np.nan_to_num(vector.values.to_numpy(zero_copy_only=False), copy=False) if vector.values.null_count else weight * vector.values.to_numpy())
+                sums[qid] = added(sums.get(qid), weight * pc.fill_null(vector.values, 0.0).to_numpy())
         if sums:
             yield rows(sums)
 

@@ -90,7 +90,7 @@ class MediaIndex:
     def follow(self, directory: str, checkpoint: str, *, available_now: bool = True, lag: float = 2.0):
         """Starts a query that adds the directory's new and changed files to the index as they come; files that fail are left out.
 
-        Removals are seen by ``refresh`` alone, which may run beside it."""
+        The directory is a path that all executors see. Removals are seen by ``refresh`` alone, which may run beside it."""
         self.spark.dataSource.register(Library)
         extensions = IMAGE_EXTENSIONS + (RAW_EXTENSIONS if self.raw_support else [])
         options = {"root": directory, "hidden": str(self.include_hidden).lower(), "excludeDirs": exclude_regex(self.exclude_dirs), "files": extension_regex(extensions), "lag": str(lag)}

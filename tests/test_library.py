@@ -553,6 +553,8 @@ def test_weighted_vectors(spark):
     found = sr.weighted_vectors(df)
     got = {r["qid"]: r["qvec"] for r in found.collect()}
     assert set(got) == set(want) and all(np.allclose([*got[q], 0.0][:3], want[q]) for q in want)
+    holes = spark.createDataFrame([(1, 1, 2.0, [1.0, None, float("inf")]), (1, 1, 1.0, [None, None, 1.0])], "qid int, sign int, multiplier double, tvec array<double>")
+    assert sr.weighted_vectors(holes).first()["qvec"] == [2.0, 0.0, float("inf")]
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString() and sr.weighted_vectors(df.limit(0)).count() == 0
 
 
