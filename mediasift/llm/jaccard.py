@@ -11,8 +11,11 @@
    a spanning forest of what is left, and compares only what is not yet in one tree: near copies of one text
    are compared with the first of them alone. Components of these forests are the sets to verify.
 4. Verification: one text of each class becomes its set of shingle hashes, once. The sets of a component meet in
-   one task up to ``SET_BYTES``; larger components are dealt as pairs of blocks of that size. Exact
-   intersections of all their pairs give the links, which are counted with copies, and
+   one task up to ``SET_BYTES``. In a larger component each set is first compared with the set of its smallest node: two sets
+   that differ from it by a ninth of their own size at most differ from each other by a ninth of both at most, which is
+   the threshold, so all these tight sets are linked and need only be counted, once each. Pairs with
+   a set that is not tight are dealt as pairs of blocks of that size. Exact
+   intersections of their pairs give the links, which are counted with copies, and
    components of the true links are the result's classes.
 
 The shingles are runs of five words (``[^\\x20\\x09-\\x0D]+``, as written); a text of one to four
@@ -42,6 +45,8 @@ HASHES, BAND = 128, 4
 STEP, TOLERANCE = 32, 1e-6
 #: A block: members when pruning, bytes of shingle hashes when verifying; sets whose pairs are intersected at once.
 SKETCH_BLOCK, SET_BYTES, TILE = 32_768, 8 << 20, 1024
+#: Bytes of hubs' sets that are broadcast; beyond, both sides are shuffled.
+HUB_BYTES = 64 << 20
 #: Up to so many rows of (doc_id, class), and of (component, bytes), are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -175,6 +180,45 @@ def dealt(rows: DataFrame, group: str, node: str, blocks: Column) -> DataFrame:
     return out.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
 
 
+def tight(rows: DataFrame, tables: Tables) -> DataFrame:
+    """Rows (comp, bytes, node, copies, set) with ``hub``, the smallest node of the component, and ``near``: whether the set
+    differs from the hub's by a ninth of its size at most."""
+    # a row a large component
+    hubs = tables.save(rows.groupBy("comp").agg(F.min("node").alias("hub"), F.min_by("set", "node").alias("hub_set")), "hubs")
+    size = hubs.agg(F.coalesce(F.sum(F.octet_length("hub_set")), F.lit(0))).first()[0]
+    met = rows.join(F.broadcast(hubs) if size <= HUB_BYTES else hubs, "comp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, hub = (text_bytes(batch.column(c)) for c in ("set", "hub_set"))
+            near = []
+            for k in range(batch.num_rows):
+                a, b = (data[off[k] : off[k + 1]].view("<u8") for data, off in (own, hub))
+                near.append(9 * len(np.setxor1d(a, b, assume_unique=True)) <= len(a))
+            yield batch.drop_columns(["hub_set"]).append_column("near", pa.array(near, pa.bool_()))
+
+    return met.select("comp", "bytes", "node", "copies", "set", "hub", "hub_set").mapInArrow(run, "comp binary, bytes long, node binary, copies long, set binary, hub binary, near boolean")
+
+
+def counted_links(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """For the rows of large components: what is left to ``verify``, and the links (node, links, root, whole) among tight sets."""
+    rows = tables.save(rows.dropDuplicates(["comp", "node"]), "large-sets")
+    marked = tables.save(tight(rows, tables), "tight")
+    width = F.octet_length("set").cast("long")
+    sums = marked.groupBy("comp").agg(F.sum(F.when(F.col("near"), F.col("copies"))).alias("n_near"), *[F.ceil(F.coalesce(F.sum(F.when(c, width)), F.lit(0)) / F.lit(SET_BYTES)).cast("int").alias(n) for n, c in (("near_blocks", F.col("near")), ("far_blocks", ~F.col("near")))])
+    sums = small(tables.save(sums, "tight-sums"))
+    met = marked.join(sums, "comp")
+    links = met.where("near").select("node", (F.col("n_near") - F.col("copies")).alias("links"), F.col("hub").alias("root"), F.lit(False).alias("whole"))
+    # blocks of sets that are not tight come first; a tight block meets those alone
+    place = F.xxhash64("node", "comp")
+    side = F.when(F.col("near"), F.col("far_blocks") + F.pmod(place, F.greatest("near_blocks", F.lit(1)))).otherwise(F.pmod(place, F.greatest("far_blocks", F.lit(1)))).cast("int")
+    out = met.where("far_blocks > 0").withColumn("side", side).withColumn("n", F.lit(2))
+    last = F.when(F.col("near"), F.col("far_blocks")).otherwise(F.col("far_blocks") + F.col("near_blocks")) - 1
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    out = out.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    return out.select("comp", "i", "j", "n", "side", "node", "copies", "set"), links
+
+
 def by_group(rows: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -364,8 +408,12 @@ def verified_classes(docs: DataFrame, key: str, text: str) -> tuple[Tables, Data
     source = docs.select(F.col(f"`{key}`").cast("long").alias("lead"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
     wanted = small(comps.withColumnsRenamed({"lead": "want", "th": "want_th"}))
     texts = source.join(wanted, (F.col("th") == F.col("want_th")) & F.col("lead").eqNullSafe(F.col("want"))).select("comp", "bytes", "node", "copies", "text")
-    rows = dealt(as_sets(texts), "comp", "node", F.ceil(F.col("bytes") / F.lit(SET_BYTES))).select("comp", "i", "j", "n", "side", "node", "copies", "set")
-    checked = tables.save(verify(rows), "checked")
+    sets = as_sets(texts)
+    one_block = dealt(sets.where(F.col("bytes") <= SET_BYTES), "comp", "node", F.lit(1)).select("comp", "i", "j", "n", "side", "node", "copies", "set")
+    checked = tables.save(verify(one_block), "checked")
+    if bytes_of.where(F.col("bytes") > SET_BYTES).count():
+        left, counted = counted_links(sets.where(F.col("bytes") > SET_BYTES), tables)
+        checked = checked.unionByName(tables.save(verify(left).unionByName(counted), "checked-large"))
 
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     split = components(tables, checked.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b")), "verified")

@@ -1125,3 +1125,53 @@ def test_equal_rows_are_counted_and_split(spark, tmp_path, monkeypatch):
             parts[r["part"]] += r["docs"]
         assert len(parts) == 4 and max(parts.values()) < 1.5 * len(rows) / 4  # the 1,000 equal rows are dealt by blocks of eight
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+# --- op2: large components ----------------------------------------------------------------------------
+
+
+def drifting_copies(n, seed=0):
+    """Copies of a text with few and with many words changed, and copies of these: near and far from the first."""
+    rng, words = np.random.default_rng(seed), text_of(77, 120).split()
+    out = []
+    for i in range(n):
+        edited = list(words if i % 3 else out[int(rng.integers(0, len(out)))][1].split() if out else words)
+        for k in rng.integers(0, len(edited), int(rng.choice([0, 1, 2, 4, 7]))):
+            edited[int(k)] = f"edit{i}x{k}"
+        out.append((1000 + i, " ".join(edited)))
+    return out
+
+
+@pytest.mark.parametrize("hub_bytes", [1 << 20, 0])
+def test_large_components_by_hand(spark, monkeypatch, hub_bytes):
+    from mediasift.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SET_BYTES", 6000)
+    monkeypatch.setattr(jaccard, "HUB_BYTES", hub_bytes)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0 if hub_bytes == 0 else 1000)
+    rows = drifting_copies(90) + near_copies(25) + [(2000, t) for _, t in near_copies(3)] + [(2001, text_of(3, 50))]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(4)
+    got = sorted(((r[0], r[1], r[2]) for r in jaccard.near_duplicates(df).collect()), key=repr)
+    assert got == classes_by_hand(rows)
+    links = [r[2] for r in got if r[0] >= 1000]
+    assert min(links) < max(links) / 2  # some are far from the hub
+
+
+def test_rows_to_verify_grow_with_a_group(spark, monkeypatch):
+    """Near copies of one text are counted, not compared with each other; a few that are far from the first meet all."""
+    from mediasift.llm import jaccard
+    from mediasift.llm.shared import Tables
+
+    monkeypatch.setattr(jaccard, "SET_BYTES", 20_000)
+    found = []
+    for n in (400, 800):
+        sets = [(b"c", 10**9, b"%06d" % i, 2, np.sort(np.append(np.arange(200, dtype=np.uint64), np.uint64(1000 + i))).tobytes()) for i in range(n)]
+        sets += [(b"c", 10**9, b"9%05d" % i, 1, np.arange(100 * i, 100 * i + 150, dtype=np.uint64).tobytes()) for i in range(1, 4)]
+        df = spark.createDataFrame(sets, "comp binary, bytes long, node binary, copies long, set binary")
+        left, links = jaccard.counted_links(df, Tables(spark, "t"))
+        found.append(left.count())
+        got = {bytes(r["node"]): r for r in links.collect()}
+        assert len(got) == n and all(r["links"] == 2 * n - 2 and bytes(r["root"]) == b"000000" for r in got.values())
+        checked = {bytes(r["node"]): r["n"] for r in jaccard.verify(left).groupBy("node").agg(F.sum("links").alias("n")).collect()}
+        assert checked == {x[2]: 0 for x in sets}
+    assert found[1] <= 2 * found[0]
