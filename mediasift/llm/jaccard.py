@@ -201,14 +201,14 @@ def tight(rows: DataFrame, tables: Tables) -> DataFrame:
 
 
 def counted_links(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """For the rows of large components: what is left to ``verify``, and the links (node, links, root, whole) among tight sets."""
+    """For the rows of large components: what is left to ``verify``, and the links among tight sets (node, links, hub)."""
     rows = tables.save(rows.dropDuplicates(["comp", "node"]), "large-sets")
     marked = tables.save(tight(rows, tables), "tight")
     width = F.octet_length("set").cast("long")
     sums = marked.groupBy("comp").agg(F.sum(F.when(F.col("near"), F.col("copies"))).alias("n_near"), *[F.ceil(F.coalesce(F.sum(F.when(c, width)), F.lit(0)) / F.lit(SET_BYTES)).cast("int").alias(n) for n, c in (("near_blocks", F.col("near")), ("far_blocks", ~F.col("near")))])
     sums = small(tables.save(sums, "tight-sums"))
     met = marked.join(sums, "comp")
-    links = met.where("near").select("node", (F.col("n_near") - F.col("copies")).alias("links"), F.col("hub").alias("root"), F.lit(False).alias("whole"))
+    links = met.where("near").select("node", (F.col("n_near") - F.col("copies")).alias("links"), "hub")
     # blocks of sets that are not tight come first; a tight block meets those alone
     place = F.xxhash64("node", "comp")
     side = F.when(F.col("near"), F.col("far_blocks") + F.pmod(place, F.greatest("near_blocks", F.lit(1)))).otherwise(F.pmod(place, F.greatest("far_blocks", F.lit(1)))).cast("int")
@@ -411,13 +411,25 @@ def verified_classes(docs: DataFrame, key: str, text: str) -> tuple[Tables, Data
     sets = as_sets(texts)
     one_block = dealt(sets.where(F.col("bytes") <= SET_BYTES), "comp", "node", F.lit(1)).select("comp", "i", "j", "n", "side", "node", "copies", "set")
     checked = tables.save(verify(one_block), "checked")
+    links, roots = checked.select("node", "links"), checked.select("node", "root")
     if bytes_of.where(F.col("bytes") > SET_BYTES).count():
-        left, counted = counted_links(sets.where(F.col("bytes") > SET_BYTES), tables)
-        checked = checked.unionByName(tables.save(verify(left).unionByName(counted), "checked-large"))
-
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    split = components(tables, checked.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b")), "verified")
-    roots = checked.where("whole").select("node", "root").unionByName(split)
+        left, near = counted_links(sets.where(F.col("bytes") > SET_BYTES), tables)
+        near = tables.save(near, "near")
+        far = tables.save(verify(left), "far")
+        links = links.unionByName(near.select("node", "links")).unionByName(far.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links"))
+        # near sets are of their hub's class: only hubs and the other sets need to be joined up
+        hub_of = near.select(F.col("node").alias("own"), "hub")
+        ends = far.where("node != root").select(*[F.col(c).alias(c) for c in ("node", "root")])
+        for c in ("node", "root"):
+            ends = ends.join(hub_of, F.col(c) == F.col("own"), "left").withColumn(c, F.coalesce("hub", c)).drop("own", "hub")
+        edges = tables.save(ends.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), "far-edges")
+        near_roots = near.select("node", F.col("hub").alias("root"))
+        if edges.count():
+            joined = components(tables, edges, "verified")
+            of = joined.withColumnsRenamed({"node": "hub", "root": "whole"})
+            near_roots = near.join(of, "hub", "left").select("node", F.coalesce("whole", "hub").alias("root"))
+            roots = roots.unionByName(joined.join(near.select("node"), "node", "left_anti"))
+        roots = roots.unionByName(near_roots)
     info = nodes.select("node", "lead", "th", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return tables, sketches, info
 

@@ -1171,7 +1171,7 @@ def test_rows_to_verify_grow_with_a_group(spark, monkeypatch):
         left, links = jaccard.counted_links(df, Tables(spark, "t"))
         found.append(left.count())
         got = {bytes(r["node"]): r for r in links.collect()}
-        assert len(got) == n and all(r["links"] == 2 * n - 2 and bytes(r["root"]) == b"000000" for r in got.values())
+        assert len(got) == n and all(r["links"] == 2 * n - 2 and bytes(r["hub"]) == b"000000" for r in got.values())
         checked = {bytes(r["node"]): r["n"] for r in jaccard.verify(left).groupBy("node").agg(F.sum("links").alias("n")).collect()}
         assert checked == {x[2]: 0 for x in sets}
     assert found[1] <= 2 * found[0]
