@@ -50,7 +50,7 @@ MAGIC = b"MSDAC\x00\x01\n"
 RANK_BITS = 512
 #: Bytes that are read at once by position, and places whose ids are got at once.
 PAGE, PLACES = 1 << 16, 1 << 18
-CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 200_000, 64
 
 
 #: What a tokenizer file must say for its words to be encoded one by one: texts are normalised character by
