@@ -21,6 +21,8 @@ from mediasift.functions.text import SPECIAL_TOKENS, WIDTH, clean, split_tokens
 
 LENGTH = 77
 LETTERS = re.compile(b"[a-z]+")
+#: Bytes of text whose tokens are hashed at once; tokens that a task remembers, and the longest of them.
+PIECE, KNOWN, KNOWN_BYTES = 1 << 20, 100_000, 64
 
 
 def padded(encode: Callable[[np.ndarray], np.ndarray], size: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -130,41 +132,59 @@ def tokenise(texts: DataFrame, merges: list[tuple[str, str]], *, key: str, text:
     return texts.select(key, ids(split_tokens(clean(F.col(text)))).alias("tokens"))
 
 
-def letter_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The runs of a-z of an Arrow array of strings that each end in a space: the row of each, its code, and the distinct runs by code."""
-    raw = pc.fill_null(texts, "").cast(pa.large_binary())
+class Buckets(dict):
+    """A mapping of tokens to twice their bucket, plus one where they count as negative, that hashes a token when asked; long tokens are not kept."""
+
+    def __missing__(self, token: bytes) -> int:
+        digest = hashlib.md5(token).hexdigest()
+        place = 2 * (int(digest[:4], 16) % WIDTH) + int(digest[4], 16) % 2
+        if len(token) <= KNOWN_BYTES:
+            self[token] = place
+        return place
+
+
+def letter_runs(texts: pa.Array, most: int | None = None) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The runs of a-z of an Arrow array of strings that each end in a space, by pieces of about ``most`` bytes (``PIECE``): the row of each, and the runs.
+
+    A piece ends after a byte that is no letter, so that no run is cut; texts of any length are cut up."""
+    most = most or PIECE
+    raw = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_binary())
     _, offsets, data = raw.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    body = bytes(data)[offsets[0] : offsets[-1]] if data is not None else b""
-    found = LETTERS.findall(body)
-    flag = np.frombuffer(body, np.uint8)
-    flag = (flag >= 97) & (flag <= 122)
-    starts = np.flatnonzero(flag & ~np.concatenate([[False], flag[:-1]])) if len(flag) else np.zeros(0, np.int64)
-    edges = offsets - offsets[0]
-    code, distinct = pd.factorize(np.array(found, object))
-    return np.searchsorted(edges, starts, "right") - 1, code, list(distinct)
+    offsets = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    body = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo, stop = int(offsets[0]), int(offsets[-1])
+    while lo < stop:
+        hi = min(lo + most, stop)
+        while hi < stop and 97 <= body[hi - 1] <= 122:
+            rest = body[hi : min(hi + most, stop)]
+            other = (rest < 97) | (rest > 122)
+            hi += int(other.argmax()) + 1 if other.any() else len(rest)
+        flag = (body[lo:hi] >= 97) & (body[lo:hi] <= 122)
+        starts = np.flatnonzero(flag & ~np.concatenate([[False], flag[:-1]]))
+        yield np.searchsorted(offsets, starts + lo, "right") - 1, LETTERS.findall(memoryview(body)[lo:hi])
+        lo = hi
 
 
 def hash_encode(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     """key and the unit ``vector`` of signed bucket counts of the text's tokens, the runs of a-z in lower case.
 
     A map over rows: equal and null keys stay rows of their own. Texts whose counts are all zero have no
-    vector and are left out. A task hashes each distinct token once, and forgets them at a million; tokens of a batch are
-    added up together."""
+    vector and are left out. A task goes through its texts by pieces of ``PIECE`` bytes, whatever the rows and batches, and remembers
+    the buckets of ``KNOWN`` tokens, so what it holds besides a batch does not grow with the table."""
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[int, int]] = {}
+        known = Buckets()
         for batch in batches:
-            row, code, distinct = letter_runs(batch.column(1))
-            if len(known) > 1_000_000:
-                known.clear()
-            for token in distinct:
-                if token not in known:
-                    digest = hashlib.md5(token).hexdigest()
-                    known[token] = int(digest[:4], 16) % WIDTH, 1 - 2 * (int(digest[4], 16) % 2)
-            places = np.array([known[t] for t in distinct], np.int64).reshape(-1, 2)[code]
-            v = np.bincount(row * WIDTH + places[:, 0], places[:, 1], batch.num_rows * WIDTH).reshape(-1, WIDTH)
+            v = np.zeros((batch.num_rows, WIDTH))
+            for row, found in letter_runs(batch.column(1)):
+                if len(known) > KNOWN:
+                    known.clear()
+                if not found:
+                    continue
+                place = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+                first, rows = row[0], row[-1] - row[0] + 1
+                v[first : first + rows] += np.bincount((row - first) * WIDTH + (place >> 1), 1 - 2 * (place & 1), rows * WIDTH).reshape(-1, WIDTH)
             norm = np.sqrt((v * v).sum(axis=1))
             kept = np.flatnonzero(norm)
             unit = v[kept] / norm[kept, None]

@@ -574,6 +574,55 @@ def test_hashed_vectors_of_many_rows(spark):
     assert en.hash_encode(spark.createDataFrame([], "k long, t string"), key="k", text="t").count() == 0
 
 
+class Captured:
+    """Stands for a table, to get the function that tasks run."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *_):
+        return self
+
+    toDF = select
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_hashed_vectors_in_bounded_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def words(k, n):  # distinct runs of letters
+        return " ".join(np.base_repr(26**4 + k * n + i, 26).translate(str.maketrans("0123456789", "qrstuvwxyz")).lower() for i in range(n)) + " "
+
+    table = Captured(spark.createDataFrame([], "k long, t string").schema)
+    en.hash_encode(table, key="k", text="t")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array([words(k, 400) for k in range(2_000)])], names=["key", "text"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in table.run(iter([batch]))) == 2_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+
+
+def test_hashed_vectors_by_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    table = Captured(spark.createDataFrame([], "k long, t string").schema)
+    en.hash_encode(table, key="k", text="t")
+    texts = ["ab cd ", "x" * 50 + " y ", None, " ", "12 zz", "é", *["lm no p " * 20] * 3, "longer" * 30 + " "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([None if t is None else t + " " for t in texts])], names=["key", "text"]).slice(1)
+    whole = [b.to_pydict() for b in table.run(iter([batch, batch.slice(0, 0)]))]
+    monkeypatch.setattr(en, "KNOWN", 1)
+    for piece in (1, 3, 7, 64):
+        monkeypatch.setattr(en, "PIECE", piece)
+        assert [b.to_pydict() for b in table.run(iter([batch, batch.slice(0, 0)]))] == whole
+    assert whole[0]["key"] == [1, 4, 6, 7, 8, 9]
+
+
 def test_automatic_cap_is_of_the_session(spark, tmp_path):
     from mediasift.plans.media_index import executor
 
