@@ -623,6 +623,22 @@ def test_hashed_vectors_by_pieces(spark, monkeypatch):
     assert whole[0]["key"] == [1, 4, 6, 7, 8, 9]
 
 
+def test_text_of_any_length_in_bounded_memory(spark):
+    """A single text, as searches of long documents have it, is cut up as well."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    table = Captured(spark.createDataFrame([], "k long, t string").schema)
+    en.hash_encode(table, key="k", text="t")
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["ab cd ef gh " * 500_000])], names=["key", "text"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in table.run(iter([batch]))) == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20, peak
+
+
 def test_automatic_cap_is_of_the_session(spark, tmp_path):
     from mediasift.plans.media_index import executor
 
