@@ -50,7 +50,8 @@ MAGIC = b"MSDAC\x00\x01\n"
 RANK_BITS = 512
 #: Bytes that are read at once by position, and places whose ids are got at once.
 PAGE, PLACES = 1 << 16, 1 << 18
-CACHE_WORDS, CACHE_WORD_BYTES = 200_000, 64
+#: Words that an encoder keeps, the longest of them, and words that it learns at once.
+CACHE_WORDS, CACHE_WORD_BYTES, LEARNT = 200_000, 64, 1 << 14
 
 
 #: What a tokenizer file must say for its words to be encoded one by one: texts are normalised character by
@@ -70,60 +71,98 @@ def splits_words(spec: dict) -> bool:
         and all(n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in normalisers if n["type"] == "Replace")
         and len(steps) == 2 and split.get("type") == "Split" and split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
         and byte_level.get("type") == "ByteLevel" and not byte_level.get("add_prefix_space") and not byte_level.get("use_regex")
-        and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec.get("truncation") is None and spec.get("padding") is None
+        and spec["model"]["type"] == "BPE" and not any(spec["model"].get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "fuse_unk", "continuing_subword_prefix", "unk_token"))
+        and (suffix := spec["model"].get("end_of_word_suffix")) and all(chr(c) + x in spec["model"]["vocab"] for c in BYTE_LETTERS.values() for x in ("", suffix)) and re.search("[<>'\\s]", suffix)
+        and spec.get("truncation") is None and spec.get("padding") is None
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) or re.fullmatch(WordEncoder.PLAIN, t["content"]) for t in spec["added_tokens"])
     )
 
 
+#: Bytes as the letters that a byte-level step makes of them: themselves where printable, else from 256 up. Fixed values.
+_spare = iter(range(256, 512))
+BYTE_LETTERS = {b: b if 33 <= b < 127 or 161 <= b < 173 or b >= 174 else next(_spare) for b in range(256)}
+PARTED = BYTE_LETTERS | {32: 32}
+#: ASCII letters are 1, and marks other than the apostrophe 2.
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123)]] = 1
+KINDS[[*b'!"#$%&()*+,-./:;=?@[\\]^_`{|}~']] = 2
+
+
 class WordEncoder(dict):
     """Encodes texts with a tokenizer. If the tokenizer's file says that it treats words alike wherever they
-    stand (``splits_words``), it is a mapping of words to their ids that learns a word when asked, in two
-    generations of a bounded size; words share the ids of their letters and of their marks, and plain
-    letters go straight to the tokenizer's merges. Any other tokenizer encodes whole texts."""
+    stand (``splits_words``), it is a mapping of words to their ids that learns those of some texts it does not know, in two
+    generations of a bounded size. Words of letters (ASCII and Latin-1), digits and marks are parted here, and go straight to the
+    tokenizer's merges, many in one call; an id that ends a part is known by the suffix. Any other tokenizer encodes whole texts."""
 
-    LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([!#-&*-/:;=?@^_`|~]*)")
-    PLAIN = r"[A-Za-z!#-&*-/:;=?@^_`|~]*"
+    LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+    MARKS = r"[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]"
+    PLAIN = f"(?:{LETTERS}|[0-9]|{MARKS})*"
+    SIMPLE, PARTS = re.compile(PLAIN), re.compile(f"{LETTERS}+|[0-9]|{MARKS}+")
+    #: Letters that follow a lower-case or upper-case ASCII letter to make one with it begin with these bytes.
+    COMPOSING = (b"\xcc", b"\xcd")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_words(json.load(f))
+            spec = json.load(f)
+        self.by_word = splits_words(spec)
         self.older: dict[bytes, bytes] = {}
+        if self.by_word:
+            suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            self.added = [t["content"].lower().encode() for t in spec["added_tokens"]]
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = WhitespaceSplit()
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _plain(self, letters: str) -> list[int]:
-        return [t.id for t in self.merges(letters)]
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            m = self.LETTERS_MARKS.fullmatch(word)
-            if m is None:
-                ids = array("I", self._encode(word.decode("utf-8", "replace"))).tobytes()
-            else:
-                letters = m[1].lower()
-                if m[2]:
-                    ids = self[letters] + self._marks(m[2])
-                elif letters != word:
-                    ids = self[letters]
-                else:
-                    ids = array("I", self._plain(word.decode())).tobytes()
-        if len(word) <= CACHE_WORD_BYTES:
-            self[word] = ids
-        return ids
-
-    def _marks(self, marks: bytes) -> bytes:
-        ids = self.get(marks)
-        if ids is None:
-            ids = self[marks] = array("I", self._encode(marks.decode())).tobytes()
-        return ids
+    def _words(self, text: bytes) -> list[bytes]:
+        """A text's words, with ASCII letters parted from marks and in lower case, where that changes neither what letters compose nor what added tokens there are."""
+        low = text.lower()
+        if any(x in low for x in (*self.COMPOSING, *self.added)):
+            return text.split()
+        data = np.frombuffer(low, np.uint8)
+        kind = KINDS[data]
+        cut = np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1
+        if not len(cut):
+            return low.split()
+        out = np.full(len(data) + len(cut), 32, np.uint8)
+        step = np.zeros(len(data), np.int64)
+        step[cut] = 1
+        out[np.arange(len(data)) + np.cumsum(step)] = data
+        return out.tobytes().split()
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words."""
+        out, simple, many, lines = {}, [w for w in words if w.isalpha()], [], []  # of ASCII
+        joined = b" ".join(simple).lower().decode()
+        many = [1] * len(simple)
+        for word in words:
+            if word.isalpha():
+                continue
+            text = word.decode("utf-8", "replace")
+            if not self.SIMPLE.fullmatch(text):
+                out[word] = array("I", self._encode(text)).tobytes()
+                continue
+            parts = self.PARTS.findall(text)
+            simple.append(word)
+            many.append(len(parts))
+            lines.append(" ".join(parts).lower())
+        if simple:
+            # byte by byte: the space between parts is no letter of a byte
+            rest = " ".join(lines).encode().decode("latin-1").translate(PARTED)
+            ids = np.array(self.merges.encode_batch_fast([f"{joined} {rest}"], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids])[np.cumsum(many) - 1] + 1)).tolist()
+            raw = ids.tobytes()
+            out |= zip(simple, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
@@ -131,8 +170,20 @@ class WordEncoder(dict):
         if len(self) > CACHE_WORDS:
             self.older = dict(self)
             self.clear()
+        words = [self._words(t) for t in texts]
+        new = [w for w in set().union(*words) if w not in self]
+        for w in new:
+            if w in self.older:
+                self[w] = self.older[w]
+        new = [w for w in new if w not in self]
+        for lo in range(0, len(new), LEARNT):
+            self.update(self._learn(new[lo : lo + LEARNT]))
         find = self.__getitem__
-        return [np.frombuffer(b"".join(map(find, t.split())), "<u4") for t in texts]
+        out = [np.frombuffer(b"".join(map(find, w)), "<u4") for w in words]
+        for w in new:
+            if len(w) > CACHE_WORD_BYTES:
+                del self[w]
+        return out
 
 
 @lru_cache(2)

@@ -516,6 +516,25 @@ def test_word_encoder_equals_the_tokenizer():
         assert e.encode([x.encode()])[0].tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids, x
 
 
+def test_word_encoder_learns_plain_words_together(monkeypatch):
+    from mediasift.llm import token_store as ts
+    from mediasift.llm.queries import tokenizer_file
+
+    e = ts.WordEncoder(tokenizer_file())
+    whole = lambda x: e.tokenizer.encode(x, add_special_tokens=False).ids
+    monkeypatch.setattr(ts, "CACHE_WORDS", 50)
+    asked, own = [], e._encode
+    monkeypatch.setattr(e, "_encode", lambda text: asked.append(text) or own(text))
+    texts = ["Élève où, (ÀÉ) naïve... 2023-10 x1y22", "Straße [a] {b} \\ \"q\" ÿ", "a.b, " * 300, "w" * 200 + "! again", ""]
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == [whole(t) for t in texts]
+    assert not asked and not any(len(w) > ts.CACHE_WORD_BYTES for w in e)
+    rng = np.random.default_rng(3)
+    pieces = ["H\u0331", "A\u0301", "a\u0301.", "É", "ß", "İ", "\u212a", "<|EndOfText|>", "<|endoftext|>", "<|", "|>", "</w>", "it's", "IT'S", "'", "\"'s", "(a)", "x1y22", "½", "µ", "×", " ", "\n", "\x1c", "\xa0", "日本", "Zz", "\\", "=\u0338", "é\u0301", "Σ", "'RE", "\x00", "ſ"]
+    odd = ["".join(rng.choice(pieces, int(rng.integers(0, 10)))) for _ in range(2000)]
+    assert [x.tolist() for x in e.encode([t.encode() for t in odd])] == [whole(t) for t in odd]
+
+
 # --- op7 ----------------------------------------------------------------------------------------
 
 
