@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE, _W = np.uint64(1), np.uint64(63)
+_ONE, _W, _BYTE = np.uint64(1), np.uint64(63), np.uint64(8)
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of the k-th one of a byte, at eight times the byte plus k (0 where there are fewer).
+_PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).ravel()
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -38,6 +41,14 @@ def get_bits(words: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
     return (low | high) & np.uint64((1 << width) - 1)
 
 
+def select_bit(bits: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the one with the given rank in each 64-bit word: first its byte, by the ones up to each byte, then a table."""
+    upto = np.bitwise_count(bits.view(np.uint8)).view(np.uint64) * _EACH
+    byte = np.bitwise_count(((rank * _EACH) | _TOPS) - upto & _TOPS).astype(np.uint64) * _BYTE
+    left = rank - ((upto << _BYTE) >> byte & np.uint64(255))
+    return byte + _PLACE[((bits >> byte & np.uint64(255)) * _BYTE + left).astype(np.int64)]
+
+
 class EliasFano:
     """``low``, ``high``, ``zeros`` and ``ones`` are arrays, in memory or mapped."""
 
@@ -75,14 +86,17 @@ class EliasFano:
         word = np.searchsorted(before, rank.astype(before.dtype), "right") - 1
         left = (rank - before[word].astype(np.int64)).astype(np.uint64)
         bits = self.high[word] if ones else ~self.high[word]
-        at = np.zeros(len(rank), np.uint64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.uint64)
-            go = left >= count
-            left -= np.where(go, count, np.uint64(0))
-            bits = np.where(go, bits >> np.uint64(half), bits)
-            at += np.where(go, np.uint64(half), np.uint64(0))
-        return word * 64 + at.astype(np.int64)
+        return word * 64 + select_bit(bits, left).astype(np.int64)
+
+    def _next_zero(self, place: np.ndarray) -> np.ndarray:
+        """Place of the zero that follows each given zero of the high bits, which is not the last."""
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        rest = (~self.high[word] >> shift) >> _ONE  # what comes after it in its word
+        out = place + 1 + np.bitwise_count((rest & (~rest + _ONE)) - _ONE)
+        beyond = np.flatnonzero(rest == 0)
+        if len(beyond):
+            out[beyond] = self._select(self.zeros[word[beyond] + 1].astype(np.int64), self.zeros, False)
+        return out
 
     def base(self, begin: np.ndarray) -> np.ndarray:
         """Where the ranges of a sequence of ``ranges`` that begin at the given indexes go on from."""
@@ -112,13 +126,16 @@ class EliasFano:
         values = values.astype(np.uint64)
         top = (values >> np.uint64(self.width)).astype(np.int64)
         low = values & np.uint64((1 << self.width) - 1)
-        live = np.flatnonzero(top <= int(self.zeros[-1]) + 64)
+        live = np.flatnonzero(top < 64 * len(self.high) - self.n)  # as many zeros
         top, low = top[live], low[live]
         # the values with the same high part lie between two zeros; among them by halving
         begin = np.zeros(len(live), np.int64)
         some = top > 0
         begin[some] = self._select(top[some] - 1, self.zeros, False) + 1 - top[some]
-        end = np.minimum(self._select(top, self.zeros, False) - top, self.n)
+        end = np.zeros(len(live), np.int64)
+        end[some] = self._next_zero(begin[some] - 1 + top[some])
+        end[~some] = self._select(top[~some], self.zeros, False)
+        end = np.minimum(end - top, self.n)
         if least is not None:
             begin, end = np.maximum(begin, least[live]), np.minimum(end, most[live])
         last = end.copy()

@@ -150,6 +150,11 @@ def shard_of(a: np.ndarray, b: np.ndarray, hot: np.ndarray, shards: int) -> np.n
     return (mix(key) % np.uint64(shards)).astype(np.int64)
 
 
+def narrow(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Numbers of shards in 16 bits if they fit, which numpy sorts by their digits."""
+    return shard.astype(np.int16) if shards <= 1 << 15 else shard
+
+
 def pack_run(*columns: np.ndarray) -> bytes:
     """Equally long columns of numbers, as planes of bytes (four a number, or eight if one needs them), compressed."""
     width = 8 if any(len(c) and int(c.max()) >> 32 for c in columns) else 4
@@ -308,6 +313,7 @@ class Lookups:
         self.pair = pair
         self.a, self.b, self.c = names[pairs >> 32], names[pairs & 0xFFFFFFFF], names[triples & 0xFFFFFFFF]
         shard = np.where(self.a > m.start, -1, shard_of(self.a, self.b, m.hot, m.shards))  # an unknown first word is in no trie
+        shard = narrow(shard, m.shards)
         self.pairs_by, self.triples_by = np.argsort(shard, kind="stable"), np.argsort(shard[self.pair_of], kind="stable")
         self.pair_shards, self.triple_shards = shard[self.pairs_by], shard[self.pair_of][self.triples_by]
 
@@ -360,7 +366,7 @@ def train(docs: DataFrame, *, text: str = "text", discount: float = 0.75, shard_
             real = (c != start) & (b != start + 1)  # not from one document into the next
             a, b, c, n = unique_triples(a[real], b[real], c[real])
             shard = shard_of(a, b, hot, shards)
-            by = np.argsort(shard, kind="stable")
+            by = np.argsort(narrow(shard, shards), kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
             some = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
             own = [by[cuts[k] : cuts[k + 1]] for k in some]

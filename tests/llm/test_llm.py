@@ -623,6 +623,26 @@ def test_runs_of_wide_ids():
         assert all((x == y).all() for x, y in zip(unpack_run(pack_run(*cols), 3), cols, strict=True))
 
 
+def test_select_and_search_at_the_edges():
+    from mediasift.llm.elias_fano import EliasFano, select_bit
+    from mediasift.llm.language_model import narrow
+
+    rng = np.random.default_rng(0)
+    words = np.append(rng.integers(1, 1 << 63, 300, dtype=np.uint64) & rng.integers(1, 1 << 63, 300, dtype=np.uint64), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64))
+    for w in words.tolist():
+        places = [i for i in range(64) if w >> i & 1]
+        assert select_bit(np.full(len(places), w, np.uint64), np.arange(len(places), dtype=np.uint64)).tolist() == places
+    for n, universe in ((0, 10), (1, 1), (300, 300), (700, 5), (1000, 1 << 40), (640, 64), (2000, 100)):
+        values = np.sort(np.concatenate([rng.integers(0, universe, n - n // 2), np.full(n // 2, universe // 2)]))
+        ef = EliasFano.build(values, universe)
+        assert ef.get(np.arange(n)).tolist() == values.tolist()
+        ask = np.unique(np.concatenate([values, rng.integers(0, universe, 200), [0, universe - 1, universe, universe + 1, universe + 1000, universe * 64 + 7]]))
+        at, known = ef.find(ask), set(values.tolist())
+        assert all((a >= 0 and values[a] == x) if x in known else a < 0 for a, x in zip(at.tolist(), ask.tolist(), strict=True))
+    many = rng.integers(-1, 40_000, 1000)
+    assert narrow(many % 30_000, 30_000).dtype == np.int16 and (narrow(many, 40_000) == many).all()
+
+
 # --- op8 ----------------------------------------------------------------------------------------
 
 
